@@ -1,6 +1,10 @@
 """Importing this module fills the query table."""
 
-from dielens.plans import unit_queries  # noqa: F401
+from dielens.plans import (  # noqa: F401
+    dq_queries,
+    ingest_queries,
+    unit_queries,
+)
 from dielens.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

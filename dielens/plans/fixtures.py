@@ -333,3 +333,33 @@ def edges(spark: SparkSession, sf: str) -> DataFrame:
         F.lit(0.99).alias("confidence"),
     )
     return probed.unionByName(tested)
+
+
+def vendor(spark: SparkSession, sf: str) -> DataFrame:
+    """Wide vendor rows before cleaning, with blanks, bad numbers and an unknown unit in them."""
+    c = F.col
+    skipped = {i: F.coalesce(c("first_fail") < i, F.lit(False)) for i in (2, 3, 4)}
+    return cp_rows(spark, sf).select(
+        "unit_id",
+        "run_id",
+        "lot_id",
+        F.when(c("l_orderkey") % 101 != 0, c("wafer_id")).alias("wafer_id"),
+        "product_code",
+        "supplier_id",
+        "run_attempt_no",
+        F.lit(0).alias("attempt_no"),
+        F.when(c("l_partkey") % 211 != 0, c("x_coord")).alias("x_coord"),
+        "y_coord",
+        F.when(c("l_partkey") % 53 != 0, c("soft_bin")).alias("soft_bin"),
+        (c("l_orderkey") * 8 + c("l_linenumber")).alias("source_row_no"),
+        F.when(c("supplier_id") == 9, "kV").otherwise("V").alias("bvdss_unit"),
+        F.when(c("l_orderkey") % 17 == 0, "ERR").otherwise(c("l_quantity").cast("string")).alias("vth"),
+        F.when(skipped[2], "")
+        .when(c("l_extendedprice") > 100000, "OVER")
+        .otherwise(c("l_extendedprice").cast("string"))
+        .alias("bvdss"),
+        F.when(skipped[3], "").otherwise(c("l_discount").cast("string")).alias("idss"),
+        F.when(skipped[4], "").otherwise(c("l_tax").cast("string")).alias("rdson"),
+        "first_fail",
+        "l_partkey",
+    )

@@ -224,7 +224,37 @@ UNION ALL
 SELECT concat('A-', event_id) AS source_unit_id, CAST(event_id AS VARCHAR) AS target_unit_id, 'ASSEMBLY_FT' AS trace_type,
        0.99 AS confidence FROM events"""
 
+VENDOR = """
+SELECT unit_id, run_id, lot_id, CASE WHEN l_orderkey % 101 = 0 THEN NULL ELSE wafer_id END AS wafer_id, product_code, supplier_id,
+       run_attempt_no, 0 AS attempt_no, CASE WHEN l_partkey % 211 = 0 THEN NULL ELSE x_coord END AS x_coord, y_coord,
+       CASE WHEN l_partkey % 53 = 0 THEN NULL ELSE soft_bin END AS soft_bin, l_orderkey * 8 + l_linenumber AS source_row_no,
+       CASE WHEN supplier_id = 9 THEN 'kV' ELSE 'V' END AS bvdss_unit,
+       CASE WHEN l_orderkey % 17 = 0 THEN 'ERR' ELSE CAST(l_quantity AS VARCHAR) END AS vth,
+       CASE WHEN first_fail < 2 THEN '' WHEN l_extendedprice > 100000 THEN 'OVER' ELSE CAST(l_extendedprice AS VARCHAR) END AS bvdss,
+       CASE WHEN first_fail < 3 THEN '' ELSE CAST(l_discount AS VARCHAR) END AS idss,
+       CASE WHEN first_fail < 4 THEN '' ELSE CAST(l_tax AS VARCHAR) END AS rdson,
+       first_fail, l_partkey
+FROM cp_rows"""
+
+DETECTED = """
+SELECT receipt_id, import_batch_id, original_file_name, n_candidates, candidates,
+       CASE n_candidates WHEN 1 THEN 'DETECTED' WHEN 0 THEN 'UNKNOWN' ELSE 'NEEDS_CONFIRMATION' END AS detection_status FROM (
+SELECT r.receipt_id, r.import_batch_id, r.original_file_name, CAST(count(p.format_code) AS INT) AS n_candidates,
+       coalesce(string_agg(p.format_code || ' ' || p.profile_version, ',' ORDER BY p.format_code || ' ' || p.profile_version), '') AS candidates
+FROM receipts r LEFT JOIN profiles p ON p.status = 'RELEASED' AND contains(r.content, p.signature)
+GROUP BY r.receipt_id, r.import_batch_id, r.original_file_name)"""
+
+ISSUES = """
+SELECT 'DQ_UNKNOWN_IDENTITY' AS rule_code, run_id, 'unit' AS entity_type, unit_id AS entity_key FROM vendor WHERE wafer_id IS NULL
+UNION ALL SELECT 'DQ_MISSING_BIN', run_id, 'unit', unit_id FROM vendor WHERE soft_bin IS NULL
+UNION ALL SELECT 'DQ_DUPLICATE_CP_COORDINATE', run_id, 'die', concat_ws('/', run_id, x_coord, y_coord, attempt_no) FROM vendor
+ WHERE x_coord IS NOT NULL GROUP BY run_id, x_coord, y_coord, attempt_no HAVING count(*) > 1
+UNION ALL SELECT 'DQ_INVALID_NUMERIC_VALUE', run_id, 'run', run_id FROM vendor GROUP BY run_id HAVING avg((vth = 'ERR')::INT) > 0.06"""
+
 VIEWS = {
+    "vendor": VENDOR,
+    "detected": DETECTED,
+    "issues": ISSUES,
     **TABLES,
     "cp_rows": CP_ROWS,
     "cp": CP,

@@ -26,3 +26,8 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
         return fn
 
     return add
+
+
+def r4(sql: str) -> str:
+    """The SQL counterpart of ``steady``."""
+    return f"round(({sql}) + 1e-7, 4)"

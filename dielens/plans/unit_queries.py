@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from dielens.functions.columns import rounded
+from dielens.functions.columns import rounded, steady
 from dielens.operators import units
 from dielens.plans import fixtures as fx
-from dielens.plans.registry import query
+from dielens.plans.registry import query, r4
 
 BINS = [str(b) for b in range(11)]
 _ID = "unit_id, logical_unit_key, run_id, attempt_no, unit_sequence, soft_bin"
@@ -166,14 +166,14 @@ def _(spark, sf):
 
 @query(
     "compare_groups",
-    """SELECT tester_id, site_no, count(*) AS total, count(*) FILTER (overall_result = 'PASS') AS n_pass,
+    f"""SELECT tester_id, site_no, count(*) AS total, count(*) FILTER (overall_result = 'PASS') AS n_pass,
  count(*) FILTER (overall_result = 'FAIL') AS n_fail, count(*) FILTER (overall_result NOT IN ('PASS', 'FAIL')) AS unresolved,
- round(avg(value_numeric), 4) AS mean_value, round(stddev_samp(value_numeric), 4) AS std_value,
+ {r4('avg(value_numeric)')} AS mean_value, {r4('stddev_samp(value_numeric)')} AS std_value,
  round(count(*) FILTER (overall_result = 'PASS') / count(*), 6) AS "yield" FROM ft GROUP BY tester_id, site_no""",
 )
 def _(spark, sf):
     compared = units.compare_groups(units.result_outcome(fx.ft(spark, sf)), ["tester_id", "site_no"])
-    return rounded(rounded(compared, 4, "mean_value", "std_value"), 6, "yield")
+    return rounded(steady(compared, "mean_value", "std_value"), 6, "yield")
 
 
 _VALUE = "value_numeric) FILTER (measurement_status = 'MEASURED' AND parameter_code ="
@@ -185,14 +185,14 @@ _VALUE = "value_numeric) FILTER (measurement_status = 'MEASURED' AND parameter_c
  count(*) FILTER (outcome = 'FAIL') AS n_fail, {_YIELD} FROM final_u GROUP BY 1, 2),
 w AS (SELECT lot_id, wafer_id, soft_bin AS top_fail_bin FROM (SELECT lot_id, wafer_id, soft_bin, count(*) AS n FROM final_u
  WHERE outcome = 'FAIL' GROUP BY 1, 2, 3) QUALIFY row_number() OVER (PARTITION BY lot_id, wafer_id ORDER BY n DESC, soft_bin) = 1),
-v AS (SELECT lot_id, wafer_id, round(avg({_VALUE} 'VTH'), 4) AS mean_vth, round(stddev_samp({_VALUE} 'VTH'), 4) AS std_vth,
- round(avg({_VALUE} 'BVDSS'), 4) AS mean_bvdss, round(stddev_samp({_VALUE} 'BVDSS'), 4) AS std_bvdss FROM meas GROUP BY 1, 2)
+v AS (SELECT lot_id, wafer_id, round(avg({_VALUE} 'VTH') + 1e-7, 4) AS mean_vth, round(stddev_samp({_VALUE} 'VTH') + 1e-7, 4) AS std_vth,
+ round(avg({_VALUE} 'BVDSS') + 1e-7, 4) AS mean_bvdss, round(stddev_samp({_VALUE} 'BVDSS') + 1e-7, 4) AS std_bvdss FROM meas GROUP BY 1, 2)
 SELECT b.*, w.top_fail_bin, v.mean_vth, v.std_vth, v.mean_bvdss, v.std_bvdss FROM b
 LEFT JOIN w ON w.lot_id = b.lot_id AND w.wafer_id = b.wafer_id LEFT JOIN v ON v.lot_id = b.lot_id AND v.wafer_id = b.wafer_id""",
 )
 def _(spark, sf):
     summary = units.wafer_summary(fx.outcomes(spark, sf), fx.meas(spark, sf), ["VTH", "BVDSS"])
-    return rounded(rounded(summary, 4, "mean_vth", "std_vth", "mean_bvdss", "std_bvdss"), 6, "yield")
+    return rounded(steady(summary, "mean_vth", "std_vth", "mean_bvdss", "std_bvdss"), 6, "yield")
 
 
 @query(
