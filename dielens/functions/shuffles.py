@@ -13,6 +13,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from dielens.session import scratch_folder
+
 
 def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
     """Equi-join in which null keys match each other; the left keys are kept."""
@@ -21,22 +23,27 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return left.join(renamed, on, how).drop(*[f"__r_{k}" for k in keys])
 
 
+def settled(df: DataFrame, purpose: str = "settled") -> DataFrame:
+    """The rows written once to the shared scratch folder and read back.
+
+    A derived table that several joins use is then computed once, survives lost
+    executors, and has a size the planner knows.
+    """
+    path = scratch_folder(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def join_sized(
-    left: DataFrame,
-    right: DataFrame,
-    keys: Sequence[str],
-    how: str,
-    null_safe: bool = True,
-    max_rows: int = 200_000,
+    left: DataFrame, right: DataFrame, keys: Sequence[str], how: str, null_safe: bool = True
 ) -> DataFrame:
-    """Join a large left side with a right side that is expected to be small.
+    """Join a large left side with a derived right side that is expected to be small.
 
-    The size is checked, counting at most ``max_rows + 1`` rows: up to the bound
-    the right side is broadcast and the left side is not shuffled; beyond it the
-    join is an ordinary shuffled one.
+    The right side is settled first, so its real size decides: under the
+    session's broadcast threshold the left side is not shuffled, above it the
+    join is an ordinary shuffled one that AQE may split where it is skewed.
     """
-    if right.limit(max_rows + 1).count() <= max_rows:
-        right = F.broadcast(right)
+    right = settled(right)
     if null_safe:
         return join_null_safe(left, right, keys, how)
     return left.join(right, list(keys), how)

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dielens.functions.shuffles import join_sized
-
 
 def content_identity(receipts: DataFrame) -> DataFrame:
     """One row per content hash, however often it arrived."""
@@ -89,7 +87,7 @@ def check_file_roles(members: DataFrame, contracts: DataFrame) -> DataFrame:
     missing = expected.join(counts, ["import_batch_id", "file_role"], "left_anti").select(
         "import_batch_id", "file_role", F.lit("MISSING_ROLE").alias("problem")
     )
-    limited = join_sized(counts, contracts.select("file_role", "max_files"), ["file_role"], "inner", null_safe=False)
+    limited = counts.join(contracts.select("file_role", "max_files"), "file_role")
     many = limited.where("n > max_files").select(
         "import_batch_id", "file_role", F.lit("TOO_MANY_FILES").alias("problem")
     )

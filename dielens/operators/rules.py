@@ -171,12 +171,8 @@ def match_spec_item(resolved: DataFrame, items: DataFrame) -> DataFrame:
     )
     found = F.coalesce("__by_id", "__by_code")
     unique = found["n"] == 1
-    matched = join_sized(
-        join_sized(resolved, by_id, ["spec_set_id", "test_item_id"], "left", null_safe=False),
-        by_code,
-        ["spec_set_id", "parameter_code"],
-        "left",
-        null_safe=False,
+    matched = resolved.join(by_id, ["spec_set_id", "test_item_id"], "left").join(
+        by_code, ["spec_set_id", "parameter_code"], "left"
     )
     return matched.withColumns(
         {
@@ -294,7 +290,7 @@ def evaluate_multi_scope(meas: DataFrame, scope_limits: DataFrame) -> DataFrame:
     ``scope_limits``: evaluation_type, evaluation_scope_key, test_item_id,
     lsl_applied, usl_applied and the two operators.  Results are never merged.
     """
-    wide = join_sized(meas, scope_limits, ["test_item_id"], "inner", null_safe=False)
+    wide = meas.join(scope_limits, "test_item_id")
     ready = wide.withColumns(
         {
             "binding_status": F.lit("MATCHED"),

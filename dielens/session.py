@@ -41,5 +41,5 @@ def scratch_folder(spark: SparkSession, purpose: str) -> str:
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="dielens-")
+        base = f"{tempfile.gettempdir()}/dielens"
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
