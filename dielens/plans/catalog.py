@@ -1,8 +1,10 @@
 """Importing this module fills the query table."""
 
 from dielens.plans import (  # noqa: F401
+    clean_queries,
     dq_queries,
     ingest_queries,
+    rule_queries,
     unit_queries,
 )
 from dielens.plans.registry import ORACLES, QUERIES

@@ -211,8 +211,12 @@ def receipts(spark: SparkSession, sf: str) -> DataFrame:
 
 def cp_runs(spark: SparkSession, sf: str) -> DataFrame:
     keys = ["run_id", "lot_id", "wafer_id", "product_code", "supplier_id", "run_attempt_no"]
-    runs = cp_rows(spark, sf).groupBy(*keys).agg(F.min("tested_at_utc").alias("started_at_utc"))
-    return runs.withColumn("processing_run_id", F.col("run_id"))
+    runs = cp_rows(spark, sf).groupBy(*keys).agg(
+        F.min("tested_at_utc").alias("started_at_utc"), F.max("tested_at_utc").alias("finished_at_utc")
+    )
+    wafer = F.substring("wafer_id", 2, 2).cast("long")
+    receipt = F.col("supplier_id") * 14 + (wafer - 1) * 2 + F.col("run_attempt_no")
+    return runs.withColumns({"processing_run_id": F.col("run_id"), "receipt_id": receipt})
 
 
 def version_runs(spark: SparkSession, sf: str) -> DataFrame:

@@ -67,6 +67,16 @@ SELECT CAST(spec_item_id AS BIGINT) AS spec_item_id, CAST(spec_set_id AS BIGINT)
 (24, 2, NULL, 'IDSS', NULL, 0.08, NULL, NULL, 'kA'))
 AS t(spec_item_id, spec_set_id, test_item_id, parameter_code, lsl, usl, lower_operator, upper_operator, unit_code)"""
 
+SCOPE_LIMITS = """
+SELECT evaluation_type, evaluation_scope_key, CAST(test_item_id AS BIGINT) AS test_item_id, CAST(lsl AS DOUBLE) AS lsl_applied,
+       CAST(usl AS DOUBLE) AS usl_applied, CAST(lower_operator AS VARCHAR(8)) AS lower_operator_applied,
+       CAST(upper_operator AS VARCHAR(8)) AS upper_operator_applied FROM (VALUES
+('SPEC', 'DEFAULT', 1, 2.0, 49.0, NULL, NULL), ('SPEC', 'DEFAULT', 2, NULL, 104000.0, NULL, NULL),
+('SPEC', 'CUSTOMER_A', 1, 5.0, 45.0, '>', '<'), ('SPEC', 'CUSTOMER_A', 3, NULL, 0.08, NULL, '=='),
+('SAFE_LAUNCH', 'SL1', 1, 6.0, 44.0, '>=', '<='), ('SAFE_LAUNCH', 'SL1', 2, 1000.0, 90000.0, NULL, NULL),
+('SAFE_LAUNCH', 'SL1', 4, NULL, NULL, NULL, NULL))
+AS t(evaluation_type, evaluation_scope_key, test_item_id, lsl, usl, lower_operator, upper_operator)"""
+
 BIN_SETS = """
 SELECT CAST(bin_mapping_set_id AS BIGINT) AS bin_mapping_set_id, mapping_name, scope_code,
        CAST(NULL AS BIGINT) AS supplier_id, CAST(product_code AS VARCHAR(64)) AS product_code,
@@ -178,6 +188,7 @@ TABLES = {
     "spec_sets": SPEC_SETS,
     "bindings": BINDINGS,
     "spec_items": SPEC_ITEMS,
+    "scope_limits": SCOPE_LIMITS,
     "bin_sets": BIN_SETS,
     "bin_defs": BIN_DEFS,
     "factors": FACTORS,

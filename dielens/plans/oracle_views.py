@@ -175,7 +175,8 @@ FROM meas m JOIN spec_applied a ON a.supplier_id = m.supplier_id AND a.product_c
 
 CP_RUNS = """
 SELECT run_id AS processing_run_id, run_id, lot_id, wafer_id, product_code, supplier_id, run_attempt_no,
-       min(tested_at_utc) AS started_at_utc FROM cp_rows GROUP BY run_id, lot_id, wafer_id, product_code, supplier_id, run_attempt_no"""
+       supplier_id * 14 + (CAST(substr(wafer_id, 2) AS BIGINT) - 1) * 2 + run_attempt_no AS receipt_id,
+       min(tested_at_utc) AS started_at_utc, max(tested_at_utc) AS finished_at_utc FROM cp_rows GROUP BY run_id, lot_id, wafer_id, product_code, supplier_id, run_attempt_no"""
 
 DVR = """
 SELECT v.dataset_version_id, r.processing_run_id FROM dv v JOIN ds d ON d.dataset_id = v.dataset_id
