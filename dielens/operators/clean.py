@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from dielens.functions.columns import in_window
-from dielens.functions.shuffles import numbered
+from dielens.functions.shuffles import join_sized, numbered
 
 CLEANERS: dict[tuple[str, str], Callable[[DataFrame], DataFrame]] = {}
 
@@ -248,7 +248,7 @@ def attach_lineage(facts: DataFrame, runs: DataFrame, receipts: DataFrame) -> Da
     chain = runs.join(receipts, "receipt_id", "left").select(
         "run_id", "processing_run_id", "receipt_id", "import_batch_id", "sha256", "original_file_name"
     )
-    return facts.join(chain, "run_id", "left")
+    return join_sized(facts, chain, ["run_id"], "left", null_safe=False)
 
 
 def run_output_counts(raw: DataFrame, units: DataFrame, meas: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from dielens.plans import (  # noqa: F401
     ingest_queries,
     rule_queries,
     unit_queries,
+    version_queries,
 )
 from dielens.plans.registry import ORACLES, QUERIES
 
