@@ -5,7 +5,9 @@ from dielens.plans import (  # noqa: F401
     dq_queries,
     ingest_queries,
     rule_queries,
+    spatial_queries,
     stat_queries,
+    surface_queries,
     unit_queries,
     version_queries,
 )
