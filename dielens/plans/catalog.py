@@ -5,6 +5,7 @@ from dielens.plans import (  # noqa: F401
     dq_queries,
     ingest_queries,
     rule_queries,
+    source_queries,
     spatial_queries,
     stat_queries,
     surface_queries,
