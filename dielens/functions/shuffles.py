@@ -66,6 +66,7 @@ def numbered(
     pieces: Column,
     name: str,
     sized_by: DataFrame | None = None,
+    null_safe: bool = True,
 ) -> DataFrame:
     """``row_number()`` per key (1-based) without putting a key into one task.
 
@@ -74,6 +75,8 @@ def numbered(
     shifted by the row counts of the earlier pieces; those counts are
     pre-aggregated before they are shuffled.  ``sized_by`` may name a frame with
     the same keys and order columns per row that is cheaper to scan for them.
+    With ``null_safe`` off (keys and pieces are never null) the ranked rows keep
+    their partitioning through the join.
     """
     cut = df.withColumn("__piece", pieces)
     counted = cut if sized_by is None else sized_by.withColumn("__piece", pieces)
@@ -88,9 +91,12 @@ def numbered(
     )
     inside = F.row_number().over(Window.partitionBy(*keys, "__piece").orderBy(*order))
     ranked = cut.withColumn("__inside", inside)
+    if null_safe:
+        joined = join_null_safe(ranked, shift, [*keys, "__piece"], "inner")
+    else:
+        joined = ranked.join(shift, [*keys, "__piece"])
     return (
-        join_null_safe(ranked, shift, [*keys, "__piece"], "inner")
-        .withColumn(name, F.col("__inside") + F.col("__shift"))
+        joined.withColumn(name, F.col("__inside") + F.col("__shift"))
         .drop("__inside", "__shift", "__piece")
     )
 

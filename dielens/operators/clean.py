@@ -204,9 +204,10 @@ def assign_attempt_no(
     order: Sequence[Column],
     pieces: Column,
     sized_by: DataFrame | None = None,
+    null_safe: bool = True,
 ) -> DataFrame:
     """Attempt index (from 0) per logical unit inside a run, in source order."""
-    return numbered(units, keys, order, pieces, "attempt_no", sized_by).withColumn(
+    return numbered(units, keys, order, pieces, "attempt_no", sized_by, null_safe).withColumn(
         "attempt_no", F.col("attempt_no") - 1
     )
 

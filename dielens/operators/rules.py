@@ -23,7 +23,7 @@ from dielens.functions.columns import (
     meets_lower,
     meets_upper,
 )
-from dielens.functions.shuffles import join_null_safe, join_sized, top_one
+from dielens.functions.shuffles import join_null_safe, join_sized, settled, top_one
 
 SPEC_FIELDS = (
     "supplier_id",
@@ -65,6 +65,7 @@ def _resolve(
     carried: Sequence[str],
     status: str,
     event_time: str,
+    slot: str | None = None,
 ) -> DataFrame:
     used = [f for f in fields if f in rows.columns]
     for missing in (f for f in fields if f not in rows.columns):
@@ -81,7 +82,7 @@ def _resolve(
         F.col("effective_to_utc").alias("__to"),
         *[F.col(f).alias(f"__b_{f}") for f in used],
     )
-    slotted = rows.withColumn("__slot", _time_slot(F.col(event_time), rules))
+    slotted = rows if slot else rows.withColumn("__slot", _time_slot(F.col(event_time), rules))
     contexts = slotted.groupBy(*used, "__slot").agg(F.min(event_time).alias("__at"))
     patterns = live.agg(F.collect_set("__p")).scalar()
     asked = contexts.withColumn("__asked", F.explode_outer(patterns))
@@ -106,7 +107,8 @@ def _resolve(
         F.when(n == 0, "NO_MATCH").when(n == 1, "MATCHED").otherwise("CONFIG_AMBIGUOUS").alias(status),
         *[F.when(n == 1, F.col(f"__best.rule.{c}")).alias(c) for c in carried],
     )
-    return join_sized(slotted, resolved, [*used, "__slot"], "left").drop("__slot")
+    joined = join_sized(slotted, resolved, [*used, "__slot"], "left")
+    return joined if slot else joined.drop("__slot")
 
 
 def resolve_spec_binding(
@@ -115,8 +117,12 @@ def resolve_spec_binding(
     sets: DataFrame,
     scopes: DataFrame,
     event_time: str = "event_time_utc",
+    slot: str | None = None,
 ) -> DataFrame:
-    """Context rows + ``spec_binding_id, spec_set_id, binding_status, n_candidates``."""
+    """Context rows + ``spec_binding_id, spec_set_id, binding_status, n_candidates``.
+
+    ``slot`` tells that the rows already carry their time slot.
+    """
     released = sets.where("status = 'RELEASED'").select("spec_set_id")
     rules = bindings.join(released, "spec_set_id", "left_semi")
     return _resolve(
@@ -127,6 +133,7 @@ def resolve_spec_binding(
         ("spec_binding_id", "spec_set_id"),
         "binding_status",
         event_time,
+        slot,
     )
 
 
@@ -238,6 +245,40 @@ def convert_limits(limits: DataFrame, factors: DataFrame) -> DataFrame:
     ).drop("__limit_unit", "__factor", "__value_unit")
 
 
+_APPLIED = (
+    "spec_binding_id",
+    "spec_set_id",
+    "binding_status",
+    "n_candidates",
+    "spec_item_id",
+    "limit_source",
+    "lsl_applied",
+    "usl_applied",
+    "lower_operator_applied",
+    "upper_operator_applied",
+    "unit_ok",
+)
+
+
+def apply_spec_limits(meas: DataFrame, tables: dict[str, DataFrame], allow: bool, event_time: str) -> DataFrame:
+    """Measurements with the limits that apply to them.
+
+    The whole chain (binding, item, fallback, unit) runs on the distinct
+    (context, time slot, test item) rows; the facts meet its result in a single
+    equi-join.  ``tables``: bindings, spec_sets, scopes, spec_items, items, factors.
+    """
+    used = [f for f in SPEC_FIELDS if f in meas.columns]
+    keys = [*used, "test_item_id", "parameter_code", "unit_raw", "__slot"]
+    released = tables["spec_sets"].where("status = 'RELEASED'").select("spec_set_id")
+    bindings = tables["bindings"].join(released, "spec_set_id", "left_semi")
+    slotted = meas.withColumn("__slot", _time_slot(F.col(event_time), bindings))
+    contexts = settled(slotted.groupBy(*keys).agg(F.min(event_time).alias("__at")))
+    bound = resolve_spec_binding(contexts, tables["bindings"], tables["spec_sets"], tables["scopes"], "__at", slot="__slot")
+    matched = match_spec_item(bound, tables["spec_items"])
+    limits = convert_limits(program_limit_fallback(matched, tables["items"], allow), tables["factors"])
+    return join_sized(slotted, limits.select(*keys, *_APPLIED), keys, "left").drop("__slot")
+
+
 def evaluate_spec(
     meas: DataFrame,
     evaluation_type: str = "SPEC",
@@ -270,18 +311,20 @@ def evaluate_spec(
         (low, F.lit("FAIL"), F.lit("LOW")),
         (high, F.lit("FAIL"), F.lit("HIGH")),
     ]
-    result, reason = F.lit("PASS"), passed
-    for condition, outcome, why in reversed(cases):
-        result = F.when(condition, outcome).otherwise(result)
-        reason = F.when(condition, why).otherwise(reason)
-    return meas.withColumns(
+    def verdict(result: Column, reason: Column) -> Column:
+        return F.struct(result.alias("result"), reason.alias("reason"))
+
+    chain = F.when(cases[0][0], verdict(*cases[0][1:]))
+    for condition, result, reason in cases[1:]:
+        chain = chain.when(condition, verdict(result, reason))
+    return meas.withColumn("__verdict", chain.otherwise(verdict(F.lit("PASS"), passed))).withColumns(
         {
             "evaluation_type": F.lit(evaluation_type),
             "evaluation_scope_key": F.lit(scope_key),
-            "evaluation_result": result,
-            "evaluation_reason": reason,
+            "evaluation_result": F.col("__verdict.result"),
+            "evaluation_reason": F.col("__verdict.reason"),
         }
-    )
+    ).drop("__verdict")
 
 
 def evaluate_multi_scope(meas: DataFrame, scope_limits: DataFrame) -> DataFrame:

@@ -115,7 +115,7 @@ def capability(meas: DataFrame, limits: DataFrame, keys: Sequence[str], subgroup
     One-sided where a limit is missing.  No spread or fewer than two values
     gives null and a reason, never infinity.  ``limits``: parameter_code, lsl, usl.
     """
-    per_group = _moments(meas, [*keys, *subgroup])
+    per_group = settled(_moments(meas, [*keys, *subgroup]))
     freedom = F.sum(F.greatest(F.col("n") - 1, F.lit(0)))
     merged = _overall(per_group, keys)
     pooled = per_group.groupBy(*keys).agg(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dielens.functions.shuffles import numbered
@@ -71,8 +71,8 @@ def _order():
 def _with_attempts(dice: DataFrame, rows: DataFrame) -> DataFrame:
     """Attempt number and session sequence; both are sized on the plain rows."""
     day = F.col("tested_at_utc")
-    sequenced = numbered(dice, SESSION_KEYS, _order(), day, "unit_sequence", rows)
-    return clean.assign_attempt_no(sequenced, ATTEMPT_KEYS, _order(), day, rows)
+    sequenced = numbered(dice, SESSION_KEYS, _order(), day, "unit_sequence", rows, null_safe=False)
+    return clean.assign_attempt_no(sequenced, ATTEMPT_KEYS, _order(), day, rows, null_safe=False)
 
 
 def cp(spark: SparkSession, sf: str) -> DataFrame:
@@ -103,26 +103,9 @@ def meas(spark: SparkSession, sf: str) -> DataFrame:
     saves the fact-to-fact join in every report.
     """
     c = F.col
+    step = c("sequence_no")
     values = {1: "l_quantity", 2: "l_extendedprice", 3: "l_discount", 4: "l_tax"}
     names = {1: ("VTH", "V"), 2: ("BVDSS", "V"), 3: ("IDSS", "uA"), 4: ("RDSON", "mOhm")}
-    entries = []
-    for i, column in values.items():
-        skipped = F.coalesce(c("first_fail") < i, F.lit(False))
-        over = (c("l_extendedprice") > 100000) if i == 2 else F.lit(False)
-        failed = F.coalesce(c("first_fail") == i, F.lit(False))
-        entries.append(
-            F.struct(
-                F.lit(i).cast("long").alias("test_item_id"),
-                F.lit(i).alias("sequence_no"),
-                F.lit(names[i][0]).alias("parameter_code"),
-                F.lit(names[i][1]).alias("unit_raw"),
-                F.when(skipped, "").when(over, "OVER").otherwise(c(column).cast("string")).alias("raw_value"),
-                F.when(~skipped & ~over, c(column)).alias("value_numeric"),
-                F.when(skipped, "NOT_TESTED").when(over, "OVER_RANGE").otherwise("MEASURED").alias("measurement_status"),
-                F.when(~skipped, ~failed).alias("tester_pass_flag"),
-                F.lit(i + 7).alias("source_column_index"),
-            )
-        )
     unit = [
         "unit_id",
         "run_id",
@@ -138,18 +121,39 @@ def meas(spark: SparkSession, sf: str) -> DataFrame:
         "run_attempt_no",
         "logical_unit_key",
     ]
-    long = cp_rows(spark, sf).select(*unit, F.inline(F.array(*entries)))
-    return long.withColumn("measurement_id", F.concat_ws("/", "unit_id", "test_item_id"))
+
+    def by_step(of) -> Column:
+        chosen = F.when(step == 1, of(1))
+        for i in (2, 3, 4):
+            chosen = chosen.when(step == i, of(i))
+        return chosen
+
+    steps = F.explode(F.array(*[F.lit(i) for i in values])).alias("sequence_no")
+    stepped = cp_rows(spark, sf).select(*unit, "first_fail", *values.values(), steps).select(
+        *unit, "first_fail", "sequence_no", by_step(lambda i: c(values[i])).alias("__value")
+    )
+    skipped = F.coalesce(c("first_fail") < step, F.lit(False))
+    over = (step == 2) & (c("__value") > 100000)
+    status = F.when(skipped, "NOT_TESTED").when(over, "OVER_RANGE").otherwise("MEASURED")
+    return stepped.select(
+        *unit,
+        step.cast("long").alias("test_item_id"),
+        "sequence_no",
+        by_step(lambda i: F.lit(names[i][0])).alias("parameter_code"),
+        by_step(lambda i: F.lit(names[i][1])).alias("unit_raw"),
+        F.when(skipped, "").when(over, "OVER").otherwise(c("__value").cast("string")).alias("raw_value"),
+        F.when(~skipped & ~over, c("__value")).alias("value_numeric"),
+        status.alias("measurement_status"),
+        F.when(~skipped, ~F.coalesce(c("first_fail") == step, F.lit(False))).alias("tester_pass_flag"),
+        (step + 7).alias("source_column_index"),
+        F.concat_ws("/", "unit_id", step).alias("measurement_id"),
+    )
 
 
 def applied_limits(spark: SparkSession, rows: DataFrame, allow: bool = True) -> DataFrame:
     """Measurements with the limits that apply to them."""
-    resolved = rules.resolve_spec_binding(
-        rows, inline(spark, "bindings"), inline(spark, "spec_sets"), inline(spark, "scopes"), "tested_at_utc"
-    )
-    matched = rules.match_spec_item(resolved, inline(spark, "spec_items"))
-    limits = rules.program_limit_fallback(matched, inline(spark, "items"), allow)
-    return rules.convert_limits(limits, inline(spark, "factors"))
+    rule_tables = {name: inline(spark, name) for name in ("bindings", "spec_sets", "scopes", "spec_items", "items", "factors")}
+    return rules.apply_spec_limits(rows, rule_tables, allow, "tested_at_utc")
 
 
 def evals(spark: SparkSession, sf: str, allow: bool = True) -> DataFrame:
