@@ -69,22 +69,27 @@ def _order():
 
 
 def _with_attempts(dice: DataFrame, rows: DataFrame) -> DataFrame:
-    """Attempt number and session sequence; both are sized on the plain rows."""
+    """Attempt number per die and session; the pieces are sized on the plain rows."""
     day = F.col("tested_at_utc")
-    sequenced = numbered(dice, SESSION_KEYS, _order(), day, "unit_sequence", rows, null_safe=False)
-    return clean.assign_attempt_no(sequenced, ATTEMPT_KEYS, _order(), day, rows, null_safe=False)
+    return clean.assign_attempt_no(dice, ATTEMPT_KEYS, _order(), day, rows, null_safe=False)
 
 
 def cp(spark: SparkSession, sf: str) -> DataFrame:
     """Probed dice with attempt number and sequence within the wafer session."""
     rows = cp_rows(spark, sf)
-    return _with_attempts(rows, rows)
+    day = F.col("tested_at_utc")
+    sequenced = numbered(rows, SESSION_KEYS, _order(), day, "unit_sequence", rows, null_safe=False)
+    return _with_attempts(sequenced, rows)
 
 
 def outcomes(spark: SparkSession, sf: str) -> DataFrame:
-    """Dice with the meaning of their raw bin, resolved before the rows are shuffled for attempts."""
+    """Dice with the meaning of their raw bin, resolved before the rows are shuffled for attempts.
+
+    The source row number is their sequence, as for files that carry none.
+    """
     rows = cp_rows(spark, sf)
-    return _with_attempts(with_outcome(spark, rows), rows)
+    source_row = F.col("l_orderkey") * 8 + F.col("l_linenumber")
+    return _with_attempts(with_outcome(spark, rows).withColumn("source_row_no", source_row), rows)
 
 
 def with_outcome(spark: SparkSession, dice: DataFrame) -> DataFrame:
