@@ -41,7 +41,7 @@ def cp_rows(spark: SparkSession, sf: str) -> DataFrame:
         .when(c("l_discount") > 0.09, 3)
         .when(c("l_tax") > 0.07, 4)
     )
-    cents = F.round(c("l_extendedprice") * 100).cast("long")
+    cents = F.floor(c("l_extendedprice") * 100 + 0.5).cast("long")
     return table(spark, sf, "lineitem").select(
         F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", cents).alias("unit_id"),
         F.lit("CP").alias("test_stage"),
@@ -54,7 +54,7 @@ def cp_rows(spark: SparkSession, sf: str) -> DataFrame:
         (c("l_partkey") % 40).cast("int").alias("x_coord"),
         y.alias("y_coord"),
         F.concat_ws("|", F.lit("CP"), product, lot, wafer, c("l_partkey") % 40, y).alias("logical_unit_key"),
-        F.round(c("l_discount") * 100).cast("int").cast("string").alias("soft_bin"),
+        F.floor(c("l_discount") * 100 + 0.5).cast("int").cast("string").alias("soft_bin"),
         c("l_returnflag").alias("hard_bin"),
         c("l_shipdate").alias("tested_at_utc"),
         (c("l_orderkey") % 4).cast("int").alias("site_no"),

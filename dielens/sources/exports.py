@@ -73,13 +73,16 @@ def bin_txt_lines(die_map: DataFrame, width: int = 3, blank: str = ".") -> DataF
     """One text line per die row of a wafer map, bins padded to columns.
 
     A line holds one die per column of the wafer, which the wafer's size bounds.
-    Positions between the first and the last die of the wafer without a die show
-    the blank sign.
+    Columns of the wafer without a die in the row show the blank sign, and a
+    position with contradicting bins shows a question mark.
     """
     keys = ["lot_id", "wafer_id"]
-    edges = die_map.groupBy(*keys).agg(F.min("x_coord").alias("__x0"), F.max("x_coord").alias("__x1"))
-    cells = die_map.groupBy(*keys, "y_coord").agg(
-        F.map_from_entries(F.array_distinct(F.collect_list(F.struct("x_coord", "soft_bin")))).alias("__row")
+    positions = die_map.groupBy(*keys, "y_coord", "x_coord").agg(
+        F.when(F.min("soft_bin") == F.max("soft_bin"), F.min("soft_bin")).otherwise("?").alias("__bin")
+    )
+    edges = positions.groupBy(*keys).agg(F.min("x_coord").alias("__x0"), F.max("x_coord").alias("__x1"))
+    cells = positions.groupBy(*keys, "y_coord").agg(
+        F.map_from_entries(F.collect_list(F.struct("x_coord", "__bin"))).alias("__row")
     )
     placed = cells.join(edges, keys)
     signs = F.transform(

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from dielens.functions.shuffles import settled
 from dielens.operators.ingest import receipt_dedup
 
 _SCHEMA = "path string, modificationTime timestamp, length long, content binary"
@@ -23,24 +24,22 @@ def incremental_receipts(
     """
 
     def record(batch: DataFrame, batch_id: int) -> None:
-        session = batch.sparkSession
-        arrived = batch.select(
-            F.col("path").alias("receipt_id"),
-            F.sha2("content", 256).alias("sha256"),
-            F.col("length").alias("file_size"),
-            F.col("modificationTime").alias("received_at_utc"),
+        arrived = settled(
+            batch.select(
+                F.col("path").alias("receipt_id"),
+                F.sha2("content", 256).alias("sha256"),
+                F.col("length").alias("file_size"),
+                F.col("modificationTime").alias("received_at_utc"),
+            ),
+            "arrived",
         )
         marked = receipt_dedup(arrived)
         if batch_id > 0:
-            earlier = (
-                session.read.schema(f"{_RECEIPTS}, batch long")
-                .parquet(sink)
-                .where(F.col("batch") < batch_id)
-                .select("sha256")
-                .distinct()
-                .withColumn("__seen", F.lit(True))
-            )
-            marked = marked.join(earlier, "sha256", "left").withColumn(
+            history = arrived.sparkSession.read.schema(f"{_RECEIPTS}, batch long").parquet(sink)
+            # One batch holds at most files_per_batch hashes, so they are sent to the history.
+            asked = F.broadcast(arrived.select("sha256").distinct())
+            seen = history.where(F.col("batch") < batch_id).select("sha256").join(asked, "sha256", "left_semi")
+            marked = marked.join(seen.distinct().withColumn("__seen", F.lit(True)), "sha256", "left").withColumn(
                 "is_duplicate_receipt", F.col("is_duplicate_receipt") | F.coalesce("__seen", F.lit(False))
             )
         rows = marked.select("receipt_id", "sha256", "file_size", "received_at_utc", "is_duplicate_receipt")
