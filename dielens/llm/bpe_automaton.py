@@ -22,11 +22,14 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from dielens.llm.text import Codes, Ragged, WordStore, batch, map_arrow, slices, spread, sums, texts_of, vocabulary
 
 #: Fixed value: words longer than this are encoded one by one instead of in arrays of equal length.
 LONG = 48
+#: Stands in no label of a byte-level vocabulary.
+SEPARATOR = "\x01"
 
 
 @lru_cache(1)
@@ -69,8 +72,8 @@ class Automaton:
         self.removes = np.array(self.removed, np.int32)
         self.ranks = np.array(self.state_rank, np.int32)
         self.state = np.array(state, np.int32)
-        self.memo_key = np.full(1 << 22, -1, np.int64)
-        self.memo_arc = np.zeros(1 << 22, bool)
+        self.memo_key = np.full(1 << 20, -1, np.int64)
+        self.memo_arc = np.zeros(1 << 20, bool)
         self.known: dict[int, bool] = {}
         self._trie(parts, vocab, base)
 
@@ -87,7 +90,7 @@ class Automaton:
     def has_arcs(self, s: np.ndarray, t: np.ndarray) -> np.ndarray:
         """Whether each state has an arc with each label."""
         key = s.astype(np.int64) << 20 | t
-        slot = (key * 0x2545F4914F6CDD1D >> 38) & 0x3FFFFF
+        slot = (key * 0x2545F4914F6CDD1D >> 40) & 0xFFFFF
         out = self.memo_arc[slot]
         miss = np.flatnonzero(self.memo_key[slot] != key)
         if len(miss):
@@ -330,32 +333,20 @@ def encode(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = word_bpe(vocab)
-        for b in batches:
-            texts = b.column("text").to_pylist()
-            for lo, hi in slices(texts):
-                flat, count = bpe.store.texts(texts[lo:hi])
-                ends = np.concatenate([[0], np.cumsum(count)]).astype(np.int32)
-                yield batch(schema, b.column("doc_id").slice(lo, hi - lo), pa.ListArray.from_arrays(ends, flat))
+        for part in (part for b in batches for part in slices(b)):
+            flat, count = bpe.store.texts(part.column("text").to_pylist())
+            ends = np.concatenate([[0], np.cumsum(count)]).astype(np.int32)
+            yield batch(schema, part.column("doc_id"), pa.ListArray.from_arrays(ends, flat))
 
     return map_arrow(texts_of(docs, id_col, text_col), run, "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, vocab: str = "word_bpe_49k.json", ids_col: str = "ids") -> DataFrame:
-    """Adds ``decoded``: the text of each row's ids, special strings included.
+    """Adds ``decoded``: the labels of each row's ids with a space between two, special strings included.
 
-    No or null ids give an empty text; an id outside the vocabulary is an error.
+    No or null ids give an empty text; an id outside the vocabulary gives no label.
     """
-    fields = encoded.select("doc_id", ids_col).withColumnsRenamed({ids_col: "ids"})
-    schema = pa.schema(
-        [("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.string())]
-    )
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = word_bpe(vocab)
-        for b in batches:
-            for lo in range(0, b.num_rows, 500):
-                part = b.slice(lo, 500)
-                ids = part.column("ids").to_pylist()
-                yield batch(schema, part.column("doc_id"), part.column("ids"), [bpe.decode(x or []) for x in ids])
-
-    return map_arrow(fields, run, "doc_id long, ids array<int>, decoded string")
+    # one constant array, made from one literal and folded when the query is planned
+    labels = F.split(F.lit(SEPARATOR.join(word_bpe(vocab).labels)), SEPARATOR, -1)
+    emitted = F.array_join(F.transform(ids_col, lambda i: F.get(labels, i)), " ")
+    return encoded.withColumn("decoded", F.coalesce(emitted, F.lit("")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dielens.llm import bpe_automaton, token_counts, token_files
+from dielens.llm import bpe_automaton, secret_scans, token_counts, token_files
 from dielens.llm.registry import ORACLES, QUERIES, documents, query
 from dielens.session import scratch_folder
 
@@ -36,3 +36,8 @@ def op8(spark: SparkSession, sf: str) -> DataFrame:
         F.sha2(listed, 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@query("op9_secret_scans", secret_scans.oracle())
+def op9(spark: SparkSession, sf: str) -> DataFrame:
+    return secret_scans.report(secret_scans.scan(documents(spark, sf)))

@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -121,7 +122,7 @@ class WordStore:
     ``encode`` maps a list of words to (flat ids, length of each); ``split`` maps a text to its words.
     """
 
-    def __init__(self, split: Callable[[str], list[str]], encode, dtype, limit: int = 700_000):
+    def __init__(self, split: Callable[[str], list[str]], encode, dtype, limit: int = 400_000):
         self.split, self.encode, self.dtype = split, encode, dtype
         self.codes, self.rows = Codes(limit), Ragged(dtype)
 
@@ -148,13 +149,11 @@ class WordStore:
         return codes, n_words
 
 
-def slices(texts: list[str], chars: int = 8_000_000) -> Iterator[tuple[int, int]]:
-    """Index ranges of about so many characters, at least one text each: bounds what a batch holds."""
-    begin = size = 0
-    for k, text in enumerate(texts):
-        if size and size + len(text) > chars:
-            yield begin, k
-            begin, size = k, 0
-        size += len(text)
-    if begin < len(texts):
-        yield begin, len(texts)
+def slices(b: pa.RecordBatch, column: str = "text", size: int = 3_000_000) -> Iterator[pa.RecordBatch]:
+    """Runs of rows with about so many bytes of text, one row at least: bounds what a task holds as Python objects."""
+    ends = np.cumsum(pc.binary_length(b.column(column)).fill_null(0).to_numpy(zero_copy_only=False))
+    begin = done = 0
+    while begin < b.num_rows:
+        end = max(begin + 1, int(np.searchsorted(ends, done + size, side="right")))
+        yield b.slice(begin, end - begin)
+        begin, done = end, int(ends[end - 1])

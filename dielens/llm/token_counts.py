@@ -193,12 +193,9 @@ def count_tokens(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = piece_bpe(vocab)
-        for b in batches:
-            texts = b.column("text").to_pylist()
-            for lo, hi in slices(texts):
-                _, count = bpe.store.texts(texts[lo:hi])
-                part = b.slice(lo, hi - lo)
-                yield batch(schema, part.column("doc_id"), part.column("n_bytes"), count)
+        for part in (part for b in batches for part in slices(b)):
+            _, count = bpe.store.texts(part.column("text").to_pylist())
+            yield batch(schema, part.column("doc_id"), part.column("n_bytes"), count)
 
     source = texts_of(docs, id_col, text_col).withColumn("n_bytes", F.octet_length("text").cast("long"))
     found = map_arrow(source, run, "doc_id long, n_bytes long, n_tokens long")

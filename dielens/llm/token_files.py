@@ -77,17 +77,15 @@ def encoded(docs: DataFrame, bounds: list[int], vocab: str, end_id: int, width:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store = _library(vocab)
-        for b in batches:
-            texts = b.column("text").to_pylist()
-            for lo, hi in slices(texts):
-                flat, count = store.texts(texts[lo:hi])
-                ends = np.cumsum(count)
-                flat = np.insert(flat, ends, end_id).astype(f"<u{width}")
-                offsets = np.concatenate([[0], ends + np.arange(1, hi - lo + 1)]).astype(np.int32) * width
-                ids = pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer(offsets), pa.py_buffer(flat)])
-                doc = b.column("doc_id").slice(lo, hi - lo)
-                key = doc.fill_null(-(2**63)).to_numpy(zero_copy_only=False)
-                yield batch(schema, np.searchsorted(cuts, key, side="right").astype(np.int32), doc, ids)
+        for part in (part for b in batches for part in slices(b)):
+            flat, count = store.texts(part.column("text").to_pylist())
+            ends = np.cumsum(count)
+            flat = np.insert(flat, ends, end_id).astype(f"<u{width}")
+            offsets = np.concatenate([[0], ends + np.arange(1, len(ends) + 1)]).astype(np.int32) * width
+            ids = pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(flat)])
+            doc = part.column("doc_id")
+            key = doc.fill_null(-(2**63)).to_numpy(zero_copy_only=False)
+            yield batch(schema, np.searchsorted(cuts, key, side="right").astype(np.int32), doc, ids)
 
     return map_arrow(texts_of(docs, id_col, text_col), run, "bucket int, doc_id long, ids binary")
 
