@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dielens.llm import bpe_automaton, secret_scans, token_counts, token_files
+from dielens.llm import bpe_automaton, decontaminate, secret_scans, token_counts, token_files
 from dielens.llm.registry import ORACLES, QUERIES, documents, query
 from dielens.session import scratch_folder
 
@@ -41,3 +41,16 @@ def op8(spark: SparkSession, sf: str) -> DataFrame:
 @query("op9_secret_scans", secret_scans.oracle())
 def op9(spark: SparkSession, sf: str) -> DataFrame:
     return secret_scans.report(secret_scans.scan(documents(spark, sf)))
+
+
+@query("op3_decontaminate", decontaminate.ORACLE)
+def op3(spark: SparkSession, sf: str) -> DataFrame:
+    found = decontaminate.find_matches(documents(spark, sf), spark.read.parquet(f"{sf}/benchmark.parquet"))
+    return decontaminate.judged(found).select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        decontaminate.items_digest().alias("items_sha256"),
+        "contaminated",
+    )
