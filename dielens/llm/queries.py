@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dielens.llm import bpe_automaton, decontaminate, secret_scans, token_counts, token_files
+from dielens.llm import bpe_automaton, decontaminate, fertility, secret_scans, token_counts, token_files
 from dielens.llm.registry import ORACLES, QUERIES, documents, query
 from dielens.session import scratch_folder
 
@@ -54,3 +54,8 @@ def op3(spark: SparkSession, sf: str) -> DataFrame:
         decontaminate.items_digest().alias("items_sha256"),
         "contaminated",
     )
+
+
+@query("op7_fertility")
+def op7(spark: SparkSession, sf: str) -> DataFrame:
+    return fertility.judge(fertility.measure(documents(spark, sf)))
