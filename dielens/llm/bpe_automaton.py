@@ -3,8 +3,10 @@
 The automaton reads tokens and accepts exactly the token sequences that BPE can produce, so each string has one
 accepted path.  It starts with one state that has an arc for every base symbol.  Each merge (u, v) -> w adds one
 gadget: u now leads to a copy of its former state that lacks the arc v, and every state with an arc u gets an arc w
-that leads where v led.  A gadget is one row (parent state, removed label, rank), and whether a state has an arc is
-read from these rows, so the automaton of 49 thousand merges stays a few arrays.
+that leads where v led.  The state that a token leads to is thus a chain of gadgets: its own, then those that its
+right part had when the token was made, and so on; and a state has an arc with a label as it had one with the label's
+left part when the label was made.  Gadgets are kept as rows (token, removed label, rank), from which every arc is
+read, so the automaton of 49 thousand merges stays a few arrays.
 
 Words are encoded by table-driven transitions over all different words of a batch at once: for every prefix exactly
 one token ends the accepted path, so a prefix keeps that token, and the next one follows from the arcs.  Decoding
@@ -24,12 +26,18 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dielens.llm.text import Codes, Ragged, WordStore, batch, map_arrow, slices, spread, sums, texts_of, vocabulary
+from dielens.llm.text import Ragged, WordStore, batch, map_arrow, slices, spread, sums, texts_of, vocabulary
+from dielens.llm.words import Texts, byte_class
 
 #: Fixed value: words longer than this are encoded one by one instead of in arrays of equal length.
 LONG = 48
+NEVER = np.iinfo(np.int32).max
 #: Stands in no label of a byte-level vocabulary.
 SEPARATOR = "\x01"
+PART = byte_class(r"[^\x20\n]")
+LETTER = np.isin(np.arange(256), np.frombuffer(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", np.uint8))
+#: Fixed value: signs that are in no contraction and in no special string.
+APART = np.isin(np.arange(256), np.frombuffer(b"!\"#$%&()*+,-./:;=?@[]^_{}~", np.uint8))
 
 
 @lru_cache(1)
@@ -45,73 +53,73 @@ class Automaton:
 
     def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], base: list[str]):
         size = max(vocab.values()) + 1
-        self.label_rank = np.full(size, np.iinfo(np.int32).max, np.int32)
-        self.left = np.zeros(size, np.int32)
-        self.parent, self.removed, self.state_rank = [0], [-1], [-1]
-        state = [-1] * size
-        parts = {}
+        self.gadgets: dict[int, int] = {}
+        self.parts = [NEVER] * size, [-1] * size, [-1] * size  # rank, left and right part of each label
+        made, left, right = self.parts
+        spelled = {}
         for label in base:
-            k = vocab[label]
-            self.label_rank[k], state[k] = -1, 0
-            parts[k] = label
-        left, rank_of = self.left.tolist(), self.label_rank.tolist()
+            made[vocab[label]] = -1
+            spelled[vocab[label]] = label
         for rank, (a, b) in enumerate(merges):
             u, v, w = vocab[a], vocab[b], vocab[a + b]
-            if state[u] < 0 or state[v] < 0 or state[w] >= 0 or not self._has_arc(state[u], v, rank_of, left):
+            if NEVER in (made[u], made[v]) or made[w] != NEVER or not self._has_arc(u, v):
                 continue
-            state[w] = state[v]
-            self.parent.append(state[u])
-            self.removed.append(v)
-            self.state_rank.append(rank)
-            state[u] = len(self.parent) - 1
-            left[w], rank_of[w] = u, rank
-            parts[w] = a + b
-        self.left, self.label_rank = np.array(left, np.int32), np.array(rank_of, np.int32)
-        self.lists = (rank_of, left)
-        self.parents = np.array(self.parent, np.int32)
-        self.removes = np.array(self.removed, np.int32)
-        self.ranks = np.array(self.state_rank, np.int32)
-        self.state = np.array(state, np.int32)
+            self.gadgets[u << 20 | v] = rank
+            made[w], left[w], right[w] = rank, u, v
+            spelled[w] = a + b
+        self.made, self.left, self.right = (np.array(x, np.int32) for x in self.parts)
+        keys = sorted(self.gadgets)
+        self.gadget_keys = np.array(keys, np.int64)
+        self.gadget_ranks = np.array([self.gadgets[k] for k in keys], np.int32)
         self.memo_key = np.full(1 << 20, -1, np.int64)
         self.memo_arc = np.zeros(1 << 20, bool)
         self.known: dict[int, bool] = {}
-        self._trie(parts, vocab, base)
-
-    def _has_arc(self, s: int, t: int, rank_of: list[int], left: list[int]) -> bool:
-        while s:
-            if rank_of[t] >= self.state_rank[s]:
-                t = left[t]
-            elif t == self.removed[s]:
-                return False
-            else:
-                s = self.parent[s]
+        self._trie(spelled, vocab, base)
+
+    def _has_arc(self, token: int, label: int) -> bool:
+        """Whether the state after ``token`` has an arc with ``label``: no gadget of the chain has removed it."""
+        made, left, right = self.parts
+        u, before = token, NEVER
+        while u >= 0:
+            y, until = label, NEVER
+            while y >= 0:
+                rank = self.gadgets.get(u << 20 | y)
+                if rank is not None and rank < before and rank <= until:
+                    return False
+                until, y = made[y], left[y]
+            before, u = made[u], right[u]
         return True
 
-    def has_arcs(self, s: np.ndarray, t: np.ndarray) -> np.ndarray:
-        """Whether each state has an arc with each label."""
-        key = s.astype(np.int64) << 20 | t
+    def has_arcs(self, token: np.ndarray, label: np.ndarray) -> np.ndarray:
+        """The same for arrays; token -1 stands for the first state."""
+        key = (token.astype(np.int64) + 1) << 20 | label
         slot = (key * 0x2545F4914F6CDD1D >> 40) & 0xFFFFF
         out = self.memo_arc[slot]
         miss = np.flatnonzero(self.memo_key[slot] != key)
         if len(miss):
-            first, back = np.unique(key[miss], return_inverse=True)
-            found = self._walk((first >> 20).astype(np.int32), (first & 0xFFFFF).astype(np.int32))
-            out[miss] = found[back]
+            out[miss] = self._arcs(token[miss], label[miss])
             self.memo_key[slot[miss]], self.memo_arc[slot[miss]] = key[miss], out[miss]
         return out
 
-    def _walk(self, s: np.ndarray, t: np.ndarray) -> np.ndarray:
-        out = np.ones(len(s), bool)
-        rows = np.flatnonzero(s)
-        s, t = s[rows], t[rows]
+    def _arcs(self, token: np.ndarray, label: np.ndarray) -> np.ndarray:
+        out = np.ones(len(token), bool)
+        rows = np.flatnonzero(token >= 0)
+        u, before = token[rows], np.full(len(rows), NEVER)
         while len(rows):
-            newer = self.label_rank[t] >= self.ranks[s]
-            gone = ~newer & (self.removes[s] == t)
-            out[rows[gone]] = False
-            t = np.where(newer, self.left[t], t)
-            s = np.where(newer, s, self.parents[s])
-            stay = (s != 0) & ~gone
-            rows, s, t = rows[stay], s[stay], t[stay]
+            own, y, until = np.arange(len(rows)), label[rows], np.full(len(rows), NEVER)
+            while len(own):
+                key = u[own].astype(np.int64) << 20 | y
+                at = np.searchsorted(self.gadget_keys, key)
+                at[at == len(self.gadget_keys)] = 0
+                rank = self.gadget_ranks[at]
+                gone = (self.gadget_keys[at] == key) & (rank < before[own]) & (rank <= until)
+                out[rows[own[gone]]] = False
+                until, y = self.made[y], self.left[y]
+                stay = (y >= 0) & ~gone
+                own, y, until = own[stay], y[stay], until[stay]
+            before, u = self.made[u], self.right[u]
+            stay = (u >= 0) & out[rows]
+            rows, u, before = rows[stay], u[stay], before[stay]
         return out
 
     def _trie(self, parts: dict[int, str], vocab: dict[str, int], base: list[str]) -> None:
@@ -177,7 +185,6 @@ class Automaton:
         rows, n = symbols.shape
         last = np.full((rows, n + 1), -1, np.int32)
         size = np.zeros((rows, n + 1), np.int32)
-        state = np.zeros((rows, n + 1), np.int32)
         for i in range(1, n + 1):
             own, node = np.arange(rows), np.zeros(rows, np.int64)
             for back in range(1, i + 1):
@@ -191,10 +198,9 @@ class Automaton:
                 token = self.tokens[node]
                 ends = np.flatnonzero(token >= 0)
                 if len(ends):
-                    ends = ends[self.has_arcs(state[own[ends], i - back], token[ends])]
+                    ends = ends[self.has_arcs(last[own[ends], i - back], token[ends])]
                     done = own[ends]
                     last[done, i], size[done, i] = token[ends], back
-                    state[done, i] = self.state[token[ends]]
                     open_ = np.ones(len(own), bool)
                     open_[ends] = False  # one token only ends the path
                     own, node = own[open_], node[open_]
@@ -211,9 +217,7 @@ class Automaton:
     def _long(self, word: bytes) -> list[int]:
         symbols = list(word)
         symbols[-1] += 256
-        rank_of, left = self.lists
         last, size, child, token = [-1], [0], self.child, self.token
-        state = self.state
         for i in range(1, len(symbols) + 1):
             node = 0
             for back in range(1, i + 1):
@@ -224,12 +228,11 @@ class Automaton:
                 if t < 0:
                     continue
                 before = last[i - back]
-                s = 0 if before < 0 else int(state[before])
-                key = s << 20 | t
+                key = before << 20 | t
                 if key not in self.known:
-                    if len(self.known) > 500_000:
+                    if len(self.known) > 200_000:
                         self.known.clear()
-                    self.known[key] = self._has_arc(s, t, rank_of, left)
+                    self.known[key] = self._has_arc(before, t)
                 if self.known[key]:
                     last.append(t)
                     size.append(back)
@@ -241,9 +244,26 @@ class Automaton:
         return out[::-1]
 
 
-def lowered(text: str) -> str:
-    """Lower case, character by character; a text that may hold a special string stays as it is."""
-    return text if "<|" in text else text.replace("Σ", "σ").lower()
+def folded(texts: pa.Array) -> Texts:
+    """The texts with A-Z as a-z, which changes no token, unless a special string (its case counts) may be among them."""
+    own = Texts(texts)
+    return own if b"<|" in own.raw else Texts(texts, lower=True)
+
+
+def spaced_words(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Parts between spaces, line ends, and where a sign of ``APART`` meets a letter a-z.
+
+    The pattern of the file splits at these places too.  Other white space stays inside and is dropped with its part.
+    """
+    b = texts.bytes
+    inside, letter, sign = PART[b], LETTER[b], APART[b]
+    cut = np.zeros(len(b), bool)
+    cut[1:] = (letter[1:] & sign[:-1]) | (sign[1:] & letter[:-1])
+    begins, ends = inside.copy(), inside.copy()
+    begins[1:] &= ~inside[:-1] | cut[1:]
+    ends[:-1] &= ~inside[1:] | cut[1:]
+    start = np.flatnonzero(begins)
+    return start, np.flatnonzero(ends) + 1, texts.per_text(start)
 
 
 class WordBpe:
@@ -267,12 +287,9 @@ class WordBpe:
         self.pieces = regex.compile(splits)
         labels = dict(zip(self.vocab.values(), self.vocab, strict=True)) | {i: s for s, i in self.special.items()}
         self.labels = [labels.get(i, "") for i in range(max(labels) + 1)]
-        self.codes, self.rows = Codes(), Ragged(np.int32)
-        self.store = WordStore(self.split, self.encode, np.int32)
-
-    def split(self, text: str) -> list[str]:
-        """Parts between spaces and line ends; other white space stays inside and is dropped with its word."""
-        return lowered(text).replace("\n", " ").split(" ")
+        self.known: dict[str, int] = {}
+        self.rows = Ragged(np.int32)
+        self.store = WordStore(spaced_words, self.encode, np.int32)
 
     def _pieces(self, part: str) -> list[str]:
         if not (part.isascii() or unicodedata.is_normalized("NFC", part)):
@@ -293,12 +310,13 @@ class WordBpe:
                 own = self._pieces(word)
             n_pieces[k] = len(own)
             pieces += own
-        if self.codes.full():
-            self.codes.restart()
+        if len(self.known) > 400_000:
+            self.known.clear()
             self.rows = Ragged(np.int32)
-        codes = self.codes.of(pieces)
-        if new := self.codes.since(len(self.rows.count)):
+        if new := [p for p in dict.fromkeys(pieces) if p not in self.known]:
+            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
             self._append(new)
+        codes = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
         flat, count = self.rows.take(codes)
         return flat, sums(count, n_pieces)
 
@@ -334,7 +352,7 @@ def encode(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = word_bpe(vocab)
         for part in (part for b in batches for part in slices(b)):
-            flat, count = bpe.store.texts(part.column("text").to_pylist())
+            flat, count = bpe.store.texts(folded(part.column("text")))
             ends = np.concatenate([[0], np.cumsum(count)]).astype(np.int32)
             yield batch(schema, part.column("doc_id"), pa.ListArray.from_arrays(ends, flat))
 

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dielens.llm.text import batch, map_arrow, slices, sums, texts_of
-from dielens.llm.token_counts import piece_bpe
+from dielens.llm.token_counts import marked, piece_bpe
 from dielens.llm.words import Texts, byte_class, covered, mixed, window_names, window_starts
 
 INSIDE = byte_class(r"[^\x20\x09-\x0D]")
@@ -123,7 +123,7 @@ def measure(
             script = np.where(per_script.max(axis=0) > 0, per_script.argmax(axis=0) + 1, 0)
             chars = np.concatenate([[0], np.cumsum((texts.bytes & 0xC0) != 0x80)])
             n_chars = chars[texts.end] - chars[texts.start]
-            ids, count = bpe.store.texts(part.column("text").to_pylist())
+            ids, count = bpe.store.texts(marked(part.column("text")))
             byte, entropy = _fit(ids.astype(np.int64), count, bpe.first_byte, bpe.n_bytes)
             names = np.array(SCRIPTS, object)[script].tolist()
             yield batch(schema, part.column("doc_id"), *counts, n_chars, count, byte, entropy, names)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-from collections import defaultdict
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -12,6 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from dielens.llm.words import Texts
+
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
@@ -55,35 +56,6 @@ def batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, schema=schema)
 
 
-class Codes:
-    """Consecutive codes of words, kept over the batches of a task and started anew when large.
-
-    ``limit`` bounds memory only: a word met after a restart gets a new code and the same result.
-    """
-
-    def __init__(self, limit: int = 400_000):
-        self.limit = limit
-        self.restart()
-
-    def restart(self) -> None:
-        self.table: dict[str, int] = defaultdict()
-        self.table.default_factory = self.table.__len__
-
-    def full(self) -> bool:
-        return len(self.table) > self.limit
-
-    def of(self, words: list[str]) -> np.ndarray:
-        return np.fromiter(map(self.table.__getitem__, words), np.int64, len(words))
-
-    def since(self, n: int) -> list[str]:
-        """The words with codes from n on, in order of their codes."""
-        if n == 0:
-            return list(self.table)
-        from itertools import islice
-
-        return list(islice(self.table, n, None))
-
-
 class Ragged:
     """Rows of different length in one flat array; rows are appended, and taken by number."""
 
@@ -119,34 +91,49 @@ def sums(values: np.ndarray, count: np.ndarray) -> np.ndarray:
 class WordStore:
     """Encodes every different word of a task once and puts whole texts together from the results.
 
-    ``encode`` maps a list of words to (flat ids, length of each); ``split`` maps a text to its words.
+    ``cut`` gives the start and end of every word and the number of words of each text; ``encode`` maps a list of words
+    to (flat ids, length of each).  ``limit`` bounds memory only: after a restart a word is encoded again.
     """
 
-    def __init__(self, split: Callable[[str], list[str]], encode, dtype, limit: int = 400_000):
-        self.split, self.encode, self.dtype = split, encode, dtype
-        self.codes, self.rows = Codes(limit), Ragged(dtype)
+    def __init__(self, cut: Callable[[Texts], tuple[np.ndarray, np.ndarray, np.ndarray]], encode, dtype, limit: int = 500_000):
+        self.cut, self.encode, self.dtype, self.limit = cut, encode, dtype, limit
+        self._restart()
+
+    def _restart(self) -> None:
+        self.known, self.at, self.rows = np.zeros(0, np.uint64), np.zeros(0, np.int64), Ragged(self.dtype)
 
-    def texts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def texts(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of all texts, and the number of ids of each text."""
-        codes, n_words = self.words(texts)
-        flat, count = self.rows.take(codes)
+        start, end, n_words = self.cut(texts)
+        rows = self._rows(texts, start, end)  # may start ``self.rows`` anew
+        flat, count = self.rows.take(rows)
         return flat, sums(count, n_words)
 
-    def words(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The code of every word, whose row is then in ``rows``, and the number of words of each text."""
-        if self.codes.full():
-            self.codes.restart()
-            self.rows = Ragged(self.dtype)
-        words: list[str] = []
-        n_words = np.zeros(len(texts), np.int64)
-        for k, text in enumerate(texts):
-            own = self.split(text)
-            n_words[k] = len(own)
-            words += own
-        codes = self.codes.of(words)
-        if new := self.codes.since(len(self.rows.count)):
-            self.rows.append(*self.encode(new))
-        return codes, n_words
+    def _rows(self, texts: Texts, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        if len(self.known) > self.limit:
+            self._restart()
+        names = texts.names(start, end)
+        order = np.argsort(names)
+        edge = np.ones(len(names), bool)
+        edge[1:] = names[order[1:]] != names[order[:-1]]
+        group = np.empty(len(names), np.int64)
+        group[order] = np.cumsum(edge) - 1
+        first = order[edge]
+        own = names[first]
+        at = np.searchsorted(self.known, own)
+        new = np.ones(len(own), bool)
+        inside = at < len(self.known)
+        new[inside] = self.known[at[inside]] != own[inside]
+        row = np.zeros(len(own), np.int64)
+        row[~new] = self.at[at[~new]]
+        if new.any():
+            raw, places = texts.raw, first[new]
+            words = [raw[a:b].decode("utf-8") for a, b in zip(start[places].tolist(), end[places].tolist(), strict=True)]
+            row[new] = np.arange(len(words)) + len(self.rows.count)
+            self.rows.append(*self.encode(words))
+            self.known = np.insert(self.known, at[new], own[new])
+            self.at = np.insert(self.at, at[new], row[new])
+        return row[group]
 
 
 def slices(b: pa.RecordBatch, column: str = "text", size: int = 3_000_000) -> Iterator[pa.RecordBatch]:

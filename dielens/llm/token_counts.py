@@ -8,7 +8,6 @@ them at once; a pre-token without a pair has survived, and its symbols are its t
 from __future__ import annotations
 
 import heapq
-import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -18,12 +17,34 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dielens.llm.text import WordStore, batch, map_arrow, slices, spread, texts_of, vocabulary
+from dielens.llm.words import Texts
 
 #: Fixed value: longer pre-tokens are merged one by one with a heap, in n log n steps.
 LONG = 64
 NONE = np.iinfo(np.int32).max
 
 
+def marked(texts: pa.Array) -> Texts:
+    """The texts with a space for U+2581 and one more in front of each that is not empty."""
+    return Texts(texts, before=b" ", change=("▁".encode(), b" "))
+
+
+def pre_tokens(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A run of spaces with the word after it, a line end, or the word after a line end."""
+    b = texts.bytes
+    space, line = b == 32, b == 10
+    begins = line.copy()
+    begins[1:] |= (space[1:] & ~space[:-1]) | (~space[1:] & line[:-1])
+    begins[:1] = True
+    begins[texts.end] = False  # the line end behind a text is not its own
+    start = np.flatnonzero(begins)
+    stops = begins.copy()
+    stops[texts.end] = True
+    stop = np.flatnonzero(stops)
+    end = stop[np.searchsorted(stop, start, side="right")]
+    return start, end, texts.per_text(start)
+
+
 class PieceBpe:
     """The BPE of a sentencepiece model with byte fallback.
 
@@ -59,10 +80,7 @@ class PieceBpe:
         chars = sorted(self.char)
         self.chars = np.array(chars, np.int64)
         self.char_id = np.array([self.char[c] for c in chars], np.int32)
-        self.store = WordStore(self.split, self.merge, np.int32)
-
-    def split(self, text: str) -> list[str]:
-        return re.findall(r" +[^ \n]*|\n|[^ \n]+", " " + text.replace("▁", " ")) if text else []
+        self.store = WordStore(pre_tokens, self.merge, np.int32)
 
     def ranks(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         key = a.astype(np.int64) << 20 | b
@@ -194,7 +212,7 @@ def count_tokens(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = piece_bpe(vocab)
         for part in (part for b in batches for part in slices(b)):
-            _, count = bpe.store.texts(part.column("text").to_pylist())
+            _, count = bpe.store.texts(marked(part.column("text")))
             yield batch(schema, part.column("doc_id"), part.column("n_bytes"), count)
 
     source = texts_of(docs, id_col, text_col).withColumn("n_bytes", F.octet_length("text").cast("long"))

@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from dielens.llm.bpe_automaton import lowered
+from dielens.llm.bpe_automaton import folded, spaced_words
 from dielens.llm.text import WordStore, batch, map_arrow, slices, texts_of, vocabulary
 
 CHUNK_SCHEMA = (
@@ -67,7 +67,7 @@ def _library(path: str) -> WordStore:
             flat.append(np.fromiter((i for ids in found for i in ids), np.int32))
         return np.concatenate(flat), np.array(count, np.int64)
 
-    return WordStore(lambda text: lowered(text).replace("\n", " ").split(" "), encode, np.int32)
+    return WordStore(spaced_words, encode, np.int32)
 
 
 def encoded(docs: DataFrame, bounds: list[int], vocab: str, end_id: int, width: int, id_col: str, text_col: str) -> DataFrame:
@@ -78,7 +78,7 @@ def encoded(docs: DataFrame, bounds: list[int], vocab: str, end_id: int, width:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store = _library(vocab)
         for part in (part for b in batches for part in slices(b)):
-            flat, count = store.texts(part.column("text").to_pylist())
+            flat, count = store.texts(folded(part.column("text")))
             ends = np.cumsum(count)
             flat = np.insert(flat, ends, end_id).astype(f"<u{width}")
             offsets = np.concatenate([[0], ends + np.arange(1, len(ends) + 1)]).astype(np.int32) * width

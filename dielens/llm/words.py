@@ -48,8 +48,15 @@ def byte_class(pattern: str) -> np.ndarray:
 class Texts:
     """The texts of a batch in one array of bytes, each followed by a line end."""
 
-    def __init__(self, texts: pa.Array, lower: bool = False):
+    def __init__(
+        self, texts: pa.Array, lower: bool = False, before: bytes = b"", change: tuple[bytes, bytes] | None = None
+    ):
+        """``change`` replaces a string in every text; ``before`` is put in front of each that is not empty."""
         raw = texts.cast(pa.binary()).to_pylist()
+        if change:
+            raw = [x.replace(*change) if x else x for x in raw]
+        if before:
+            raw = [before + x if x else x for x in raw]
         joined = b"\n".join(x or b"" for x in raw) + b"\n"
         if lower:
             joined = joined.lower()  # A-Z alone
