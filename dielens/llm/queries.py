@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dielens.llm import bpe_automaton, decontaminate, fertility, secret_scans, token_counts, token_files, toxicity
+from dielens.llm import bpe_automaton, decontaminate, fertility, minhash, secret_scans, token_counts, token_files, toxicity
 from dielens.llm.registry import ORACLES, QUERIES, documents, query
 from dielens.session import scratch_folder
 
@@ -65,3 +65,8 @@ def op7(spark: SparkSession, sf: str) -> DataFrame:
 def op6(spark: SparkSession, sf: str) -> DataFrame:
     docs = documents(spark, sf)
     return toxicity.score(docs, toxicity.fit(docs, spark.read.parquet(f"{sf}/labels.parquet")))
+
+
+@query("op2_minhash")
+def op2(spark: SparkSession, sf: str) -> DataFrame:
+    return minhash.near_duplicates(documents(spark, sf))
