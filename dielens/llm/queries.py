@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dielens.llm import bpe_automaton, decontaminate, fertility, minhash, secret_scans, token_counts, token_files, toxicity
+from dielens.llm import bpe_automaton, decontaminate, fertility, minhash, secret_scans, suffix_dedup, token_counts, token_files, toxicity
 from dielens.llm.registry import ORACLES, QUERIES, documents, query
 from dielens.session import scratch_folder
 
@@ -70,3 +70,15 @@ def op6(spark: SparkSession, sf: str) -> DataFrame:
 @query("op2_minhash")
 def op2(spark: SparkSession, sf: str) -> DataFrame:
     return minhash.near_duplicates(documents(spark, sf))
+
+
+@query("op1_suffix_dedup")
+def op1(spark: SparkSession, sf: str) -> DataFrame:
+    found = suffix_dedup.dedup(documents(spark, sf))
+    return found.select(
+        "doc_id",
+        "n_bytes",
+        (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
