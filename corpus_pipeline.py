@@ -10,16 +10,42 @@ from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from dielens.llm import bpe_automaton  # noqa: E402
+from dielens.llm import bpe_automaton, decontaminate, minhash, secret_scans, toxicity  # noqa: E402
 from dielens.session import scratch_folder  # noqa: E402
 
 
-def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token ids of every document that is left, and the text they decode to."""
+def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the nearest labelled examples do not call toxic."""
+    return toxicity.keep_clean(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def unlike(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates, the one with the smallest id."""
+    return minhash.keep_one(docs)
+
+
+def unseen(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that benchmark passages do not contaminate."""
+    return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def discreet(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with secrets replaced in their texts."""
+    return secret_scans.redact(docs)
+
+
+def tokenized(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The token ids of every document, and the text they decode to."""
     return bpe_automaton.decode(bpe_automaton.encode(docs)).withColumn("n_tokens", F.size("ids").cast("long"))
 
 
-STAGES = [("bpe_tokens", tokenize)]
+STAGES = [
+    ("toxicity", clean),
+    ("near_duplicates", unlike),
+    ("decontamination", unseen),
+    ("secrets", discreet),
+    ("bpe_tokens", tokenized),
+]
 
 #: The stages vote, hash and encode; SQL cannot express them.
 ORACLE_SQL = None

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from dielens.functions.shuffles import settled
 from dielens.llm.components import components
 from dielens.llm.text import batch, map_arrow, on_workers, slices, texts_of
-from dielens.llm.words import Texts, byte_class, mixed, powers, window_names, window_starts
+from dielens.llm.words import Texts, byte_class, mixed, run_names, window_names, window_starts
 
 U = np.uint64
 INSIDE = byte_class(r"[^\x20\x09-\x0D]")
@@ -31,16 +31,12 @@ def shingle_sets(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     t = Texts(texts, lower=True)
     start, end = t.runs(INSIDE)
     names, n_words = t.names(start, end), t.per_text(start)
-    n = len(names)
     first = np.cumsum(n_words) - n_words
     long = window_starts(n_words, width)
     out = window_names(names, width)
     short = np.flatnonzero((n_words > 0) & (n_words < width))
     if len(short):  # the whole sequence is one shingle, named with its length
-        total = np.concatenate([[U(0)], np.cumsum(names * powers(0x9E3779B97F4A7C15, n))])
-        inverse = powers(pow(0x9E3779B97F4A7C15, -1, 2**64), n)
-        whole = (total[first[short] + n_words[short]] - total[first[short]]) * inverse[first[short]]
-        out[first[short]] = mixed(mixed(whole) + n_words[short].astype(U))
+        out[first[short]] = run_names(names, first[short], n_words[short])
         long[first[short]] = True
     count = np.where(n_words >= width, n_words - width + 1, (n_words > 0).astype(np.int64))
     return out[long], count

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dielens.llm import bpe_automaton, decontaminate, fertility, minhash, secret_scans, suffix_dedup, token_counts, token_files, toxicity
+from dielens.llm import bpe_automaton, decontaminate, fertility, minhash, recompression, secret_scans, suffix_dedup, token_counts, token_files, toxicity
 from dielens.llm.registry import ORACLES, QUERIES, documents, query
 from dielens.session import scratch_folder
 
@@ -82,3 +82,11 @@ def op1(spark: SparkSession, sf: str) -> DataFrame:
         F.size("spans").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+@query("op10_recompression")
+def op10(spark: SparkSession, sf: str) -> DataFrame:
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return recompression.dedup(documents(spark, sf)).select(
+        "doc_id", "n_words", removed.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256")
+    )

@@ -92,8 +92,7 @@ class Strings:
 
     def named(self) -> np.ndarray:
         """The name of each whole string."""
-        text = Texts.__new__(Texts)
-        text.bytes = np.frombuffer(self.block.raw, np.uint8)
+        text = Texts.of(self.block.raw, self.block.start, self.block.end)
         return text.names(self.start, self.start + self.count - 1 + self.window)
 
     def firsts(self, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -67,6 +67,14 @@ class Texts:
         self.end = np.cumsum(size + 1) - 1 if len(raw) else size
         self.start = self.end - size
 
+    @classmethod
+    def of(cls, raw: bytes, start: np.ndarray, end: np.ndarray) -> Texts:
+        """Texts that already stand one after another, each followed by a line end."""
+        own = cls.__new__(cls)
+        own.raw, own.bytes = raw, np.frombuffer(raw, np.uint8)
+        own.start, own.end, own.size = start, end, end - start
+        return own
+
     def runs(self, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Start and end of every maximal run of bytes of a class; the line end is not in it."""
         flag = np.concatenate([[False], inside[self.bytes]]).view(np.int8)
@@ -95,6 +103,15 @@ def window_names(names: np.ndarray, length: int) -> np.ndarray:
     return out
 
 
+def run_names(names: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The name of each run of ``length`` words from ``start`` on; runs of different length have different names."""
+    n = len(names)
+    total = np.zeros(n + 1, U)
+    np.cumsum(names * powers(_BASE, max(n, 1))[:n], out=total[1:])
+    whole = mixed((total[start + length] - total[start]) * powers(_INVERSE, n + 1)[start])
+    return mixed(whole + length.astype(U))
+
+
 def window_starts(n_words: np.ndarray, length: int) -> np.ndarray:
     """Which word of the concatenated texts starts a window inside its own text."""
     end = np.repeat(np.cumsum(n_words), n_words)
