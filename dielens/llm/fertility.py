@@ -23,7 +23,7 @@ SYMBOL = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", np.uint8))
 #: Scripts, and the script that the first byte of a letter points to.
 SCRIPTS = ("none", "latin", "greek", "cyrillic", "semitic", "indic", "east_asian")
 LEAD = [((65, 90), 1), ((97, 122), 1), ((0xC3, 0xC9), 1), ((0xCD, 0xCF), 2), ((0xD0, 0xD4), 3), ((0xD6, 0xDD), 4),
-        ((0xE0, 0xE0), 5), ((0xE1, 0xE1), 1), ((0xE3, 0xED), 6), ((0xF0, 0xF0), 6)]
+        ((0xE0, 0xE0), 5), ((0xE1, 0xE1), 1), ((0xE3, 0xED), 6)]
 #: Rejection bands by script for texts of at least ``min_tokens`` tokens: least and most characters per token, largest
 #: share of byte-fallback tokens, least token entropy as a share of that of all tokens different (13 bits at most).
 BANDS = {
@@ -33,7 +33,7 @@ BANDS = {
     "semitic": (0.4, 8.0, 0.70, 0.25),
     "indic": (0.2, 8.0, 0.90, 0.20),
     "east_asian": (0.2, 8.0, 0.90, 0.20),
-    "none": (0.3, 8.0, 0.90, 0.10),
+    "none": (0.3, 8.0, 0.50, 0.10),
 }
 
 FIELDS = (
