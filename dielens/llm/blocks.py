@@ -31,7 +31,7 @@ ARROW = pa.schema([("block", pa.int64()), ("docs", pa.binary()), ("ends", pa.bin
 
 @dataclass
 class Plan:
-    """How the corpus is cut: about 8 blocks in a bucket, about 8 MB of names in a part, 16 names at least in a message.
+    """How the corpus is cut: about 8 blocks in a bucket, the names of 1.5 MB of text in a part, 16 names at least in a message.
 
     The block grows with the square root of the corpus, so that messages stay worth sending.
     """
@@ -44,7 +44,7 @@ class Plan:
     def of(total: int, shuffle_partitions: int) -> Plan:
         block = int(min(max(2_000_000, (total * 1000) ** 0.5), 64_000_000))
         buckets = max(shuffle_partitions, -(-total // (8 * block)))
-        parts = max(2 * shuffle_partitions, -(-total // 8_000_000))
+        parts = max(2 * shuffle_partitions, -(-total // 1_500_000))
         return Plan(block, buckets, 1 << min(int(parts - 1).bit_length(), max((block // 256).bit_length(), 4)))
 
 
@@ -130,7 +130,7 @@ def shared_names(
             names, twice = names_of(block)
             at = cut(names, parts)
             full = np.flatnonzero(at[1:] > at[:-1]).tolist()
-            columns = [
+            columns = [  # one batch for all messages of a block
                 [block.number] * len(full),
                 full,
                 [names[at[p] : at[p + 1]].tobytes() for p in full],
@@ -157,6 +157,11 @@ def shared_names(
     return sent.groupBy("part").applyInArrow(meet, "block long, part int, said binary")
 
 
+def messages(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    """The messages of a block as one batch."""
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+
 def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     """Rows one at a time: a row holds a block."""
     for b in batches:

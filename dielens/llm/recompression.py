@@ -152,11 +152,13 @@ def _windows_to_parts(rows: Iterator[dict], window: int, reach, parts: int) -> I
         first = first[np.argsort(own.symbol[first], kind="stable")]
         cut = B.cut(own.symbol[first], parts)
         names = np.stack([window_names(own.names, window), window_names(mixed(own.names + U(1)), window)], axis=1)
+        sent = []
         for p in np.flatnonzero(cut[1:] > cut[:-1]).tolist():
             some = first[cut[p] : cut[p + 1]]
-            sent = [own.block.number, p, contents[some].tobytes(), own.doc[some].tobytes(), own.at[some].tobytes(),
-                    own.count[some].astype(np.uint8).tobytes(), names[spread(own.start[some], own.count[some])].tobytes()]
-            yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(sent, MESSAGE, strict=True)], schema=MESSAGE)
+            sent.append((own.block.number, p, contents[some].tobytes(), own.doc[some].tobytes(), own.at[some].tobytes(),
+                         own.count[some].astype(np.uint8).tobytes(), names[spread(own.start[some], own.count[some])].tobytes()))
+        if sent:
+            yield B.messages(sent, MESSAGE)
 
 
 def _meet(table: pa.Table) -> pa.Table:
@@ -203,7 +205,6 @@ def _removed(rows: Iterator[dict], window: int, reach) -> Iterator[pa.RecordBatc
         mask[later] = NONE
         hits = [own.start[(own.count > k) & (mask >> U(k) & U(1) == 1)] + k for k in range(int(own.count.max(initial=0)))]
         gone = covered(np.concatenate(hits) if hits else np.zeros(0, np.int64), window, len(own.names))
-        edge = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).view(np.int8)))
         found, kept = [], []
         for k, (a, n) in enumerate(zip(own.first.tolist(), own.n_words.tolist(), strict=True)):
             words = block.raw[block.start[k] : block.end[k]].split()
@@ -215,7 +216,6 @@ def _removed(rows: Iterator[dict], window: int, reach) -> Iterator[pa.RecordBatc
                 words = [w for w, g in zip(words, lost.tolist(), strict=True) if not g]
             found.append(runs)
             kept.append(b" ".join(words).decode("utf-8"))
-        del edge
         docs = pa.array(block.docs, mask=block.docs == B.LAST)
         for k in range(0, len(docs), 1000):
             part = slice(k, k + 1000)

@@ -23,7 +23,7 @@ from dielens.llm.words import Texts, mixed
 
 U = np.uint64
 #: Grams of one pass over a block: their places fit into the low bits of a key.
-STRETCH = 1 << 20
+STRETCH = 1 << 19
 LOW = U(STRETCH - 1)
 
 
@@ -57,27 +57,29 @@ class Strings:
         raw, n = block.raw + bytes(16), len(block.raw)
         self.block, self.window = block, window
         width = window - gram + 1
-        inside = np.zeros(n + 1, np.int64)
         longer = np.flatnonzero(block.end - block.start >= window)
-        inside[block.start[longer]] += 1
-        inside[block.end[longer] - window + 1] -= 1
-        inside = np.cumsum(inside)[:n] > 0
-        least_at = np.full(n, -1, np.int64)
-        names = np.zeros(n, U)
+        edge = np.zeros(n + 1, np.int8)
+        edge[block.start[longer]] += 1
+        edge[block.end[longer] - window + 1] -= 1
+        inside = np.cumsum(edge, dtype=np.int8)[:n] > 0
+        starts, counts, grams = [], [], []
+        # a run that goes over the end of a stretch becomes two
         for lo in range(0, max(n - window + 1, 0), STRETCH - width):
             hi = min(lo + STRETCH, n - gram + 1)
             own = gram_names(raw[lo : hi + gram + 8], gram, hi - lo)
-            names[lo:hi] = own
-            key = (own & ~LOW) | np.arange(hi - lo, dtype=U)
-            least = sliding_least(key, width)
-            least_at[lo : lo + len(least)] = (least & LOW).astype(np.int64) + lo
-        least_at[~inside] = -1
-        step = np.flatnonzero(np.diff(np.concatenate([[-1], least_at, [-1]])))
-        first = step[:-1][least_at[step[:-1]] >= 0]
-        last = step[1:][least_at[step[:-1]] >= 0]
-        self.start, self.count = first, last - first
-        self.gram = names[least_at[first]] if len(first) else np.zeros(0, U)
-        self.doc = block.docs[np.searchsorted(block.end, first)] if len(first) else np.zeros(0, np.int64)
+            least = sliding_least((own & ~LOW) | np.arange(hi - lo, dtype=U), width)
+            at = (least & LOW).astype(np.int64)
+            at = np.where(inside[lo : lo + len(at)], at, -1)[: STRETCH - width]
+            step = np.flatnonzero(np.diff(np.concatenate([[-1], at, [-1]])))
+            first = step[:-1][at[step[:-1]] >= 0]
+            starts.append(first + lo)
+            counts.append(step[1:][at[step[:-1]] >= 0] - first)
+            grams.append(own[at[first]])
+        none = np.zeros(0, np.int64)
+        self.start = np.concatenate([none, *starts])
+        self.count = np.concatenate([none, *counts])
+        self.gram = np.concatenate([none.astype(U), *grams])
+        self.doc = block.docs[np.searchsorted(block.end, self.start)] if len(self.start) else none
 
     def different_grams(self) -> tuple[np.ndarray, np.ndarray]:
         """The sorted different grams, and which are in more than one document of the block."""
@@ -141,12 +143,14 @@ def _strings_to_parts(rows: Iterator[dict], window: int, gram: int, parts: int)
         at = B.cut(own.gram[first], parts)
         size = own.count - 1 + window
         raw = np.frombuffer(own.block.raw, np.uint8)
+        sent = []
         for p in np.flatnonzero(at[1:] > at[:-1]).tolist():
             some = first[at[p] : at[p + 1]]
             text = raw[spread(own.start[some], size[some])]
-            sent = [own.block.number, p, names[some].tobytes(), own.doc[some].tobytes(),
-                    own.count[some].astype(np.uint8).tobytes(), press.compress(text.tobytes())]
-            yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(sent, MESSAGE, strict=True)], schema=MESSAGE)
+            sent.append((own.block.number, p, names[some].tobytes(), own.doc[some].tobytes(),
+                         own.count[some].astype(np.uint8).tobytes(), press.compress(text.tobytes())))
+        if sent:
+            yield B.messages(sent, MESSAGE)
 
 
 MESSAGE = pa.schema(
@@ -217,7 +221,7 @@ def _removed(rows: Iterator[dict], window: int, gram: int) -> Iterator[pa.Record
             mask = np.where(known[0][at] == names, known[1][at], U(0))
         mask[later] = U(2**64 - 1)
         n = len(block.raw)
-        step = np.zeros(n + 1, np.int64)
+        step = np.zeros(n + 1, np.int32)
         for k in range(int(own.count.max()) if len(own.count) else 0):
             hit = own.start[(own.count > k) & (mask >> U(k) & U(1) == 1)] + k
             step[hit] += 1

@@ -31,6 +31,8 @@ def on_workers(df: DataFrame) -> DataFrame:
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if ROOT not in paths:
         env["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
+        # large arrays go back to the system when a worker frees them
+        env["MALLOC_MMAP_THRESHOLD_"] = env["MALLOC_TRIM_THRESHOLD_"] = str(8 << 20)
     return df
 
 

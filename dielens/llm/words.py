@@ -27,7 +27,7 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 def powers(base: int, n: int) -> np.ndarray:
     """base**0 .. base**(n-1), cut from one array of the next power of two."""
-    return _powers(base, 1 << max(22, int(n - 1).bit_length()))[:n]
+    return _powers(base, 1 << max(21, int(n - 1).bit_length()))[:n]
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -83,8 +83,11 @@ class Texts:
 
     def names(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         n = len(self.bytes)
-        total = np.zeros(n + 1, U)
-        np.cumsum(_BYTES[self.bytes] * powers(_BASE, n), out=total[1:])
+        total = np.empty(n + 1, U)
+        total[0] = 0
+        np.take(_BYTES, self.bytes, out=total[1:])
+        total[1:] *= powers(_BASE, n)
+        np.cumsum(total[1:], out=total[1:])
         return mixed((total[end] - total[start]) * powers(_INVERSE, n + 1)[start])
 
     def per_text(self, positions: np.ndarray) -> np.ndarray:
