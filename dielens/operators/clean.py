@@ -60,8 +60,9 @@ def extract_test_items(raw: DataFrame, profile: dict) -> DataFrame:
     return items.where("raw_item_name <> ''").withColumn("sequence_no", sequence)
 
 
-# Fixed value: an optional comparison sign, then a decimal number.
-_LIMIT = r"^\s*(>=|<=|>|<)?\s*([-+]?[0-9]*\.?[0-9]+(?:[eE][-+]?[0-9]+)?)"
+# A decimal number, and a limit: an optional comparison sign, then a number and nothing else.
+_NUMBER = r"[-+]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][-+]?[0-9]+)?"
+_LIMIT = rf"^\s*(>=|<=|>|<)?\s*({_NUMBER})\s*$"
 
 
 def parse_limits(items: DataFrame) -> DataFrame:
@@ -86,7 +87,7 @@ def unpivot_measurements(wide: DataFrame, id_cols: Sequence[str], item_cols: dic
 def parse_measurement_value(long: DataFrame) -> DataFrame:
     """Raw text to number, text and status; blank is MISSING, unreadable is INVALID."""
     text = F.trim("raw_value")
-    number = text.try_cast("double")
+    number = F.when(text.rlike(f"^{_NUMBER}$"), text.try_cast("double"))
     finite = number.isNotNull() & ~F.isnan(number) & (F.abs(number) != float("inf"))
     word = F.upper(text)
     status = (
@@ -178,7 +179,12 @@ def parameter_identity(items: DataFrame, program: Sequence[str]) -> DataFrame:
 
 
 def logical_unit_key(units: DataFrame, stage: str) -> DataFrame:
-    """The key that repeats when a die or unit is tested again, and how far it can be trusted."""
+    """The key that repeats when a die or unit is tested again, and how far it can be trusted.
+
+    Without a complete position or serial number the key is the first id of the
+    row that is there: vendor id, sequence, source row, unit id.  Each kind has
+    its own prefix, so units never share a key by accident.
+    """
     if stage == "CP":
         parts = ["product_code", "lot_id", "wafer_id", "x_coord", "y_coord"]
     else:
@@ -187,9 +193,13 @@ def logical_unit_key(units: DataFrame, stage: str) -> DataFrame:
     for p in parts:
         complete = complete & F.col(p).isNotNull()
     stable = F.concat_ws("|", F.lit(stage), *parts)
-    fallback = F.concat_ws(
-        "|", F.lit(stage), F.lit("SEQ"), "run_id", F.coalesce(F.col("vendor_unit_id"), F.col("unit_sequence").cast("string"))
-    )
+    kinds = {"vendor_unit_id": "SEQ", "unit_sequence": "SEQ", "source_row_no": "ROW", "unit_id": "UNIT"}
+    known = [
+        F.when(F.col(c).isNotNull(), F.concat_ws("|", F.lit(stage), F.lit(kind), "run_id", F.col(c).cast("string")))
+        for c, kind in kinds.items()
+        if c in units.columns
+    ]
+    fallback = F.coalesce(*known)
     return units.withColumns(
         {
             "logical_unit_key": F.when(complete, stable).otherwise(fallback),

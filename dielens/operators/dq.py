@@ -159,9 +159,19 @@ def dq_corrupt_file(manifest: DataFrame) -> DataFrame:
 
 
 def dq_issues(issue_frames: Sequence[DataFrame], rule_version: DataFrame) -> DataFrame:
-    """All issues with the severity, blocking and waivable flags of the pinned rule-set version."""
+    """All issues with the severity, blocking and waivable flags of the pinned rule-set version.
+
+    A rule that the version does not have counts as a BLOCKER nobody may waive.
+    """
     everything = reduce(DataFrame.unionByName, issue_frames)
-    return everything.join(rule_version.select("rule_code", "severity", "is_blocking", "waivable"), "rule_code", "left")
+    rules = rule_version.select("rule_code", "severity", "is_blocking", "waivable")
+    return everything.join(rules, "rule_code", "left").withColumns(
+        {
+            "severity": F.coalesce("severity", F.lit("BLOCKER")),
+            "is_blocking": F.coalesce("is_blocking", F.lit(True)),
+            "waivable": F.coalesce("waivable", F.lit(False)),
+        }
+    )
 
 
 _SEVERITIES = ("BLOCKER", "ERROR", "WARNING", "INFO")
@@ -174,18 +184,26 @@ def dq_summary(issues: DataFrame) -> DataFrame:
     )
 
 
-def publish_gate(issues: DataFrame, reconciliation: DataFrame) -> DataFrame:
+def publish_gate(issues: DataFrame, reconciliation: DataFrame, scopes: DataFrame | None = None) -> DataFrame:
     """Whether a run may be published, with counts of what stands against it.
 
     ``reconciliation``: run_id, reconciled.  A waived ERROR passes only where
-    its rule allows waiving; a BLOCKER never does.
+    its rule allows waiving; a BLOCKER never does.  Checks of files, batches and
+    lots put that key where others put the run; ``scopes`` (run_id, scope_key)
+    names the keys of each run, and an issue stands against every run of its
+    key.  An issue that meets no run stands against all, so the gate fails closed.
     """
     severity, state = F.col("severity"), F.col("resolution_status")
     blocker = (severity == "BLOCKER") & (state != "RESOLVED")
     error = (severity == "ERROR") & ((state == "OPEN") | ((state != "RESOLVED") & ~F.col("waivable")))
     rule = F.col("is_blocking") & ~severity.isin("BLOCKER", "ERROR") & (state == "OPEN")
     rule = rule | (F.col("is_blocking") & (severity == "ERROR") & (state == "IGNORED"))
-    counts = issues.groupBy("run_id").agg(
+    runs = reconciliation.select("run_id", F.col("run_id").cast("string").alias("scope_key"))
+    if scopes is not None:
+        runs = runs.unionByName(scopes.select("run_id", F.col("scope_key").cast("string").alias("scope_key"))).distinct()
+    keyed = issues.withColumnRenamed("run_id", "scope_key")
+    lost = keyed.join(runs, "scope_key", "left_anti").agg(F.count_if(blocker | error | rule)).scalar()
+    counts = keyed.join(runs, "scope_key").groupBy("run_id").agg(
         F.count_if(blocker).alias("n_blockers"),
         F.count_if(error).alias("n_errors"),
         F.count_if(rule).alias("n_blocking_rules"),
@@ -193,7 +211,7 @@ def publish_gate(issues: DataFrame, reconciliation: DataFrame) -> DataFrame:
     names = ["n_blockers", "n_errors", "n_blocking_rules"]
     joined = reconciliation.join(counts, "run_id", "left").fillna(0, names)
     clear = F.col("n_blockers") + F.col("n_errors") + F.col("n_blocking_rules") == 0
-    return joined.withColumn("can_publish", clear & F.coalesce("reconciled", F.lit(False)))
+    return joined.withColumn("can_publish", clear & (lost == 0) & F.coalesce("reconciled", F.lit(False)))
 
 
 def dq_waiver_violations(issues: DataFrame) -> DataFrame:

@@ -41,26 +41,19 @@ def pending_files(contents: DataFrame, runs: DataFrame, forced: DataFrame) -> Da
     return new.unionByName(again)
 
 
-def detect_format(files: DataFrame, profiles: DataFrame, max_profiles: int = 200) -> DataFrame:
+def detect_format(files: DataFrame, profiles: DataFrame) -> DataFrame:
     """Candidates among the released profiles; only a single match is a detection.
 
-    A checked, small number of signatures becomes one expression over the file
-    text, in one pass and without a join; beyond that the profiles are joined.
+    The profiles are one array beside every file text, however many there are, so
+    the texts are read once and never joined; two profiles of one name are two.
     """
     released = profiles.where("status = 'RELEASED'").select(
-        F.concat_ws(" ", "format_code", "profile_version").alias("candidate"), "signature"
+        F.struct(F.concat_ws(" ", "format_code", "profile_version").alias("candidate"), "signature").alias("p")
     )
-    known = released.take(max_profiles + 1)
-    if len(known) <= max_profiles:
-        hits = [F.when(F.col("content").rlike(p["signature"]), p["candidate"]) for p in known]
-        found = F.array_sort(F.array_compact(F.array(*hits))) if hits else F.array().cast("array<string>")
-        listed = files.withColumn("__found", found)
-    else:
-        pairs = files.select("receipt_id", "content").join(released, F.expr("content rlike signature"))
-        grouped = pairs.groupBy("receipt_id").agg(F.array_sort(F.collect_set("candidate")).alias("__found"))
-        listed = files.join(grouped, "receipt_id", "left").withColumn(
-            "__found", F.coalesce("__found", F.array().cast("array<string>"))
-        )
+    known = released.agg(F.array_sort(F.collect_list("p"))).scalar()
+    hits = F.filter("__known", lambda p: F.coalesce(F.rlike(F.col("content"), p["signature"]), F.lit(False)))
+    listed = files.withColumn("__known", known).withColumn("__found", F.transform(hits, lambda p: p["candidate"]))
+    listed = listed.drop("__known")
     n = F.size("__found")
     return (
         listed.withColumns(

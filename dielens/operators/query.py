@@ -8,7 +8,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
 
 from dielens.functions.columns import measured, ntz, share
 from dielens.functions.shuffles import exact_quantiles, join_sized
@@ -43,12 +42,10 @@ def normalized_filter(flt: dict[str, Sequence]) -> str:
     return json.dumps(kept, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
 
 
-def apply_global_filter(
-    df: DataFrame, flt: dict[str, Sequence], time_column: str = "tested_at_utc", max_inline: int = 1000
-) -> DataFrame:
+def apply_global_filter(df: DataFrame, flt: dict[str, Sequence], time_column: str = "tested_at_utc") -> DataFrame:
     """The rows a user selected.  An empty list means all; an unknown filter name is refused.
 
-    A short list is pushed to the scan; a long one becomes a semi-join.
+    A list is pushed to the scan; Spark turns a long one into a set.
     ``time`` is a pair of bounds, the second exclusive.
     """
     out = df
@@ -65,12 +62,7 @@ def apply_global_filter(
             raise ValueError(f"no filter {name!r} on this data")
         if not values:
             continue
-        if len(values) <= max_inline:
-            out = out.where(F.col(column).isin(list(values)))
-        else:
-            kind = StructType([StructField(column, df.schema[column].dataType)])
-            listed = df.sparkSession.createDataFrame([(v,) for v in set(values)], kind)
-            out = out.join(listed, column, "left_semi")
+        out = out.where(F.col(column).isin(list(values)))
     return out
 
 

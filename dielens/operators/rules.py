@@ -37,24 +37,35 @@ SPEC_FIELDS = (
 BIN_FIELDS = ("supplier_id", "product_code", "test_stage", "program_version_id")
 
 
-def _time_slot(instant: Column, rules: DataFrame, max_bounds: int = 500) -> Column:
-    """How many rule boundaries are at or before the instant; windows are half-open, so this decides them all.
+def _slotted(rows: DataFrame, event_time: str, rules: DataFrame) -> DataFrame:
+    """Adds ``__slot``: how many rule boundaries are at or before the event; windows are half-open, so this decides them all.
 
-    Boundaries are configuration.  A checked number of them becomes a compiled
-    expression; with more than that the exact instant is its own slot.
+    The sorted boundaries are one array, searched by halves, so a thousand rules
+    make ten steps for a row and no more slots than there are boundaries.
     """
     bounds = (
         rules.select(F.explode(F.array("effective_from_utc", "effective_to_utc")).alias("b"))
+        .withColumn("b", F.col("b").cast("timestamp_ntz"))
         .where("b IS NOT NULL")
-        .distinct()
-        .take(max_bounds + 1)
+        .agg(F.array_sort(F.collect_set("b")))
+        .scalar()
     )
-    if len(bounds) > max_bounds:
-        return F.unix_micros(instant.cast("timestamp"))
-    passed = F.lit(0).cast("long")
-    for row in bounds:
-        passed = passed + (instant >= F.lit(row["b"]).cast("timestamp_ntz")).cast("long")
-    return F.coalesce(passed, F.lit(-1).cast("long"))
+    n = F.size("__bounds")
+    begin = F.struct(F.lit(0).alias("lo"), n.alias("hi"))
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(n + 1)).cast("int"))
+
+    def halve(s: Column, _: Column) -> Column:
+        mid = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+        passed = F.coalesce(F.get("__bounds", mid) <= F.col(event_time), F.lit(False))
+        open_ = s["lo"] < s["hi"]
+        return F.struct(
+            F.when(open_ & passed, mid + 1).otherwise(s["lo"]).alias("lo"),
+            F.when(open_ & ~passed, mid).otherwise(s["hi"]).alias("hi"),
+        )
+
+    slot = F.aggregate(steps, begin, halve, lambda s: s["lo"]).cast("long")
+    known = F.when(F.col(event_time).isNotNull(), slot).otherwise(F.lit(-1).cast("long"))
+    return rows.withColumn("__bounds", bounds).withColumn("__slot", known).drop("__bounds")
 
 
 def _resolve(
@@ -82,7 +93,7 @@ def _resolve(
         F.col("effective_to_utc").alias("__to"),
         *[F.col(f).alias(f"__b_{f}") for f in used],
     )
-    slotted = rows if slot else rows.withColumn("__slot", _time_slot(F.col(event_time), rules))
+    slotted = rows if slot else _slotted(rows, event_time, rules)
     contexts = slotted.groupBy(*used, "__slot").agg(F.min(event_time).alias("__at"))
     patterns = live.agg(F.collect_set("__p")).scalar()
     asked = contexts.withColumn("__asked", F.explode_outer(patterns))
@@ -222,19 +233,24 @@ def program_limit_fallback(resolved: DataFrame, test_items: DataFrame, allow: bo
 
 
 def convert_limits(limits: DataFrame, factors: DataFrame) -> DataFrame:
-    """Spec limits in the unit of the value; ``unit_ok`` is false where the units are unknown or differ."""
+    """Spec limits in the raw unit of the value, so the two compare as they stand on the row.
+
+    ``unit_ok`` is false where a unit is unknown or the two measure different things.
+    """
     by_limit = factors.select(
         F.col("unit_raw").alias("unit_code"),
         F.col("unit_code").alias("__limit_unit"),
         F.col("factor").alias("__factor"),
     )
-    by_value = factors.select("unit_raw", F.col("unit_code").alias("__value_unit"))
+    by_value = factors.select(
+        "unit_raw", F.col("unit_code").alias("__value_unit"), F.col("factor").alias("__value_factor")
+    )
     joined = limits.join(by_limit, "unit_code", "left").join(by_value, "unit_raw", "left")
     from_spec = F.col("limit_source") == "SPEC"
     same_unit = F.coalesce(F.col("__limit_unit") == F.col("__value_unit"), F.lit(False))
 
     def scaled(name: str) -> Column:
-        return F.when(from_spec, F.col(name) * F.col("__factor")).otherwise(F.col(name))
+        return F.when(from_spec, F.col(name) * (F.col("__factor") / F.col("__value_factor"))).otherwise(F.col(name))
 
     return joined.withColumns(
         {
@@ -242,7 +258,7 @@ def convert_limits(limits: DataFrame, factors: DataFrame) -> DataFrame:
             "usl_applied": scaled("usl_applied"),
             "unit_ok": ~from_spec | same_unit,
         }
-    ).drop("__limit_unit", "__factor", "__value_unit")
+    ).drop("__limit_unit", "__factor", "__value_unit", "__value_factor")
 
 
 _APPLIED = (
@@ -271,7 +287,7 @@ def apply_spec_limits(meas: DataFrame, tables: dict[str, DataFrame], allow: bool
     keys = [*used, "test_item_id", "parameter_code", "unit_raw", "__slot"]
     released = tables["spec_sets"].where("status = 'RELEASED'").select("spec_set_id")
     bindings = tables["bindings"].join(released, "spec_set_id", "left_semi")
-    slotted = meas.withColumn("__slot", _time_slot(F.col(event_time), bindings))
+    slotted = _slotted(meas, event_time, bindings)
     contexts = settled(slotted.groupBy(*keys).agg(F.min(event_time).alias("__at")))
     bound = resolve_spec_binding(contexts, tables["bindings"], tables["spec_sets"], tables["scopes"], "__at", slot="__slot")
     matched = match_spec_item(bound, tables["spec_items"])
@@ -331,18 +347,29 @@ def evaluate_multi_scope(meas: DataFrame, scope_limits: DataFrame) -> DataFrame:
     """Judge each measurement under every scope side by side in one pass over the facts.
 
     ``scope_limits``: evaluation_type, evaluation_scope_key, test_item_id,
-    lsl_applied, usl_applied and the two operators.  Results are never merged.
+    lsl_applied, usl_applied and the two operators.  Every measurement has one
+    row in each scope: NO_MATCH where the scope has no limit for its item,
+    CONFIG_AMBIGUOUS where it has several.  Results are never merged.
     """
-    wide = meas.join(scope_limits, "test_item_id")
-    ready = wide.withColumns(
+    names = {"evaluation_type": "__type", "evaluation_scope_key": "__scope"}
+    fields = ["lsl_applied", "usl_applied", "lower_operator_applied", "upper_operator_applied"]
+    by_item = scope_limits.withColumnsRenamed(names).groupBy("__type", "__scope", "test_item_id").agg(
+        F.count(F.lit(1)).alias("__n"), F.max(F.struct(*fields)).alias("__limit")
+    )
+    scopes = by_item.agg(F.array_sort(F.collect_set(F.struct("__type", "__scope")))).scalar()
+    wide = meas.withColumn("__each", F.explode(scopes)).select("*", "__each.*").drop("__each")
+    n = F.coalesce("__n", F.lit(0))
+    status = F.when(n == 0, "NO_MATCH").when(n == 1, "MATCHED").otherwise("CONFIG_AMBIGUOUS")
+    ready = join_sized(wide, by_item, ["__type", "__scope", "test_item_id"], "left").withColumns(
         {
-            "binding_status": F.lit("MATCHED"),
-            "n_candidates": F.lit(1),
-            "limit_source": F.lit("SPEC"),
+            "binding_status": status,
+            "n_candidates": n.cast("int"),
+            "limit_source": F.when(n == 1, "SPEC").otherwise("NONE"),
             "unit_ok": F.lit(True),
+            **{f: F.when(n == 1, F.col("__limit")[f]) for f in fields},
         }
-    ).withColumnsRenamed({"evaluation_type": "__type", "evaluation_scope_key": "__scope"})
-    judged = evaluate_spec(ready)
+    )
+    judged = evaluate_spec(ready.drop("__n", "__limit"))
     return judged.withColumns(
         {"evaluation_type": F.col("__type"), "evaluation_scope_key": F.col("__scope")}
     ).drop("__type", "__scope")

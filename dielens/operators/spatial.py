@@ -99,13 +99,17 @@ def parameter_fail_overlay(
 
 
 def zones(rule: dict) -> Column:
-    """Ring and quadrant of a die as an array of (zone_kind, zone); the edges come from the rule version."""
+    """Ring and quadrant of a die as an array of (zone_kind, zone); the edges come from the rule version.
+
+    A die without a position is in no ring or quadrant but in NO_POSITION.
+    """
     dx = (F.col("x_coord") - rule["center_x"]) / rule["radius_x"]
     dy = (F.col("y_coord") - rule["center_y"]) / rule["radius_y"]
     distance = dx * dx + dy * dy
     inner, outer = rule["center_share"] ** 2, rule["edge_share"] ** 2
-    ring = F.when(distance <= inner, "CENTER").when(distance <= outer, "MIDDLE").otherwise("EDGE")
-    quadrant = F.concat(F.when(dy >= 0, "UPPER_").otherwise("LOWER_"), F.when(dx >= 0, "RIGHT").otherwise("LEFT"))
+    placed = F.col("x_coord").isNotNull() & F.col("y_coord").isNotNull()
+    ring = F.when(~placed, "NO_POSITION").when(distance <= inner, "CENTER").when(distance <= outer, "MIDDLE").otherwise("EDGE")
+    quadrant = F.when(~placed, "NO_POSITION").otherwise(F.concat(F.when(dy >= 0, "UPPER_").otherwise("LOWER_"), F.when(dx >= 0, "RIGHT").otherwise("LEFT")))
     return F.array(
         F.struct(F.lit("RING").alias("zone_kind"), ring.alias("zone")),
         F.struct(F.lit("QUADRANT").alias("zone_kind"), quadrant.alias("zone")),
@@ -143,7 +147,8 @@ def neighbour_fail_count(units: DataFrame, basis: str = "final") -> DataFrame:
     """Failing dice among the eight around each die.
 
     Failing dice send one to each neighbouring position; positions are then
-    matched by equality, so no die is compared with another.
+    matched by equality, so no die is compared with another.  A die without a
+    position has no count.
     """
     dice = by_basis(units, basis).select(*WAFER, "x_coord", "y_coord", "unit_id", "outcome")
     steps = F.array(
@@ -155,4 +160,6 @@ def neighbour_fail_count(units: DataFrame, basis: str = "final") -> DataFrame:
         .groupBy(*WAFER, (F.col("x_coord") + F.col("dx")).alias("x_coord"), (F.col("y_coord") + F.col("dy")).alias("y_coord"))
         .agg(F.count(F.lit(1)).alias("n_fail_neighbours"))
     )
-    return dice.join(sent, [*WAFER, "x_coord", "y_coord"], "left").fillna(0, ["n_fail_neighbours"])
+    placed = F.col("x_coord").isNotNull() & F.col("y_coord").isNotNull()
+    counted = dice.join(sent, [*WAFER, "x_coord", "y_coord"], "left")
+    return counted.withColumn("n_fail_neighbours", F.when(placed, F.coalesce("n_fail_neighbours", F.lit(0))))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,13 +31,16 @@ def trace_direct(edges: DataFrame, cp: DataFrame, ft: DataFrame, min_confidence:
     )
 
 
-def trace_lineage(edges: DataFrame, start: DataFrame, direction: str = "descendants", max_depth: int = 10) -> DataFrame:
+def trace_lineage(
+    edges: DataFrame, start: DataFrame, direction: str = "descendants", max_depth: int | None = None
+) -> DataFrame:
     """Everything reachable from each start unit, level by level.
 
     ``start``: unit_id.  A pair is kept at its smallest depth with its best
     confidence (the product along the way), so cycles end and diamonds do not
     multiply.  Each level is one equi-join and is settled, which cuts the
-    lineage and keeps finished levels safe from lost executors.
+    lineage and keeps finished levels safe from lost executors.  Levels are
+    followed until no new pair is reached; ``max_depth`` ends them earlier.
     """
     source, target = ("source_unit_id", "target_unit_id")
     if direction == "ancestors":
@@ -49,7 +54,7 @@ def trace_lineage(edges: DataFrame, start: DataFrame, direction: str = "descenda
     frontier = start.select(begin.alias("start_unit_id"), begin.alias("node_id"), F.lit(1.0).alias("confidence")).distinct()
     visited = frontier.select("start_unit_id", "node_id")
     found = None
-    for depth in range(1, max_depth + 1):
+    for depth in count(1) if max_depth is None else range(1, max_depth + 1):
         reached = (
             frontier.join(steps, "node_id")
             .groupBy("start_unit_id", F.col("__next").alias("node_id"))

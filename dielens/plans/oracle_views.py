@@ -145,8 +145,8 @@ SPEC_APPLIED = """
 SELECT l.*, CASE WHEN spec_item_id IS NOT NULL THEN 'SPEC'
                  WHEN binding_status <> 'CONFIG_AMBIGUOUS' AND (program_lsl IS NOT NULL OR program_usl IS NOT NULL)
                  THEN 'PROGRAM' ELSE 'NONE' END AS limit_source,
-       CASE WHEN spec_item_id IS NOT NULL THEN l.lsl * f.factor WHEN binding_status <> 'CONFIG_AMBIGUOUS' THEN program_lsl END AS lsl_applied,
-       CASE WHEN spec_item_id IS NOT NULL THEN l.usl * f.factor WHEN binding_status <> 'CONFIG_AMBIGUOUS' THEN program_usl END AS usl_applied,
+       CASE WHEN spec_item_id IS NOT NULL THEN l.lsl * (f.factor / g.factor) WHEN binding_status <> 'CONFIG_AMBIGUOUS' THEN program_lsl END AS lsl_applied,
+       CASE WHEN spec_item_id IS NOT NULL THEN l.usl * (f.factor / g.factor) WHEN binding_status <> 'CONFIG_AMBIGUOUS' THEN program_usl END AS usl_applied,
        spec_item_id IS NULL OR (f.factor IS NOT NULL AND f.unit_code = g.unit_code) AS unit_ok
 FROM spec_lim l LEFT JOIN factors f ON f.unit_raw = l.limit_unit LEFT JOIN factors g ON g.unit_raw = l.unit_raw"""
 

@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import SparkSession
 
+_ROOTS: set[str] = set()
+
 
 def session(master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
     """A session with the settings the operators are planned for.
@@ -36,10 +38,23 @@ def session(master: str | None = None, shuffle_partitions: int | None = None) ->
 def scratch_folder(spark: SparkSession, purpose: str) -> str:
     """A new path below the folder the cluster names in ``spark.checkpoint.dir``.
 
-    A machine-local folder is used only where that setting is absent, as in
-    local tests.
+    A machine-local folder is used only where that setting is absent and the
+    master is this machine, as in local tests; on a cluster its absence is an
+    error.  The folders of a session lie below one root, which the file system
+    removes when the session's JVM ends.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
+    master = spark.sparkContext.master
     if not base:
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = f"{tempfile.gettempdir()}/dielens"
-    return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    root = f"{base.rstrip('/')}/{spark.sparkContext.applicationId}"
+    if root not in _ROOTS:
+        jvm = spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(root)
+        files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        _ROOTS.add(root)
+    return f"{root}/{purpose}-{uuid.uuid4().hex}"
