@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from dielens.functions.columns import in_window
-from dielens.functions.shuffles import join_sized, numbered
+from dielens.functions.shuffles import join_sized
+from dielens.operators.rules import slotted
 
 CLEANERS: dict[tuple[str, str], Callable[[DataFrame], DataFrame]] = {}
 
@@ -142,18 +143,30 @@ def map_product_alias(df: DataFrame, aliases: DataFrame, alias_type: str) -> Dat
 
 
 def map_program_version(df: DataFrame, versions: DataFrame, event_time: str) -> DataFrame:
-    """The program version valid at the event time (half-open windows)."""
-    v = versions.select(
-        F.col("program_code").alias("__code"),
-        "program_version_id",
-        "version_code",
-        F.col("valid_from_utc").alias("__from"),
-        F.col("valid_to_utc").alias("__to"),
+    """The program version valid at the event time (half-open windows), and whether it is the only one.
+
+    Programs and time slots are few and are resolved once; versions whose windows
+    overlap are CONFIG_AMBIGUOUS and never multiply a row.
+    """
+    windows = versions.withColumnsRenamed(
+        {"program_code": "__code", "valid_from_utc": "effective_from_utc", "valid_to_utc": "effective_to_utc"}
     )
+    timed = slotted(df, event_time, windows)
+    contexts = timed.groupBy("program_code", "__slot").agg(F.min(event_time).alias("__at"))
     on = (F.col("program_code") == F.col("__code")) & in_window(
-        F.col(event_time), F.col("__from"), F.col("__to")
+        F.col("__at"), F.col("effective_from_utc"), F.col("effective_to_utc")
     )
-    return df.join(v, on, "left").drop("__code", "__from", "__to")
+    found = contexts.join(windows, on).groupBy("program_code", "__slot").agg(
+        F.count(F.lit(1)).alias("__n"), F.max(F.struct("program_version_id", "version_code")).alias("__v")
+    )
+    n = F.coalesce("__n", F.lit(0))
+    return join_sized(timed, found, ["program_code", "__slot"], "left").withColumns(
+        {
+            "program_version_id": F.when(n == 1, F.col("__v.program_version_id")),
+            "version_code": F.when(n == 1, F.col("__v.version_code")),
+            "version_status": F.when(n == 0, "NO_MATCH").when(n == 1, "MATCHED").otherwise("CONFIG_AMBIGUOUS"),
+        }
+    ).drop("__slot", "__n", "__v")
 
 
 def parameter_identity(items: DataFrame, program: Sequence[str]) -> DataFrame:
@@ -208,18 +221,13 @@ def logical_unit_key(units: DataFrame, stage: str) -> DataFrame:
     )
 
 
-def assign_attempt_no(
-    units: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[Column],
-    pieces: Column,
-    sized_by: DataFrame | None = None,
-    null_safe: bool = True,
-) -> DataFrame:
-    """Attempt index (from 0) per logical unit inside a run, in source order."""
-    return numbered(units, keys, order, pieces, "attempt_no", sized_by, null_safe).withColumn(
-        "attempt_no", F.col("attempt_no") - 1
-    )
+def assign_attempt_no(units: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
+    """Attempt index (from 0) per logical unit inside a run, in source order.
+
+    ``keys`` name one unit of one session, which is tested a few times at most.
+    """
+    window = Window.partitionBy(*keys).orderBy(*order)
+    return units.withColumn("attempt_no", (F.row_number().over(window) - 1).cast("long"))
 
 
 def resolve_timezone(runs: DataFrame, local: str = "source_started_local") -> DataFrame:

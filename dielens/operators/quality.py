@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dielens.functions.columns import measured
-from dielens.functions.shuffles import exact_quantiles, join_null_safe, join_sized, numbered, over_blocks
+from dielens.functions.shuffles import exact_quantiles, join_null_safe, join_sized, numbered, over_blocks, settled
 from dielens.operators.rules import evaluate_multi_scope
 from dielens.operators.stats import QUARTILES
 
@@ -101,7 +101,7 @@ def spc_imr(
     def ranges(window):
         return {"moving_range": F.abs(F.col("value_numeric") - F.lag("value_numeric").over(window))}
 
-    points = over_blocks(placed, keys, "position", 1, ranges)
+    points = settled(over_blocks(placed, keys, "position", 1, ranges))
     lines = points.groupBy(*keys).agg(
         F.avg("value_numeric").alias("centre"),
         F.avg("moving_range").alias("mr_mean"),

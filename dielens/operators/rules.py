@@ -37,7 +37,7 @@ SPEC_FIELDS = (
 BIN_FIELDS = ("supplier_id", "product_code", "test_stage", "program_version_id")
 
 
-def _slotted(rows: DataFrame, event_time: str, rules: DataFrame) -> DataFrame:
+def slotted(rows: DataFrame, event_time: str, rules: DataFrame) -> DataFrame:
     """Adds ``__slot``: how many rule boundaries are at or before the event; windows are half-open, so this decides them all.
 
     The sorted boundaries are one array, searched by halves, so a thousand rules
@@ -93,8 +93,8 @@ def _resolve(
         F.col("effective_to_utc").alias("__to"),
         *[F.col(f).alias(f"__b_{f}") for f in used],
     )
-    slotted = rows if slot else _slotted(rows, event_time, rules)
-    contexts = slotted.groupBy(*used, "__slot").agg(F.min(event_time).alias("__at"))
+    timed = rows if slot else slotted(rows, event_time, rules)
+    contexts = timed.groupBy(*used, "__slot").agg(F.min(event_time).alias("__at"))
     patterns = live.agg(F.collect_set("__p")).scalar()
     asked = contexts.withColumn("__asked", F.explode_outer(patterns))
     on = [F.col("__asked") == F.col("__p")]
@@ -118,7 +118,7 @@ def _resolve(
         F.when(n == 0, "NO_MATCH").when(n == 1, "MATCHED").otherwise("CONFIG_AMBIGUOUS").alias(status),
         *[F.when(n == 1, F.col(f"__best.rule.{c}")).alias(c) for c in carried],
     )
-    joined = join_sized(slotted, resolved, [*used, "__slot"], "left")
+    joined = join_sized(timed, resolved, [*used, "__slot"], "left")
     return joined if slot else joined.drop("__slot")
 
 
@@ -287,12 +287,12 @@ def apply_spec_limits(meas: DataFrame, tables: dict[str, DataFrame], allow: bool
     keys = [*used, "test_item_id", "parameter_code", "unit_raw", "__slot"]
     released = tables["spec_sets"].where("status = 'RELEASED'").select("spec_set_id")
     bindings = tables["bindings"].join(released, "spec_set_id", "left_semi")
-    slotted = _slotted(meas, event_time, bindings)
-    contexts = settled(slotted.groupBy(*keys).agg(F.min(event_time).alias("__at")))
+    timed = slotted(meas, event_time, bindings)
+    contexts = settled(timed.groupBy(*keys).agg(F.min(event_time).alias("__at")))
     bound = resolve_spec_binding(contexts, tables["bindings"], tables["spec_sets"], tables["scopes"], "__at", slot="__slot")
     matched = match_spec_item(bound, tables["spec_items"])
     limits = convert_limits(program_limit_fallback(matched, tables["items"], allow), tables["factors"])
-    return join_sized(slotted, limits.select(*keys, *_APPLIED), keys, "left").drop("__slot")
+    return join_sized(timed, limits.select(*keys, *_APPLIED), keys, "left").drop("__slot")
 
 
 def evaluate_spec(

@@ -56,14 +56,13 @@ def final_units_disposition(units: DataFrame, flag: str, final_value: str, rule_
 def all_attempts(units: DataFrame) -> DataFrame:
     """Every attempt, marked ``is_first`` and ``is_final``.
 
-    The two winners per key are found with partial limits and joined on the
-    unit id, which is unique, so a unit tested very often is no hot key.
+    The attempts of a unit are few, so both ranks come from one exchange.
     """
-    first = first_pass_units(units).select("unit_id", F.lit(True).alias("is_first"))
-    final = final_units(units).select("unit_id", F.lit(True).alias("is_final"))
-    return units.join(first, "unit_id", "left").join(final, "unit_id", "left").fillna(
-        False, ["is_first", "is_final"]
-    )
+    def leads(last: bool) -> Column:
+        window = Window.partitionBy("logical_unit_key").orderBy(*_attempt_order(units, last))
+        return F.row_number().over(window) == 1
+
+    return units.withColumns({"is_first": leads(False), "is_final": leads(True)})
 
 
 def by_basis(units: DataFrame, basis: str) -> DataFrame:

@@ -68,10 +68,9 @@ def _order():
     return [F.col(x) for x in ("tested_at_utc", "l_orderkey", "l_partkey", "l_suppkey", "l_extendedprice")]
 
 
-def _with_attempts(dice: DataFrame, rows: DataFrame) -> DataFrame:
-    """Attempt number per die and session; the pieces are sized on the plain rows."""
-    day = F.col("tested_at_utc")
-    return clean.assign_attempt_no(dice, ATTEMPT_KEYS, _order(), day, rows, null_safe=False)
+def _with_attempts(dice: DataFrame) -> DataFrame:
+    """Attempt number per die and session."""
+    return clean.assign_attempt_no(dice, ATTEMPT_KEYS, _order())
 
 
 def cp(spark: SparkSession, sf: str) -> DataFrame:
@@ -79,7 +78,7 @@ def cp(spark: SparkSession, sf: str) -> DataFrame:
     rows = cp_rows(spark, sf)
     day = F.col("tested_at_utc")
     sequenced = numbered(rows, SESSION_KEYS, _order(), day, "unit_sequence", rows, null_safe=False)
-    return _with_attempts(sequenced, rows)
+    return _with_attempts(sequenced)
 
 
 def outcomes(spark: SparkSession, sf: str) -> DataFrame:
@@ -89,7 +88,7 @@ def outcomes(spark: SparkSession, sf: str) -> DataFrame:
     """
     rows = cp_rows(spark, sf)
     source_row = F.col("l_orderkey") * 8 + F.col("l_linenumber")
-    return _with_attempts(with_outcome(spark, rows).withColumn("source_row_no", source_row), rows)
+    return _with_attempts(with_outcome(spark, rows).withColumn("source_row_no", source_row))
 
 
 def with_outcome(spark: SparkSession, dice: DataFrame) -> DataFrame:

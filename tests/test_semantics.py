@@ -40,9 +40,9 @@ def test_time_slots_of_many_boundaries(rows):
     events = [day + timedelta(hours=7 * k) for k in range(-5, 200)]
     facts = rows("at timestamp_ntz", *[(e,) for e in events], (None,))
     known = sorted({b for pair in bounds for b in pair})
-    for r in rules._slotted(facts, "at", rule).collect():
+    for r in rules.slotted(facts, "at", rule).collect():
         assert r["__slot"] == (-1 if r["at"] is None else sum(b <= r["at"] for b in known))
-    assert {r["__slot"] for r in rules._slotted(facts, "at", rule.limit(0)).collect()} == {0, -1}
+    assert {r["__slot"] for r in rules.slotted(facts, "at", rule.limit(0)).collect()} == {0, -1}
 
 
 def test_a_long_filter_list_keeps_its_rows(rows):
@@ -168,3 +168,20 @@ def test_scratch_folders_are_shared_or_local():
 
     with pytest.raises(ValueError, match="checkpoint"):
         session.scratch_folder(Far, "any")
+
+
+def test_overlapping_program_versions_are_reported_and_do_not_multiply(rows):
+    day = datetime(2020, 1, 1)
+    schema = "program_version_id long, program_code string, version_code string, valid_from_utc timestamp_ntz, valid_to_utc timestamp_ntz"
+    versions = rows(
+        schema, (1, "P", "a", None, day + timedelta(days=9)), (2, "P", "b", day + timedelta(days=5), None), (3, "Q", "c", None, None)
+    )
+    facts = rows("program_code string, at timestamp_ntz", *[(p, day + timedelta(days=k)) for p in "PQR" for k in (1, 6, 9)], ("P", None))
+    found = clean.map_program_version(facts, versions, "at").collect()
+    assert len(found) == 10
+    got = {(r["program_code"], r["at"].day): (r["program_version_id"], r["version_status"]) for r in found if r["at"]}
+    assert got == {
+        ("P", 2): (1, "MATCHED"), ("P", 7): (None, "CONFIG_AMBIGUOUS"), ("P", 10): (2, "MATCHED"),
+        ("Q", 2): (3, "MATCHED"), ("Q", 7): (3, "MATCHED"), ("Q", 10): (3, "MATCHED"),
+        **{("R", d): (None, "NO_MATCH") for d in (2, 7, 10)},
+    }
