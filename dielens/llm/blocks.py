@@ -108,26 +108,34 @@ def cut(names: np.ndarray, parts: int) -> np.ndarray:
     return np.searchsorted(names >> U(64 - (parts.bit_length() - 1)), np.arange(parts + 1, dtype=U)) if parts > 1 else np.array([0, len(names)])
 
 
-def answered(blocks: DataFrame, answers: DataFrame) -> DataFrame:
-    """The blocks with ``answers``, the array of what the parts say to each."""
-    listed = answers.groupBy("block").agg(F.collect_list(F.struct("part", "said")).alias("answers"))
-    return blocks.join(settled(listed, "answers"), "block", "left")
+def answered(blocks: DataFrame, answers: DataFrame, name: str = "answers") -> DataFrame:
+    """The blocks with an array of what the parts say to each."""
+    return blocks.join(listed(answers, name), "block", "left")
+
+
+def listed(answers: DataFrame, name: str = "answers") -> DataFrame:
+    """One written row of answers for each block; the parts bound their number."""
+    return settled(answers.groupBy("block").agg(F.collect_list(F.struct("part", "said")).alias(name)), name)
 
 
 def shared_names(
-    blocks: DataFrame, parts: int, names_of: Callable[[Block], tuple[np.ndarray, np.ndarray]]
+    blocks: DataFrame, parts: int, hot: int, names_of: Callable[[Block], tuple[np.ndarray, np.ndarray, np.ndarray]]
 ) -> DataFrame:
-    """(block, part, said): one bit for each name of the block in the part, set where the name is not alone.
+    """(block, part, said): two rows of bits for the names of the block in the part: not alone, and hot.
 
-    ``names_of`` gives the sorted different names of a block, and which are not alone inside it already.
+    ``names_of`` gives the sorted different names of a block, which are not alone inside it already, and how often each
+    occurs.  A name is hot that occurs more than ``hot`` times in the corpus (a block counts up to 255 of its own).
     """
-    message = pa.schema([("block", pa.int64()), ("part", pa.int32()), ("names", pa.binary()), ("twice", pa.binary())])
+    message = pa.schema(
+        [("block", pa.int64()), ("part", pa.int32()), ("names", pa.binary()), ("twice", pa.binary()), ("often", pa.binary())]
+    )
     reply = pa.schema([("block", pa.int64()), ("part", pa.int32()), ("said", pa.binary())])
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_of(batches):
             block = Block.of(row)
-            names, twice = names_of(block)
+            names, twice, often = names_of(block)
+            often = np.minimum(often, 255).astype(np.uint8)
             at = cut(names, parts)
             full = np.flatnonzero(at[1:] > at[:-1]).tolist()
             columns = [  # one batch for all messages of a block
@@ -135,6 +143,7 @@ def shared_names(
                 full,
                 [names[at[p] : at[p + 1]].tobytes() for p in full],
                 [np.packbits(twice[at[p] : at[p + 1]]).tobytes() for p in full],
+                [often[at[p] : at[p + 1]].tobytes() for p in full],
             ]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, message, strict=True)], schema=message)
 
@@ -149,11 +158,18 @@ def shared_names(
         order = np.argsort(names, kind="stable")
         same = names[order[1:]] == names[order[:-1]]
         alone[order[1:][same]] = alone[order[:-1][same]] = False
+        often = np.concatenate([np.frombuffer(x, np.uint8) for x in table.column("often").to_pylist()])
+        group = np.concatenate([[0], np.cumsum(~same)])
+        many = np.zeros(len(names), bool)
+        many[order] = (np.bincount(group, often[order]) > hot)[group]
         ends = np.cumsum(size)
-        said = [np.packbits(~alone[e - n : e]).tobytes() for e, n in zip(ends.tolist(), size.tolist(), strict=True)]
+        said = [
+            np.packbits(np.stack([~alone[e - n : e], many[e - n : e]]), axis=1).tobytes()
+            for e, n in zip(ends.tolist(), size.tolist(), strict=True)
+        ]
         return pa.table([table.column("block"), table.column("part"), pa.array(said, pa.binary())], schema=reply)
 
-    sent = map_arrow(blocks, send, "block long, part int, names binary, twice binary")
+    sent = map_arrow(blocks, send, "block long, part int, names binary, twice binary, often binary")
     return sent.groupBy("part").applyInArrow(meet, "block long, part int, said binary")
 
 
@@ -170,11 +186,11 @@ def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
 
 
 def bits(names: np.ndarray, parts: int, answers: list[dict] | None) -> np.ndarray:
-    """The answers to the sorted names of a block, as one array."""
-    out, at = np.zeros(len(names), bool), cut(names, parts)
+    """The answers to the sorted names of a block, as two rows: not alone, and hot."""
+    out, at = np.zeros((2, len(names)), bool), cut(names, parts)
     for a in answers or []:
         lo, hi = at[a["part"]], at[a["part"] + 1]
-        out[lo:hi] = np.unpackbits(np.frombuffer(a["said"], np.uint8), count=hi - lo)
+        out[:, lo:hi] = np.unpackbits(np.frombuffer(a["said"], np.uint8).reshape(2, -1), axis=1, count=hi - lo)
     return out
 
 

@@ -8,7 +8,8 @@ looked at.  Wherever those words recur, the symbol recurs.
 A window is represented by a symbol made from words inside it, of the highest round that has one.  Spark counts the
 names over all documents; a window whose symbol occurs once cannot repeat.  Windows that share a symbol occurrence
 travel together, once for each different content of a block, with a 128-bit name for each; in the task of their
-symbol the names are compared, and the first place of each is found.
+symbol the names are compared, and the first place of each is found.  The windows of a hot symbol, such as the border
+of a passage that very many documents share, travel one by one and are spread by their whole content.
 """
 
 from __future__ import annotations
@@ -115,9 +116,23 @@ class Windows:
         self.doc = block.docs[owner[self.start]] if n else head
         self.at = self.start - self.first[owner[self.start]] if n else head
 
-    def different_symbols(self) -> tuple[np.ndarray, np.ndarray]:
+    def different_symbols(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The sorted different symbols, which are not alone in the block, and how often each occurs."""
         symbol, count = np.unique(self.symbol, return_counts=True)
-        return symbol, count > 1
+        return symbol, count > 1, count
+
+    def keep_shared(self, parts: int, answers: list[dict] | None) -> None:
+        """Only windows whose symbol occurs elsewhere too; those of a hot symbol one by one."""
+        symbols = np.unique(self.symbol)
+        shared, hot = B.bits(symbols, parts, answers)[:, np.searchsorted(symbols, self.symbol)]
+        whole, single = np.flatnonzero(shared & ~hot), np.flatnonzero(shared & hot)
+        count = self.count[single]
+        start = spread(self.start[single], count)
+        at = spread(self.at[single], count)
+        self.start, self.at = np.concatenate([self.start[whole], start]), np.concatenate([self.at[whole], at])
+        self.doc = np.concatenate([self.doc[whole], np.repeat(self.doc[single], count)])
+        self.count = np.concatenate([self.count[whole], np.ones(len(start), np.int64)])
+        self.symbol = np.concatenate([self.symbol[whole], self.contents()[len(whole) :]])
 
     def contents(self) -> np.ndarray:
         """The name of all words of each run of windows."""
@@ -143,10 +158,7 @@ REPLY = pa.schema([("block", pa.int64()), ("part", pa.int32()), ("said", pa.bina
 def _windows_to_parts(rows: Iterator[dict], window: int, reach, parts: int) -> Iterator[pa.RecordBatch]:
     for row in rows:
         own = Windows(B.Block.of(row), window, reach)
-        symbols, _ = own.different_symbols()
-        shared = B.bits(symbols, parts, row["answers"])
-        keep = np.flatnonzero(shared[np.searchsorted(symbols, own.symbol)])
-        own.start, own.count, own.symbol, own.doc, own.at = (x[keep] for x in (own.start, own.count, own.symbol, own.doc, own.at))
+        own.keep_shared(parts, row["shared"])
         contents = own.contents()
         first, _ = own.firsts(contents)
         first = first[np.argsort(own.symbol[first], kind="stable")]
@@ -186,11 +198,12 @@ def _meet(table: pa.Table) -> pa.Table:
     return pa.table([table.column("block"), table.column("part"), pa.array(said, pa.binary())], schema=REPLY)
 
 
-def _removed(rows: Iterator[dict], window: int, reach) -> Iterator[pa.RecordBatch]:
+def _removed(rows: Iterator[dict], window: int, reach, parts: int) -> Iterator[pa.RecordBatch]:
     spans = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     out = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("spans", spans), ("kept", pa.string())])
     for row in rows:
         own = Windows(B.Block.of(row), window, reach)
+        own.keep_shared(parts, row["shared"])
         block, contents = own.block, own.contents()
         first, group = own.firsts(contents)
         head = first[group]
@@ -228,6 +241,7 @@ def dedup(
     docs: DataFrame,
     window: int = 20,
     reach: tuple[tuple[int, int], ...] = ((4, 12), (3, 9), (2, 6), (-1, 1)),
+    hot: int = 256,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
@@ -239,21 +253,23 @@ def dedup(
     which equal windows at the same word do not remove each other; null ids come after every other one.
 
     ``reach`` lists rounds and the most words their symbols may have looked at, best first; (-1, 1), the words
-    themselves, stands for every window.  No entry may leave more than 64 windows for a symbol.
+    themselves, stands for every window.  No entry may leave more than 64 windows for a symbol.  A symbol that occurs more
+    than ``hot`` times is hot.
     """
     if window - min(longest for _, longest in reach) > 63 or reach[-1] != (-1, 1) or max(x for _, x in reach) > window:
         raise ValueError("reach must end with (-1, 1) and fit the window")
     table, plan = B.store(docs, id_col, text_col)
     parts = plan.parts
-    symbols = B.shared_names(table, parts, lambda block: Windows(block, window, reach).different_symbols())
+    symbols = B.shared_names(table, parts, hot, lambda block: Windows(block, window, reach).different_symbols())
+    known = table.join(B.listed(symbols, "shared"), "block", "left")
     sent = map_arrow(
-        B.answered(table, symbols),
+        known,
         lambda batches: _windows_to_parts(B.rows_of(batches), window, reach, parts),
         "block long, part int, contents binary, docs binary, at binary, counts binary, names binary",
     )
     met = sent.groupBy("part").applyInArrow(_meet, "block long, part int, said binary")
     return map_arrow(
-        B.answered(table, met),
-        lambda batches: _removed(B.rows_of(batches), window, reach),
+        B.answered(known, met),
+        lambda batches: _removed(B.rows_of(batches), window, reach, parts),
         "doc_id long, n_words long, spans array<struct<start:long,end:long>>, kept string",
     )

@@ -5,7 +5,8 @@ pass looks at one wide digit: of the grams inside a window the one with the leas
 whose gram is in one document only cannot repeat.  Windows that share their gram travel as one string, once for each
 different string of a block.  The strings of a part of the gram space meet in one task, where their suffixes are
 sorted by passes of eight bytes, the most significant first; suffixes alone in their group drop out, and groups that
-are left after the last pass are exactly the repeated windows.
+are left after the last pass are exactly the repeated windows.  The windows of a hot gram, such as the border of a
+passage that very many documents share, travel one by one and are spread by their whole content.
 """
 
 from __future__ import annotations
@@ -81,8 +82,8 @@ class Strings:
         self.gram = np.concatenate([none.astype(U), *grams])
         self.doc = block.docs[np.searchsorted(block.end, self.start)] if len(self.start) else none
 
-    def different_grams(self) -> tuple[np.ndarray, np.ndarray]:
-        """The sorted different grams, and which are in more than one document of the block."""
+    def different_grams(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The sorted different grams, which are in more than one document of the block, and how often each occurs."""
         order = np.lexsort((self.doc, self.gram))
         gram, doc = self.gram[order], self.doc[order]
         edge = np.ones(len(gram), bool)
@@ -90,7 +91,19 @@ class Strings:
         twice = np.zeros(len(gram), bool)
         twice[1:] = ~edge[1:] & (doc[1:] != doc[:-1])
         groups = np.cumsum(edge) - 1
-        return gram[edge], np.bincount(groups, twice, int(edge.sum())) > 0
+        n = int(edge.sum())
+        return gram[edge], np.bincount(groups, twice, n) > 0, np.bincount(groups, minlength=n)
+
+    def keep_shared(self, parts: int, answers: list[dict] | None) -> None:
+        """Only strings whose gram other documents have too; those of a hot gram window by window."""
+        grams = self.different_grams()[0]
+        shared, hot = B.bits(grams, parts, answers)[:, np.searchsorted(grams, self.gram)]
+        whole, single = np.flatnonzero(shared & ~hot), np.flatnonzero(shared & hot)
+        start = spread(self.start[single], self.count[single])
+        doc = np.repeat(self.doc[single], self.count[single])
+        self.start, self.doc = np.concatenate([self.start[whole], start]), np.concatenate([self.doc[whole], doc])
+        self.count = np.concatenate([self.count[whole], np.ones(len(start), np.int64)])
+        self.gram = np.concatenate([self.gram[whole], self.named()[len(whole) :]])
 
     def named(self) -> np.ndarray:
         """The name of each whole string."""
@@ -133,10 +146,7 @@ def _strings_to_parts(rows: Iterator[dict], window: int, gram: int, parts: int)
     press = zstandard.ZstdCompressor(level=3)
     for row in rows:
         own = Strings(B.Block.of(row), window, gram)
-        grams, _ = own.different_grams()
-        shared = B.bits(grams, parts, row["answers"])
-        keep = np.flatnonzero(shared[np.searchsorted(grams, own.gram)])
-        own.start, own.count, own.gram, own.doc = (x[keep] for x in (own.start, own.count, own.gram, own.doc))
+        own.keep_shared(parts, row["shared"])
         names = own.named()
         first, _ = own.firsts(names)
         first = first[np.argsort(own.gram[first], kind="stable")]
@@ -203,11 +213,12 @@ def _meet(table: pa.Table, window: int) -> pa.Table:
     return pa.table([table.column("block"), table.column("part"), pa.array(said, pa.binary())], schema=REPLY)
 
 
-def _removed(rows: Iterator[dict], window: int, gram: int) -> Iterator[pa.RecordBatch]:
+def _removed(rows: Iterator[dict], window: int, gram: int, parts: int) -> Iterator[pa.RecordBatch]:
     spans = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     out = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("spans", spans), ("kept", pa.binary())])
     for row in rows:
         own = Strings(B.Block.of(row), window, gram)
+        own.keep_shared(parts, row["shared"])
         block, names = own.block, own.named()
         first, group = own.firsts(names)
         later = own.doc > own.doc[first][group] if len(first) else np.zeros(0, bool)
@@ -222,10 +233,10 @@ def _removed(rows: Iterator[dict], window: int, gram: int) -> Iterator[pa.Record
         mask[later] = U(2**64 - 1)
         n = len(block.raw)
         step = np.zeros(n + 1, np.int32)
-        for k in range(int(own.count.max()) if len(own.count) else 0):
+        for k in range(int(own.count.max(initial=0))):
             hit = own.start[(own.count > k) & (mask >> U(k) & U(1) == 1)] + k
             step[hit] += 1
-            np.subtract.at(step, hit + window, 1)
+            step[hit + window] -= 1  # no two hits of one k are at one place
         gone = np.cumsum(step)[:n] > 0
         raw = np.frombuffer(block.raw, np.uint8)
         edge = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).view(np.int8)))
@@ -246,21 +257,21 @@ def _removed(rows: Iterator[dict], window: int, gram: int) -> Iterator[pa.Record
 
 
 def dedup(
-    docs: DataFrame, window: int = 50, gram: int = 20, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, window: int = 50, gram: int = 20, hot: int = 256, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """(doc_id, n_bytes, spans, kept) of every whole text as UTF-8 bytes, one row per row of ``docs``.
 
     Removed is each byte inside a string of ``window`` bytes that also starts in a document with a smaller id; strings
     are judged on the input.  ``spans`` are the maximal removed runs, ``kept`` the other bytes.  Null and empty texts
     keep nothing and lose nothing; repeated rows of one id do not count against each other; a null id comes after
-    every other one.  ``window - gram`` is at most 63.
+    every other one.  ``window - gram`` is at most 63.  A gram that occurs more than ``hot`` times is hot.
     """
     if not 8 <= gram <= window or window - gram > 63:
         raise ValueError("gram must have 8 bytes at least, and window - gram be 63 at most")
     table, plan = B.store(docs, id_col, text_col)
     parts = plan.parts
-    grams = B.shared_names(table, parts, lambda block: Strings(block, window, gram).different_grams())
-    known = B.answered(table, grams)
+    grams = B.shared_names(table, parts, hot, lambda block: Strings(block, window, gram).different_grams())
+    known = table.join(B.listed(grams, "shared"), "block", "left")
     sent = map_arrow(
         known,
         lambda batches: _strings_to_parts(B.rows_of(batches), window, gram, parts),
@@ -268,7 +279,7 @@ def dedup(
     )
     met = sent.groupBy("part").applyInArrow(lambda t: _meet(t, window), "block long, part int, said binary")
     return map_arrow(
-        B.answered(table, met),
-        lambda batches: _removed(B.rows_of(batches), window, gram),
+        B.answered(known, met),
+        lambda batches: _removed(B.rows_of(batches), window, gram, parts),
         "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary",
     )

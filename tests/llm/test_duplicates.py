@@ -65,9 +65,9 @@ def groups(rows, percent=75):
     return {i: (len(sets[i]), top(i)) for i in sets}
 
 
-@pytest.mark.parametrize(("window", "gram"), [(50, 20), (50, 9), (30, 30)])
-def test_suffix_dedup(hard, plain, window, gram):
-    found = by_id(suffix_dedup.dedup(hard, window=window, gram=gram))
+@pytest.mark.parametrize(("window", "gram", "hot"), [(50, 20, 256), (50, 9, 0), (30, 30, 3)])
+def test_suffix_dedup(hard, plain, window, gram, hot):
+    found = by_id(suffix_dedup.dedup(hard, window=window, gram=gram, hot=hot))
     kept = bytes_removed(plain, window)
     for i, text in plain:
         assert bytes(found[i]["kept"]) == kept[i], i
@@ -77,10 +77,11 @@ def test_suffix_dedup(hard, plain, window, gram):
 
 
 @pytest.mark.parametrize(
-    ("window", "reach"), [(20, ((4, 12), (3, 9), (2, 6), (-1, 1))), (12, ((2, 6), (-1, 1))), (20, ((-1, 1),))]
+    ("window", "reach", "hot"),
+    [(20, ((4, 12), (3, 9), (2, 6), (-1, 1)), 256), (12, ((2, 6), (-1, 1)), 3), (20, ((-1, 1),), 0)],
 )
-def test_recompression(hard, plain, window, reach):
-    found = by_id(recompression.dedup(hard, window=window, reach=reach))
+def test_recompression(hard, plain, window, reach, hot):
+    found = by_id(recompression.dedup(hard, window=window, reach=reach, hot=hot))
     kept = words_removed(plain, window)
     for i, text in plain:
         assert found[i]["kept"] == kept[i], i
