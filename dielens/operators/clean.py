@@ -252,8 +252,11 @@ def resolve_timezone(runs: DataFrame, local: str = "source_started_local") -> Da
 
 
 def surrogate_key(df: DataFrame, cols: Sequence[str], name: str) -> DataFrame:
-    """A deterministic 64-bit id of a natural key, equal on every rerun."""
-    return df.withColumn(name, F.xxhash64(*cols))
+    """A deterministic id of a natural key, equal on every rerun: SHA-256 of its parts, each with its length, so that
+    neither long tables nor parts that run into each other make two keys one.
+    """
+    parts = [F.coalesce(F.concat(F.length(F.col(c).cast("string")), F.lit(":"), F.col(c).cast("string")), F.lit("-")) for c in cols]
+    return df.withColumn(name, F.sha2(F.concat_ws("|", *parts), 256))
 
 
 def extract_conditions(df: DataFrame, schema: StructType | str, json: str = "condition_json") -> DataFrame:

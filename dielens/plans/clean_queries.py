@@ -193,7 +193,10 @@ def _(spark, sf):
     )
 
 
-@query("surrogate_key")
+@query(
+    "surrogate_key",
+    """SELECT unit_id, sha256(concat(length(run_id), ':', run_id, '|', length(unit_id), ':', unit_id)) AS unit_sk FROM cp_rows""",
+)
 def _(spark, sf):
     return clean.surrogate_key(fx.cp_rows(spark, sf), ["run_id", "unit_id"], "unit_sk").select("unit_id", "unit_sk")
 

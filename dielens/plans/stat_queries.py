@@ -250,8 +250,8 @@ def _(spark, sf):
     return judged.select("measurement_id", "evaluation_type", "evaluation_scope_key", "evaluation_result")
 
 
-_RATES = """(SELECT 'YIELD' AS item, 'YIELD' AS kind, lot_id, wafer_id, avg((outcome = 'PASS')::INT) AS rate FROM final_u GROUP BY lot_id, wafer_id
- UNION ALL SELECT 'BIN 8', 'BIN', lot_id, wafer_id, avg((outcome = 'FAIL' AND soft_bin = '8')::INT) FROM final_u GROUP BY lot_id, wafer_id)"""
+_RATES = """(SELECT 'YIELD' AS item, 'YIELD' AS kind, lot_id, avg((outcome = 'PASS')::INT) AS rate FROM final_u GROUP BY lot_id
+ UNION ALL SELECT 'BIN 8', 'BIN', lot_id, avg((outcome = 'FAIL' AND soft_bin = '8')::INT) FROM final_u GROUP BY lot_id)"""
 
 
 @query(
@@ -259,13 +259,13 @@ _RATES = """(SELECT 'YIELD' AS item, 'YIELD' AS kind, lot_id, wafer_id, avg((out
     f"""WITH h AS (SELECT item, kind, count(*) AS n_baseline_lots, avg(rate) AS m, stddev_samp(rate) AS s FROM {_RATES}
  WHERE lot_id NOT IN ('L3', 'L7') GROUP BY 1, 2),
 t AS (SELECT r.*, n_baseline_lots, m, s, CASE WHEN r.kind = 'YIELD' THEN -1 ELSE 1 END AS g FROM {_RATES} r JOIN h ON h.item = r.item AND h.kind = r.kind)
-SELECT item, kind, lot_id, wafer_id, {r4('rate')} AS rate, n_baseline_lots, {r4('m')} AS mean_rate, {r4('s')} AS std_rate,
+SELECT item, kind, lot_id, {r4('rate')} AS rate, n_baseline_lots, {r4('m')} AS mean_rate, {r4('s')} AS std_rate,
  {r4('m + g * 3 * s')} AS limit_1, {r4('m + g * 4 * s')} AS limit_2,
  CASE WHEN (rate - m - g * 4 * s) * g > 0 THEN 'BEYOND_LIMIT_2' WHEN (rate - m - g * 3 * s) * g > 0 THEN 'BEYOND_LIMIT_1' ELSE 'WITHIN' END AS flag,
  'SBL 1.0' AS rule_version FROM t""",
 )
 def _(spark, sf):
-    wafers = units.final_units(fx.outcomes(spark, sf)).groupBy("lot_id", "wafer_id").agg(
+    lots = units.final_units(fx.outcomes(spark, sf)).groupBy("lot_id").agg(
         F.avg((F.col("outcome") == "PASS").cast("int")).alias("y"),
         F.avg(((F.col("outcome") == "FAIL") & (F.col("soft_bin") == "8")).cast("int")).alias("b"),
     )
@@ -273,8 +273,8 @@ def _(spark, sf):
         F.struct(F.lit("YIELD").alias("item"), F.lit("YIELD").alias("kind"), F.col("y").alias("rate")),
         F.struct(F.lit("BIN 8").alias("item"), F.lit("BIN").alias("kind"), F.col("b").alias("rate")),
     )
-    per_wafer = settled(wafers.select("lot_id", "wafer_id", F.inline(rates)))
-    limits = quality.sbl_syl_limits(per_wafer, ["item"], "SBL 1.0", ~F.col("lot_id").isin("L3", "L7"))
+    per_lot = settled(lots.select("lot_id", F.inline(rates)))
+    limits = quality.sbl_syl_limits(per_lot, ["item"], "SBL 1.0", ~F.col("lot_id").isin("L3", "L7"))
     return steady(limits, "rate", "mean_rate", "std_rate", "limit_1", "limit_2")
 
 
