@@ -23,7 +23,7 @@ from dielens.functions.columns import (
     meets_lower,
     meets_upper,
 )
-from dielens.functions.shuffles import join_null_safe, join_sized, settled, top_one
+from dielens.functions.shuffles import join_sized, settled, top_one
 
 SPEC_FIELDS = (
     "supplier_id",
