@@ -13,10 +13,15 @@ from pyspark.sql import functions as F
 from dielens.functions.shuffles import settled
 
 
-def _star(both: DataFrame, small: bool) -> DataFrame:
+def compact(df: DataFrame, rows: int, purpose: str, each: int = 100_000) -> DataFrame:
+    """``settled`` in as many files as a known number of rows needs; a few rows are not dealt to hundreds of tasks."""
+    return settled(df.coalesce(max(1, -(-rows // each))), purpose)
+
+
+def _star(both: DataFrame, small: bool, rows: int) -> DataFrame:
     """One step over links in both directions (u, v); the result has links (u, v) with u > v."""
     ahead = both.where("v < u") if small else both
-    least = settled(ahead.groupBy("u").agg(F.min("v").alias("m")), "components")
+    least = compact(ahead.groupBy("u").agg(F.min("v").alias("m")), rows, "components")
     least = least.withColumn("m", F.least("u", "m"))
     hung = both.where("v < u" if small else "v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     if small:
@@ -28,11 +33,12 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) of every node with a link: the smallest node it can reach."""
     links = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct()
     links = settled(links, "components")
+    n = links.count()
     while True:
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        links = settled(_star(both, small=False), "components")
+        links = compact(_star(both, small=False, rows=2 * n), n, "components")
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        links = settled(_star(both, small=True), "components")
+        links = compact(_star(both, small=True, rows=2 * n), n, "components")
         n, nodes = links.agg(F.count("*"), F.countDistinct("u")).first()
         heads = links.select(F.col("v").alias("u"))
         # only stars are left: every node hangs on one other, which hangs on none

@@ -4,7 +4,8 @@ A document is the set of its word shingles.  One permutation shuffles the number
 circularly by k, gives the k-th coordinate of the signature, so two permutations make all of them.  Bands of
 coordinates give buckets.  Documents with equal sets form a class first; in a bucket the classes are compared with one
 hub, not with each other, and links are confirmed on the full sets.  Classes of a bucket that are then still in
-different components are compared with other hubs, and what is left after that pair by pair, so no link is lost.
+different components are compared with another hub, and what is left after that by signature inside the bucket, so no
+link is lost; bands of five rows keep texts that only share a passage out of common buckets.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dielens.functions.shuffles import settled
-from dielens.llm.components import components
+from dielens.llm.components import compact, components
 from dielens.llm.text import batch, map_arrow, on_workers, slices, texts_of
 from dielens.llm.words import Texts, byte_class, mixed, run_names, window_names, window_starts
 
@@ -141,16 +142,16 @@ def near_duplicates(
     docs: DataFrame,
     width: int = 5,
     percent: int = 75,
-    bands: int = 32,
-    rows: int = 4,
-    hub_rounds: int = 3,
+    bands: int = 48,
+    rows: int = 5,
+    hub_rounds: int = 1,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of ``docs``.
 
     Linked are sets with ``100 * intersection >= percent * union``; the component is the smallest id reachable.  A pair
-    at exactly 75 % shares no band of the default 32 x 4 with a chance of about 5e-6.  Null and empty texts have an empty set
+    at exactly 75 % shares no band of the default 48 x 5 with a chance of about 2e-6.  Null and empty texts have an empty set
     and are linked with nothing; a text of fewer than ``width`` words is one shingle.  Repeated rows of an id give
     repeated rows; an id with different texts is one node.  A null id takes part in nothing and is kept.
     """
@@ -178,37 +179,44 @@ def near_duplicates(
             renamed = {"rep": k, "n": f"n_{k}", "brief": f"brief_{k}"}
             pairs = pairs.join(about.withColumnsRenamed(renamed), k)
         fits = _alike(*map(F.col, ("n_a", "n_b", "brief_a", "brief_b")), percent, least)
-        return settled(pairs.where(fits).select("a", "b"), "minhash-pairs")
+        return pairs.where(fits).select("a", "b")
 
-    def grown(links: DataFrame, pairs: DataFrame) -> DataFrame:
-        found = settled(_confirmed(checked(pairs), sets, percent), "minhash-links")
-        return found if links is None else links.unionByName(found)
-
-    links = grown(None, members.where("rep != hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct())
+    stars = members.where("rep != hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
+    links = settled(_confirmed(checked(stars), sets, percent), "minhash-links")
+    n, named = members.count(), None
     for turn in range(hub_rounds + 1):
-        found = components(links)
-        own = F.coalesce("component", "rep")
-        at = members.join(settled(found.withColumnRenamed("node", "rep"), "minhash-found"), "rep", "left").select("key", "rep", own.alias("c"))
-        at = settled(at, "minhash-at")
+        if named is None:
+            named = compact(components(links).withColumnRenamed("node", "rep"), n, "minhash-found")
+        at = members.join(named, "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("c"))
         open_ = at.groupBy("key").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least < most")
-        open_ = settled(open_.select("key", "least"), "minhash-open")
-        at = settled(at.join(open_, "key"), "minhash-apart")
-        if at.isEmpty():
+        open_ = compact(open_.select("key", "least"), n, "minhash-open")
+        at = compact(at.join(open_, "key"), n, "minhash-apart")
+        n = at.count()
+        if not n:
             break
+        # buckets that are of one component stay so: only the others are looked at again
+        members = at.select("key", "rep")
         if turn < hub_rounds:
             # another hub of the first component: the last of its members in an order that changes with every turn
             order = F.xxhash64("rep", F.lit(turn))
             hub = at.where("c = least").groupBy("key").agg(F.max_by("rep", order).alias("a"))
-            pairs = at.where("c != least").join(settled(hub, "minhash-hubs"), "key").select("a", F.col("rep").alias("b"))
+            hub = compact(hub, n, "minhash-hubs")
+            pairs = checked(at.where("c != least").join(hub, "key").select("a", F.col("rep").alias("b")).distinct())
         else:
-            left = at.select("key", F.col("rep").alias("a"), F.col("c").alias("ca"))
-            right = at.select("key", F.col("rep").alias("b"), F.col("c").alias("cb"))
-            pairs = left.join(right, "key").where("ca < cb").select("a", "b")
-        links = grown(links, pairs.distinct())
-    else:
-        found = components(links)
-    joined = settled(found, "minhash-components")
-    member = classes.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select(
+            # what is left: classes of one bucket and different components, compared by signature inside the join
+            known = compact(at.join(about, "rep"), n, "minhash-rest")
+            sides = [
+                known.select(*[F.col(c).alias(f"{c}_{k}") for c in ("key", "rep", "c", "n", "brief")]) for k in ("a", "b")
+            ]
+            fits = _alike(*map(F.col, ("n_a", "n_b", "brief_a", "brief_b")), percent, least)
+            on = (F.col("key_a") == F.col("key_b")) & (F.col("c_a") < F.col("c_b")) & fits
+            pairs = sides[0].join(sides[1], on).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct()
+        new = settled(_confirmed(pairs, sets, percent), "minhash-links")
+        if not new.isEmpty():
+            links, named = links.unionByName(new), None
+    if named is None:
+        named = compact(components(links).withColumnRenamed("node", "rep"), n, "minhash-found")
+    member = classes.join(named, "rep", "left").select(
         "set_key", F.coalesce("component", "rep").alias("component_id")
     )
     out = sign.select("doc_id", "n_shingles", "set_key").join(settled(member, "minhash-named"), "set_key", "left")
