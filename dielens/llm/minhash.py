@@ -4,7 +4,7 @@ A document is the set of its word shingles.  One permutation shuffles the number
 circularly by k, gives the k-th coordinate of the signature, so two permutations make all of them.  Bands of
 coordinates give buckets.  Documents with equal sets form a class first; in a bucket the classes are compared with one
 hub, not with each other, and links are confirmed on the full sets.  Classes of a bucket that are then still in
-different components are compared with another hub, and what is left after that by signature inside the bucket, so no
+different components are compared with other hubs, and what is left after that by signature inside the bucket, so no
 link is lost; bands of five rows keep texts that only share a passage out of common buckets.
 """
 
@@ -144,7 +144,8 @@ def near_duplicates(
     percent: int = 75,
     bands: int = 48,
     rows: int = 5,
-    hub_rounds: int = 1,
+    hub_rounds: int = 2,
+    hubs: int = 4,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
@@ -197,11 +198,12 @@ def near_duplicates(
         # buckets that are of one component stay so: only the others are looked at again
         members = at.select("key", "rep")
         if turn < hub_rounds:
-            # another hub of the first component: the last of its members in an order that changes with every turn
-            order = F.xxhash64("rep", F.lit(turn))
-            hub = at.where("c = least").groupBy("key").agg(F.max_by("rep", order).alias("a"))
-            hub = compact(hub, n, "minhash-hubs")
-            pairs = checked(at.where("c != least").join(hub, "key").select("a", F.col("rep").alias("b")).distinct())
+            # other hubs of the first component: the last of its members in orders that change with every turn
+            orders = [F.xxhash64("rep", F.lit(turn * hubs + k)) for k in range(hubs)]
+            some_hubs = F.array_distinct(F.array(*[F.max_by("rep", order) for order in orders]))
+            hub = compact(at.where("c = least").groupBy("key").agg(some_hubs.alias("hubs")), n, "minhash-hubs")
+            tried = at.where("c != least").join(hub, "key").select(F.explode("hubs").alias("a"), F.col("rep").alias("b"))
+            pairs = checked(tried.distinct())
         else:
             # what is left: classes of one bucket and different components, compared by signature inside the join
             known = compact(at.join(about, "rep"), n, "minhash-rest")
