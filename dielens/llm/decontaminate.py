@@ -46,7 +46,7 @@ class SuffixArray:
         self.words, self.word_at = words, np.zeros(len(words), np.int64)
         self.word_at[self.place] = np.arange(len(names))
         bits = int(len(self.known) + 1).bit_length()
-        per = 63 // bits
+        per = min(63 // bits, depth)  # the padding holds no more than the depth
         key = lambda at: sum(words[at + k] << (bits * (per - 1 - k)) for k in range(per))
         order = self.place
         first = key(order)

@@ -62,6 +62,16 @@ def test_decontaminate_without_items(spark, hard, nothing):
     assert decontaminate.find_matches(nothing, empty).count() == 0
 
 
+@pytest.mark.parametrize("text", ["a b c", "word", "word " * 1_400_000, "a b c d e f " * 3], ids=["three", "one", "long", "six"])
+def test_decontaminate_few_different_words(spark, text):
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string").coalesce(1)
+    items = [(1, "a b c"), (2, "word"), (3, "d e f a b c d e f a b c d e")]
+    rows = decontaminate.find_matches(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
+    words, hit, names = hits(text, items)
+    assert [(r["n_words"], r["items"]) for r in rows] == [(len(words), names)]
+    assert sum(s["end"] - s["start"] for s in rows[0]["hits"]) == sum(hit)
+
+
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 
 
