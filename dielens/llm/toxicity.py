@@ -194,7 +194,8 @@ def fit(
     labels: DataFrame,
     per_class: int = 3000,
     max_terms: int = 2000,
-    least_chi2: float = 30.0,
+    least_chi2: float = 10.0,
+    least_share: float = 0.5,
     folds: int = 5,
     block: int = 64,
     id_col: str = "doc_id",
@@ -203,7 +204,9 @@ def fit(
 ) -> Index:
     """The index of a bounded sample of labelled rows; ``per_class`` and ``max_terms`` bound what the driver holds.
 
-    Without labelled rows every score is 0.  Rows with a null id or label are not examples.
+    The terms are the ``max_terms`` of the largest chi-square that reach ``least_chi2``, or ``least_share`` of the largest
+    one where that is less: the statistic cannot exceed the number of examples, and a few of them must do.  Without
+    labelled rows, or without any such term, every score is 0.  Rows with a null id or label are not examples.
     """
     sample, total = labelled_sample(docs, labels, per_class, folds, id_col, text_col, label_col)
     n = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
@@ -214,13 +217,14 @@ def fit(
     gap = (ones * n0 - zeros * n1) / F.lit(max(n1 + n0, 1))
     best = (
         _term_counts(sample)
-        .where(ones + zeros >= 5)
+        .where((ones + zeros >= max(1, min(5, n1, n0))) & (gap != 0))
         .withColumn("chi2", gap * gap / spread_)
-        .where(F.col("chi2") >= least_chi2)
         .orderBy(F.col("chi2").desc(), "name")
         .limit(max_terms)
     )
-    names = np.sort(np.array([r["name"] for r in best.collect()], np.int64).view(U))
+    best = best.collect()
+    floor = min(least_chi2, least_share * best[0]["chi2"]) if best else least_chi2
+    names = np.sort(np.array([r["name"] for r in best if r["chi2"] >= floor], np.int64).view(U))
     examples, base = _examples(sample, names)
     wanted = {"base": base}
     rows, df = _document_frequency(docs, wanted, names, id_col, text_col)
@@ -293,7 +297,8 @@ def _build(examples: list, names, base, idf, n: dict, total: dict, overall: floa
     key = term * (blocks + 1) + post // block
     first = np.searchsorted(key, np.arange(len(names))[:, None] * (blocks + 1) + np.arange(blocks + 1))
     mass = [sum(scale[y] for r in bare if r[2] == y) for y in (0, 1)]
-    empty = (mass[1] + overall) / (sum(mass) + 1)
+    # only examples without terms speak against a text without terms, and in an index without terms nothing does
+    empty = mass[1] / (sum(mass) + 1) if len(names) else 0.0
     return Index(
         names, base, idf, np.array([r[2] for r in rows], float), weight, np.array([r[1] for r in rows], np.int64),
         first, post, value, most, block, empty, overall,
@@ -307,7 +312,8 @@ def score(
     """(doc_id, held_out, score, predicted, evidence), one row per row of ``docs``.
 
     ``evidence`` lists the nearest examples as struct(doc_id, cosine, label).  A text without any term of the index,
-    such as a null or empty one, gets the share of label 1 among such examples.  ``held_out`` of a null id is false.
+    such as a null or empty one, gets the share of label 1 among such examples, and 0 without any.  ``held_out`` of a
+    null id is false.
     """
     near = pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("label", pa.int32())])
     schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("evidence", pa.list_(near))])

@@ -204,6 +204,28 @@ def test_toxicity_without_labels(labelled):
     assert toxicity.keep_clean(docs.limit(0), index).count() == 0
 
 
+def test_toxicity_with_few_labels(spark):
+    import random
+
+    rng = random.Random(4)
+    rows = [(i, sentence(rng, 30) + (" awfulword" if i % 2 else "")) for i in range(60)] + [(100, ""), (101, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(24)], "doc_id long, toxic int")
+    index = toxicity.fit(docs, labels)
+    assert 0 < len(index.example) < 30
+    kept = {r["doc_id"] for r in toxicity.keep_clean(docs, index).select("doc_id").collect()}
+    assert kept == {*range(0, 60, 2), 100, 101}
+
+
+@pytest.mark.parametrize("toxic", [lambda i: i % 2, lambda i: 1], ids=["balanced", "toxic_only"])
+def test_toxicity_without_terms_drops_nothing(spark, toxic):
+    docs = spark.createDataFrame([(i, "the same words") for i in range(20)], "doc_id long, text string")
+    index = toxicity.fit(docs, spark.createDataFrame([(i, toxic(i)) for i in range(20)], "doc_id long, toxic int"))
+    assert not len(index.names)
+    assert {r["score"] for r in toxicity.score(docs, index).collect()} == {0.0}
+    assert toxicity.keep_clean(docs, index).count() == 20
+
+
 def test_pipeline_equals_its_stages(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     assert 4 <= len(corpus_pipeline.STAGES) <= 5
