@@ -5,7 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dielens.llm import bpe_automaton, decontaminate, fertility, minhash, recompression, secret_scans, suffix_dedup, token_counts, token_files, toxicity
+from dielens.llm import (
+    bpe_automaton,
+    decontaminate,
+    fertility,
+    hard_negatives,
+    merkle,
+    minhash,
+    packing,
+    recompression,
+    secret_scans,
+    suffix_dedup,
+    token_counts,
+    token_files,
+    toxicity,
+)
 from dielens.llm.registry import ORACLES, QUERIES, documents, query
 from dielens.session import scratch_folder
 
@@ -90,3 +104,27 @@ def op10(spark: SparkSession, sf: str) -> DataFrame:
     return recompression.dedup(documents(spark, sf)).select(
         "doc_id", "n_words", removed.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256")
     )
+
+
+@query("op11_packing")
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.pack(documents(spark, sf)).select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )
+
+
+@query("op12_merkle", merkle.oracle())
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    even = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, F.lit(False))
+    tampered = F.when(even, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    found = merkle.proofs(merkle.leaves(documents(spark, sf), {"text": tampered}))
+    return found.select(
+        "doc_id", "leaf", "subroot", "root", merkle.proof_digest().alias("proof_sha256"), merkle.folded("seen").alias("folded_root")
+    ).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+@query("op13_hard_negatives", hard_negatives.ORACLE)
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").withColumn("label", moved)
+    return hard_negatives.mine(rows, F.col("vec_id") % 50 == 0)
