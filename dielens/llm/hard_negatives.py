@@ -171,12 +171,12 @@ def _best_unlike(anchors: Block, lo: int, hi: int, block: Block, k: int, low: in
     return out
 
 
-def _packed(rows: DataFrame, codes: bool) -> DataFrame:
-    """One row for each ``block`` of (block, id, label, vec, caps)."""
+def _packed(rows: DataFrame, dim: int, codes: bool) -> DataFrame:
+    """One row for each ``block`` of (block, id, label, vec, caps); vectors are filled up to ``dim`` components."""
 
     def pack(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("id")
-        n, dim = len(part), max((len(v) for v in part["vec"]), default=0)
+        n = len(part)
         x = np.zeros((n, dim))
         for i, v in enumerate(part["vec"]):
             x[i, : len(v)] = v
@@ -256,16 +256,17 @@ def mine(
     one = usable.groupBy("id").agg(F.min(F.struct("label", "vec", "asked")).alias("row"))
     whole = F.transform("row.vec", lambda x: F.rint(F.floor(scale * x).cast("double")))
     plain = settled(one.select("id", "row.label", whole.alias("vec"), "row.asked", F.lit(None).cast("array<long>").alias("caps")), "negatives-rows")
-    n, n_asked = plain.agg(F.count("*"), F.count_if("asked")).first()
+    n, n_asked, dim = plain.agg(F.count("*"), F.count_if("asked"), F.max(F.size("vec"))).first()
+    dim = dim or 0
     size = min(max(4096, int(16 * n**0.5)), 1 << 18)
     n_blocks = max(1, -(-n // size))
     block = F.pmod(F.xxhash64("id"), F.lit(n_blocks)).alias("block")
-    blocks = settled(_packed(plain.drop("asked").select(block, "id", "label", "vec", "caps"), codes=True), "negatives-blocks")
+    blocks = settled(_packed(plain.drop("asked").select(block, "id", "label", "vec", "caps"), dim, codes=True), "negatives-blocks")
     asked_block = F.pmod(F.xxhash64("id"), F.lit(max(1, -(-n_asked // 512)))).alias("block")
     asked = plain.where("asked").select(asked_block, "id", "label", "vec", "caps")
 
     found = _met(
-        settled(_packed(asked, codes=False), "negatives-anchors"), blocks, n_blocks,
+        settled(_packed(asked, dim, codes=False), "negatives-anchors"), blocks, n_blocks,
         lambda a, lo, hi, b: _best_alike(a, lo, hi, b, positives), "anchor_id long, id long, score long",
     )
     alike = _top(found, ["anchor_id"], positives).select(
@@ -275,7 +276,7 @@ def mine(
     caps = alike.groupBy("anchor_id").agg(F.collect_set("positive_score").alias("caps"))
     ready = asked.drop("caps").join(caps.withColumnRenamed("anchor_id", "id"), "id").select("block", "id", "label", "vec", "caps")
     found = _met(
-        settled(_packed(ready, codes=False), "negatives-anchors"), blocks, n_blocks,
+        settled(_packed(ready, dim, codes=False), "negatives-anchors"), blocks, n_blocks,
         lambda a, lo, hi, b: _best_unlike(a, lo, hi, b, negatives, low, high),
         "anchor_id long, positive_score long, id long, score long",
     )
@@ -288,9 +289,9 @@ def mine(
 ORACLE = """
 WITH moved AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, embedding::DOUBLE[] AS v
     FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
-    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 one AS (SELECT * FROM moved QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY label, v) = 1),
-e AS MATERIALIZED (SELECT vec_id, label, list_transform(v, x -> floor(256 * x)) AS v FROM one),
+e AS MATERIALIZED (SELECT vec_id, label, list_transform(v, lambda x: floor(256 * x)) AS v FROM one),
 scored AS MATERIALIZED (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS alike,
     list_dot_product(a.v, b.v)::BIGINT AS score
     FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),

@@ -179,8 +179,8 @@ def folded(value: str, path: str = "path") -> Column:
 
 #: crc32 of the decimal id, byte by byte and bit by bit.
 _CRC = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''),
-    c -> ascii(c)::BIGINT)), (crc, b) -> list_reduce([xor(crc, b), 0, 0, 0, 0, 0, 0, 0, 0],
-    (x, y) -> xor(x >> 1, 3988292384::BIGINT * (x & 1)))))"""
+    lambda c: ascii(c)::BIGINT)), lambda crc, b: list_reduce([xor(crc, b), 0, 0, 0, 0, 0, 0, 0, 0],
+    lambda x, y: xor(x >> 1, 3988292384::BIGINT * (x & 1)))))"""
 
 
 def _sql_leaf(text: str) -> str:
@@ -229,7 +229,7 @@ found AS (SELECT r.doc_id, r.leaf, r.seen, sub.subroot, (SELECT hash FROM top WH
     coalesce(path, []) AS path
     FROM r JOIN sub ON r.source IS NOT DISTINCT FROM sub.source LEFT JOIN path USING (own)),
 fold AS (SELECT *, list_reduce(list_prepend({{'l': '', 'r': '', 'h': seen}}, path),
-    (a, s) -> {{'l': '', 'r': '', 'h': sha256(s.l || a.h || s.r)}}).h AS folded_root FROM found)
-SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(path, s -> s.l || s.r), '')) AS proof_sha256,
+    lambda a, s: {{'l': '', 'r': '', 'h': sha256(s.l || a.h || s.r)}}).h AS folded_root FROM found)
+SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(path, lambda s: s.l || s.r), '')) AS proof_sha256,
     folded_root, folded_root = root AS verified FROM fold
 """

@@ -184,6 +184,10 @@ def test_hard_negatives_of_huge_components_and_of_nothing(spark):
     dot = lambda a, b: min(sum(p * q for p, q in zip(ints[a], ints[b], strict=True)), 2**63 - 1)
     for a, p, _, n, ps, ns in got:
         assert ps == dot(a, p) and ns == dot(a, n) and 50 * ps <= 100 * ns <= 100 * ps
+    short = spark.createDataFrame([(0, 0, [1.0]), (50, 0, [1.0, 2.0, 3.0]), (1, 0, []), (2, 1, [0.7])], df.schema)
+    assert [tuple(r) for r in hard_negatives.mine(short, F.col("vec_id") % 50 == 0).collect() if r["anchor_id"] == 50] == [
+        (50, 0, 1, 2, 65536, 256 * 179)
+    ]
     assert got and hard_negatives.mine(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
