@@ -9,6 +9,7 @@ each window it lies in.
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Iterator
 from functools import lru_cache
@@ -23,45 +24,73 @@ from dielens.functions.shuffles import join_sized, settled
 from dielens.llm.text import WordStore, batch, map_arrow, slices, texts_of, vocabulary
 from dielens.llm.words import Texts
 
-_WHITE = np.isin(np.arange(256), list(b"\t\n\x0b\x0c\r "))
+#: Kinds of bytes: beyond ASCII, letter, digit, other, white space, apostrophe.
+_KIND = np.full(256, 3, np.uint8)
+_KIND[128:] = 0
+_KIND[list(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")] = 1
+_KIND[list(b"0123456789")] = 2
+_KIND[list(b"\t\n\x0b\x0c\r ")] = 4
+_KIND[ord("'")] = 5
+#: Between which kinds (before, after) a match of the byte-level pattern always ends.
+_ENDS = np.zeros((6, 6), bool)
+_ENDS[:, 4] = [True, True, True, True, False, True]
+_ENDS[1, [2, 3, 5]] = _ENDS[2, [1, 3, 5]] = _ENDS[3, [1, 2]] = True
 #: White space beyond ASCII as UTF-8, by the last byte and the bytes before it.
-_WIDE = [(c.encode()[-1], c.encode()[:-1]) for c in "\u0085      　" + "".join(map(chr, range(0x2000, 0x200B)))]
+_WIDE = [(c.encode()[-1], c.encode()[:-1]) for c in map(chr, [0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])]
 
 
-def chunks(t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end of each run of white space with the word behind it, and the number of such chunks of each text.
+def chunks(t: Texts, whole: tuple[bytes, ...] = ()) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of each chunk, and the number of chunks of each text.
 
-    The byte-level pattern takes white space only at the beginning of a match, so it always ends a match where white
-    space follows something else: chunks are encoded one by one as in the whole text.
+    Chunks end only where every match of the byte-level pattern ends whatever stands around: before white space that
+    follows something else, and between letters, digits and other signs of ASCII (an apostrophe may belong to the
+    letters after it).  The strings ``whole`` are not cut.  So chunks are encoded one by one as in the whole text.
     """
     b = t.bytes
-    after = np.zeros(len(b), bool)
-    after[1:] = _WHITE[b[1:]] & ~_WHITE[b[:-1]]
-    after[t.end] = False  # the line end between two texts
-    at = np.flatnonzero(after)
-    wide = np.zeros(len(at), bool)
+    kind = _KIND[b]
+    ends = np.zeros(len(b), bool)
+    ends[1:] = _ENDS.ravel()[kind[:-1] * np.uint8(6) + kind[1:]]
+    ends[t.end] = False  # the line end between two texts
+    at = np.flatnonzero(ends & (kind == 4))
+    at = at[kind[at - 1] == 0]
     for last, before in _WIDE:
         hit = b[at - 1] == last
         for k, x in enumerate(reversed(before)):
             hit &= (at >= k + 2) & (b[at - 2 - k] == x)
-        wide |= hit
-    start = np.union1d(at[~wide], t.start[t.size > 0])
+        ends[at[hit]] = False
+    for string in whole:
+        place = t.raw.find(string)
+        while place >= 0:
+            ends[place + 1 : place + len(string)] = False
+            place = t.raw.find(string, place + 1)
+    ends[t.start[t.size > 0]] = True
+    start = np.flatnonzero(ends)
     n = t.per_text(start)
     end = np.append(start[1:], 0)
-    last = np.cumsum(n)[n > 0] - 1
-    end[last] = t.end[n > 0]
+    end[np.cumsum(n)[n > 0] - 1] = t.end[n > 0]
     return start, end, n
 
 
 @lru_cache(2)
 def _library(path: str) -> WordStore:
-    """The tokenizers library, asked once for each different chunk."""
+    """The tokenizers library, asked once for each different chunk; other than byte-level vocabularies get whole texts."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(vocabulary(path))
     tokenizer.no_truncation()
     tokenizer.no_padding()
+    made = json.loads(tokenizer.to_str())
+    level = made["pre_tokenizer"] or {}
+    known = tokenizer.get_added_tokens_decoder().values()
+    plain = (
+        level.get("type") == "ByteLevel" and level.get("use_regex") and not level.get("add_prefix_space") and made["normalizer"] is None
+        and not any(x.lstrip or x.rstrip or x.single_word for x in known)
+    )
+    added = tuple(x.content.encode() for x in known)
+
+    def cut(t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return chunks(t, added) if plain else (t.start, t.end, np.ones(len(t.size), np.int64))
 
     def encode(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         flat, count = [], []
@@ -71,7 +100,7 @@ def _library(path: str) -> WordStore:
             flat.append(np.fromiter((i for ids in found for i in ids), np.int32))
         return np.concatenate(flat), np.array(count, np.int64)
 
-    return WordStore(chunks, encode, np.int32)
+    return WordStore(cut, encode, np.int32, limit=2_000_000)
 
 
 def tokens(docs: DataFrame, vocab: str, end_id: int, id_col: str, text_col: str) -> DataFrame:
