@@ -58,3 +58,18 @@ def measured(status: str = "measurement_status", value: str = "value_numeric") -
 def steady(df: DataFrame, *names: str) -> DataFrame:
     """Four decimals for sums of doubles; the small shift keeps exact ties from following summation order."""
     return df.withColumns({n: F.round(F.col(n) + 1e-7, 4) for n in names})
+
+
+def shifted(value: Column, places: Column) -> Column:
+    """A decimal number with its point moved: the double nearest to ``value * 10 ** places``, without a product of doubles."""
+    text = value.cast("string")
+    digits = F.regexp_extract(text, "^([^E]*)", 1)
+    own = F.coalesce(F.nullif(F.regexp_extract(text, "E(-?[0-9]+)$", 1), F.lit("")).cast("int"), F.lit(0))
+    moved = F.concat(digits, F.lit("E"), (own + places).cast("string")).cast("double")
+    return F.when(F.isnan(value) | (F.abs(value) == float("inf")), value).otherwise(moved)
+
+
+def power_of_ten(factor: Column) -> Column:
+    """The exponent of a factor that is a power of ten, else null."""
+    places = F.round(F.log10(factor)).cast("int")
+    return F.when(F.concat(F.lit("1E"), places.cast("string")).cast("double") == factor, places)

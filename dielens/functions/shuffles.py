@@ -59,6 +59,24 @@ def top_one(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> Data
     return df.withColumn("__rank", rank).where("__rank = 1").drop("__rank")
 
 
+def as_of(points: DataFrame, bounds: DataFrame, at: str) -> DataFrame:
+    """The points with ``n_before``, the number of bounds at or before each.
+
+    Points and bounds stand in one order, cut into ranges.  Inside a range the bounds are counted as they come; the
+    totals of the ranges before are carried into it.  However many bounds there are, no point looks for its place.
+    Equal instants fall into one range.
+    """
+    both = points.select(at, F.lit(0).alias("__bound")).unionByName(bounds.select(at, F.lit(1).alias("__bound")))
+    ranged = settled(both.repartitionByRange(at).withColumn("__range", F.spark_partition_id()), "as-of")
+    so_far = Window.partitionBy("__range").orderBy(at).rangeBetween(Window.unboundedPreceding, 0)
+    totals = ranged.groupBy("__range").agg(F.sum("__bound").alias("__total"))  # one row for each range
+    earlier = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    carry = totals.select("__range", F.coalesce(F.sum("__total").over(earlier), F.lit(0)).alias("__carry"))
+    placed = ranged.withColumn("__own", F.sum("__bound").over(so_far)).where("__bound = 0")
+    joined = placed.join(carry, "__range")
+    return joined.select(at, (F.col("__own") + F.col("__carry")).cast("long").alias("n_before"))
+
+
 def numbered(
     df: DataFrame,
     keys: Sequence[str],

@@ -196,7 +196,8 @@ def logical_unit_key(units: DataFrame, stage: str) -> DataFrame:
 
     Without a complete position or serial number the key is the first id of the
     row that is there: vendor id, sequence, source row, unit id.  Each kind has
-    its own prefix, so units never share a key by accident.
+    its own prefix, so units never share a key by accident; a row without any
+    id is a unit of its own (NONE).
     """
     if stage == "CP":
         parts = ["product_code", "lot_id", "wafer_id", "x_coord", "y_coord"]
@@ -206,17 +207,20 @@ def logical_unit_key(units: DataFrame, stage: str) -> DataFrame:
     for p in parts:
         complete = complete & F.col(p).isNotNull()
     stable = F.concat_ws("|", F.lit(stage), *parts)
-    kinds = {"vendor_unit_id": "SEQ", "unit_sequence": "SEQ", "source_row_no": "ROW", "unit_id": "UNIT"}
+    kinds = {"vendor_unit_id": "VENDOR", "unit_sequence": "SEQ", "source_row_no": "ROW", "unit_id": "UNIT"}
     known = [
         F.when(F.col(c).isNotNull(), F.concat_ws("|", F.lit(stage), F.lit(kind), "run_id", F.col(c).cast("string")))
         for c, kind in kinds.items()
         if c in units.columns
     ]
+    if not known:
+        raise ValueError(f"units need one of {', '.join(kinds)} where position or serial number may be missing")
+    row = F.concat_ws("|", F.lit(stage), F.lit("NONE"), F.monotonically_increasing_id().cast("string"))
     fallback = F.coalesce(*known)
     return units.withColumns(
         {
-            "logical_unit_key": F.when(complete, stable).otherwise(fallback),
-            "key_quality": F.when(complete, "STABLE").otherwise("FALLBACK"),
+            "logical_unit_key": F.when(complete, stable).otherwise(F.coalesce(fallback, row)),
+            "key_quality": F.when(complete, "STABLE").when(fallback.isNotNull(), "FALLBACK").otherwise("NONE"),
         }
     )
 

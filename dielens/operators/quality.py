@@ -84,12 +84,14 @@ def sbl_syl_limits(lot_rates: DataFrame, keys: Sequence[str], rule_version: str,
     )
 
 
-def evaluate_safe_launch(meas: DataFrame, limits: DataFrame, scope_key: str) -> DataFrame:
-    """The spec comparison under a tightened limit set, as its own evaluation type."""
+def evaluate_safe_launch(
+    meas: DataFrame, limits: DataFrame, scope_key: str, factors: DataFrame | None = None
+) -> DataFrame:
+    """The spec comparison under a tightened limit set, as its own evaluation type; limits with a unit are converted."""
     scoped = limits.withColumns(
         {"evaluation_type": F.lit("SAFE_LAUNCH"), "evaluation_scope_key": F.lit(scope_key)}
     )
-    return evaluate_multi_scope(meas, scoped)
+    return evaluate_multi_scope(meas, scoped, factors)
 
 
 def spc_imr(

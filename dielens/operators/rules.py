@@ -5,9 +5,10 @@ context, and the validity window covers the event time.  The highest scope
 priority must be unique; more than one candidate is reported, never broken by
 id or time.
 
-Measurements are never compared with rules directly.  The distinct contexts,
-with the event time reduced to the slot between two rule boundaries, are few;
-they are resolved by an equi-join per filled-field pattern and joined back.
+Measurements are never compared with rules directly.  Event times become the
+slot between two rule boundaries by an as-of join of the distinct instants; the
+distinct contexts with their slot are few, are resolved by an equi-join per
+filled-field pattern, and are joined back.
 """
 
 from __future__ import annotations
@@ -22,8 +23,10 @@ from dielens.functions.columns import (
     known_operators,
     meets_lower,
     meets_upper,
+    power_of_ten,
+    shifted,
 )
-from dielens.functions.shuffles import join_sized, settled, top_one
+from dielens.functions.shuffles import as_of, join_sized, settled, top_one
 
 SPEC_FIELDS = (
     "supplier_id",
@@ -40,32 +43,37 @@ BIN_FIELDS = ("supplier_id", "product_code", "test_stage", "program_version_id")
 def slotted(rows: DataFrame, event_time: str, rules: DataFrame) -> DataFrame:
     """Adds ``__slot``: how many rule boundaries are at or before the event; windows are half-open, so this decides them all.
 
-    The sorted boundaries are one array, searched by halves, so a thousand rules
-    make ten steps for a row and no more slots than there are boundaries.
+    Events are first cut to the coarsest step (day, minute or none) on which every boundary lies, which moves no event
+    across one.  The distinct instants are few then; they meet the boundaries in one order (:func:`as_of`) and the rows
+    take their slot by an equi-join.
     """
     bounds = (
-        rules.select(F.explode(F.array("effective_from_utc", "effective_to_utc")).alias("b"))
-        .withColumn("b", F.col("b").cast("timestamp_ntz"))
-        .where("b IS NOT NULL")
-        .agg(F.array_sort(F.collect_set("b")))
-        .scalar()
+        rules.select(F.explode(F.array("effective_from_utc", "effective_to_utc")).alias("at"))
+        .select(F.col("at").cast("timestamp_ntz").alias("at"))
+        .where("at IS NOT NULL")
+        .distinct()
     )
-    n = F.size("__bounds")
-    begin = F.struct(F.lit(0).alias("lo"), n.alias("hi"))
-    steps = F.sequence(F.lit(0), F.ceil(F.log2(n + 1)).cast("int"))
-
-    def halve(s: Column, _: Column) -> Column:
-        mid = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
-        passed = F.coalesce(F.get("__bounds", mid) <= F.col(event_time), F.lit(False))
-        open_ = s["lo"] < s["hi"]
-        return F.struct(
-            F.when(open_ & passed, mid + 1).otherwise(s["lo"]).alias("lo"),
-            F.when(open_ & ~passed, mid).otherwise(s["hi"]).alias("hi"),
-        )
-
-    slot = F.aggregate(steps, begin, halve, lambda s: s["lo"]).cast("long")
-    known = F.when(F.col(event_time).isNotNull(), slot).otherwise(F.lit(-1).cast("long"))
-    return rows.withColumn("__bounds", bounds).withColumn("__slot", known).drop("__bounds")
+    n, days, minutes = bounds.agg(
+        F.count("*"), F.bool_and(F.col("at") == _cut("at", "day")), F.bool_and(F.col("at") == _cut("at", "minute"))
+    ).first()
+    if not n:
+        return rows.withColumn("__slot", F.when(F.col(event_time).isNull(), -1).otherwise(0).cast("long"))
+    step = "day" if days else "minute" if minutes else "none"
+    timed = rows.withColumn("__instant", _cut(event_time, step))
+    instants = timed.select(F.col("__instant").alias("at")).where("at IS NOT NULL").distinct()
+    slots = as_of(instants, bounds, "at").select(F.col("at").alias("__instant"), F.col("n_before").alias("__slot"))
+    joined = join_sized(timed, slots, ["__instant"], "left", null_safe=False)
+    return joined.select(*rows.columns, F.coalesce("__slot", F.lit(-1).cast("long")).alias("__slot"))
+
+
+def _cut(name: str, step: str) -> Column:
+    at = F.col(name).cast("timestamp_ntz")
+    if step == "none":
+        return at
+    day = at.cast("date").cast("timestamp_ntz")
+    if step == "day":
+        return day
+    return day + F.make_dt_interval(F.lit(0), F.hour(at), F.minute(at), F.lit(0))
 
 
 def _resolve(
@@ -235,7 +243,8 @@ def program_limit_fallback(resolved: DataFrame, test_items: DataFrame, allow: bo
 def convert_limits(limits: DataFrame, factors: DataFrame) -> DataFrame:
     """Spec limits in the raw unit of the value, so the two compare as they stand on the row.
 
-    ``unit_ok`` is false where a unit is unknown or the two measure different things.
+    ``unit_ok`` is false where a unit is unknown or the two measure different things.  Between units that differ by a
+    power of ten the decimal point of the limit is moved, so a value written exactly on the limit meets it.
     """
     by_limit = factors.select(
         F.col("unit_raw").alias("unit_code"),
@@ -248,9 +257,13 @@ def convert_limits(limits: DataFrame, factors: DataFrame) -> DataFrame:
     joined = limits.join(by_limit, "unit_code", "left").join(by_value, "unit_raw", "left")
     from_spec = F.col("limit_source") == "SPEC"
     same_unit = F.coalesce(F.col("__limit_unit") == F.col("__value_unit"), F.lit(False))
+    factor, value_factor = F.col("__factor"), F.col("__value_factor")
+    places = power_of_ten(factor) - power_of_ten(value_factor)
 
     def scaled(name: str) -> Column:
-        return F.when(from_spec, F.col(name) * (F.col("__factor") / F.col("__value_factor"))).otherwise(F.col(name))
+        limit = F.col(name)
+        exact = F.when(places.isNotNull(), shifted(limit, places)).otherwise(limit * factor / value_factor)
+        return F.when(~from_spec, limit).when(factor == value_factor, limit).otherwise(exact)
 
     return joined.withColumns(
         {
@@ -343,33 +356,48 @@ def evaluate_spec(
     ).drop("__verdict")
 
 
-def evaluate_multi_scope(meas: DataFrame, scope_limits: DataFrame) -> DataFrame:
+def evaluate_multi_scope(meas: DataFrame, scope_limits: DataFrame, factors: DataFrame | None = None) -> DataFrame:
     """Judge each measurement under every scope side by side in one pass over the facts.
 
     ``scope_limits``: evaluation_type, evaluation_scope_key, test_item_id,
-    lsl_applied, usl_applied and the two operators.  Every measurement has one
-    row in each scope: NO_MATCH where the scope has no limit for its item,
+    lsl_applied, usl_applied and the two operators.  With ``unit_code`` among
+    them and the conversion ``factors``, limits are brought to the raw unit of
+    the value, and a limit of another kind of unit gives NOT_EVALUATED; without
+    they are in the raw unit of their item.  Every measurement has one row in
+    each scope: NO_MATCH where the scope has no limit for its item,
     CONFIG_AMBIGUOUS where it has several.  Results are never merged.
     """
     names = {"evaluation_type": "__type", "evaluation_scope_key": "__scope"}
     fields = ["lsl_applied", "usl_applied", "lower_operator_applied", "upper_operator_applied"]
-    by_item = scope_limits.withColumnsRenamed(names).groupBy("__type", "__scope", "test_item_id").agg(
-        F.count(F.lit(1)).alias("__n"), F.max(F.struct(*fields)).alias("__limit")
+    keys = ["__type", "__scope", "test_item_id"]
+    in_units = factors is not None and "unit_code" in scope_limits.columns
+    carried = [*fields, *(["unit_code"] if in_units else [])]
+    by_item = scope_limits.withColumnsRenamed(names).groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("__n"), F.max(F.struct(*carried)).alias("__limit")
     )
     scopes = by_item.agg(F.array_sort(F.collect_set(F.struct("__type", "__scope")))).scalar()
+    limits = by_item.select(*keys, "__n", *[F.col("__limit")[f].alias(f) for f in carried])
+    if in_units:
+        # the units in which an item is measured are few
+        used = meas.select("test_item_id", "unit_raw").distinct()
+        asked = limits.join(used, "test_item_id").withColumn("limit_source", F.lit("SPEC"))
+        limits = convert_limits(asked, factors).drop("unit_code", "limit_source")
+        keys = [*keys, "unit_raw"]
+    else:
+        limits = limits.withColumn("unit_ok", F.lit(True))
     wide = meas.withColumn("__each", F.explode(scopes)).select("*", "__each.*").drop("__each")
     n = F.coalesce("__n", F.lit(0))
     status = F.when(n == 0, "NO_MATCH").when(n == 1, "MATCHED").otherwise("CONFIG_AMBIGUOUS")
-    ready = join_sized(wide, by_item, ["__type", "__scope", "test_item_id"], "left").withColumns(
+    ready = join_sized(wide, limits, keys, "left").withColumns(
         {
             "binding_status": status,
             "n_candidates": n.cast("int"),
             "limit_source": F.when(n == 1, "SPEC").otherwise("NONE"),
-            "unit_ok": F.lit(True),
-            **{f: F.when(n == 1, F.col("__limit")[f]) for f in fields},
+            "unit_ok": F.coalesce("unit_ok", F.lit(True)),
+            **{f: F.when(n == 1, F.col(f)) for f in fields},
         }
     )
-    judged = evaluate_spec(ready.drop("__n", "__limit"))
+    judged = evaluate_spec(ready.drop("__n"))
     return judged.withColumns(
         {"evaluation_type": F.col("__type"), "evaluation_scope_key": F.col("__scope")}
     ).drop("__type", "__scope")

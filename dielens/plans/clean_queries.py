@@ -152,13 +152,16 @@ def _(spark, sf):
 
 @query(
     "logical_unit_key",
-    """SELECT unit_id, CASE WHEN wafer_id IS NULL OR x_coord IS NULL THEN concat('CP|SEQ|', run_id, '|', source_row_no)
+    """SELECT unit_id, CASE WHEN wafer_id IS NULL OR x_coord IS NULL THEN concat('CP|', CASE WHEN l_partkey % 2 = 0 THEN 'VENDOR|' ELSE 'SEQ|' END, run_id, '|', source_row_no)
  ELSE concat_ws('|', 'CP', product_code, lot_id, wafer_id, x_coord, y_coord) END AS logical_unit_key,
  CASE WHEN wafer_id IS NULL OR x_coord IS NULL THEN 'FALLBACK' ELSE 'STABLE' END AS key_quality FROM vendor""",
 )
 def _(spark, sf):
     rows = fx.vendor(spark, sf).withColumns(
-        {"vendor_unit_id": F.lit(None).cast("string"), "unit_sequence": F.col("source_row_no")}
+        {
+            "vendor_unit_id": F.when(F.col("l_partkey") % 2 == 0, F.col("source_row_no").cast("string")),
+            "unit_sequence": F.col("source_row_no"),
+        }
     )
     return clean.logical_unit_key(rows, "CP").select("unit_id", "logical_unit_key", "key_quality")
 

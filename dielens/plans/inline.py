@@ -64,18 +64,20 @@ SELECT CAST(spec_item_id AS BIGINT) AS spec_item_id, CAST(spec_set_id AS BIGINT)
 (21, 2, NULL, 'VTH', 3.0, 48.0, '>=', '<=', 'V'),
 (22, 2, 2, 'BVDSS', 5000.0, 95000.0, NULL, NULL, 'V'),
 (23, 2, NULL, 'BVDSS', 0.0, 200000.0, NULL, NULL, 'kV'),
-(24, 2, NULL, 'IDSS', NULL, 0.08, NULL, NULL, 'kA'))
+(24, 2, NULL, 'IDSS', NULL, 0.08, NULL, NULL, 'kA'),
+(25, 2, NULL, 'RDSON', 0.00003, 0.00007, NULL, NULL, 'Ohm'))
 AS t(spec_item_id, spec_set_id, test_item_id, parameter_code, lsl, usl, lower_operator, upper_operator, unit_code)"""
 
 SCOPE_LIMITS = """
 SELECT evaluation_type, evaluation_scope_key, CAST(test_item_id AS BIGINT) AS test_item_id, CAST(lsl AS DOUBLE) AS lsl_applied,
        CAST(usl AS DOUBLE) AS usl_applied, CAST(lower_operator AS VARCHAR(8)) AS lower_operator_applied,
-       CAST(upper_operator AS VARCHAR(8)) AS upper_operator_applied FROM (VALUES
-('SPEC', 'DEFAULT', 1, 2.0, 49.0, NULL, NULL), ('SPEC', 'DEFAULT', 2, NULL, 104000.0, NULL, NULL),
-('SPEC', 'CUSTOMER_A', 1, 5.0, 45.0, '>', '<'), ('SPEC', 'CUSTOMER_A', 3, NULL, 0.08, NULL, '=='),
-('SAFE_LAUNCH', 'SL1', 1, 6.0, 44.0, '>=', '<='), ('SAFE_LAUNCH', 'SL1', 2, 1000.0, 90000.0, NULL, NULL),
-('SAFE_LAUNCH', 'SL1', 4, NULL, NULL, NULL, NULL))
-AS t(evaluation_type, evaluation_scope_key, test_item_id, lsl, usl, lower_operator, upper_operator)"""
+       CAST(upper_operator AS VARCHAR(8)) AS upper_operator_applied, unit_code FROM (VALUES
+('SPEC', 'DEFAULT', 1, 2000.0, 49000.0, NULL, NULL, 'mV'), ('SPEC', 'DEFAULT', 2, NULL, 104000.0, NULL, NULL, 'V'),
+('SPEC', 'DEFAULT', 4, 0.00003, 0.00007, NULL, NULL, 'Ohm'),
+('SPEC', 'CUSTOMER_A', 1, 5.0, 45.0, '>', '<', 'V'), ('SPEC', 'CUSTOMER_A', 3, NULL, 80.0, NULL, '==', 'nA'),
+('SAFE_LAUNCH', 'SL1', 1, 6.0, 44.0, '>=', '<=', 'V'), ('SAFE_LAUNCH', 'SL1', 2, 1000.0, 90000.0, NULL, NULL, 'V'),
+('SAFE_LAUNCH', 'SL1', 3, NULL, 0.09, NULL, NULL, 'V'), ('SAFE_LAUNCH', 'SL1', 4, NULL, NULL, NULL, NULL, 'mOhm'))
+AS t(evaluation_type, evaluation_scope_key, test_item_id, lsl, usl, lower_operator, upper_operator, unit_code)"""
 
 BIN_SETS = """
 SELECT CAST(bin_mapping_set_id AS BIGINT) AS bin_mapping_set_id, mapping_name, scope_code,

@@ -141,15 +141,31 @@ FROM spec_res r CROSS JOIN items i
 LEFT JOIN spec_items a ON a.spec_set_id = r.spec_set_id AND a.test_item_id = i.test_item_id
 LEFT JOIN spec_items b ON b.spec_set_id = r.spec_set_id AND b.test_item_id IS NULL AND b.parameter_code = i.parameter_code"""
 
-SPEC_APPLIED = """
+def moved(value: str, places: str) -> str:
+    """A decimal number with its point moved, as text and back."""
+    text = f"CAST({value} AS VARCHAR)"
+    own = f"CASE WHEN contains({text}, 'e') THEN CAST(split_part({text}, 'e', 2) AS INT) ELSE 0 END"
+    return f"CAST(split_part({text}, 'e', 1) || 'e' || ({own} + {places}) AS DOUBLE)"
+
+
+_PLACES = "CAST(round(log10(f.factor)) - round(log10(g.factor)) AS INT)"
+
+SPEC_APPLIED = f"""
 SELECT l.*, CASE WHEN spec_item_id IS NOT NULL THEN 'SPEC'
                  WHEN binding_status <> 'CONFIG_AMBIGUOUS' AND (program_lsl IS NOT NULL OR program_usl IS NOT NULL)
                  THEN 'PROGRAM' ELSE 'NONE' END AS limit_source,
-       CASE WHEN spec_item_id IS NOT NULL THEN l.lsl * (f.factor / g.factor) WHEN binding_status <> 'CONFIG_AMBIGUOUS' THEN program_lsl END AS lsl_applied,
-       CASE WHEN spec_item_id IS NOT NULL THEN l.usl * (f.factor / g.factor) WHEN binding_status <> 'CONFIG_AMBIGUOUS' THEN program_usl END AS usl_applied,
+       CASE WHEN spec_item_id IS NOT NULL THEN {moved('l.lsl', _PLACES)} WHEN binding_status <> 'CONFIG_AMBIGUOUS' THEN program_lsl END AS lsl_applied,
+       CASE WHEN spec_item_id IS NOT NULL THEN {moved('l.usl', _PLACES)} WHEN binding_status <> 'CONFIG_AMBIGUOUS' THEN program_usl END AS usl_applied,
        spec_item_id IS NULL OR (f.factor IS NOT NULL AND f.unit_code = g.unit_code) AS unit_ok
 FROM spec_lim l LEFT JOIN factors f ON f.unit_raw = l.limit_unit LEFT JOIN factors g ON g.unit_raw = l.unit_raw"""
 
+SCOPE_APPLIED = f"""
+SELECT s.evaluation_type, s.evaluation_scope_key, s.test_item_id, s.lower_operator_applied, s.upper_operator_applied,
+       {moved('s.lsl_applied', _PLACES)} AS lsl_applied, {moved('s.usl_applied', _PLACES)} AS usl_applied,
+       f.factor IS NOT NULL AND f.unit_code = g.unit_code AS unit_ok
+FROM scope_limits s JOIN items i ON i.test_item_id = s.test_item_id LEFT JOIN factors f ON f.unit_raw = s.unit_code
+LEFT JOIN factors g ON g.unit_raw = i.unit_raw"""
+
 EVALS = """
 SELECT m.*, a.spec_binding_id, a.spec_item_id, a.n_candidates, a.lower_operator AS lower_operator_applied,
        a.upper_operator AS upper_operator_applied, a.limit_source, a.lsl_applied, a.usl_applied,
@@ -273,6 +289,7 @@ VIEWS = {
     "spec_res": SPEC_RES,
     "spec_lim": SPEC_LIM,
     "spec_applied": SPEC_APPLIED,
+    "scope_applied": SCOPE_APPLIED,
     "evals": EVALS,
     "cp_runs": CP_RUNS,
     "dvr": DVR,

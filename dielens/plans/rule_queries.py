@@ -75,19 +75,19 @@ def _(spark, sf):
 
 
 JUDGED = """SELECT m.measurement_id, k.evaluation_type, k.evaluation_scope_key,
- CASE WHEN s.test_item_id IS NULL THEN 'NO_MATCH' WHEN m.measurement_status <> 'MEASURED' THEN 'NOT_EVALUATED' WHEN s.lsl_applied IS NULL AND s.usl_applied IS NULL THEN 'NOT_EVALUATED'
+ CASE WHEN s.test_item_id IS NULL THEN 'NO_MATCH' WHEN m.measurement_status <> 'MEASURED' OR NOT s.unit_ok THEN 'NOT_EVALUATED' WHEN s.lsl_applied IS NULL AND s.usl_applied IS NULL THEN 'NOT_EVALUATED'
   WHEN s.upper_operator_applied = '==' THEN 'NOT_EVALUATED'
   WHEN m.value_numeric < s.lsl_applied OR (s.lower_operator_applied = '>' AND m.value_numeric <= s.lsl_applied) THEN 'FAIL'
   WHEN m.value_numeric > s.usl_applied OR (s.upper_operator_applied = '<' AND m.value_numeric >= s.usl_applied) THEN 'FAIL'
   ELSE 'PASS' END AS evaluation_result
 FROM meas m CROSS JOIN (SELECT DISTINCT evaluation_type, evaluation_scope_key FROM scope_limits) k
-LEFT JOIN scope_limits s ON s.test_item_id = m.test_item_id AND s.evaluation_type = k.evaluation_type
+LEFT JOIN scope_applied s ON s.test_item_id = m.test_item_id AND s.evaluation_type = k.evaluation_type
  AND s.evaluation_scope_key = k.evaluation_scope_key"""
 
 
 @query("evaluate_multi_scope", JUDGED)
 def _(spark, sf):
-    judged = rules.evaluate_multi_scope(fx.meas(spark, sf), inline(spark, "scope_limits"))
+    judged = rules.evaluate_multi_scope(fx.meas(spark, sf), inline(spark, "scope_limits"), inline(spark, "factors"))
     return judged.select("measurement_id", "evaluation_type", "evaluation_scope_key", "evaluation_result")
 
 

@@ -281,14 +281,14 @@ def _(spark, sf):
 @query(
     "evaluate_safe_launch",
     """SELECT measurement_id, 'SAFE_LAUNCH' AS evaluation_type, 'LAUNCH' AS evaluation_scope_key,
- CASE WHEN s.test_item_id IS NULL THEN 'NO_MATCH' WHEN measurement_status <> 'MEASURED' THEN 'NOT_EVALUATED' WHEN value_numeric < s.lsl_applied OR value_numeric > s.usl_applied
+ CASE WHEN s.test_item_id IS NULL THEN 'NO_MATCH' WHEN measurement_status <> 'MEASURED' OR NOT s.unit_ok THEN 'NOT_EVALUATED' WHEN value_numeric < s.lsl_applied OR value_numeric > s.usl_applied
  OR s.lsl_applied IS NULL AND s.usl_applied IS NULL THEN CASE WHEN s.lsl_applied IS NULL AND s.usl_applied IS NULL THEN 'NOT_EVALUATED' ELSE 'FAIL' END
  ELSE 'PASS' END AS evaluation_result
-FROM meas m LEFT JOIN scope_limits s ON s.test_item_id = m.test_item_id AND s.evaluation_scope_key = 'SL1'""",
+FROM meas m LEFT JOIN scope_applied s ON s.test_item_id = m.test_item_id AND s.evaluation_scope_key = 'SL1'""",
 )
 def _(spark, sf):
     tight = inline(spark, "scope_limits").where("evaluation_scope_key = 'SL1'")
-    judged = quality.evaluate_safe_launch(fx.meas(spark, sf), tight, "LAUNCH")
+    judged = quality.evaluate_safe_launch(fx.meas(spark, sf), tight, "LAUNCH", inline(spark, "factors"))
     return judged.select("measurement_id", "evaluation_type", "evaluation_scope_key", "evaluation_result")
 
 

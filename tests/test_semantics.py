@@ -138,6 +138,67 @@ def test_units_without_ids_do_not_share_a_key(rows):
     keys = [r["logical_unit_key"] for r in found.collect()]
     assert len(set(keys)) == 4
     assert None not in keys
+    same = ("P", "L", "W", None, 1, "r")
+    mixed = rows(schema, (*same, "5", 9, None, "u1"), (*same, None, 5, None, "u2"), (*same, None, None, 5, "u3"), *[(*same, *[None] * 4)] * 2)
+    assert clean.logical_unit_key(mixed, "CP").select("logical_unit_key").distinct().count() == 5
+    with pytest.raises(ValueError, match="vendor_unit_id"):
+        clean.logical_unit_key(mixed.drop("vendor_unit_id", "unit_sequence", "source_row_no", "unit_id"), "CP")
+
+
+FACTORS = [("V", "V", 1.0), ("mV", "V", 1e-3), ("A", "uA", 1e6), ("uA", "uA", 1.0), ("nA", "uA", 1e-3), ("pA", "uA", 1e-6), ("ft", "m", 0.3048), ("m", "m", 1.0)]
+
+
+@pytest.mark.parametrize(("limit_unit", "value_unit", "places"), [("V", "mV", 3), ("mV", "V", -3), ("A", "nA", 9), ("uA", "nA", 3), ("nA", "uA", -3), ("pA", "A", -12)])
+def test_a_value_on_the_limit_passes_in_every_unit(rows, spark, limit_unit, value_unit, places):
+    """All limits of two decimals from 0.01 to 29.99; the value is the same number written in its own unit."""
+    factors = rows("unit_raw string, unit_code string, factor double", *FACTORS)
+    from decimal import Decimal
+
+    sweep = [(limit_unit, value_unit, "SPEC", k / 100, k / 100, float(Decimal(k).scaleb(places - 2))) for k in range(1, 3000)]
+    limits = rules.convert_limits(rows(LIMITS + ", value_numeric double", *sweep), factors).withColumns(
+        {
+            "raw_value": F.lit(""), "measurement_status": F.lit("MEASURED"), "binding_status": F.lit("MATCHED"), "n_candidates": F.lit(1),
+            "lower_operator_applied": F.lit(">="), "upper_operator_applied": F.lit("<="),
+        }
+    )
+    assert rules.evaluate_spec(limits).where("evaluation_result <> 'PASS'").count() == 0
+
+
+def test_units_without_a_power_of_ten_are_multiplied(rows):
+    factors = rows("unit_raw string, unit_code string, factor double", *FACTORS)
+    got = rules.convert_limits(rows(LIMITS, ("ft", "m", "SPEC", 10.0, float("inf"))), factors).first()
+    assert got["lsl_applied"] == pytest.approx(3.048) and got["usl_applied"] == float("inf") and got["unit_ok"]
+
+
+def test_ten_thousand_boundaries_in_any_order(rows):
+    """Most boundaries in one hour, some years away, some on microseconds; every event has the slot a search gives."""
+    import bisect
+    import random
+
+    rng, base = random.Random(2), datetime(2020, 1, 1)
+    bounds = [base + timedelta(microseconds=rng.randrange(3_600_000_000)) for _ in range(9_990)]
+    bounds += [datetime(1900 + 17 * k, 1, 1) for k in range(10)]
+    rule = rows("effective_from_utc timestamp_ntz, effective_to_utc timestamp_ntz", *[(b, None) for b in bounds])
+    events = [base + timedelta(seconds=rng.uniform(-100, 4000)) for _ in range(3000)] + rng.sample(bounds, 500)
+    facts = rows("at timestamp_ntz, k long", *[(e, i) for i, e in enumerate(events)], (None, -1))
+    known = sorted(set(bounds))
+    got = {r["k"]: r["__slot"] for r in rules.slotted(facts, "at", rule).collect()}
+    assert got == {-1: -1, **{i: bisect.bisect_right(known, e) for i, e in enumerate(events)}}
+
+
+def test_scopes_in_their_own_units(rows):
+    meas = rows(
+        "measurement_id long, test_item_id long, unit_raw string, value_numeric double, raw_value string, measurement_status string",
+        (1, 1, "V", 4.03, "4.03", "MEASURED"), (2, 1, "mV", 4030.0, "4030", "MEASURED"), (3, 2, "uA", 5.0, "5", "MEASURED"),
+    )
+    limits = rows(
+        "evaluation_type string, evaluation_scope_key string, test_item_id long, lsl_applied double, usl_applied double, "
+        "lower_operator_applied string, upper_operator_applied string, unit_code string",
+        ("SPEC", "A", 1, 4.03, 9.0, None, None, "V"), ("SPEC", "B", 1, 1.0, 4030.0, None, None, "mV"), ("SPEC", "B", 2, 1.0, 9.0, None, None, "V"),
+    )
+    judged = rules.evaluate_multi_scope(meas, limits, rows("unit_raw string, unit_code string, factor double", *FACTORS))
+    found = {(r["measurement_id"], r["evaluation_scope_key"]): r["evaluation_reason"] for r in judged.collect()}
+    assert found == {(1, "A"): "SPEC", (2, "A"): "SPEC", (1, "B"): "SPEC", (2, "B"): "SPEC", (3, "A"): "NO_BINDING", (3, "B"): "UNIT"}
 
 
 def test_numbers_are_read_as_a_whole(rows):
