@@ -1,20 +1,26 @@
 """Data-quality rules, the publish gate and generic constraint checks.
 
-A rule returns issue rows: rule_code, run_id, entity_type, entity_key,
-source_column, raw_value, message.  Severity comes from the pinned rule-set
-version in ``dq_issues``.
+A rule returns issue rows: rule_code, scope_type, scope_key, run_id,
+entity_type, entity_key, source_column, source_row_no, raw_value, message.  The
+scope says what the finding stands against: a RUN, a FILE, a BATCH, a LOT, or
+ALL.  Severity comes from the pinned rule-set version in ``dq_issues``;
+``scope_closure`` brings every scope down to runs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dielens.functions.columns import any_of, share
-from dielens.functions.shuffles import join_sized
+from dielens.functions.shuffles import join_sized, settled
+
+RUN = ("RUN", "run_id")
+ALL = ("ALL", None)
 
 
 def _issues(
@@ -25,19 +31,25 @@ def _issues(
     message: Column | str,
     column: Column | str | None = None,
     raw: Column | str | None = None,
-    run: str | None = "run_id",
+    scope: tuple[str, str | None] = RUN,
 ) -> DataFrame:
     def text(value) -> Column:
         value = F.lit(value) if value is None or isinstance(value, str) else value
         return value.cast("string")
 
     key = F.col(entity_key) if isinstance(entity_key, str) else entity_key
+    kind, scope_column = scope
+    scope_key = (F.col(scope_column) if scope_column else F.lit(None)).cast("string")
+    row = F.col("source_row_no") if "source_row_no" in df.columns else F.lit(None)
     return df.select(
         F.lit(code).alias("rule_code"),
-        (F.col(run) if run else F.lit(None)).cast("string").alias("run_id"),
+        F.lit(kind).alias("scope_type"),
+        scope_key.alias("scope_key"),
+        (scope_key if kind == "RUN" else F.lit(None).cast("string")).alias("run_id"),
         F.lit(entity_type).alias("entity_type"),
         key.cast("string").alias("entity_key"),
         text(column).alias("source_column"),
+        row.cast("long").alias("source_row_no"),
         (F.col(raw) if isinstance(raw, str) else text(raw)).cast("string").alias("raw_value"),
         text(message).alias("message"),
     )
@@ -45,12 +57,12 @@ def _issues(
 
 def dq_unknown_format(detected: DataFrame) -> DataFrame:
     bad = detected.where("detection_status <> 'DETECTED'")
-    return _issues(bad, "DQ_UNKNOWN_FORMAT", "receipt", "receipt_id", F.col("detection_status"), raw="candidates", run="import_batch_id")
+    return _issues(bad, "DQ_UNKNOWN_FORMAT", "receipt", "receipt_id", F.col("detection_status"), raw="candidates", scope=("FILE", "receipt_id"))
 
 
 def dq_mixed_format_version(conflicts: DataFrame) -> DataFrame:
     return _issues(
-        conflicts, "DQ_MIXED_FORMAT_VERSION", "import_batch", "import_batch_id", F.col("kind"), raw="n_values", run="import_batch_id"
+        conflicts, "DQ_MIXED_FORMAT_VERSION", "import_batch", "import_batch_id", F.col("kind"), raw="n_values", scope=("BATCH", "import_batch_id")
     )
 
 
@@ -79,10 +91,14 @@ def dq_bin_rule_unknown(bins: DataFrame) -> DataFrame:
     return _issues(bad, "DQ_BIN_RULE_UNKNOWN", "bin", key, F.col("mapping_status"), "soft_bin", "soft_bin")
 
 
-def dq_row_reconciliation(counts: DataFrame, items_per_unit: int) -> DataFrame:
-    """Source rows must equal units, and measurements must equal units times items."""
-    broken = (F.col("row_count_input") != F.col("unit_count_output")) | (
-        F.col("measurement_count_output") != F.col("unit_count_output") * items_per_unit
+def dq_row_reconciliation(counts: DataFrame, items: DataFrame) -> DataFrame:
+    """Source rows must equal units, and measurements must equal units times the items of the run's own program.
+
+    ``items``: run_id, n_items.  A run whose program has no item list breaks the contract.
+    """
+    counts = counts.join(items.select("run_id", "n_items"), "run_id", "left")
+    broken = (F.col("row_count_input") != F.col("unit_count_output")) | ~F.coalesce(
+        F.col("measurement_count_output") == F.col("unit_count_output") * F.col("n_items"), F.lit(False)
     )
     found = F.concat_ws("/", "row_count_input", "unit_count_output", "measurement_count_output")
     return _issues(counts.where(broken), "DQ_ROW_RECONCILIATION", "run", "run_id", "row counts break the contract", raw=found)
@@ -91,7 +107,7 @@ def dq_row_reconciliation(counts: DataFrame, items_per_unit: int) -> DataFrame:
 def dq_unknown_timezone(runs: DataFrame) -> DataFrame:
     """Unknown zone, and use of the supplier's default, are both shown; neither blocks."""
     bad = runs.where("timezone_resolution IN ('UNKNOWN', 'SUPPLIER_DEFAULT')")
-    return _issues(bad, "DQ_UNKNOWN_TIMEZONE", "run", "unit_id", F.col("timezone_resolution"), raw="source_timezone_iana", run="lot_id")
+    return _issues(bad, "DQ_UNKNOWN_TIMEZONE", "run", "unit_id", F.col("timezone_resolution"), raw="source_timezone_iana")
 
 
 def dq_duplicate_cp_coordinate(units: DataFrame) -> DataFrame:
@@ -119,13 +135,13 @@ def dq_invalid_numeric_value(meas: DataFrame, limit: float) -> DataFrame:
 
 def dq_ft_missing_stable_unit_id(units: DataFrame) -> DataFrame:
     return _issues(
-        units.where("serial_no IS NULL"), "DQ_FT_MISSING_STABLE_UNIT_ID", "unit", "unit_id", "no serial number", "serial_no", run="lot_id"
+        units.where("serial_no IS NULL"), "DQ_FT_MISSING_STABLE_UNIT_ID", "unit", "unit_id", "no serial number", "serial_no"
     )
 
 
 def dq_unparseable_time(rows: DataFrame, column: str, fmt: str, key: str, run: str) -> DataFrame:
     bad = rows.where(F.col(column).isNotNull() & F.try_to_timestamp(F.col(column), F.lit(fmt)).isNull())
-    return _issues(bad, "DQ_UNPARSEABLE_TIME", "row", key, "time cannot be read", column, column, run)
+    return _issues(bad, "DQ_UNPARSEABLE_TIME", "row", key, "time cannot be read", column, column, ("RUN", run))
 
 
 def dq_test_item_conflict(items: DataFrame, keys: Sequence[str], definition: Sequence[str]) -> DataFrame:
@@ -133,7 +149,7 @@ def dq_test_item_conflict(items: DataFrame, keys: Sequence[str], definition: Seq
     texts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in definition]
     distinct = items.select(*keys, F.concat_ws("|", *texts).alias("__definition")).distinct()
     twice = distinct.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return _issues(twice, "DQ_TEST_ITEM_CONFLICT", "test_item", F.concat_ws("/", *keys), "definitions differ", raw="n", run=None)
+    return _issues(twice, "DQ_TEST_ITEM_CONFLICT", "test_item", F.concat_ws("/", *keys), "definitions differ", raw="n", scope=ALL)
 
 
 def dq_not_tested_ratio(meas: DataFrame, limit: float) -> DataFrame:
@@ -155,11 +171,11 @@ def dq_corrupt_file(manifest: DataFrame) -> DataFrame:
     empty = F.coalesce(F.length("content"), F.lit(0)) == 0
     changed = F.sha2("content", 256) != F.col("announced_sha256")
     bad = manifest.withColumn("__why", F.when(empty, "empty").when(changed, "hash mismatch")).where("__why IS NOT NULL")
-    return _issues(bad, "DQ_CORRUPT_FILE", "receipt", "receipt_id", F.col("__why"), run="import_batch_id")
+    return _issues(bad, "DQ_CORRUPT_FILE", "receipt", "receipt_id", F.col("__why"), scope=("FILE", "receipt_id"))
 
 
-def dq_issues(issue_frames: Sequence[DataFrame], rule_version: DataFrame) -> DataFrame:
-    """All issues with the severity, blocking and waivable flags of the pinned rule-set version.
+def dq_issues(issue_frames: Sequence[DataFrame], rule_version: DataFrame, version: str | None = None) -> DataFrame:
+    """All issues with the severity, blocking and waivable flags of the pinned rule-set version, which stands on each row.
 
     A rule that the version does not have counts as a BLOCKER nobody may waive.
     """
@@ -170,46 +186,81 @@ def dq_issues(issue_frames: Sequence[DataFrame], rule_version: DataFrame) -> Dat
             "severity": F.coalesce("severity", F.lit("BLOCKER")),
             "is_blocking": F.coalesce("is_blocking", F.lit(True)),
             "waivable": F.coalesce("waivable", F.lit(False)),
+            "rule_set_version": F.lit(version),
         }
     )
 
 
+def scope_closure(runs: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """(scope_type, scope_key, run_id): the runs each scope stands for.
+
+    ``runs``: run_id, lot_id, receipt_id (null: no file); ``files``: receipt_id, import_batch_id.  A file or batch that
+    no run came from is known, with a null run: its findings concern no run.
+    """
+    own = runs.select(*[F.col(c).cast("string").alias(c) for c in ("run_id", "lot_id", "receipt_id")]).distinct()
+    by = [
+        own.select(F.lit("RUN").alias("scope_type"), F.col("run_id").alias("scope_key"), "run_id"),
+        own.select(F.lit("LOT").alias("scope_type"), F.col("lot_id").alias("scope_key"), "run_id"),
+    ]
+    if files is not None:
+        named = files.select(*[F.col(c).cast("string").alias(c) for c in ("receipt_id", "import_batch_id")]).distinct()
+        of_file = named.join(own.select("receipt_id", "run_id"), "receipt_id", "left")
+        by.append(of_file.select(F.lit("FILE").alias("scope_type"), F.col("receipt_id").alias("scope_key"), "run_id"))
+        by.append(of_file.select(F.lit("BATCH").alias("scope_type"), F.col("import_batch_id").alias("scope_key"), "run_id"))
+    return reduce(DataFrame.unionByName, by).distinct()
+
+
+def _in_scope(issues: DataFrame) -> DataFrame:
+    if "scope_type" in issues.columns:
+        return issues
+    return issues.withColumns({"scope_type": F.lit("RUN"), "scope_key": F.col("run_id").cast("string")})
+
+
 _SEVERITIES = ("BLOCKER", "ERROR", "WARNING", "INFO")
 
 
-def dq_summary(issues: DataFrame) -> DataFrame:
-    """Issues per run and resolution, one column per severity."""
-    return issues.groupBy("run_id", "resolution_status").agg(
+def dq_summary(issues: DataFrame, closure: DataFrame) -> DataFrame:
+    """Issues per run and resolution, one column per severity.
+
+    An issue counts in every run its scope stands for; those that stand for no run, or for all, are in the row of the null run.
+    """
+    names = [s.lower() for s in _SEVERITIES]
+    counted = _in_scope(issues).groupBy("scope_type", "scope_key", "resolution_status").agg(
         *[F.count_if(F.col("severity") == s).alias(s.lower()) for s in _SEVERITIES]
     )
+    return (
+        counted.join(closure, ["scope_type", "scope_key"], "left")
+        .groupBy("run_id", "resolution_status")
+        .agg(*[F.sum(n).alias(n) for n in names])
+    )
 
 
 def publish_gate(issues: DataFrame, reconciliation: DataFrame, scopes: DataFrame | None = None) -> DataFrame:
     """Whether a run may be published, with counts of what stands against it.
 
-    ``reconciliation``: run_id, reconciled.  A waived ERROR passes only where
-    its rule allows waiving; a BLOCKER never does.  Checks of files, batches and
-    lots put that key where others put the run; ``scopes`` (run_id, scope_key)
-    names the keys of each run, and an issue stands against every run of its
-    key.  An issue that meets no run stands against all, so the gate fails closed.
+    ``reconciliation``: run_id, reconciled.  A waived ERROR passes only where its rule allows waiving; a BLOCKER never
+    does.  ``scopes`` (:func:`scope_closure`) names the runs of each scope; every run is a scope of its own.  Issues
+    are counted per scope once, and the counts are carried down to the runs.  An issue of a scope nobody knows, and one
+    of scope ALL, stands against all runs, so the gate fails closed.
     """
     severity, state = F.col("severity"), F.col("resolution_status")
     blocker = (severity == "BLOCKER") & (state != "RESOLVED")
     error = (severity == "ERROR") & ((state == "OPEN") | ((state != "RESOLVED") & ~F.col("waivable")))
     rule = F.col("is_blocking") & ~severity.isin("BLOCKER", "ERROR") & (state == "OPEN")
     rule = rule | (F.col("is_blocking") & (severity == "ERROR") & (state == "IGNORED"))
-    runs = reconciliation.select("run_id", F.col("run_id").cast("string").alias("scope_key"))
-    if scopes is not None:
-        runs = runs.unionByName(scopes.select("run_id", F.col("scope_key").cast("string").alias("scope_key"))).distinct()
-    keyed = issues.withColumnRenamed("run_id", "scope_key")
-    lost = keyed.join(runs, "scope_key", "left_anti").agg(F.count_if(blocker | error | rule)).scalar()
-    counts = keyed.join(runs, "scope_key").groupBy("run_id").agg(
-        F.count_if(blocker).alias("n_blockers"),
-        F.count_if(error).alias("n_errors"),
-        F.count_if(rule).alias("n_blocking_rules"),
-    )
     names = ["n_blockers", "n_errors", "n_blocking_rules"]
-    joined = reconciliation.join(counts, "run_id", "left").fillna(0, names)
+    keys = ["scope_type", "scope_key"]
+    counted = _in_scope(issues).groupBy(*keys).agg(
+        *[F.count_if(c).alias(n) for c, n in zip((blocker, error, rule), names, strict=True)]
+    )
+    counted = settled(counted.where(" + ".join(names) + " > 0"), "gate")
+    runs = reconciliation.select(F.lit("RUN").alias("scope_type"), F.col("run_id").cast("string").alias("scope_key"), "run_id")
+    if scopes is not None:
+        typed = scopes if "scope_type" in scopes.columns else scopes.withColumn("scope_type", F.lit("RUN"))
+        runs = runs.unionByName(typed.select("scope_type", F.col("scope_key").cast("string").alias("scope_key"), "run_id")).distinct()
+    lost = counted.join(runs, keys, "left_anti").agg(F.coalesce(F.sum(F.expr(" + ".join(names))), F.lit(0))).scalar()
+    down = counted.join(runs, keys).groupBy("run_id").agg(*[F.sum(n).alias(n) for n in names])
+    joined = reconciliation.join(down, "run_id", "left").fillna(0, names)
     clear = F.col("n_blockers") + F.col("n_errors") + F.col("n_blocking_rules") == 0
     return joined.withColumn("can_publish", clear & (lost == 0) & F.coalesce("reconciled", F.lit(False)))
 
@@ -255,16 +306,60 @@ def valid_json(column: str) -> Column:
     return F.col(column).isNull() | F.try_parse_json(F.col(column)).isNotNull()
 
 
-def golden_reconcile(observed: DataFrame, expected: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Differences between observed and approved figures, in both directions.
+@dataclass
+class Level:
+    """One level of a reconciliation: the same columns from both sides, some of which are the key."""
 
-    Both sides are aggregates per key; rows found on one side only are kept.
-    """
-    metrics = [c for c in expected.columns if c not in keys]
+    name: str
+    observed: DataFrame
+    expected: DataFrame
+    keys: Sequence[str]
 
-    def long(df: DataFrame, name: str) -> DataFrame:
-        wide = df.select(*keys, *[F.col(m).cast("double").alias(m) for m in metrics])
-        return wide.unpivot(list(keys), metrics, "metric", name)
 
-    joined = long(observed, "observed").join(long(expected, "expected"), [*keys, "metric"], "full")
-    return joined.where(~F.col("observed").eqNullSafe(F.col("expected")))
+def golden_reconcile(levels: Sequence[Level], buckets: int = 4096) -> DataFrame:
+    """Differences between observed and approved rows at every level, in both directions.
+
+    Each side is folded into one digest for each bucket of keys: the number of rows and the sum of their hashes.  Only
+    the keys of buckets whose digests differ are brought together, so equal data is read and summed but not exchanged.
+    Result: level, entity_key, problem (MISSING, EXTRA, CHANGED), observed and expected (the other columns as text, or
+    the number of rows where a key is repeated).
+    """
+    found = []
+    for level in levels:
+        values = [c for c in level.expected.columns if c not in level.keys]
+
+        def marked(df: DataFrame, level=level, values=values) -> DataFrame:
+            def text(names) -> Column:
+                return F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in names])
+
+            rows = df.select(text(level.keys).alias("entity_key"), text(values).alias("text"))
+            # sums of 64-bit hashes, wide enough not to overflow
+            return rows.withColumns(
+                {
+                    "bucket": F.pmod(F.xxhash64("entity_key"), F.lit(buckets)),
+                    "hash": F.xxhash64("entity_key", "text").cast("decimal(38,0)"),
+                }
+            )
+
+        observed, expected = marked(level.observed), marked(level.expected)
+
+        def digest(rows: DataFrame, name: str) -> DataFrame:
+            return rows.groupBy("bucket").agg(F.struct(F.count("*"), F.sum("hash")).alias(name))
+
+        both = digest(observed, "o").join(digest(expected, "e"), "bucket", "full")
+        differing = settled(both.where("NOT (o <=> e)").select("bucket"), "reconcile")
+
+        def opened(rows: DataFrame, name: str, differing=differing) -> DataFrame:
+            n = F.count("*")
+            shown = F.when(n == 1, F.max("text")).otherwise(F.concat(n.cast("string"), F.lit(" rows")))
+            inside = rows.join(differing, "bucket", "left_semi")
+            return inside.groupBy("entity_key").agg(shown.alias(name), F.struct(n, F.sum("hash")).alias(f"__{name}"))
+
+        sides = opened(observed, "observed").join(opened(expected, "expected"), "entity_key", "full")
+        problem = F.when(F.col("__observed").isNull(), "MISSING").when(F.col("__expected").isNull(), "EXTRA").otherwise("CHANGED")
+        found.append(
+            sides.where("NOT (__observed <=> __expected)").select(
+                F.lit(level.name).alias("level"), "entity_key", problem.alias("problem"), "observed", "expected"
+            )
+        )
+    return reduce(DataFrame.unionByName, found)

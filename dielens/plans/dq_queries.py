@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from dielens.functions.shuffles import settled
 from dielens.operators import clean, dq, ingest, rules
 from dielens.plans import fixtures as fx
 from dielens.plans import ingest_queries
@@ -11,11 +12,20 @@ from dielens.plans.inline import inline
 from dielens.plans.registry import query
 
 
-def _issue(code, entity, key, message, source, column="NULL", raw="NULL", run="run_id"):
+#: The SQL of every rule, for the queries over all issues.
+RULES: list[str] = []
+
+
+def _issue(code, entity, key, message, source, column="NULL", raw="NULL", scope=("RUN", "run_id"), row="NULL"):
     """The issue shape as SQL."""
-    return f"""SELECT '{code}' AS rule_code, CAST({run} AS VARCHAR) AS run_id, '{entity}' AS entity_type,
- CAST({key} AS VARCHAR) AS entity_key, CAST({column} AS VARCHAR) AS source_column, CAST({raw} AS VARCHAR) AS raw_value,
- CAST({message} AS VARCHAR) AS message FROM {source}"""
+    kind, scope_key = scope
+    run = scope_key if kind == "RUN" else "NULL"
+    sql = f"""SELECT '{code}' AS rule_code, '{kind}' AS scope_type, CAST({scope_key} AS VARCHAR) AS scope_key,
+ CAST({run} AS VARCHAR) AS run_id, '{entity}' AS entity_type,
+ CAST({key} AS VARCHAR) AS entity_key, CAST({column} AS VARCHAR) AS source_column, CAST({row} AS BIGINT) AS source_row_no,
+ CAST({raw} AS VARCHAR) AS raw_value, CAST({message} AS VARCHAR) AS message FROM {source}"""
+    RULES.append(sql)
+    return sql
 
 
 @query(
@@ -27,7 +37,7 @@ def _issue(code, entity, key, message, source, column="NULL", raw="NULL", run="r
         "detection_status",
         "detected WHERE detection_status <> 'DETECTED'",
         raw="candidates",
-        run="import_batch_id",
+        scope=("FILE", "receipt_id"),
     ),
 )
 def _(spark, sf):
@@ -43,7 +53,7 @@ def _(spark, sf):
         "kind",
         f"({ingest_queries._CONFLICTS})",
         raw="n_values",
-        run="import_batch_id",
+        scope=("BATCH", "import_batch_id"),
     ),
 )
 def _(spark, sf):
@@ -59,6 +69,7 @@ def _(spark, sf):
         "'identity is incomplete'",
         "vendor WHERE wafer_id IS NULL OR x_coord IS NULL",
         column="concat_ws(',', CASE WHEN wafer_id IS NULL THEN 'wafer_id' END, CASE WHEN x_coord IS NULL THEN 'x_coord' END)",
+        row="source_row_no",
     ),
 )
 def _(spark, sf):
@@ -72,17 +83,20 @@ def _(spark, sf):
         "test_item",
         "run_id || '/' || col",
         "'no conversion rule'",
-        """(SELECT DISTINCT run_id, 'BVDSS' AS col, bvdss_unit AS u FROM vendor) z
- WHERE u NOT IN (SELECT unit_raw FROM factors)""",
+        """(SELECT DISTINCT run_id, unnest(['VTH', 'BVDSS', 'IDSS', 'RDSON']) AS col, unnest(['V', bvdss_unit, 'uA', 'mOhm']) AS u
+ FROM vendor) z WHERE u NOT IN (SELECT unit_raw FROM factors)""",
         column="col",
         raw="u",
     ),
 )
 def _(spark, sf):
-    used = fx.vendor(spark, sf).select(
-        "run_id", F.lit("BVDSS").alias("source_column"), F.col("bvdss_unit").alias("unit_raw")
-    )
-    return dq.dq_unknown_unit(used, inline(spark, "factors"))
+    return unknown_units(spark, sf)
+
+
+def unknown_units(spark, sf):
+    units = {"VTH": F.lit("V"), "BVDSS": F.col("bvdss_unit"), "IDSS": F.lit("uA"), "RDSON": F.lit("mOhm")}
+    named = F.array(*[F.struct(F.lit(c).alias("source_column"), u.alias("unit_raw")) for c, u in units.items()])
+    return dq.dq_unknown_unit(fx.vendor(spark, sf).select("run_id", F.inline(named)), inline(spark, "factors"))
 
 
 @query(
@@ -99,6 +113,10 @@ def _(spark, sf):
     ),
 )
 def _(spark, sf):
+    return ambiguous_specs(spark, sf)
+
+
+def ambiguous_specs(spark, sf):
     resolved = rules.resolve_spec_binding(
         fx.cp_rows(spark, sf),
         inline(spark, "bindings"),
@@ -138,10 +156,15 @@ def _(spark, sf):
     ),
 )
 def _(spark, sf):
+    return unreconciled(spark, sf)
+
+
+def unreconciled(spark, sf):
     raw = fx.vendor(spark, sf)
-    return dq.dq_row_reconciliation(
-        clean.run_output_counts(raw, raw.where("wafer_id IS NOT NULL"), fx.meas(spark, sf)), 4
-    )
+    n_items = inline(spark, "items").agg(F.count("*")).scalar()
+    items = raw.select("run_id").distinct().withColumn("n_items", n_items)
+    counts = clean.run_output_counts(raw, raw.where("wafer_id IS NOT NULL"), fx.meas(spark, sf))
+    return dq.dq_row_reconciliation(counts, items)
 
 
 @query(
@@ -153,7 +176,6 @@ def _(spark, sf):
         "CASE WHEN supplier_zone IS NULL THEN 'UNKNOWN' ELSE 'SUPPLIER_DEFAULT' END",
         "ft WHERE explicit_zone IS NULL AND (supplier_zone IS NOT NULL OR file_zone IS NULL)",
         raw="supplier_zone",
-        run="lot_id",
     ),
 )
 def _(spark, sf):
@@ -178,14 +200,21 @@ def _(spark, sf):
 
 @query(
     "dq_missing_bin",
-    _issue("DQ_MISSING_BIN", "unit", "unit_id", "'bin is blank'", "vendor WHERE soft_bin IS NULL", "'soft_bin'", "soft_bin"),
+    _issue(
+        "DQ_MISSING_BIN", "unit", "unit_id", "'bin is blank'", "vendor WHERE soft_bin IS NULL", "'soft_bin'", "soft_bin", row="source_row_no"
+    ),
 )
 def _(spark, sf):
     return dq.dq_missing_bin(fx.vendor(spark, sf))
 
 
-def parsed_vth(spark, sf):
-    long = clean.unpivot_measurements(fx.vendor(spark, sf), ["unit_id", "run_id"], {"vth": 1})
+INVALID_SHARE = 0.015
+
+
+def parsed(spark, sf):
+    long = clean.unpivot_measurements(
+        fx.vendor(spark, sf), ["unit_id", "run_id"], {"vth": 1, "bvdss": 2, "idss": 3, "rdson": 4}
+    )
     return clean.parse_measurement_value(long)
 
 
@@ -196,12 +225,12 @@ def parsed_vth(spark, sf):
         "run",
         "run_id",
         "'too many unreadable numbers'",
-        "(SELECT run_id, avg((vth = 'ERR')::INT) AS s FROM vendor GROUP BY run_id) z WHERE s > 0.06",
+        "(SELECT run_id, sum((vth = 'ERR')::INT) / (4 * count(*)) AS s FROM vendor GROUP BY run_id) z WHERE s > 0.015",
         raw="round(s, 6)",
     ),
 )
 def _(spark, sf):
-    return dq.dq_invalid_numeric_value(parsed_vth(spark, sf), 0.06)
+    return dq.dq_invalid_numeric_value(parsed(spark, sf), INVALID_SHARE)
 
 
 @query(
@@ -213,7 +242,6 @@ def _(spark, sf):
         "'no serial number'",
         "ft WHERE serial_no IS NULL",
         "'serial_no'",
-        run="lot_id",
     ),
 )
 def _(spark, sf):
@@ -227,20 +255,23 @@ def _(spark, sf):
         "row",
         "event_id",
         "'time cannot be read'",
-        """(SELECT event_id, lot_id, CASE WHEN site_no = 3 THEN strftime(source_started_local, '%d.%m.%Y')
+        """(SELECT event_id, run_id, CASE WHEN site_no = 3 THEN strftime(source_started_local, '%d.%m.%Y')
  ELSE strftime(source_started_local, '%Y-%m-%d %H:%M:%S') END AS t FROM ft) z WHERE try_strptime(t, '%Y-%m-%d %H:%M:%S') IS NULL""",
         "'started_text'",
         "t",
-        "lot_id",
     ),
 )
 def _(spark, sf):
+    return unparseable(spark, sf)
+
+
+def unparseable(spark, sf):
     started = F.col("source_started_local")
     text = F.when(F.col("site_no") == 3, F.date_format(started, "dd.MM.yyyy")).otherwise(
         F.date_format(started, "yyyy-MM-dd HH:mm:ss")
     )
     rows = fx.ft(spark, sf).withColumn("started_text", text)
-    return dq.dq_unparseable_time(rows, "started_text", "yyyy-MM-dd HH:mm:ss", "event_id", "lot_id")
+    return dq.dq_unparseable_time(rows, "started_text", "yyyy-MM-dd HH:mm:ss", "event_id", "run_id")
 
 
 @query(
@@ -252,7 +283,7 @@ def _(spark, sf):
         "'definitions differ'",
         "(SELECT p_brand, p_type, count(DISTINCT p_size) AS n FROM part GROUP BY 1, 2 HAVING count(DISTINCT p_size) > 1)",
         raw="n",
-        run="NULL",
+        scope=("ALL", "NULL"),
     ),
 )
 def _(spark, sf):
@@ -285,10 +316,14 @@ def _(spark, sf):
         "CASE WHEN coalesce(length(c), 0) = 0 THEN 'empty' ELSE 'hash mismatch' END",
         """(SELECT receipt_id, import_batch_id, sha256, CASE WHEN receipt_id % 97 = 0 THEN '' WHEN receipt_id % 89 = 0 THEN content || '!'
  ELSE content END AS c FROM receipts) z WHERE coalesce(length(c), 0) = 0 OR sha256(c) <> sha256""",
-        run="import_batch_id",
+        scope=("FILE", "receipt_id"),
     ),
 )
 def _(spark, sf):
+    return corrupt_files(spark, sf)
+
+
+def corrupt_files(spark, sf):
     id_ = F.col("receipt_id")
     damaged = (
         F.when(id_ % 97 == 0, "").when(id_ % 89 == 0, F.concat("content", F.lit("!"))).otherwise(F.col("content"))
@@ -298,77 +333,119 @@ def _(spark, sf):
 
 
 def all_issues(spark, sf):
-    rows = fx.vendor(spark, sf)
+    """The findings of all sixteen rules with their state, settled once."""
+    rows, tested = fx.vendor(spark, sf), fx.ft(spark, sf)
     found = [
-        dq.dq_unknown_identity(rows, ["wafer_id"]),
-        dq.dq_missing_bin(rows),
+        dq.dq_unknown_format(ingest.detect_format(fx.receipts(spark, sf), inline(spark, "profiles"))),
+        dq.dq_mixed_format_version(ingest_queries.conflicts(spark, sf)),
+        dq.dq_unknown_identity(rows, ["product_code", "lot_id", "wafer_id", "x_coord"]),
+        unknown_units(spark, sf),
+        ambiguous_specs(spark, sf),
+        dq.dq_bin_rule_unknown(fx.with_outcome(spark, fx.cp_rows(spark, sf))),
+        unreconciled(spark, sf),
+        dq.dq_unknown_timezone(clean.resolve_timezone(tested)),
         dq.dq_duplicate_cp_coordinate(rows),
-        dq.dq_invalid_numeric_value(parsed_vth(spark, sf), 0.06),
+        dq.dq_missing_bin(rows),
+        dq.dq_invalid_numeric_value(parsed(spark, sf), INVALID_SHARE),
+        dq.dq_ft_missing_stable_unit_id(tested),
+        unparseable(spark, sf),
+        dq.dq_test_item_conflict(fx.table(spark, sf, "part"), ["p_brand", "p_type"], ["p_size"]),
+        dq.dq_not_tested_ratio(fx.meas(spark, sf), 0.14),
+        corrupt_files(spark, sf),
     ]
-    issues = dq.dq_issues(found, inline(spark, "dq_rules"))
-    lot = F.substring("run_id", 2, 1)
+    issues = dq.dq_issues(found, inline(spark, "dq_rules"), "DQ 1.0")
+    kind, key = F.col("scope_type"), F.col("scope_key")
+    lot = F.substring("scope_key", 2, 1)
     state = (
-        F.when(lot.isin("1", "2"), "RESOLVED")
+        F.when((kind == "ALL") | lot.isin("1", "2"), "RESOLVED")
+        .when(kind == "BATCH", F.when(F.length(key) % 2 == 0, "RESOLVED").otherwise("OPEN"))
+        .when(kind == "FILE", F.when(key.cast("long") % 3 == 0, "OPEN").otherwise("RESOLVED"))
         .when((lot == "3") & (F.col("severity") == "ERROR"), "WAIVED")
         .when(lot == "3", "RESOLVED")
         .when(lot == "4", "IGNORED")
         .when(lot == "5", "WAIVED")
         .otherwise("OPEN")
     )
-    return issues.withColumn("resolution_status", state)
+    return settled(issues.withColumn("resolution_status", state), "issues")
+
+
+def closure(spark, sf):
+    probed = fx.cp_runs(spark, sf).select("run_id", "lot_id", "receipt_id")
+    tested = fx.ft(spark, sf).select("run_id", "lot_id", F.lit(None).cast("long").alias("receipt_id")).distinct()
+    return dq.scope_closure(probed.unionByName(tested), fx.receipts(spark, sf).select("receipt_id", "import_batch_id"))
+
 
+_STATED = f"""(SELECT i.*, r.severity, r.is_blocking, r.waivable, 'DQ 1.0' AS rule_set_version,
+ CASE WHEN scope_type = 'ALL' OR substr(scope_key, 2, 1) IN ('1', '2') THEN 'RESOLVED'
+ WHEN scope_type = 'BATCH' THEN CASE WHEN length(scope_key) % 2 = 0 THEN 'RESOLVED' ELSE 'OPEN' END
+ WHEN scope_type = 'FILE' THEN CASE WHEN CAST(scope_key AS BIGINT) % 3 = 0 THEN 'OPEN' ELSE 'RESOLVED' END
+ WHEN substr(scope_key, 2, 1) = '3' THEN CASE WHEN r.severity = 'ERROR' THEN 'WAIVED' ELSE 'RESOLVED' END
+ WHEN substr(scope_key, 2, 1) = '4' THEN 'IGNORED' WHEN substr(scope_key, 2, 1) = '5' THEN 'WAIVED' ELSE 'OPEN' END AS resolution_status
+ FROM ({" UNION ALL ".join(RULES)}) i JOIN dq_rules r ON r.rule_code = i.rule_code)"""
 
-_STATED = """(SELECT i.*, r.severity, r.is_blocking, r.waivable, CASE WHEN i.run_id LIKE 'L1%' OR i.run_id LIKE 'L2%' THEN 'RESOLVED'
- WHEN i.run_id LIKE 'L3%' THEN CASE WHEN r.severity = 'ERROR' THEN 'WAIVED' ELSE 'RESOLVED' END
- WHEN i.run_id LIKE 'L4%' THEN 'IGNORED' WHEN i.run_id LIKE 'L5%' THEN 'WAIVED' ELSE 'OPEN' END AS resolution_status
- FROM issues i JOIN dq_rules r ON r.rule_code = i.rule_code)"""
+_CLOSURE = """runs AS (SELECT DISTINCT run_id, lot_id, receipt_id FROM cp_runs UNION SELECT DISTINCT run_id, lot_id, NULL FROM ft),
+files AS (SELECT CAST(f.receipt_id AS VARCHAR) AS receipt_id, f.import_batch_id, r.run_id FROM receipts f
+ LEFT JOIN runs r ON r.receipt_id = f.receipt_id),
+closure AS (SELECT 'RUN' AS scope_type, run_id AS scope_key, run_id FROM runs UNION SELECT 'LOT', lot_id, run_id FROM runs
+ UNION SELECT 'FILE', receipt_id, run_id FROM files UNION SELECT 'BATCH', import_batch_id, run_id FROM files)"""
 
 
 @query(
     "dq_issues",
-    f"SELECT rule_code, run_id, entity_type, entity_key, severity, is_blocking, waivable FROM {_STATED}",
+    f"""SELECT rule_code, scope_type, scope_key, run_id, entity_type, entity_key, source_row_no, severity, is_blocking, waivable,
+ rule_set_version FROM {_STATED}""",
 )
 def _(spark, sf):
     return all_issues(spark, sf).select(
-        "rule_code", "run_id", "entity_type", "entity_key", "severity", "is_blocking", "waivable"
-    )
+        "rule_code", "scope_type", "scope_key", "run_id", "entity_type", "entity_key", "source_row_no", "severity",
+        "is_blocking", "waivable", "rule_set_version",
+    )
 
 
 @query(
     "dq_summary",
-    f"""SELECT run_id, resolution_status, count(*) FILTER (severity = 'BLOCKER') AS blocker, count(*) FILTER (severity = 'ERROR') AS error,
- count(*) FILTER (severity = 'WARNING') AS warning, count(*) FILTER (severity = 'INFO') AS info FROM {_STATED} GROUP BY 1, 2""",
+    f"""WITH {_CLOSURE}, stated AS {_STATED}
+SELECT k.run_id, resolution_status, count(*) FILTER (severity = 'BLOCKER') AS blocker, count(*) FILTER (severity = 'ERROR') AS error,
+ count(*) FILTER (severity = 'WARNING') AS warning, count(*) FILTER (severity = 'INFO') AS info
+FROM stated s LEFT JOIN closure k ON k.scope_type = s.scope_type AND k.scope_key = s.scope_key GROUP BY 1, 2""",
 )
 def _(spark, sf):
-    return dq.dq_summary(all_issues(spark, sf))
+    return dq.dq_summary(all_issues(spark, sf), closure(spark, sf))
 
 
 @query(
     "publish_gate",
-    f"""WITH s AS (SELECT run_id, count(*) FILTER (severity = 'BLOCKER' AND resolution_status <> 'RESOLVED') AS n_blockers,
+    f"""WITH {_CLOSURE}, stated AS {_STATED},
+c AS (SELECT scope_type, scope_key, count(*) FILTER (severity = 'BLOCKER' AND resolution_status <> 'RESOLVED') AS n_blockers,
  count(*) FILTER (severity = 'ERROR' AND (resolution_status = 'OPEN' OR (resolution_status <> 'RESOLVED' AND NOT waivable))) AS n_errors,
  count(*) FILTER (is_blocking AND ((severity NOT IN ('BLOCKER', 'ERROR') AND resolution_status = 'OPEN')
-   OR (severity = 'ERROR' AND resolution_status = 'IGNORED'))) AS n_blocking_rules FROM {_STATED} GROUP BY run_id),
-r AS (SELECT run_id, count(*) > 40 AS reconciled FROM cp_rows GROUP BY run_id)
+   OR (severity = 'ERROR' AND resolution_status = 'IGNORED'))) AS n_blocking_rules FROM stated GROUP BY 1, 2),
+lost AS (SELECT coalesce(sum(n_blockers + n_errors + n_blocking_rules), 0) AS n FROM c WHERE NOT EXISTS
+ (SELECT 1 FROM closure k WHERE k.scope_type = c.scope_type AND k.scope_key = c.scope_key)),
+s AS (SELECT k.run_id, CAST(sum(n_blockers) AS BIGINT) AS n_blockers, CAST(sum(n_errors) AS BIGINT) AS n_errors,
+ CAST(sum(n_blocking_rules) AS BIGINT) AS n_blocking_rules
+ FROM c JOIN closure k ON k.scope_type = c.scope_type AND k.scope_key = c.scope_key GROUP BY 1),
+r AS (SELECT run_id, count(*) > 40 AS reconciled FROM cp_rows GROUP BY run_id UNION ALL SELECT DISTINCT run_id, true FROM ft)
 SELECT r.run_id, r.reconciled, coalesce(n_blockers, 0) AS n_blockers, coalesce(n_errors, 0) AS n_errors,
  coalesce(n_blocking_rules, 0) AS n_blocking_rules,
- coalesce(n_blockers, 0) + coalesce(n_errors, 0) + coalesce(n_blocking_rules, 0) = 0 AND reconciled AS can_publish
+ coalesce(n_blockers, 0) + coalesce(n_errors, 0) + coalesce(n_blocking_rules, 0) = 0 AND reconciled AND (SELECT n FROM lost) = 0 AS can_publish
 FROM r LEFT JOIN s ON s.run_id = r.run_id""",
 )
 def _(spark, sf):
-    reconciled = fx.cp_rows(spark, sf).groupBy("run_id").agg((F.count(F.lit(1)) > 40).alias("reconciled"))
-    return dq.publish_gate(all_issues(spark, sf), reconciled)
+    probed = fx.cp_rows(spark, sf).groupBy("run_id").agg((F.count(F.lit(1)) > 40).alias("reconciled"))
+    tested = fx.ft(spark, sf).select("run_id").distinct().withColumn("reconciled", F.lit(True))
+    return dq.publish_gate(all_issues(spark, sf), probed.unionByName(tested), closure(spark, sf))
 
 
 @query(
     "dq_waiver_violations",
-    f"""SELECT rule_code, run_id, entity_key, resolution_status,
+    f"""SELECT rule_code, scope_key, entity_key, resolution_status,
  CASE WHEN severity = 'BLOCKER' AND resolution_status IN ('WAIVED', 'IGNORED') THEN 'BLOCKER_' || resolution_status ELSE 'NOT_WAIVABLE' END AS violation
 FROM {_STATED} WHERE (severity = 'BLOCKER' AND resolution_status IN ('WAIVED', 'IGNORED')) OR (resolution_status = 'WAIVED' AND NOT waivable)""",
 )
 def _(spark, sf):
     bad = dq.dq_waiver_violations(all_issues(spark, sf))
-    return bad.select("rule_code", "run_id", "entity_key", "resolution_status", "violation")
+    return bad.select("rule_code", "scope_key", "entity_key", "resolution_status", "violation")
 
 
 @query(
@@ -409,23 +486,80 @@ def _(spark, sf):
     return dq.check_violations(rows, "audit_id", checks)
 
 
+#: The figures of each level: its key and what is counted, over (unit_id, lot_id, wafer_id, x_coord, soft_bin, passed, value columns).
+_LEVELS = {
+    "UNIT": (["unit_id"], "concat_ws('|', lot_id, coalesce(wafer_id, '-'), coalesce(CAST(x_coord AS VARCHAR), '-'))"),
+    "WAFER": (["lot_id", "wafer_id"], "count(*)"),
+    "BIN": (["lot_id", "soft_bin"], "count(*)"),
+    "YIELD": (["lot_id"], "concat_ws('|', count(*), sum(passed))"),
+    "PARAMETER": (["lot_id", "parameter"], "concat_ws('|', count(*), sum(measured))"),
+}
+
+
+def _sql_level(name: str, side: str) -> str:
+    keys, value = _LEVELS[name]
+    rows = f"{side}_long" if name == "PARAMETER" else side
+    key = ", ".join(f"coalesce({k}, '-')" for k in keys)
+    grouped = "" if name == "UNIT" else f" GROUP BY {', '.join(keys)}"
+    return f"SELECT '{name}' AS level, concat_ws('|', {key}) AS k, CAST({value} AS VARCHAR) AS v FROM {rows}{grouped}"
+
+
+def _sql_long(side: str) -> str:
+    return f"""{side}_long AS (SELECT lot_id, unnest(['VTH', 'BVDSS', 'IDSS', 'RDSON']) AS parameter,
+ unnest([TRY_CAST(vth AS DOUBLE) IS NOT NULL, TRY_CAST(bvdss AS DOUBLE) IS NOT NULL, TRY_CAST(idss AS DOUBLE) IS NOT NULL,
+ TRY_CAST(rdson AS DOUBLE) IS NOT NULL])::INT AS measured FROM {side})"""
+
+
+_COLUMNS = "unit_id, lot_id, wafer_id, x_coord, soft_bin, CASE WHEN first_fail IS NULL THEN 1 ELSE 0 END AS passed, vth, bvdss, idss, rdson"
+
+
 @query(
     "golden_reconcile",
-    """WITH o AS (SELECT lot_id, CAST(count(*) AS DOUBLE) AS units, CAST(count(DISTINCT wafer_id) AS DOUBLE) AS wafers FROM vendor
- WHERE lot_id <> 'L9' GROUP BY lot_id),
-e AS (SELECT lot_id, CAST(count(*) AS DOUBLE) AS units, CAST(count(DISTINCT wafer_id) AS DOUBLE) AS wafers FROM cp_rows
- WHERE run_attempt_no = 0 OR lot_id <> 'L8' GROUP BY lot_id),
-ol AS (SELECT lot_id, 'units' AS metric, units AS v FROM o UNION ALL SELECT lot_id, 'wafers', wafers FROM o),
-el AS (SELECT lot_id, 'units' AS metric, units AS v FROM e UNION ALL SELECT lot_id, 'wafers', wafers FROM e)
-SELECT coalesce(ol.lot_id, el.lot_id) AS lot_id, coalesce(ol.metric, el.metric) AS metric, ol.v AS observed, el.v AS expected
-FROM ol FULL JOIN el ON ol.lot_id = el.lot_id AND ol.metric = el.metric WHERE ol.v IS DISTINCT FROM el.v""",
+    f"""WITH observed AS (SELECT {_COLUMNS} FROM vendor),
+expected AS (SELECT CASE WHEN l_orderkey % 499 = 0 THEN concat(unit_id, '-gone') ELSE unit_id END AS unit_id, lot_id, wafer_id,
+ x_coord, soft_bin, CASE WHEN first_fail IS NULL THEN 1 ELSE 0 END AS passed, CAST(l_quantity AS VARCHAR) AS vth,
+ CASE WHEN first_fail < 2 THEN '' WHEN l_extendedprice > 100000 THEN 'OVER' ELSE CAST(l_extendedprice AS VARCHAR) END AS bvdss,
+ CASE WHEN first_fail < 3 THEN '' ELSE CAST(l_discount AS VARCHAR) END AS idss,
+ CASE WHEN first_fail < 4 THEN '' ELSE CAST(l_tax AS VARCHAR) END AS rdson FROM cp_rows WHERE l_orderkey % 503 <> 0),
+{_sql_long("observed")}, {_sql_long("expected")},
+o AS ({" UNION ALL ".join(_sql_level(n, "observed") for n in _LEVELS)}),
+e AS ({" UNION ALL ".join(_sql_level(n, "expected") for n in _LEVELS)})
+SELECT coalesce(o.level, e.level) AS level, coalesce(o.k, e.k) AS entity_key,
+ CASE WHEN o.k IS NULL THEN 'MISSING' WHEN e.k IS NULL THEN 'EXTRA' ELSE 'CHANGED' END AS problem, o.v AS observed, e.v AS expected
+FROM o FULL JOIN e ON o.level = e.level AND o.k = e.k WHERE o.v IS DISTINCT FROM e.v""",
 )
 def _(spark, sf):
-    def figures(df):
-        return df.groupBy("lot_id").agg(
-            F.count(F.lit(1)).alias("units"), F.countDistinct("wafer_id").alias("wafers")
-        )
-
-    observed = figures(fx.vendor(spark, sf).where("lot_id <> 'L9'"))
-    expected = figures(fx.cp_rows(spark, sf).where("run_attempt_no = 0 OR lot_id <> 'L8'"))
-    return dq.golden_reconcile(observed, expected, ["lot_id"])
+    """The cleaned vendor rows against an approved list in which some units have another id and some are absent."""
+    golden = fx.cp_rows(spark, sf).where("l_orderkey % 503 <> 0")
+    other = F.when(F.col("l_orderkey") % 499 == 0, F.concat("unit_id", F.lit("-gone"))).otherwise(F.col("unit_id"))
+    skipped = {i: F.coalesce(F.col("first_fail") < i, F.lit(False)) for i in (2, 3, 4)}
+    golden = golden.withColumns(
+        {
+            "unit_id": other,
+            "vth": F.col("l_quantity").cast("string"),
+            "bvdss": F.when(skipped[2], "").when(F.col("l_extendedprice") > 100000, "OVER").otherwise(F.col("l_extendedprice").cast("string")),
+            "idss": F.when(skipped[3], "").otherwise(F.col("l_discount").cast("string")),
+            "rdson": F.when(skipped[4], "").otherwise(F.col("l_tax").cast("string")),
+        }
+    )
+    return dq.golden_reconcile(
+        [dq.Level(n, *[figures(df, n) for df in (fx.vendor(spark, sf), golden)], _LEVELS[n][0]) for n in _LEVELS]
+    )
+
+
+def figures(df, level):
+    """The figures of one level."""
+    keys = _LEVELS[level][0]
+    if level == "UNIT":
+        return df.select("unit_id", "lot_id", "wafer_id", "x_coord")
+    if level == "PARAMETER":
+        read = {"VTH": "vth", "BVDSS": "bvdss", "IDSS": "idss", "RDSON": "rdson"}
+        each = [
+            F.struct(F.lit(p).alias("parameter"), F.expr(f"try_cast({c} AS double) IS NOT NULL").cast("int").alias("measured"))
+            for p, c in read.items()
+        ]
+        return df.select("lot_id", F.inline(F.array(*each))).groupBy(*keys).agg(F.count("*").alias("n"), F.sum("measured").alias("measured"))
+    counts = [F.count("*").alias("n")]
+    if level == "YIELD":
+        counts.append(F.count_if(F.col("first_fail").isNull()).alias("passed"))
+    return df.groupBy(*keys).agg(*counts)

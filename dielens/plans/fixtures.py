@@ -181,6 +181,7 @@ def ft(spark: SparkSession, sf: str) -> DataFrame:
         (user % 10).alias("supplier_id"),
         F.when(event % 10 != 0, event.cast("string")).alias("serial_no"),
         F.concat(F.lit("T"), event % 4).alias("tester_id"),
+        F.concat(F.lit("FT"), user % 20, F.lit("/T"), event % 4).alias("run_id"),
         result.alias("overall_result"),
         F.lit("IGSS").alias("parameter_code"),
         c("value").alias("value_numeric"),
@@ -205,6 +206,8 @@ def receipts(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select(
         d.alias("receipt_id"),
         F.col("source").alias("import_batch_id"),
+        F.when(d % 333 == 0, "PX").otherwise("P1").alias("product_code"),
+        F.when(d % 250 == 7, "MILLI").otherwise("SI").alias("unit_contract"),
         F.concat("source", F.lit("/"), d, F.lit(".txt")).alias("original_file_name"),
         F.col("text").alias("content"),
         F.sha2("text", 256).alias("sha256"),

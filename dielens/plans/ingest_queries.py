@@ -66,8 +66,12 @@ def _(spark, sf):
     return ingest.check_file_roles(members, inline(spark, "contracts"))
 
 
-_CONFLICTS = """SELECT import_batch_id, 'PROFILE' AS kind, count(DISTINCT candidates) AS n_values, min(candidates) AS least,
- max(candidates) AS greatest FROM detected WHERE detection_status = 'DETECTED' GROUP BY 1 HAVING count(DISTINCT candidates) > 1"""
+_CONFLICTS = """WITH m AS (SELECT r.import_batch_id, CASE WHEN d.detection_status = 'DETECTED' THEN d.candidates END AS profile,
+  r.product_code, r.unit_contract FROM receipts r JOIN detected d ON d.receipt_id = r.receipt_id),
+v AS (SELECT import_batch_id, 'PROFILE' AS kind, profile AS value FROM m UNION ALL SELECT import_batch_id, 'PRODUCT', product_code FROM m
+ UNION ALL SELECT import_batch_id, 'UNIT_CONTRACT', unit_contract FROM m)
+SELECT import_batch_id, kind, count(DISTINCT value) AS n_values, min(value) AS least, max(value) AS greatest FROM v
+GROUP BY 1, 2 HAVING count(DISTINCT value) > 1"""
 
 
 @query("check_input_set_conflicts", _CONFLICTS)
@@ -77,5 +81,6 @@ def _(spark, sf):
 
 def conflicts(spark, sf):
     found = ingest.detect_format(fx.receipts(spark, sf), inline(spark, "profiles"))
-    known = found.where("detection_status = 'DETECTED'")
-    return ingest.check_input_set_conflicts(known, {"PROFILE": "candidates"})
+    members = found.withColumn("profile", F.when(F.col("detection_status") == "DETECTED", F.col("candidates")))
+    kinds = {"PROFILE": "profile", "PRODUCT": "product_code", "UNIT_CONTRACT": "unit_contract"}
+    return ingest.check_input_set_conflicts(members, kinds)

@@ -51,7 +51,7 @@ FT = """
 SELECT CAST(event_id AS VARCHAR) AS unit_id, 'FT' AS test_stage, concat('FT', user_id % 20) AS lot_id,
        concat('P', user_id % 4) AS product_code, user_id % 10 AS supplier_id,
        CASE WHEN event_id % 10 = 0 THEN NULL ELSE CAST(event_id AS VARCHAR) END AS serial_no,
-       concat('T', event_id % 4) AS tester_id,
+       concat('T', event_id % 4) AS tester_id, concat('FT', user_id % 20, '/T', event_id % 4) AS run_id,
        CASE event_type WHEN 'error' THEN 'FAIL' WHEN 'view' THEN 'ABORT' WHEN 'signup' THEN 'UNKNOWN' ELSE 'PASS' END AS overall_result,
        'IGSS' AS parameter_code, value AS value_numeric, 'MEASURED' AS measurement_status, props AS condition_json,
        ts AS source_started_local, event_id AS unit_sequence, event_id,
@@ -62,7 +62,8 @@ SELECT CAST(event_id AS VARCHAR) AS unit_id, 'FT' AS test_stage, concat('FT', us
 FROM events"""
 
 RECEIPTS = """
-SELECT doc_id AS receipt_id, source AS import_batch_id, concat(source, '/', doc_id, '.txt') AS original_file_name,
+SELECT doc_id AS receipt_id, source AS import_batch_id, CASE WHEN doc_id % 333 = 0 THEN 'PX' ELSE 'P1' END AS product_code,
+       CASE WHEN doc_id % 250 = 7 THEN 'MILLI' ELSE 'SI' END AS unit_contract, concat(source, '/', doc_id, '.txt') AS original_file_name,
        text AS content, sha256(text) AS sha256, n_chars AS file_size,
        TIMESTAMP '2024-01-01 00:00:00' + to_minutes(doc_id) AS received_at_utc,
        CASE doc_id % 5 WHEN 0 THEN 'DETAIL' WHEN 1 THEN 'DETAIL' WHEN 2 THEN 'SPEC' WHEN 3 THEN 'YIELD' ELSE 'MANIFEST' END AS file_role,
@@ -261,17 +262,9 @@ SELECT r.receipt_id, r.import_batch_id, r.original_file_name, CAST(count(p.forma
 FROM receipts r LEFT JOIN profiles p ON p.status = 'RELEASED' AND contains(r.content, p.signature)
 GROUP BY r.receipt_id, r.import_batch_id, r.original_file_name)"""
 
-ISSUES = """
-SELECT 'DQ_UNKNOWN_IDENTITY' AS rule_code, run_id, 'unit' AS entity_type, unit_id AS entity_key FROM vendor WHERE wafer_id IS NULL
-UNION ALL SELECT 'DQ_MISSING_BIN', run_id, 'unit', unit_id FROM vendor WHERE soft_bin IS NULL
-UNION ALL SELECT 'DQ_DUPLICATE_CP_COORDINATE', run_id, 'die', concat_ws('/', run_id, x_coord, y_coord, attempt_no) FROM vendor
- WHERE x_coord IS NOT NULL GROUP BY run_id, x_coord, y_coord, attempt_no HAVING count(*) > 1
-UNION ALL SELECT 'DQ_INVALID_NUMERIC_VALUE', run_id, 'run', run_id FROM vendor GROUP BY run_id HAVING avg((vth = 'ERR')::INT) > 0.06"""
-
 VIEWS = {
     "vendor": VENDOR,
     "detected": DETECTED,
-    "issues": ISSUES,
     **TABLES,
     "cp_rows": CP_ROWS,
     "cp": CP,

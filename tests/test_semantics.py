@@ -246,3 +246,54 @@ def test_overlapping_program_versions_are_reported_and_do_not_multiply(rows):
         ("Q", 2): (3, "MATCHED"), ("Q", 7): (3, "MATCHED"), ("Q", 10): (3, "MATCHED"),
         **{("R", d): (None, "NO_MATCH") for d in (2, 7, 10)},
     }
+
+
+def test_an_issue_of_one_run_does_not_close_its_lot(rows):
+    runs = rows("run_id string, lot_id string, receipt_id long", ("a", "L", 1), ("b", "L", 2), ("c", "M", None))
+    files = rows("receipt_id long, import_batch_id string", (1, "in"), (2, "in"), (9, "in"), (8, "alone"))
+    closure = dq.scope_closure(runs, files)
+    state = rows("run_id string, reconciled boolean", ("a", True), ("b", True), ("c", True))
+    version = rows("rule_code string, severity string, is_blocking boolean, waivable boolean", ("X", "BLOCKER", True, False))
+
+    def open_runs(kind, key):
+        issue = rows("rule_code string, scope_type string, scope_key string, resolution_status string", ("X", kind, key, "OPEN"))
+        gate = dq.publish_gate(dq.dq_issues([issue], version, "v1"), state, closure)
+        return {r["run_id"] for r in gate.where("can_publish").collect()}
+
+    assert open_runs("RUN", "a") == {"b", "c"}
+    assert open_runs("LOT", "L") == {"c"}
+    assert open_runs("FILE", "2") == {"a", "c"}
+    assert open_runs("BATCH", "in") == {"c"}
+    assert open_runs("FILE", "9") == open_runs("BATCH", "alone") == {"a", "b", "c"}
+    assert open_runs("FILE", "77") == open_runs("ALL", None) == open_runs("RUN", "zz") == set()
+    summary = dq.dq_summary(
+        dq.dq_issues([rows("rule_code string, scope_type string, scope_key string, resolution_status string", ("X", "BATCH", "in", "OPEN"), ("X", "ALL", None, "OPEN"))], version),
+        closure,
+    )
+    assert {(r["run_id"], r["blocker"]) for r in summary.collect()} == {("a", 1), ("b", 1), (None, 2)}
+
+
+def test_row_counts_are_held_against_the_program_of_the_run(rows):
+    counts = rows(
+        "run_id string, row_count_input long, unit_count_output long, measurement_count_output long",
+        ("a", 5, 5, 20), ("b", 5, 5, 20), ("c", 5, 5, 20), ("d", 6, 5, 20),
+    )
+    found = dq.dq_row_reconciliation(counts, rows("run_id string, n_items long", ("a", 4), ("b", 5), ("d", 4)))
+    assert {r["scope_key"] for r in found.collect()} == {"b", "c", "d"}
+
+
+@pytest.mark.parametrize("buckets", [1, 7, 4096])
+def test_reconciliation_finds_every_difference(rows, buckets):
+    schema = "k string, j long, v long, t string"
+    base = [(f"k{i}", i % 3, i, "t") for i in range(200)]
+    observed = rows(schema, *base[5:], ("extra", 1, 1, "t"), ("k9", 0, 9, "t"), (None, 1, 1, None))
+    expected = rows(schema, *base[:50], *[(k, j, v + (v == 60), t) for k, j, v, t in base[50:]], (None, 1, 1, "x"))
+    same = dq.Level("SAME", observed, observed, ["k", "j"])
+    found = dq.golden_reconcile([dq.Level("ROW", observed, expected, ["k", "j"]), same], buckets).collect()
+    assert {(r["level"], r["entity_key"], r["problem"], r["observed"], r["expected"]) for r in found} == {
+        *[("ROW", f"k{i}|{i % 3}", "MISSING", None, f"{i}|t") for i in range(5)],
+        ("ROW", "extra|1", "EXTRA", "1|t", None),
+        ("ROW", "k9|0", "CHANGED", "2 rows", "9|t"),
+        ("ROW", "k60|0", "CHANGED", "60|t", "61|t"),
+        ("ROW", "-|1", "CHANGED", "1|-", "1|x"),
+    }
