@@ -4,8 +4,10 @@ A document is the set of its word shingles.  One permutation shuffles the number
 circularly by k, gives the k-th coordinate of the signature, so two permutations make all of them.  Bands of
 coordinates give buckets.  Documents with equal sets form a class first; in a bucket the classes are compared with one
 hub, not with each other, and links are confirmed on the full sets.  Classes of a bucket that are then still in
-different components are compared with other hubs, and what is left after that by signature inside the bucket, so no
-link is lost; bands of five rows keep texts that only share a passage out of common buckets.
+different components are compared with other hubs.  Of what is left after that, a class can only have a link if enough
+of its shingles occur in another component at all; the shingles are counted, which drops copies with too many changes
+of their own, and the rest is compared by signature inside the bucket, so no link is lost.  Bands of five rows keep
+texts that only share a passage out of common buckets.
 """
 
 from __future__ import annotations
@@ -121,13 +123,29 @@ def _sets(docs: DataFrame, ids: DataFrame, width: int, id_col: str, text_col: st
 def _alike(n_a: Column, n_b: Column, brief_a: Column, brief_b: Column, percent: int, least: int) -> Column:
     """Whether sizes and signatures allow a link.
 
-    Sizes exclude exactly.  ``least`` equal coordinates are so far below those of a link that one is lost with a chance
-    below 1e-9; it spares reading the full sets of unlike texts.
+    Sizes exclude exactly.  ``least`` equal coordinates are so far below those of a link that one at 75 % is lost with a
+    chance of about 3e-6, that of sharing no band; it spares reading the full sets of unlike texts.
     """
     equal = F.size(F.filter(F.zip_with(brief_a, brief_b, lambda x, y: x == y), lambda x: x))
     return (100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b)) & (equal >= least)
 
 
+def _possible(rest: DataFrame, about: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The members (key, rep, c, n, brief, shared) of open buckets that can have a link to another component.
+
+    ``shared`` counts the shingles of a class that another component has too; an intersection is no larger.  A link
+    needs ``percent * (n_a + n_b) <= (100 + percent) * intersection``, and n_b is the least of the bucket at best.
+    """
+    own = rest.select("rep", "c").distinct()
+    tokens = sets.join(own, F.col("doc_id") == F.col("rep")).select("rep", "c", F.explode("shingles").alias("shingle"))
+    common = tokens.groupBy("shingle").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("shingle")
+    counted = tokens.join(common, "shingle").groupBy("rep").agg(F.count("*").alias("shared"))
+    known = rest.join(about, "rep").join(counted, "rep")
+    smallest = known.groupBy("key").agg(F.min("n").alias("smallest"))
+    able = known.join(smallest, "key").where((100 + percent) * F.col("shared") >= percent * (F.col("n") + F.col("smallest")))
+    return able.select("key", "rep", "c", "n", "brief", "shared")
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
     one = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("left"))
@@ -173,7 +191,7 @@ def near_duplicates(
     about = reps.join(ids.withColumnRenamed("doc_id", "rep"), "rep", "left_semi").dropDuplicates(["rep"])
     about = settled(about.select("rep", F.col("n_shingles").alias("n"), "brief"), "minhash-briefs")
     sets = settled(_sets(docs, ids, width, id_col, text_col), "minhash-sets")
-    least = bands * rows // 2
+    least = bands * rows * (percent - 13) // 100
 
     def checked(pairs: DataFrame) -> DataFrame:
         for k in ("a", "b"):
@@ -206,11 +224,14 @@ def near_duplicates(
             pairs = checked(tried.distinct())
         else:
             # what is left: classes of one bucket and different components, compared by signature inside the join
-            known = compact(at.join(about, "rep"), n, "minhash-rest")
+            known = compact(_possible(at, about, sets, percent), n, "minhash-rest")
+            two = known.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
+            known = compact(known.join(two, "key"), n, "minhash-rest")
             sides = [
-                known.select(*[F.col(c).alias(f"{c}_{k}") for c in ("key", "rep", "c", "n", "brief")]) for k in ("a", "b")
+                known.select(*[F.col(c).alias(f"{c}_{k}") for c in ("key", "rep", "c", "n", "brief", "shared")]) for k in ("a", "b")
             ]
-            fits = _alike(*map(F.col, ("n_a", "n_b", "brief_a", "brief_b")), percent, least)
+            enough = (100 + percent) * F.least("shared_a", "shared_b") >= percent * (F.col("n_a") + F.col("n_b"))
+            fits = enough & _alike(*map(F.col, ("n_a", "n_b", "brief_a", "brief_b")), percent, least)
             on = (F.col("key_a") == F.col("key_b")) & (F.col("c_a") < F.col("c_b")) & fits
             pairs = sides[0].join(sides[1], on).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct()
         new = settled(_confirmed(pairs, sets, percent), "minhash-links")
