@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from dielens.functions.shuffles import join_sized, settled
 from dielens.llm.text import batch, map_arrow, on_workers, slices, spread, texts_of
 from dielens.llm.words import Texts, byte_class, covered
 
@@ -40,19 +41,27 @@ class SuffixArray:
         self.depth = depth
         self.known, rank = np.unique(names, return_inverse=True)
         owner = np.repeat(np.arange(len(n_words)), n_words)
-        self.place = np.arange(len(names)) + owner  # of a word among words and ends
-        words = np.zeros(len(names) + len(n_words) + depth + 3, np.int64)
-        words[self.place] = rank + 1
-        self.words, self.word_at = words, np.zeros(len(words), np.int64)
-        self.word_at[self.place] = np.arange(len(names))
+        place = np.arange(len(names), dtype=np.int32) + owner.astype(np.int32)  # of a word among words and ends
+        words = np.zeros(len(names) + len(n_words) + depth + 3, np.int32)
+        words[place] = rank + 1
+        self.words, self.place = words, place
         bits = int(len(self.known) + 1).bit_length()
         per = min(63 // bits, depth)  # the padding holds no more than the depth
-        key = lambda at: sum(words[at + k] << (bits * (per - 1 - k)) for k in range(per))
-        order = self.place
+        
+        def key(at: np.ndarray) -> np.ndarray:
+            out = np.zeros(len(at), np.int64)
+            for k in range(per):
+                out <<= bits
+                out |= words[at + k]
+            return out
+
+        order = place
         first = key(order)
         by = np.argsort(first, kind="stable")
-        order, same = order[by], first[by]
-        group = np.concatenate([[0], np.cumsum(same[1:] != same[:-1])]) if len(order) else order
+        order, first = order[by], first[by]
+        group = np.zeros(len(order), np.int32)
+        np.cumsum(first[1:] != first[:-1], out=group[1:])
+        del first, by
         for done in range(per, depth, per):
             tied = np.zeros(len(order), bool)
             if len(order):
@@ -68,7 +77,7 @@ class SuffixArray:
             split = np.zeros(len(order), bool)
             more, own = more[by], group[rows]
             split[rows[1:]] = (more[1:] != more[:-1]) & (own[1:] == own[:-1])
-            group = group + np.cumsum(split)
+            group += np.cumsum(split, dtype=np.int32)
         self.order = order
 
     def ranks(self, names: np.ndarray) -> np.ndarray:
@@ -130,30 +139,53 @@ class TestSet:
         windows = np.where(steps < size[:, None], ranks[self.start[rows][:, None] + steps], 0)
         lo, hi = shard.find(windows, size)
         at = shard.order[spread(lo, hi - lo)]
-        return np.repeat(rows, hi - lo), shard.word_at[at]
+        return np.repeat(rows, hi - lo), np.searchsorted(shard.place, at)
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple[str, str]]]:
-    """The items in blocks of about ``block_bytes``, one at a time on the driver."""
+#: Bytes of text in a shard; a longer text is a shard of its own.
+SHARD = 2_000_000
+
+
+def _blocks(
+    benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int
+) -> tuple[int, Iterator[list[tuple[str, str]]]]:
+    """The number of blocks of about ``block_bytes``, and their items, one block at a time on the driver."""
     items = benchmark.select(
         F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"),
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
     )
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = -(-total // block_bytes) or 1
-    for k in range(n):
-        own = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k) if n > 1 else items
-        yield [(r["item"], r["text"]) for r in own.distinct().toLocalIterator()]
 
+    def each() -> Iterator[list[tuple[str, str]]]:
+        for k in range(n):
+            own = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k) if n > 1 else items
+            yield [(r["item"], r["text"]) for r in own.distinct().toLocalIterator()]
 
-def _search(tests: TestSet, part: pa.RecordBatch) -> list:
-    """The columns of SCHEMA after the text key, for the documents of one shard."""
-    texts = Texts(part.column("text"), lower=True)
+    return n, each()
+
+
+def _occurrences(tests: TestSet, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words of each text of a shard, and (test window, word of the shard) of every occurrence."""
+    texts = Texts(column, lower=True)
     start, end = texts.runs(INSIDE)
     names, n_words = texts.names(start, end), texts.per_text(start)
-    shard = SuffixArray(names, n_words, tests.length)
-    window, word = tests.matches(shard)
-    n, first = len(names), np.cumsum(n_words) - n_words
+    del texts, start, end
+    return n_words, *tests.matches(SuffixArray(names, n_words, tests.length))
+
+
+def _clean(tests: TestSet, column: pa.Array, share: int) -> np.ndarray:
+    """Which texts of a shard are not contaminated."""
+    n_words, window, word = _occurrences(tests, column)
+    hit = covered(word, tests.size[window], int(n_words.sum()))
+    n_hit = np.bincount(np.repeat(np.arange(len(n_words)), n_words)[hit], minlength=len(n_words))
+    return ~((n_hit > 0) & (share * n_hit >= n_words))
+
+
+def _search(tests: TestSet, part: pa.RecordBatch) -> list:
+    """The columns of SCHEMA after the text key, for the documents of one shard."""
+    n_words, window, word = _occurrences(tests, part.column("text"))
+    n, first = int(n_words.sum()), np.cumsum(n_words) - n_words
     owner = np.repeat(np.arange(len(n_words)), n_words)
     size = tests.size[window]
     flags = np.concatenate([[False], covered(word, size, n), [False]])
@@ -215,14 +247,17 @@ def find_matches(
          ("items", pa.list_(pa.string())), ("longest", pa.int64()), ("longest_at", pa.int64()), ("longest_item", pa.string())]
     )
     passes = []
-    for items in _blocks(benchmark, item_col, item_text_col, block_bytes):
+    n, blocks = _blocks(benchmark, item_col, item_text_col, block_bytes)
+    for items in blocks:
 
         def run(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
             tests = TestSet(items, length)
-            for part in (part for b in batches for part in slices(b, size=6_000_000)):
+            for part in (part for b in batches for part in slices(b, size=SHARD)):
                 yield batch(out, part.column("doc_id"), part.column("text_key"), *_search(tests, part))
 
-        passes.append(map_arrow(source, run, SCHEMA))
+        found = map_arrow(source, run, SCHEMA)
+        # of several blocks only one is on the driver: the finds of each are written before the next is fetched
+        passes.append(found if n == 1 else settled(found, "decontaminate"))
     if len(passes) == 1:
         return passes[0]
     return _merged(passes)
@@ -266,14 +301,33 @@ def judged(found: DataFrame, share: int = 20) -> DataFrame:
     )
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, share: int = 20, **options) -> DataFrame:
-    """``docs`` without the contaminated rows; all columns stay."""
-    id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
-    bad = judged(find_matches(docs, benchmark, **options), share).where("contaminated")
+def decontaminate(
+    docs: DataFrame, benchmark: DataFrame, share: int = 20, length: int = 13, block_bytes: int = 16_000_000,
+    id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
+) -> DataFrame:
+    """``docs`` without the contaminated rows; all columns stay, whatever their names.
+
+    Texts are judged by themselves, so rows with a null id are judged too and repeated rows stay or go together.  Null
+    and empty texts stay; an empty benchmark drops nothing; an empty table gives no rows.  A benchmark of one block is
+    searched while the documents pass through, without an exchange.
+    """
+    n, blocks = _blocks(benchmark, item_col, item_text_col, block_bytes)
+    if n == 1:
+        items = next(blocks)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            tests = TestSet(items, length)
+            for part in (part for b in batches for part in slices(b, text_col, SHARD)):
+                yield part.filter(pa.array(_clean(tests, part.column(text_col).cast(pa.string()), share), pa.bool_()))
+
+        return on_workers(docs).mapInArrow(run, docs.schema)
+    options = {"length": length, "block_bytes": block_bytes, "id_col": id_col, "text_col": text_col}
+    found = find_matches(docs, benchmark, item_col=item_col, item_text_col=item_text_col, **options)
+    bad = judged(found, share).where("contaminated")
     bad = bad.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct()
     key = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (key == F.col("__key"))
-    return on_workers(docs).join(bad, same, "left_anti")
+    named = on_workers(docs).withColumns({"__id": F.col(id_col).cast("long"), "__key": key})
+    return join_sized(named, bad, ["__id", "__key"], "left_anti").drop("__id", "__key")
 
 
 def items_digest(items: str = "items"):

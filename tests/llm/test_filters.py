@@ -51,6 +51,8 @@ def test_decontaminate(spark, hard, plain, items, block_bytes):
             assert all(hit[r["longest_at"] : r["longest_at"] + r["longest"]])
     assert rows[4]["longest"] == len(WORD.findall(plain[4][1]))
     left = decontaminate.decontaminate(hard, benchmark)
+    again = decontaminate.decontaminate(hard, benchmark, block_bytes=block_bytes)
+    assert left.columns == hard.columns and sorted(left.collect(), key=repr) == sorted(again.collect(), key=repr)
     assert left.columns == hard.columns
     kept = {r["doc_id"] for r in left.select("doc_id").collect()}
     assert kept == {i for i, r in rows.items() if not r["contaminated"]}
