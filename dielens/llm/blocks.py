@@ -119,11 +119,11 @@ def listed(answers: DataFrame, name: str = "answers") -> DataFrame:
 
 
 def shared_names(
-    blocks: DataFrame, parts: int, hot: int, names_of: Callable[[Block], tuple[np.ndarray, np.ndarray, np.ndarray]]
+    blocks: DataFrame, parts: int, hot: int, names_of: Callable[[Block, dict], tuple[np.ndarray, np.ndarray, np.ndarray]]
 ) -> DataFrame:
     """(block, part, said): two rows of bits for the names of the block in the part: not alone, and hot.
 
-    ``names_of`` gives the sorted different names of a block, which are not alone inside it already, and how often each
+    ``names_of`` gives, for a block and its row, the sorted different names, which are not alone inside it already, and how often each
     occurs.  A name is hot that occurs more than ``hot`` times in the corpus (a block counts up to 255 of its own).
     """
     message = pa.schema(
@@ -134,7 +134,7 @@ def shared_names(
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_of(batches):
             block = Block.of(row)
-            names, twice, often = names_of(block)
+            names, twice, often = names_of(block, row)
             often = np.minimum(often, 255).astype(np.uint8)
             at = cut(names, parts)
             full = np.flatnonzero(at[1:] > at[:-1]).tolist()

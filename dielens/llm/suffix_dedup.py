@@ -6,7 +6,8 @@ whose gram is in one document only cannot repeat.  Windows that share their gram
 different string of a block.  The strings of a part of the gram space meet in one task, where their suffixes are
 sorted by passes of eight bytes, the most significant first; suffixes alone in their group drop out, and groups that
 are left after the last pass are exactly the repeated windows.  The windows of a hot gram, such as the border of a
-passage that very many documents share, travel one by one and are spread by their whole content.
+passage that very many documents share, travel one by one and are spread by their whole content; their names go first,
+and only windows that another document has too are sent with their bytes.
 """
 
 from __future__ import annotations
@@ -51,6 +52,19 @@ def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (width - done)], x[width - done :]) if done < width else x
 
 
+def different(names: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The sorted different names, which are in more than one document, and how often each occurs."""
+    order = np.lexsort((docs, names))
+    name, doc = names[order], docs[order]
+    edge = np.ones(len(name), bool)
+    edge[1:] = name[1:] != name[:-1]
+    twice = np.zeros(len(name), bool)
+    twice[1:] = ~edge[1:] & (doc[1:] != doc[:-1])
+    groups = np.cumsum(edge) - 1
+    n = int(edge.sum())
+    return name[edge], np.bincount(groups, twice, n) > 0, np.bincount(groups, minlength=n)
+
+
 class Strings:
     """The windows of a block in runs that have the same gram: start, number of windows, gram name, document."""
 
@@ -84,15 +98,19 @@ class Strings:
 
     def different_grams(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The sorted different grams, which are in more than one document of the block, and how often each occurs."""
-        order = np.lexsort((self.doc, self.gram))
-        gram, doc = self.gram[order], self.doc[order]
-        edge = np.ones(len(gram), bool)
-        edge[1:] = gram[1:] != gram[:-1]
-        twice = np.zeros(len(gram), bool)
-        twice[1:] = ~edge[1:] & (doc[1:] != doc[:-1])
-        groups = np.cumsum(edge) - 1
-        n = int(edge.sum())
-        return gram[edge], np.bincount(groups, twice, n) > 0, np.bincount(groups, minlength=n)
+        return different(self.gram, self.doc)
+
+    def different_windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The same of the single windows of hot grams, after :meth:`keep_shared`."""
+        return different(self.gram[self.whole :], self.doc[self.whole :])
+
+    def keep_known(self, parts: int, answers: list[dict] | None) -> None:
+        """Of the single windows only those that other documents have too."""
+        names = self.gram[self.whole :]
+        different_names = np.unique(names)
+        shared = B.bits(different_names, parts, answers)[0][np.searchsorted(different_names, names)]
+        some = np.concatenate([np.arange(self.whole), self.whole + np.flatnonzero(shared)])
+        self.start, self.count, self.gram, self.doc = self.start[some], self.count[some], self.gram[some], self.doc[some]
 
     def keep_shared(self, parts: int, answers: list[dict] | None) -> None:
         """Only strings whose gram other documents have too; those of a hot gram window by window."""
@@ -104,6 +122,7 @@ class Strings:
         self.start, self.doc = np.concatenate([self.start[whole], start]), np.concatenate([self.doc[whole], doc])
         self.count = np.concatenate([self.count[whole], np.ones(len(start), np.int64)])
         self.gram = np.concatenate([self.gram[whole], self.named()[len(whole) :]])
+        self.whole = len(whole)
 
     def named(self) -> np.ndarray:
         """The name of each whole string."""
@@ -147,6 +166,7 @@ def _strings_to_parts(rows: Iterator[dict], window: int, gram: int, parts: int)
     for row in rows:
         own = Strings(B.Block.of(row), window, gram)
         own.keep_shared(parts, row["shared"])
+        own.keep_known(parts, row["known"])
         names = own.named()
         first, _ = own.firsts(names)
         first = first[np.argsort(own.gram[first], kind="stable")]
@@ -270,8 +290,15 @@ def dedup(
         raise ValueError("gram must have 8 bytes at least, and window - gram be 63 at most")
     table, plan = B.store(docs, id_col, text_col)
     parts = plan.parts
-    grams = B.shared_names(table, parts, hot, lambda block: Strings(block, window, gram).different_grams())
+    grams = B.shared_names(table, parts, hot, lambda block, _: Strings(block, window, gram).different_grams())
     known = table.join(B.listed(grams, "shared"), "block", "left")
+
+    def windows(block: B.Block, row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        own = Strings(block, window, gram)
+        own.keep_shared(parts, row["shared"])
+        return own.different_windows()
+
+    known = known.join(B.listed(B.shared_names(known, parts, hot, windows), "known"), "block", "left")
     sent = map_arrow(
         known,
         lambda batches: _strings_to_parts(B.rows_of(batches), window, gram, parts),
