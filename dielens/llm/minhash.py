@@ -209,7 +209,11 @@ def near_duplicates(
         at = members.join(named, "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("c"))
         open_ = at.groupBy("key").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least < most")
         open_ = compact(open_.select("key", "least"), n, "minhash-open")
-        at = compact(at.join(open_, "key"), n, "minhash-apart")
+        at = compact(at.join(open_, "key").select("key", "rep", "c"), n, "minhash-apart")
+        # classes that cannot have a link to another component leave, and with them the buckets that are of one then
+        able = compact(_possible(at, about, sets, percent), n, "minhash-able")
+        two = able.groupBy("key").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least < most")
+        at = compact(able.join(two.select("key", "least"), "key"), n, "minhash-apart")
         n = at.count()
         if not n:
             break
@@ -224,11 +228,8 @@ def near_duplicates(
             pairs = checked(tried.distinct())
         else:
             # what is left: classes of one bucket and different components, compared by signature inside the join
-            known = compact(_possible(at, about, sets, percent), n, "minhash-rest")
-            two = known.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
-            known = compact(known.join(two, "key"), n, "minhash-rest")
             sides = [
-                known.select(*[F.col(c).alias(f"{c}_{k}") for c in ("key", "rep", "c", "n", "brief", "shared")]) for k in ("a", "b")
+                at.select(*[F.col(c).alias(f"{c}_{k}") for c in ("key", "rep", "c", "n", "brief", "shared")]) for k in ("a", "b")
             ]
             enough = (100 + percent) * F.least("shared_a", "shared_b") >= percent * (F.col("n_a") + F.col("n_b"))
             fits = enough & _alike(*map(F.col, ("n_a", "n_b", "brief_a", "brief_b")), percent, least)
