@@ -8,9 +8,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from dielens.functions.columns import measured, ntz, share
 from dielens.functions.shuffles import exact_quantiles, join_sized
+from dielens.session import scratch_folder
 
 # What each filter name selects on, and the page sizes on offer.
 FILTER_COLUMNS = {
@@ -113,6 +115,43 @@ def page(
     return kept.withColumns({"page": F.lit(page), "page_size": F.lit(size), "total": total})
 
 
+class PageIndex:
+    """Rows of one pinned version in page order, cut into ranges with their counts.
+
+    Built once for a (version, filter, order); a page reads only the one or two ranges its rows lie in, however far down
+    it is, and orders only those.  The total belongs to the same rows.
+    """
+
+    def __init__(self, df: DataFrame, sort: Sequence[str], tie: str = "unit_id", ranges: int | None = None):
+        self.order, self.columns = _ordered(sort, tie), df.columns
+        ranged = df.repartitionByRange(ranges, *self.order) if ranges else df.repartitionByRange(*self.order)
+        path = scratch_folder(df.sparkSession, "pages")
+        ranged.withColumn("__range", F.spark_partition_id()).write.partitionBy("__range").parquet(path)
+        schema = StructType([*df.schema.fields, StructField("__range", IntegerType())])
+        self.rows = df.sparkSession.read.schema(schema).parquet(path)
+        # one count for each range; file footers answer it
+        counts = sorted(map(tuple, self.rows.groupBy("__range").count().collect()))
+        self.total, self.starts = 0, []
+        for number, n in counts:
+            self.starts.append((number, self.total, n))
+            self.total += n
+
+    def page(self, page: int, size: int = 200) -> DataFrame:
+        """One page (from 1) with the total on every row; past the end it is empty."""
+        if size not in PAGE_SIZES:
+            raise ValueError(f"page size must be one of {PAGE_SIZES}")
+        if page < 1:
+            raise ValueError("pages count from 1")
+        begin = (page - 1) * size
+        touched = [(r, start) for r, start, n in self.starts if start < begin + size and begin < start + n]
+        skip = begin - touched[0][1] if touched else 0
+        rows = self.rows.where(F.col("__range").isin([r for r, _ in touched])).select(*self.columns)
+        kept = rows.orderBy(*self.order).offset(skip).limit(size)
+        return kept.withColumns(
+            {"page": F.lit(page), "page_size": F.lit(size), "total": F.lit(self.total).cast("long")}
+        )
+
+
 def top_k(df: DataFrame, by: Sequence[str], k: int, tie: str) -> DataFrame:
     return df.orderBy(*_ordered(by, tie)).limit(k)
 

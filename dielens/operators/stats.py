@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dielens.functions.columns import measured, share
+from dielens.functions.moments import pair_moments
 from dielens.functions.shuffles import exact_quantiles, join_null_safe, join_sized, numbered, over_blocks, settled
 
 QUARTILES = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
@@ -109,12 +110,20 @@ def histogram_normal(meas: DataFrame, keys: Sequence[str], lo: float, hi: float,
     )
 
 
-def capability(meas: DataFrame, limits: DataFrame, keys: Sequence[str], subgroup: Sequence[str]) -> DataFrame:
+def capability(meas: DataFrame, limits: DataFrame | None, keys: Sequence[str], subgroup: Sequence[str]) -> DataFrame:
     """Cp/Cpk from the pooled within-subgroup deviation, Pp/Ppk from the overall one.
 
     One-sided where a limit is missing.  No spread or fewer than two values
-    gives null and a reason, never infinity.  ``limits``: parameter_code, lsl, usl.
+    gives null and a reason, never infinity.  ``limits``: parameter_code, lsl,
+    usl.  Without them every row carries the limits resolved for it
+    (``lsl_applied``, ``usl_applied``): moments are kept per limit set and each
+    set under a key is a row of its own, so values are never held against the
+    limits of another lot or product.
     """
+    shown = list(keys)
+    if limits is None:
+        meas = meas.withColumns({"lsl": F.col("lsl_applied"), "usl": F.col("usl_applied")})
+        keys = [*keys, "lsl", "usl"]
     per_group = settled(_moments(meas, [*keys, *subgroup]))
     freedom = F.sum(F.greatest(F.col("n") - 1, F.lit(0)))
     merged = _overall(per_group, keys)
@@ -122,7 +131,9 @@ def capability(meas: DataFrame, limits: DataFrame, keys: Sequence[str], subgroup
         F.sqrt(F.sum("m2") / F.when(freedom > 0, freedom)).alias("std_within"),
         F.sum("n_total").alias("n_total"),
     )
-    figures = join_null_safe(merged, pooled, keys, "inner").join(limits, "parameter_code", "left")
+    figures = join_null_safe(merged, pooled, keys, "inner")
+    if limits is not None:
+        figures = figures.join(limits, "parameter_code", "left")
     mean, lsl, usl = F.col("mean"), F.col("lsl"), F.col("usl")
 
     def indices(std: str) -> tuple[Column, Column]:
@@ -137,7 +148,7 @@ def capability(meas: DataFrame, limits: DataFrame, keys: Sequence[str], subgroup
         .when(F.coalesce(F.col("std_within"), F.lit(0.0)) <= 0, "NO_WITHIN_SPREAD")
     )
     return figures.select(
-        *keys,
+        *shown,
         "n_total",
         "n_used",
         "mean",
@@ -172,7 +183,8 @@ def _overall(per_group: DataFrame, keys: Sequence[str]) -> DataFrame:
 def low_capability_risk(cap: DataFrame, threshold: float, k: int) -> DataFrame:
     """The k worst parameters under a Cpk threshold."""
     names = [c for c in cap.columns if cap.schema[c].dataType.simpleString() == "string"]
-    return cap.where(F.col("cpk") < threshold).orderBy("cpk", *names).limit(k)
+    limits = [c for c in ("lsl", "usl") if c in cap.columns]
+    return cap.where(F.col("cpk") < threshold).orderBy("cpk", *names, *limits).limit(k)
 
 
 def _wide(meas: DataFrame, unit: Sequence[str], params: Sequence[str]) -> DataFrame:
@@ -200,25 +212,31 @@ def scatter_pairs(meas: DataFrame, px: str, py: str, rate: int, unit: Sequence[s
 def correlation_matrix(
     meas: DataFrame, params: Sequence[str], keys: Sequence[str] = (), unit: Sequence[str] = ("unit_id",)
 ) -> DataFrame:
-    """Pairwise Pearson coefficient over units that have both values.
+    """Pairwise Pearson coefficient over units that have both values; null where one of them does not vary.
 
-    All pairs of the listed parameters are aggregates of one pass over the
-    per-unit row; no pair of rows is joined.
+    The values of a unit are one list; cross products are folded block by block (:func:`pair_moments`), so thousands
+    of parameters are one plan and no pair of rows or of columns is an expression.  Values are taken from the mean of
+    their parameter, which keeps the sums exact enough.
     """
-    wide = _wide(meas, [*keys, *unit], params)
-    entries = []
-    for i, a in enumerate(params):
-        for j in range(i + 1, len(params)):
-            both = F.col(f"__v{i}").isNotNull() & F.col(f"__v{j}").isNotNull()
-            entries.append(
-                F.struct(
-                    F.lit(a).alias("parameter_x"),
-                    F.lit(params[j]).alias("parameter_y"),
-                    F.count_if(both).alias("n_used"),
-                    F.corr(f"__v{i}", f"__v{j}").alias("r"),
-                )
-            )
-    return wide.groupBy(*keys).agg(F.array(*entries).alias("__e")).select(*keys, F.inline("__e"))
+    spark = meas.sparkSession
+    names = spark.createDataFrame(list(enumerate(params)), "i int, parameter_code string")
+    listed = meas.where(measured()).join(F.broadcast(names), "parameter_code")  # the list the caller wrote
+    own = listed.groupBy(*keys, *unit, "i").agg(F.max("value_numeric").alias("v"))
+    centre = own.groupBy(*keys, "i").agg(F.avg("v").alias("__centre"))
+    centred = join_sized(own, centre, [*keys, "i"], "inner")
+    entries = F.collect_list(F.struct("i", (F.col("v") - F.col("__centre")).alias("v")))
+    sums = pair_moments(centred.groupBy(*keys, *unit).agg(entries.alias("entries")), keys, len(params))
+    n = F.when(F.col("n") > 0, F.col("n"))
+    across = F.col("sxy") - F.col("sx") * F.col("sy") / n
+    spread = (F.col("sxx") - F.col("sx") * F.col("sx") / n) * (F.col("syy") - F.col("sy") * F.col("sy") / n)
+    label = F.array(*[F.lit(p) for p in params])
+    return sums.select(
+        *keys,
+        F.get(label, F.col("i")).alias("parameter_x"),
+        F.get(label, F.col("j")).alias("parameter_y"),
+        F.col("n").alias("n_used"),
+        F.when(spread > 0, across / F.sqrt(spread)).alias("r"),
+    )
 
 
 def value_trend(

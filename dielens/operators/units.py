@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dielens.functions.columns import share
+from dielens.functions.moments import pair_moments
 from dielens.functions.shuffles import top_one
 
 
@@ -212,29 +213,25 @@ def fail_item_pareto(units: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def bin_cooccurrence(units: DataFrame, bins: Sequence[str], keys: Sequence[str] = ("product_code",)) -> DataFrame:
-    """How often two bins fall on the same die position of different wafers.
+    """How often two of the bins fall on the same die position of different wafers; pairs follow the order of the list.
 
     Positions are reduced to one count per bin first; the number of unit pairs
-    is the product of two counts, so no pair of units is ever produced.
+    is the product of two counts, summed block by block (:func:`pair_moments`),
+    so no pair of units is ever produced and no pair of bins is an expression.
     """
-    per_position = units.groupBy(*keys, "x_coord", "y_coord").agg(
-        *[F.count_if(F.col("soft_bin") == b).alias(f"__n{i}") for i, b in enumerate(bins)]
+    names = units.sparkSession.createDataFrame(list(enumerate(bins)), "i int, soft_bin string")
+    counted = units.join(F.broadcast(names), "soft_bin").groupBy(*keys, "x_coord", "y_coord", "i").agg(
+        F.count("*").cast("double").alias("v")
     )
-    pairs = [(i, j) for i in range(len(bins)) for j in range(i + 1, len(bins))]
-    totals = per_position.groupBy(*keys).agg(
-        F.array(
-            *[
-                F.struct(
-                    F.lit(bins[i]).alias("bin_a"),
-                    F.lit(bins[j]).alias("bin_b"),
-                    F.count_if((F.col(f"__n{i}") > 0) & (F.col(f"__n{j}") > 0)).alias("n_positions"),
-                    F.sum(F.col(f"__n{i}") * F.col(f"__n{j}")).alias("n_pairs"),
-                )
-                for i, j in pairs
-            ]
-        ).alias("__pairs")
+    per_position = counted.groupBy(*keys, "x_coord", "y_coord").agg(F.collect_list(F.struct("i", "v")).alias("entries"))
+    label = F.array(*[F.lit(b) for b in bins])
+    return pair_moments(per_position, keys, len(bins)).where("n > 0").select(
+        *keys,
+        F.get(label, F.col("i")).alias("bin_a"),
+        F.get(label, F.col("j")).alias("bin_b"),
+        F.col("n").alias("n_positions"),
+        F.round("sxy").cast("long").alias("n_pairs"),
     )
-    return totals.select(*keys, F.inline("__pairs")).where("n_positions > 0")
 
 
 def compare_groups(units: DataFrame, by: Sequence[str]) -> DataFrame:

@@ -7,13 +7,14 @@ and ``publish_snapshot`` makes it visible in one step.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dielens.functions.columns import ntz
-from dielens.functions.shuffles import join_sized, numbered, over_blocks
+from dielens.functions.shuffles import join_sized, numbered, over_blocks, settled
 
 
 def v_current_dataset_version(ds: DataFrame, dv: DataFrame) -> DataFrame:
@@ -124,6 +125,46 @@ def seed_upsert(target: DataFrame, source: DataFrame, key: Sequence[str]) -> Dat
     return target.unionByName(absent.select(*target.columns))
 
 
+@dataclass
+class Lookup:
+    """How a code of the source becomes an id of the target: ``table`` has both, ``code`` names the column in the source."""
+
+    table: DataFrame
+    code: str
+    table_code: str
+    id: str
+
+
+def seed_mapped(target: DataFrame, source: DataFrame, lookups: dict[str, Lookup], key: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Insert if absent after codes have become ids: (the new target, the rows that could not be inserted).
+
+    ``lookups`` maps a column of the target to its lookup.  A source row is UNRESOLVED where a code has no id, AMBIGUOUS
+    where it has several, and CONFLICT where rows of one key differ in other columns; none of them is inserted.  Rows
+    whose key the target has already are left alone, so a second call changes nothing.
+    """
+    rest = [c for c in target.columns if c not in key]
+    rows = source
+    for column, look in lookups.items():
+        ids = look.table.groupBy(F.col(look.table_code).alias(look.code)).agg(
+            F.countDistinct(look.id).alias(f"__n_{column}"), F.min(look.id).alias(column)
+        )
+        rows = join_sized(rows.drop(column), ids, [look.code], "left", null_safe=False)
+    found = [F.coalesce(F.col(f"__n_{c}"), F.lit(0)) for c in lookups]
+    unresolved, ambiguous = (reduce(Column.__or__, [test(n) for n in found], F.lit(False)) for test in (lambda n: n == 0, lambda n: n > 1))
+    codes = [look.code for look in lookups.values()]
+    named = settled(rows.withColumn("problem", F.when(unresolved, "UNRESOLVED").when(ambiguous, "AMBIGUOUS")), "seed")
+    bad = named.where("problem IS NOT NULL").select(*codes, "problem").distinct()
+    good = named.where("problem IS NULL")
+    # repeats of one key are few: equal rows become one, different ones a conflict
+    content = F.struct(*rest) if rest else F.lit(1)
+    per_key = good.groupBy(*key).agg(
+        F.countDistinct(content).alias("__n"), *[F.min(c).alias(c) for c in (*rest, *(c for c in codes if c not in (*rest, *key)))]
+    )
+    clashing = per_key.where("__n > 1").select(*codes, F.lit("CONFLICT").alias("problem"))
+    absent = per_key.where("__n = 1").select(*target.columns).join(target.select(*key), list(key), "left_anti")
+    return target.unionByName(absent), bad.unionByName(clashing)
+
+
 def backfill_evaluation_run(evals: DataFrame, runs: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Fill the missing run of historic evaluations where exactly one run fits; the rest is marked."""
     fitting = runs.groupBy(*keys).agg(

@@ -73,31 +73,32 @@ def _(spark, sf):
     )
 
 
-_LIMITS = "(SELECT parameter_code, program_lsl AS lsl, program_usl AS usl FROM items)"
-_CAP = f"""g AS (SELECT product_code, parameter_code, lot_id, wafer_id, count(value_numeric) AS n, var_samp(value_numeric) AS v, count(*) AS c
- FROM (SELECT * REPLACE (CASE WHEN measurement_status = 'MEASURED' THEN value_numeric END AS value_numeric) FROM meas) GROUP BY 1, 2, 3, 4),
-w AS (SELECT product_code, parameter_code, sqrt(sum((n - 1) * v) FILTER (n > 1) / sum(n - 1) FILTER (n > 1)) AS sw, sum(c)::BIGINT AS n_total FROM g GROUP BY 1, 2),
-o AS (SELECT product_code, parameter_code, count(*) AS n_used, avg(value_numeric) AS m, stddev_samp(value_numeric) AS so FROM meas
- WHERE measurement_status = 'MEASURED' GROUP BY 1, 2),
-cap AS (SELECT o.product_code, o.parameter_code, n_total, n_used, m, sw, so, lsl, usl, (usl - lsl) / (6 * sw) AS cp,
- least((usl - m) / (3 * sw), (m - lsl) / (3 * sw)) AS cpk, (usl - lsl) / (6 * so) AS pp,
- least((usl - m) / (3 * so), (m - lsl) / (3 * so)) AS ppk
- FROM o JOIN w ON w.product_code = o.product_code AND w.parameter_code = o.parameter_code
- LEFT JOIN {_LIMITS} l ON l.parameter_code = o.parameter_code)"""
+
+_CAP = """e AS (SELECT product_code, parameter_code, lot_id, wafer_id, lsl_applied AS lsl, usl_applied AS usl,
+  CASE WHEN measurement_status = 'MEASURED' THEN value_numeric END AS x FROM evals),
+g AS (SELECT product_code, parameter_code, lsl, usl, lot_id, wafer_id, count(x) AS n, var_samp(x) AS v, count(*) AS c FROM e GROUP BY ALL),
+w AS (SELECT product_code, parameter_code, lsl, usl, sqrt(sum((n - 1) * v) FILTER (n > 1) / sum(n - 1) FILTER (n > 1)) AS sw,
+ sum(c)::BIGINT AS n_total FROM g GROUP BY ALL),
+o AS (SELECT product_code, parameter_code, lsl, usl, count(*) AS n_used, avg(x) AS m, stddev_samp(x) AS so FROM e
+ WHERE x IS NOT NULL GROUP BY ALL),
+k AS (SELECT o.product_code, o.parameter_code, n_total, n_used, m, sw, so, o.lsl, o.usl,
+ CASE WHEN sw > 0 THEN sw END AS s, CASE WHEN so > 0 THEN so END AS t FROM o JOIN w ON w.product_code = o.product_code
+ AND w.parameter_code = o.parameter_code AND w.lsl IS NOT DISTINCT FROM o.lsl AND w.usl IS NOT DISTINCT FROM o.usl),
+cap AS (SELECT *, (usl - lsl) / (6 * s) AS cp, least((usl - m) / (3 * s), (m - lsl) / (3 * s)) AS cpk, (usl - lsl) / (6 * t) AS pp,
+ least((usl - m) / (3 * t), (m - lsl) / (3 * t)) AS ppk, CASE WHEN n_used < 2 THEN 'TOO_FEW' WHEN coalesce(so, 0) <= 0 THEN 'NO_SPREAD'
+ WHEN lsl IS NULL AND usl IS NULL THEN 'NO_LIMIT' WHEN coalesce(sw, 0) <= 0 THEN 'NO_WITHIN_SPREAD' END AS reason FROM k)"""
 
 
 def capabilities(spark, sf):
-    limits = inline(spark, "items").select(
-        "parameter_code", F.col("program_lsl").alias("lsl"), F.col("program_usl").alias("usl")
-    )
-    return stats.capability(fx.meas(spark, sf), limits, KEYS, ["lot_id", "wafer_id"])
+    """Over the limits that apply to each row."""
+    return stats.capability(fx.applied_limits(spark, fx.meas(spark, sf)), None, KEYS, ["lot_id", "wafer_id"])
 
 
 @query(
     "capability",
     f"""WITH {_CAP}
 SELECT product_code, parameter_code, n_total, n_used, {r4('m')} AS mean, {r4('sw')} AS std_within, {r4('so')} AS std_overall, lsl, usl,
- {r4('cp')} AS cp, {r4('cpk')} AS cpk, {r4('pp')} AS pp, {r4('ppk')} AS ppk, CAST(NULL AS VARCHAR) AS reason FROM cap""",
+ {r4('cp')} AS cp, {r4('cpk')} AS cpk, {r4('pp')} AS pp, {r4('ppk')} AS ppk, reason FROM cap""",
 )
 def _(spark, sf):
     return steady(capabilities(spark, sf), "mean", "std_within", "std_overall", "cp", "cpk", "pp", "ppk")
@@ -106,7 +107,7 @@ def _(spark, sf):
 @query(
     "low_capability_risk",
     f"""WITH {_CAP}
-SELECT product_code, parameter_code, {r4('cpk')} AS cpk FROM cap WHERE cpk < 1.0 ORDER BY cap.cpk, product_code, parameter_code LIMIT 10""",
+SELECT product_code, parameter_code, {r4('cpk')} AS cpk FROM cap WHERE cpk < 1.0 ORDER BY cap.cpk, product_code, parameter_code, lsl NULLS FIRST, usl NULLS FIRST LIMIT 10""",
 )
 def _(spark, sf):
     worst = stats.low_capability_risk(capabilities(spark, sf), 1.0, 10)

@@ -80,6 +80,16 @@ def _(spark, sf):
     return surface.page(rows, ["-tested_at_utc", "soft_bin"], 3, 500)
 
 
+@query(
+    "page_from_index",
+    """SELECT unit_id, lot_id, soft_bin, tested_at_utc, 100 AS page, 500 AS page_size, (SELECT count(*) FROM cp_rows) AS total
+FROM cp_rows ORDER BY cp_rows.tested_at_utc DESC, soft_bin, unit_id OFFSET 49500 LIMIT 500""",
+)
+def _(spark, sf):
+    rows = fx.cp_rows(spark, sf).select("unit_id", "lot_id", "soft_bin", "tested_at_utc")
+    return surface.PageIndex(rows, ["-tested_at_utc", "soft_bin"], ranges=32).page(100, 500)
+
+
 @query(
     "top_k",
     """SELECT lot_id, wafer_id, total, n_pass, round(y, 6) AS "yield" FROM (SELECT lot_id, wafer_id, count(*) AS total,

@@ -177,6 +177,51 @@ def _(spark, sf):
     return versions.seed_upsert(known, seeds, ["user_code"])
 
 
+#: Users and the code of their nation; every 50th code is unknown, and some users come twice with different ones.
+_MEMBERS = """(SELECT 'U' || c_custkey AS user_code, CASE WHEN c_custkey % 50 = 0 THEN 'NOWHERE' ELSE n_name END AS nation_code
+ FROM customer JOIN nation ON n_nationkey = c_nationkey
+ UNION ALL SELECT 'U' || s_suppkey, n_name FROM supplier JOIN nation ON n_nationkey = s_nationkey WHERE s_suppkey % 5 = 0)"""
+_MAPPED = f"""m AS (SELECT user_code, nation_code, n_nationkey AS nation_id FROM {_MEMBERS} LEFT JOIN nation ON n_name = nation_code),
+k AS (SELECT user_code, min(nation_id) AS nation_id, min(nation_code) AS nation_code, count(DISTINCT nation_id) AS n FROM m
+ WHERE nation_id IS NOT NULL GROUP BY 1),
+known AS (SELECT 'U' || s_suppkey AS user_code, s_nationkey AS nation_id FROM supplier WHERE s_suppkey % 3 = 0)"""
+
+
+def mapped(spark, sf):
+    nations = fx.table(spark, sf, "nation")
+    users = fx.table(spark, sf, "customer").join(nations, F.col("c_nationkey") == F.col("n_nationkey")).select(
+        F.concat(F.lit("U"), "c_custkey").alias("user_code"),
+        F.when(F.col("c_custkey") % 50 == 0, "NOWHERE").otherwise(F.col("n_name")).alias("nation_code"),
+    )
+    suppliers = fx.table(spark, sf, "supplier")
+    more = suppliers.where("s_suppkey % 5 = 0").join(nations, F.col("s_nationkey") == F.col("n_nationkey")).select(
+        F.concat(F.lit("U"), "s_suppkey").alias("user_code"), F.col("n_name").alias("nation_code")
+    )
+    known = suppliers.where("s_suppkey % 3 = 0").select(
+        F.concat(F.lit("U"), "s_suppkey").alias("user_code"), F.col("s_nationkey").alias("nation_id")
+    )
+    lookup = {"nation_id": versions.Lookup(nations, "nation_code", "n_name", "n_nationkey")}
+    return versions.seed_mapped(known, users.unionByName(more), lookup, ["user_code"])
+
+
+@query(
+    "seed_mapped",
+    f"""WITH {_MAPPED} SELECT user_code, nation_id FROM known
+UNION ALL SELECT user_code, nation_id FROM k WHERE n = 1 AND user_code NOT IN (SELECT user_code FROM known)""",
+)
+def _(spark, sf):
+    return mapped(spark, sf)[0]
+
+
+@query(
+    "seed_mapped_problems",
+    f"""WITH {_MAPPED} SELECT DISTINCT nation_code, 'UNRESOLVED' AS problem FROM m WHERE nation_id IS NULL
+UNION ALL SELECT nation_code, 'CONFLICT' FROM k WHERE n > 1""",
+)
+def _(spark, sf):
+    return mapped(spark, sf)[1]
+
+
 @query(
     "backfill_evaluation_run",
     """WITH runs AS (SELECT o_custkey % 500 AS dataset_version_id, CASE WHEN o_orderkey % 2 = 0 THEN 'SPEC' ELSE 'BIN' END AS evaluation_type,
