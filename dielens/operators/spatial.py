@@ -1,4 +1,9 @@
-"""Wafer maps and spatial summaries of probed dice."""
+"""Wafer maps and spatial summaries of probed dice.
+
+Every map and summary shows eligible wafers only (:func:`spatial_eligibility`):
+``eligible`` is that table, or is derived from the units themselves.  Every
+result names the attempts it is based on.
+"""
 
 from __future__ import annotations
 
@@ -8,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dielens.functions.columns import measured, share
-from dielens.functions.shuffles import join_null_safe, join_sized
+from dielens.functions.shuffles import join_null_safe, join_sized, settled
 from dielens.operators.units import by_basis
 
 WAFER = ["lot_id", "wafer_id"]
@@ -55,6 +60,12 @@ def normalize_coordinates(units: DataFrame, runs: DataFrame) -> DataFrame:
     return joined.withColumns({"x_norm": turned_x, "y_norm": turned_y}).drop(*frame)
 
 
+def _gated(units: DataFrame, eligible: DataFrame | None) -> DataFrame:
+    """The units of wafers whose identity and positions can be trusted."""
+    allowed = (spatial_eligibility(units) if eligible is None else eligible).where("eligible").select(*WAFER)
+    return join_sized(units, allowed, WAFER, "left_semi", null_safe=False)
+
+
 def _of_wafer(df: DataFrame, lot: str | None, wafer: str | None) -> DataFrame:
     if lot is not None:
         df = df.where(F.col("lot_id") == lot)
@@ -62,38 +73,43 @@ def _of_wafer(df: DataFrame, lot: str | None, wafer: str | None) -> DataFrame:
 
 
 def wafer_map_bin(
-    units: DataFrame, lot: str | None = None, wafer: str | None = None, basis: str = "final"
+    units: DataFrame, lot: str | None = None, wafer: str | None = None, basis: str = "final", eligible: DataFrame | None = None
 ) -> DataFrame:
-    """Position, raw bin and result of every die of one wafer, or of all of them."""
-    chosen = by_basis(_of_wafer(units, lot, wafer), basis)
+    """Position, raw bin and result of every die of one wafer, or of all eligible ones."""
+    chosen = by_basis(_gated(_of_wafer(units, lot, wafer), eligible), basis)
     return chosen.select(*WAFER, "x_coord", "y_coord", "soft_bin", "outcome", F.lit(basis).alias("basis"))
 
 
 def wafer_map_parameter(
-    units: DataFrame, meas: DataFrame, parameter: str, lot: str | None = None, wafer: str | None = None, basis: str = "final"
-) -> DataFrame:
+    units: DataFrame, meas: DataFrame, parameter: str, lot: str | None = None, wafer: str | None = None, basis: str = "final",
+    eligible: DataFrame | None = None,
+) -> DataFrame:
     """Position, value and status of one parameter for the chosen attempt of every die."""
-    chosen = by_basis(_of_wafer(units, lot, wafer), basis).select("unit_id", *WAFER, "x_coord", "y_coord")
+    chosen = by_basis(_gated(_of_wafer(units, lot, wafer), eligible), basis)
+    chosen = chosen.select("unit_id", *WAFER, "x_coord", "y_coord", F.lit(basis).alias("basis"))
     values = _of_wafer(meas, lot, wafer).where(F.col("parameter_code") == parameter)
     return chosen.join(values.select("unit_id", "value_numeric", "measurement_status"), "unit_id", "left")
 
 
-def stacked_fail_map(units: DataFrame, keys: Sequence[str] = ("product_code",), basis: str = "final") -> DataFrame:
-    """Fails and fail rate per die position over all wafers of a group."""
+def stacked_fail_map(
+    units: DataFrame, keys: Sequence[str] = ("product_code",), basis: str = "final", eligible: DataFrame | None = None
+) -> DataFrame:
+    """Fails and fail rate per die position over the eligible wafers of a group."""
     failed = F.count_if(F.col("outcome") == "FAIL")
-    return by_basis(units, basis).groupBy(*keys, "x_coord", "y_coord").agg(
+    return by_basis(_gated(units, eligible), basis).groupBy(*keys, "x_coord", "y_coord").agg(
         F.count(F.lit(1)).alias("n_units"),
         failed.alias("n_fail"),
         share(failed, F.count(F.lit(1))).alias("fail_rate"),
+        F.lit(basis).alias("basis"),
     )
 
 
 def parameter_fail_overlay(
-    units: DataFrame, meas: DataFrame, parameter: str, bins: Sequence[str], basis: str = "final"
+    units: DataFrame, meas: DataFrame, parameter: str, bins: Sequence[str], basis: str = "final", eligible: DataFrame | None = None
 ) -> DataFrame:
     """The parameter map with a mark on the dice that fell into one of the given fail bins."""
-    marked = units.withColumn("fail_mark", F.coalesce(F.col("soft_bin").isin(list(bins)), F.lit(False)))
-    marks = by_basis(marked, basis).select("unit_id", *WAFER, "x_coord", "y_coord", "soft_bin", "fail_mark")
+    marked = _gated(units, eligible).withColumn("fail_mark", F.coalesce(F.col("soft_bin").isin(list(bins)), F.lit(False)))
+    marks = by_basis(marked, basis).select("unit_id", *WAFER, "x_coord", "y_coord", "soft_bin", "fail_mark", F.lit(basis).alias("basis"))
     values = meas.where(F.col("parameter_code") == parameter)
     return marks.join(values.select("unit_id", "value_numeric", "measurement_status"), "unit_id", "left")
 
@@ -123,34 +139,40 @@ def zone_summary(
     params: Sequence[str],
     keys: Sequence[str] = ("product_code",),
     basis: str = "final",
+    eligible: DataFrame | None = None,
 ) -> DataFrame:
-    """Yield and parameter means per ring and quadrant.
+    """Yield and parameter means per ring and quadrant, both over the same attempts of eligible wafers.
 
-    Measurements carry their die position, so both sides are aggregated to
-    zones before they are joined.
+    The chosen attempts are settled; their measurements take the zone from
+    them, and both sides are aggregated to zones before they are joined.
     """
     group = [*keys, "zone_kind", "zone"]
-    dice = by_basis(units, basis).select(*keys, "outcome", F.inline(zones(rule)))
+    chosen = by_basis(_gated(units, eligible), basis).select("unit_id", *keys, "x_coord", "y_coord", "outcome")
+    chosen = settled(chosen, "zones")
+    dice = chosen.select(*keys, "outcome", F.inline(zones(rule)))
     passed = F.count_if(F.col("outcome") == "PASS")
     yields = dice.groupBy(*group).agg(
         F.count(F.lit(1)).alias("n_units"), passed.alias("n_pass"), share(passed, F.count(F.lit(1))).alias("yield")
     )
     listed = meas.where(measured() & F.col("parameter_code").isin(list(params)))
-    placed = listed.select(*keys, "parameter_code", "value_numeric", F.inline(zones(rule)))
+    of_units = listed.select("unit_id", "parameter_code", "value_numeric").join(chosen, "unit_id")
+    placed = of_units.select(*keys, "parameter_code", "value_numeric", F.inline(zones(rule)))
     means = placed.groupBy(*group).agg(
         *[F.avg(F.when(F.col("parameter_code") == p, F.col("value_numeric"))).alias(f"mean_{p.lower()}") for p in params]
     )
-    return join_null_safe(yields, means, group, "left")
+    return join_null_safe(yields, means, group, "left").withColumn("basis", F.lit(basis))
 
 
-def neighbour_fail_count(units: DataFrame, basis: str = "final") -> DataFrame:
+def neighbour_fail_count(units: DataFrame, basis: str = "final", eligible: DataFrame | None = None) -> DataFrame:
     """Failing dice among the eight around each die.
 
     Failing dice send one to each neighbouring position; positions are then
     matched by equality, so no die is compared with another.  A die without a
     position has no count.
     """
-    dice = by_basis(units, basis).select(*WAFER, "x_coord", "y_coord", "unit_id", "outcome")
+    dice = by_basis(_gated(units, eligible), basis).select(
+        *WAFER, "x_coord", "y_coord", "unit_id", "outcome", F.lit(basis).alias("basis")
+    )
     steps = F.array(
         *[F.struct(F.lit(i).alias("dx"), F.lit(j).alias("dy")) for i in (-1, 0, 1) for j in (-1, 0, 1) if (i, j) != (0, 0)]
     )

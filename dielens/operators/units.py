@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from dielens.functions.columns import share
 from dielens.functions.moments import pair_moments
-from dielens.functions.shuffles import top_one
+from dielens.functions.shuffles import settled, top_one
 
 
 def _attempt_order(df: DataFrame, descending: bool) -> list[Column]:
@@ -247,14 +247,16 @@ def compare_groups(units: DataFrame, by: Sequence[str]) -> DataFrame:
     )
 
 
-def wafer_summary(units: DataFrame, meas: DataFrame, params: Sequence[str]) -> DataFrame:
-    """One row per wafer: dice, yield, worst fail bin, mean and deviation of the listed parameters.
+def wafer_summary(units: DataFrame, meas: DataFrame, params: Sequence[str], basis: str = "final") -> DataFrame:
+    """One row per wafer: dice, yield, worst fail bin, mean and deviation of the listed parameters, all over the same attempts.
 
-    Both sides are aggregated to wafers before they meet.
+    The chosen attempts are settled; both sides are aggregated to wafers before
+    they meet.
     """
     wafer = ["lot_id", "wafer_id"]
+    chosen = settled(by_basis(units, basis).select("unit_id", *wafer, "outcome", "soft_bin"), "wafers")
     per_bin = (
-        final_units(units)
+        chosen
         .groupBy(*wafer, "outcome", "soft_bin")
         .agg(F.count(F.lit(1)).alias("n"))
     )
@@ -276,8 +278,12 @@ def wafer_summary(units: DataFrame, meas: DataFrame, params: Sequence[str]) -> D
     for p in params:
         value = F.when(ok & (F.col("parameter_code") == p), F.col("value_numeric"))
         stats += [F.avg(value).alias(f"mean_{p.lower()}"), F.stddev_samp(value).alias(f"std_{p.lower()}")]
-    values = meas.groupBy(*wafer).agg(*stats)
-    return base.join(values, wafer, "left")
+    listed = meas.where(F.col("parameter_code").isin(list(params)))
+    of_units = listed.select("unit_id", "parameter_code", "measurement_status", "value_numeric").join(
+        chosen.select("unit_id", *wafer), "unit_id"
+    )
+    values = of_units.groupBy(*wafer).agg(*stats)
+    return base.join(values, wafer, "left").withColumn("basis", F.lit(basis))
 
 
 _STATUSES = (

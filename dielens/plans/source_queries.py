@@ -108,14 +108,15 @@ def _(spark, sf):
 @query(
     "write_compat_cleaned",
     """SELECT c.unit_id, lot_id, wafer_id, x_coord, y_coord, unit_sequence, CAST(soft_bin AS INT) AS soft_bin, l_quantity AS VTH,
- CASE WHEN first_fail < 4 THEN NULL ELSE l_tax END AS RDSON, 'T1' AS template_version FROM cp c""",
+ CASE WHEN first_fail < 2 OR l_extendedprice > 100000 THEN NULL ELSE l_extendedprice END AS BVDSS,
+ CASE WHEN first_fail < 3 THEN NULL ELSE l_discount END AS IDSS, CASE WHEN first_fail < 4 THEN NULL ELSE l_tax END AS RDSON, 'T1' AS template_version FROM cp c""",
 )
 def _(spark, sf):
     path = scratch_folder(spark, "cleaned")
-    exports.write_compat_cleaned(fx.cp(spark, sf), fx.meas(spark, sf), ["VTH", "RDSON"], path, "T1")
+    exports.write_compat_cleaned(fx.cp(spark, sf), fx.meas(spark, sf), ["VTH", "BVDSS", "IDSS", "RDSON"], path, "T1")
     return spark.read.option("header", True).schema(
         "unit_id string, lot_id string, wafer_id string, x_coord int, y_coord long, unit_sequence long, soft_bin int, "
-        "VTH double, RDSON double, template_version string"
+        "VTH double, BVDSS double, IDSS double, RDSON double, template_version string"
     ).csv(path)
 
 

@@ -23,6 +23,18 @@ def _(spark, sf):
     return spatial.spatial_eligibility(fx.vendor(spark, sf))
 
 
+def eligible(spark, sf):
+    """Two wafers have dice whose position is lost and are refused."""
+    lost = F.concat_ws("/", "lot_id", "wafer_id").isin("L4/W3", "L6/W1") & (F.col("l_partkey") % 10 == 0)
+    rows = fx.cp_rows(spark, sf)
+    return spatial.spatial_eligibility(rows.withColumn("x_coord", F.when(~lost, F.col("x_coord"))))
+
+
+_REFUSED = """(SELECT DISTINCT lot_id || '/' || wafer_id FROM cp_rows WHERE lot_id || '/' || wafer_id IN ('L4/W3', 'L6/W1')
+ AND l_partkey % 10 = 0)"""
+_FINAL = f"(SELECT * FROM final_u WHERE lot_id || '/' || wafer_id NOT IN {_REFUSED})"
+
+
 def frames(spark, sf):
     """A coordinate frame per run; some state a direction, some a rotation, one an unusable angle."""
     n = F.col("receipt_id")
@@ -56,37 +68,38 @@ def _(spark, sf):
 
 @query(
     "wafer_map_bin",
-    "SELECT lot_id, wafer_id, x_coord, y_coord, soft_bin, outcome, 'first' AS basis FROM first_u",
+    f"""SELECT lot_id, wafer_id, x_coord, y_coord, soft_bin, outcome, 'first' AS basis FROM first_u
+WHERE lot_id || '/' || wafer_id NOT IN {_REFUSED}""",
 )
 def _(spark, sf):
-    return spatial.wafer_map_bin(fx.outcomes(spark, sf), basis="first")
+    return spatial.wafer_map_bin(fx.outcomes(spark, sf), basis="first", eligible=eligible(spark, sf))
 
 
 @query(
     "wafer_map_parameter",
-    """SELECT u.unit_id, u.lot_id, u.wafer_id, u.x_coord, u.y_coord, m.value_numeric, m.measurement_status FROM final_u u
-LEFT JOIN meas m ON m.unit_id = u.unit_id AND m.parameter_code = 'VTH'""",
+    f"""SELECT u.unit_id, u.lot_id, u.wafer_id, u.x_coord, u.y_coord, 'final' AS basis, m.value_numeric, m.measurement_status
+FROM {_FINAL} u LEFT JOIN meas m ON m.unit_id = u.unit_id AND m.parameter_code = 'VTH'""",
 )
 def _(spark, sf):
-    return spatial.wafer_map_parameter(fx.cp(spark, sf), fx.meas(spark, sf), "VTH")
+    return spatial.wafer_map_parameter(fx.cp(spark, sf), fx.meas(spark, sf), "VTH", eligible=eligible(spark, sf))
 
 
 @query(
     "stacked_fail_map",
-    """SELECT product_code, x_coord, y_coord, count(*) AS n_units, count(*) FILTER (outcome = 'FAIL') AS n_fail,
- round(count(*) FILTER (outcome = 'FAIL') / count(*), 6) AS fail_rate FROM final_u GROUP BY 1, 2, 3""",
+    f"""SELECT product_code, x_coord, y_coord, count(*) AS n_units, count(*) FILTER (outcome = 'FAIL') AS n_fail,
+ round(count(*) FILTER (outcome = 'FAIL') / count(*), 6) AS fail_rate, 'final' AS basis FROM {_FINAL} f GROUP BY 1, 2, 3""",
 )
 def _(spark, sf):
-    return rounded(spatial.stacked_fail_map(fx.outcomes(spark, sf)), 6, "fail_rate")
+    return rounded(spatial.stacked_fail_map(fx.outcomes(spark, sf), eligible=eligible(spark, sf)), 6, "fail_rate")
 
 
 @query(
     "parameter_fail_overlay",
-    """SELECT u.unit_id, u.lot_id, u.wafer_id, u.x_coord, u.y_coord, u.soft_bin, u.soft_bin IN ('0', '8', '9') AS fail_mark,
- m.value_numeric, m.measurement_status FROM final_u u LEFT JOIN meas m ON m.unit_id = u.unit_id AND m.parameter_code = 'BVDSS'""",
+    f"""SELECT u.unit_id, u.lot_id, u.wafer_id, u.x_coord, u.y_coord, u.soft_bin, u.soft_bin IN ('0', '8', '9') AS fail_mark,
+ 'final' AS basis, m.value_numeric, m.measurement_status FROM {_FINAL} u LEFT JOIN meas m ON m.unit_id = u.unit_id AND m.parameter_code = 'BVDSS'""",
 )
 def _(spark, sf):
-    return spatial.parameter_fail_overlay(fx.cp(spark, sf), fx.meas(spark, sf), "BVDSS", ["0", "8", "9"])
+    return spatial.parameter_fail_overlay(fx.cp(spark, sf), fx.meas(spark, sf), "BVDSS", ["0", "8", "9"], eligible=eligible(spark, sf))
 
 
 _D2 = "((x_coord - 19.5) / 20.0) * ((x_coord - 19.5) / 20.0) + ((y_coord - 24.5) / 25.0) * ((y_coord - 24.5) / 25.0)"
@@ -95,25 +108,34 @@ _ZONE = f"""CASE k WHEN 'RING' THEN CASE WHEN {_D2} <= 0.25 THEN 'CENTER' WHEN {
 _KINDS = "(VALUES ('RING'), ('QUADRANT')) z(k)"
 
 
+_ZONE_MEANS = ", ".join(
+    r4(f"avg(value_numeric) FILTER (parameter_code = '{p}' AND measurement_status = 'MEASURED')") + f" AS mean_{p.lower()}"
+    for p in ("VTH", "BVDSS", "IDSS", "RDSON")
+)
+
+
 @query(
     "zone_summary",
-    f"""WITH u AS (SELECT product_code, k AS zone_kind, {_ZONE} AS zone, count(*) AS n_units, count(*) FILTER (outcome = 'PASS') AS n_pass
- FROM final_u CROSS JOIN {_KINDS} GROUP BY 1, 2, 3),
-p AS (SELECT product_code, k AS zone_kind, {_ZONE} AS zone, {r4("avg(value_numeric) FILTER (parameter_code = 'VTH')")} AS mean_vth,
- {r4("avg(value_numeric) FILTER (parameter_code = 'RDSON')")} AS mean_rdson FROM meas CROSS JOIN {_KINDS} GROUP BY 1, 2, 3)
-SELECT u.*, round(n_pass / n_units, 6) AS "yield", mean_vth, mean_rdson FROM u LEFT JOIN p ON p.product_code = u.product_code
- AND p.zone_kind = u.zone_kind AND p.zone = u.zone""",
+    f"""WITH f AS {_FINAL},
+u AS (SELECT product_code, k AS zone_kind, {_ZONE} AS zone, count(*) AS n_units, count(*) FILTER (outcome = 'PASS') AS n_pass
+ FROM f CROSS JOIN {_KINDS} GROUP BY 1, 2, 3),
+p AS (SELECT product_code, k AS zone_kind, {_ZONE} AS zone, {_ZONE_MEANS}
+ FROM (SELECT f.product_code, f.x_coord, f.y_coord, m.parameter_code, m.measurement_status, m.value_numeric FROM meas m
+  JOIN f ON f.unit_id = m.unit_id) q CROSS JOIN {_KINDS} GROUP BY 1, 2, 3)
+SELECT u.*, round(n_pass / n_units, 6) AS "yield", p.* EXCLUDE (product_code, zone_kind, zone), 'final' AS basis
+FROM u LEFT JOIN p ON p.product_code = u.product_code AND p.zone_kind = u.zone_kind AND p.zone = u.zone""",
 )
 def _(spark, sf):
-    summary = spatial.zone_summary(fx.outcomes(spark, sf), fx.meas(spark, sf), ZONES, ["VTH", "RDSON"])
-    return rounded(steady(summary, "mean_vth", "mean_rdson"), 6, "yield")
+    params = ["VTH", "BVDSS", "IDSS", "RDSON"]
+    summary = spatial.zone_summary(fx.outcomes(spark, sf), fx.meas(spark, sf), ZONES, params, eligible=eligible(spark, sf))
+    return rounded(steady(summary, *[f"mean_{p.lower()}" for p in params]), 6, "yield")
 
 
 @query(
     "neighbour_fail_count",
-    """SELECT u.lot_id, u.wafer_id, u.x_coord, u.y_coord, u.unit_id, u.outcome, count(f.unit_id) AS n_fail_neighbours FROM final_u u
-LEFT JOIN final_u f ON f.outcome = 'FAIL' AND f.lot_id = u.lot_id AND f.wafer_id = u.wafer_id AND abs(f.x_coord - u.x_coord) <= 1
+    f"""SELECT u.lot_id, u.wafer_id, u.x_coord, u.y_coord, u.unit_id, u.outcome, 'final' AS basis,
+ count(f.unit_id) AS n_fail_neighbours FROM {_FINAL} u LEFT JOIN final_u f ON f.outcome = 'FAIL' AND f.lot_id = u.lot_id AND f.wafer_id = u.wafer_id AND abs(f.x_coord - u.x_coord) <= 1
  AND abs(f.y_coord - u.y_coord) <= 1 AND f.unit_id <> u.unit_id GROUP BY ALL""",
 )
 def _(spark, sf):
-    return spatial.neighbour_fail_count(fx.outcomes(spark, sf))
+    return spatial.neighbour_fail_count(fx.outcomes(spark, sf), eligible=eligible(spark, sf))

@@ -179,20 +179,26 @@ def _(spark, sf):
 _VALUE = "value_numeric) FILTER (measurement_status = 'MEASURED' AND parameter_code ="
 
 
+_MEANS = ", ".join(
+    f"round(avg({_VALUE} '{p}') + 1e-7, 4) AS mean_{p.lower()}, round(stddev_samp({_VALUE} '{p}') + 1e-7, 4) AS std_{p.lower()}"
+    for p in ("VTH", "BVDSS", "IDSS", "RDSON")
+)
+
+
 @query(
     "wafer_summary",
     f"""WITH b AS (SELECT lot_id, wafer_id, count(*) AS total, count(*) FILTER (outcome = 'PASS') AS n_pass,
  count(*) FILTER (outcome = 'FAIL') AS n_fail, {_YIELD} FROM final_u GROUP BY 1, 2),
 w AS (SELECT lot_id, wafer_id, soft_bin AS top_fail_bin FROM (SELECT lot_id, wafer_id, soft_bin, count(*) AS n FROM final_u
  WHERE outcome = 'FAIL' GROUP BY 1, 2, 3) QUALIFY row_number() OVER (PARTITION BY lot_id, wafer_id ORDER BY n DESC, soft_bin) = 1),
-v AS (SELECT lot_id, wafer_id, round(avg({_VALUE} 'VTH') + 1e-7, 4) AS mean_vth, round(stddev_samp({_VALUE} 'VTH') + 1e-7, 4) AS std_vth,
- round(avg({_VALUE} 'BVDSS') + 1e-7, 4) AS mean_bvdss, round(stddev_samp({_VALUE} 'BVDSS') + 1e-7, 4) AS std_bvdss FROM meas GROUP BY 1, 2)
-SELECT b.*, w.top_fail_bin, v.mean_vth, v.std_vth, v.mean_bvdss, v.std_bvdss FROM b
+v AS (SELECT u.lot_id, u.wafer_id, {_MEANS} FROM meas JOIN final_u u ON u.unit_id = meas.unit_id GROUP BY 1, 2)
+SELECT b.*, w.top_fail_bin, v.* EXCLUDE (lot_id, wafer_id), 'final' AS basis FROM b
 LEFT JOIN w ON w.lot_id = b.lot_id AND w.wafer_id = b.wafer_id LEFT JOIN v ON v.lot_id = b.lot_id AND v.wafer_id = b.wafer_id""",
 )
 def _(spark, sf):
-    summary = units.wafer_summary(fx.outcomes(spark, sf), fx.meas(spark, sf), ["VTH", "BVDSS"])
-    return rounded(steady(summary, "mean_vth", "std_vth", "mean_bvdss", "std_bvdss"), 6, "yield")
+    params = ["VTH", "BVDSS", "IDSS", "RDSON"]
+    summary = units.wafer_summary(fx.outcomes(spark, sf), fx.meas(spark, sf), params)
+    return rounded(steady(summary, *[f"{f}_{p.lower()}" for p in params for f in ("mean", "std")]), 6, "yield")
 
 
 @query(

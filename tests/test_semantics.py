@@ -297,3 +297,31 @@ def test_reconciliation_finds_every_difference(rows, buckets):
         ("ROW", "k60|0", "CHANGED", "60|t", "61|t"),
         ("ROW", "-|1", "CHANGED", "1|-", "1|x"),
     }
+
+
+def test_refused_wafers_are_on_no_map(rows):
+    schema = (
+        "unit_id string, logical_unit_key string, lot_id string, wafer_id string, product_code string, x_coord int, y_coord int, "
+        "run_attempt_no int, attempt_no int, unit_sequence long, soft_bin string, outcome string"
+    )
+
+    def die(i, lot, wafer, x, outcome="FAIL"):
+        return (f"u{i}", f"k{i}", lot, wafer, "P", x, 1, 0, 0, i, "1", outcome)
+
+    dice = rows(schema, die(1, "L", "A", 1), die(2, "L", "A", 2), die(3, "L", "B", 1), die(4, "L", "B", None), die(5, None, "C", 1), die(6, "L", None, 1))
+    meas = rows(
+        "unit_id string, lot_id string, wafer_id string, parameter_code string, value_numeric double, measurement_status string",
+        *[(f"u{i}", "L", "A", "VTH", float(i), "MEASURED") for i in range(1, 7)],
+    )
+    rule = {"center_x": 1, "center_y": 1, "radius_x": 5, "radius_y": 5, "center_share": 0.5, "edge_share": 0.8}
+    maps = [
+        spatial.wafer_map_bin(dice), spatial.wafer_map_parameter(dice, meas, "VTH"), spatial.stacked_fail_map(dice),
+        spatial.parameter_fail_overlay(dice, meas, "VTH", ["1"]), spatial.neighbour_fail_count(dice),
+    ]
+    for shown in maps:
+        found = shown.collect()
+        assert len(found) == 2 and {r["basis"] for r in found} == {"final"}
+    zone = spatial.zone_summary(dice, meas, rule, ["VTH"]).where("zone_kind = 'RING'").collect()
+    assert [(r["n_units"], r["mean_vth"]) for r in zone] == [(2, 1.5)]
+    everything = spatial.spatial_eligibility(dice).withColumn("eligible", F.lit(True))
+    assert spatial.wafer_map_bin(dice, eligible=everything).where("lot_id = 'L' AND wafer_id = 'B'").count() == 2
