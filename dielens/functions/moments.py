@@ -22,7 +22,8 @@ _OUT_DDL = "__key string, i int, j int, n long, sx double, sy double, sxx double
 def pair_moments(rows: DataFrame, keys: Sequence[str], size: int, block: int = 64, salts: int = 64) -> DataFrame:
     """(keys, i, j, n, sx, sy, sxx, syy, sxy) for every pair i < j of ``size`` columns, over the rows that have both.
 
-    ``rows``: the keys and ``entries``, an array of (i, v) with the values a row has.  A task folds all its rows into
+    ``rows``: the keys and ``entries``, an array of (i, v) with the values a row has, of which the largest of a column
+    counts.  A task folds all its rows into
     matrix products and gives one array for each pair of blocks of columns; arrays are added by salt first and then
     for good, so neither the rows of a key nor the parts of a pair meet in one task.
     """
@@ -52,7 +53,9 @@ def pair_moments(rows: DataFrame, keys: Sequence[str], size: int, block: int = 6
                 flat = entries.flatten()
                 row = np.repeat(np.arange(b.num_rows), count)
                 x = np.full((b.num_rows, size), np.nan)
-                x[row, flat.field("i").to_numpy(zero_copy_only=False)] = flat.field("v").to_numpy(zero_copy_only=False)
+                v = flat.field("v").to_numpy(zero_copy_only=False)
+                by = np.argsort(v, kind="stable")
+                x[row[by], flat.field("i").to_numpy(zero_copy_only=False)[by]] = v[by]
                 names, group = np.unique(np.array(b.column("__key").to_pylist(), object), return_inverse=True)
                 for k, key in enumerate(names.tolist()):
                     own = x[group == k]

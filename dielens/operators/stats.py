@@ -221,10 +221,10 @@ def correlation_matrix(
     spark = meas.sparkSession
     names = spark.createDataFrame(list(enumerate(params)), "i int, parameter_code string")
     listed = meas.where(measured()).join(F.broadcast(names), "parameter_code")  # the list the caller wrote
-    own = listed.groupBy(*keys, *unit, "i").agg(F.max("value_numeric").alias("v"))
-    centre = own.groupBy(*keys, "i").agg(F.avg("v").alias("__centre"))
-    centred = join_sized(own, centre, [*keys, "i"], "inner")
-    entries = F.collect_list(F.struct("i", (F.col("v") - F.col("__centre")).alias("v")))
+    listed = listed.select(*keys, *unit, "i", "value_numeric")
+    centre = listed.groupBy(*keys, "i").agg(F.avg("value_numeric").alias("__centre"))
+    centred = join_sized(listed, centre, [*keys, "i"], "inner")
+    entries = F.collect_list(F.struct("i", (F.col("value_numeric") - F.col("__centre")).alias("v")))
     sums = pair_moments(centred.groupBy(*keys, *unit).agg(entries.alias("entries")), keys, len(params))
     n = F.when(F.col("n") > 0, F.col("n"))
     across = F.col("sxy") - F.col("sx") * F.col("sy") / n
