@@ -16,7 +16,6 @@ emits the labels of the arcs.
 from __future__ import annotations
 
 import json
-import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -25,6 +24,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import normalizers
 
 from dielens.llm.text import Ragged, WordStore, batch, map_arrow, slices, spread, sums, texts_of, vocabulary
 from dielens.llm.words import Texts, byte_class
@@ -287,13 +287,14 @@ class WordBpe:
         self.pieces = regex.compile(splits)
         labels = dict(zip(self.vocab.values(), self.vocab, strict=True)) | {i: s for s, i in self.special.items()}
         self.labels = [labels.get(i, "") for i in range(max(labels) + 1)]
+        self.compose = normalizers.NFC()  # the library's own tables, which are older than Python's
         self.known: dict[str, int] = {}
         self.rows = Ragged(np.int32)
         self.store = WordStore(spaced_words, self.encode, np.int32)
 
     def _pieces(self, part: str) -> list[str]:
-        if not (part.isascii() or unicodedata.is_normalized("NFC", part)):
-            part = unicodedata.normalize("NFC", part)
+        if not part.isascii():
+            part = self.compose.normalize_str(part)
         low = part.replace("Σ", "σ").lower()
         return [low] if low.isalpha() else self.pieces.findall(low)
 

@@ -42,6 +42,18 @@ def test_automaton_has_one_path_for_each_word(words):
         assert flat[ends[k] - count[k] : ends[k]].tolist() == words.encode(word, add_special_tokens=False).ids, word
 
 
+def test_marks_are_ordered_as_the_library_orders_them(words):
+    bpe = bpe_automaton.word_bpe("word_bpe_49k.json")
+    rng = np.random.default_rng(5)
+    marks = [chr(c) for c in [0x9FE, 0x323, 0x9CD, 0x301, 0x307, 0x327, 0x1DF6, 0x8D3, 0x1ABF, 0xF71, 0x5B0, 0x64B]]
+    made = ["a\u09fe\u0323", "a\u09fe\u09cd", "İ", "I\u0307", "E\u0301", "Å", "\u212b", "각", "\u1100\u1161\u11a8"]
+    made += ["".join(rng.choice(["a", "E", "s", "o", *marks], n)) for n in rng.integers(1, 12, 20000)]
+    flat, count = bpe.encode([w.lower() if w.isascii() else w for w in made])
+    ends = np.cumsum(count)
+    for k, word in enumerate(made):
+        assert flat[ends[k] - count[k] : ends[k]].tolist() == words.encode(word, add_special_tokens=False).ids, ascii(word)
+
+
 def test_counts(hard, plain, pieces):
     found = by_id(token_counts.count_tokens(hard, limit=300))
     for i, text in plain:
