@@ -1,7 +1,7 @@
 """Blocks of documents, and the exchange by which they learn which of their names other blocks have too.
 
 A block is a run of whole documents with its text compressed, written once as a bucketed table.  Each exchange sends
-only sorted arrays of 64-bit names, cut into parts of the name space, and answers every block with one bit for each
+only sorted arrays of names, cut into parts of the name space, and answers every block with one bit for each
 name; since the table is bucketed by block, the answers join it without moving a text again.
 """
 
@@ -33,19 +33,22 @@ ARROW = pa.schema([("block", pa.int64()), ("docs", pa.binary()), ("ends", pa.bin
 class Plan:
     """How the corpus is cut: about 8 blocks in a bucket, the names of 1.5 MB of text in a part, 16 names at least in a message.
 
-    The block grows with the square root of the corpus, so that messages stay worth sending.
+    The block grows with the square root of the corpus, so that messages stay worth sending.  ``name_bits`` is how much of
+    a name is sent where names are only counted: two names of a corpus then meet by chance with less than 1 in 256.
     """
 
     block_bytes: int
     buckets: int
     parts: int
+    name_bits: int
 
     @staticmethod
     def of(total: int, shuffle_partitions: int) -> Plan:
         block = int(min(max(2_000_000, (total * 1000) ** 0.5), 64_000_000))
         buckets = max(shuffle_partitions, -(-total // (8 * block)))
         parts = max(2 * shuffle_partitions, -(-total // 1_500_000))
-        return Plan(block, buckets, 1 << min(int(parts - 1).bit_length(), max((block // 256).bit_length(), 4)))
+        parts = 1 << min(int(parts - 1).bit_length(), max((block // 256).bit_length(), 4))
+        return Plan(block, buckets, parts, min(max(int(total).bit_length() + 8, parts.bit_length()), 64))
 
 
 @dataclass
@@ -118,14 +121,40 @@ def listed(answers: DataFrame, name: str = "answers") -> DataFrame:
     return settled(answers.groupBy("block").agg(F.collect_list(F.struct("part", "said")).alias(name)), name)
 
 
+def packed(names: np.ndarray, parts: int, name_bits: int) -> np.ndarray:
+    """The first bits of sorted names as the distances inside each part, one row for each byte of the widest one."""
+    inside = (names >> U(64 - name_bits)) & U((1 << (name_bits - parts.bit_length() + 1)) - 1)
+    at = cut(names, parts)[:-1]
+    step = inside.copy()
+    step[1:] -= inside[:-1]
+    first = at[at < len(names)]
+    step[first] = inside[first]
+    width = max(-(-int(step.max(initial=0)).bit_length() // 8), 1)
+    return np.ascontiguousarray(step.view(np.uint8).reshape(-1, 8)[:, :width].T)
+
+
+def unpacked(packs: list[bytes], size: np.ndarray) -> np.ndarray:
+    """The names of the messages of one part, from the beginning of the part."""
+    ends = np.cumsum(size)
+    step = np.zeros((int(ends[-1]), 8), np.uint8)
+    for pack, n, end in zip(packs, size.tolist(), ends.tolist(), strict=True):
+        rows = np.frombuffer(pack, np.uint8).reshape(-1, n)
+        step[end - n : end, : len(rows)] = rows.T
+    total = np.concatenate([np.zeros(1, U), np.cumsum(step.view(U).ravel())])
+    return total[1:] - np.repeat(total[ends - size], size)
+
+
 def shared_names(
-    blocks: DataFrame, parts: int, hot: int, names_of: Callable[[Block, dict], tuple[np.ndarray, np.ndarray, np.ndarray]]
+    blocks: DataFrame, plan: Plan, hot: int, names_of: Callable[[Block, dict], tuple[np.ndarray, np.ndarray, np.ndarray]]
 ) -> DataFrame:
     """(block, part, said): two rows of bits for the names of the block in the part: not alone, and hot.
 
     ``names_of`` gives, for a block and its row, the sorted different names, which are not alone inside it already, and how often each
-    occurs.  A name is hot that occurs more than ``hot`` times in the corpus (a block counts up to 255 of its own).
+    occurs.  A name is hot that occurs more than ``hot`` times in the corpus (a block counts up to 255 of its own).  Only
+    the first bits of a name are sent, so that now and then a name that is alone is taken for a shared one; what is said
+    to be alone is.
     """
+    parts = plan.parts
     message = pa.schema(
         [("block", pa.int64()), ("part", pa.int32()), ("names", pa.binary()), ("twice", pa.binary()), ("often", pa.binary())]
     )
@@ -136,21 +165,21 @@ def shared_names(
             block = Block.of(row)
             names, twice, often = names_of(block, row)
             often = np.minimum(often, 255).astype(np.uint8)
-            at = cut(names, parts)
+            at, planes = cut(names, parts), packed(names, parts, plan.name_bits)
             full = np.flatnonzero(at[1:] > at[:-1]).tolist()
             columns = [  # one batch for all messages of a block
                 [block.number] * len(full),
                 full,
-                [names[at[p] : at[p + 1]].tobytes() for p in full],
+                [planes[:, at[p] : at[p + 1]].tobytes() for p in full],
                 [np.packbits(twice[at[p] : at[p + 1]]).tobytes() for p in full],
                 [often[at[p] : at[p + 1]].tobytes() for p in full],
             ]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, message, strict=True)], schema=message)
 
     def meet(table: pa.Table) -> pa.Table:
-        own = [np.frombuffer(x, U) for x in table.column("names").to_pylist()]
-        size = np.array([len(x) for x in own])
-        names = np.concatenate(own)
+        often = table.column("often").to_pylist()
+        size = np.array([len(x) for x in often])
+        names = unpacked(table.column("names").to_pylist(), size)
         alone = np.concatenate([
             np.unpackbits(np.frombuffer(x, np.uint8), count=n) == 0
             for x, n in zip(table.column("twice").to_pylist(), size.tolist(), strict=True)
@@ -158,7 +187,7 @@ def shared_names(
         order = np.argsort(names, kind="stable")
         same = names[order[1:]] == names[order[:-1]]
         alone[order[1:][same]] = alone[order[:-1][same]] = False
-        often = np.concatenate([np.frombuffer(x, np.uint8) for x in table.column("often").to_pylist()])
+        often = np.frombuffer(b"".join(often), np.uint8)
         group = np.concatenate([[0], np.cumsum(~same)])
         many = np.zeros(len(names), bool)
         many[order] = (np.bincount(group, often[order]) > hot)[group]

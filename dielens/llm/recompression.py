@@ -260,7 +260,7 @@ def dedup(
         raise ValueError("reach must end with (-1, 1) and fit the window")
     table, plan = B.store(docs, id_col, text_col)
     parts = plan.parts
-    symbols = B.shared_names(table, parts, hot, lambda block, _: Windows(block, window, reach).different_symbols())
+    symbols = B.shared_names(table, plan, hot, lambda block, _: Windows(block, window, reach).different_symbols())
     known = table.join(B.listed(symbols, "shared"), "block", "left")
     sent = map_arrow(
         known,

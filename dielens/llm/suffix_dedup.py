@@ -2,8 +2,9 @@
 
 Only repeats of a threshold length matter, so suffixes are ordered through that many bytes and no further.  The first
 pass looks at one wide digit: of the grams inside a window the one with the least hash stands for it, and a window
-whose gram is in one document only cannot repeat.  Windows that share their gram travel as one string, once for each
-different string of a block.  The strings of a part of the gram space meet in one task, where their suffixes are
+whose gram is in one document only cannot repeat.  The second pass looks at a wider one, the gram with half of what a
+window has beside it.  Windows left that share their gram travel as one string, once for each different string of a
+block.  The strings of a part of the gram space meet in one task, where their suffixes are
 sorted by passes of eight bytes, the most significant first; suffixes alone in their group drop out, and groups that
 are left after the last pass are exactly the repeated windows.  The windows of a hot gram, such as the border of a
 passage that very many documents share, travel one by one and are spread by their whole content; their names go first,
@@ -70,14 +71,14 @@ class Strings:
 
     def __init__(self, block: B.Block, window: int, gram: int):
         raw, n = block.raw + bytes(16), len(block.raw)
-        self.block, self.window = block, window
+        self.block, self.window, self.gram_bytes = block, window, gram
         width = window - gram + 1
         longer = np.flatnonzero(block.end - block.start >= window)
         edge = np.zeros(n + 1, np.int8)
         edge[block.start[longer]] += 1
         edge[block.end[longer] - window + 1] -= 1
         inside = np.cumsum(edge, dtype=np.int8)[:n] > 0
-        starts, counts, grams = [], [], []
+        starts, counts, grams, places = [], [], [], []
         # a run that goes over the end of a stretch becomes two
         for lo in range(0, max(n - window + 1, 0), STRETCH - width):
             hi = min(lo + STRETCH, n - gram + 1)
@@ -90,26 +91,50 @@ class Strings:
             starts.append(first + lo)
             counts.append(step[1:][at[step[:-1]] >= 0] - first)
             grams.append(own[at[first]])
+            places.append(at[first] + lo)
         none = np.zeros(0, np.int64)
         self.start = np.concatenate([none, *starts])
         self.count = np.concatenate([none, *counts])
         self.gram = np.concatenate([none.astype(U), *grams])
+        self.place = np.concatenate([none, *places])
         self.doc = block.docs[np.searchsorted(block.end, self.start)] if len(self.start) else none
 
     def different_grams(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The sorted different grams, which are in more than one document of the block, and how often each occurs."""
         return different(self.gram, self.doc)
 
-    def different_windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The same of the single windows of hot grams, after :meth:`keep_shared`."""
-        return different(self.gram[self.whole :], self.doc[self.whole :])
+    def cores(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """After :meth:`keep_shared`: how many windows of each run have at least half of their other bytes before the
+        gram; the runs with such windows, and with others; names and documents of what is common to these windows.
+
+        The first ones all hold the gram and the half before it, the others the gram and the half behind it, so equal
+        windows have equal cores.  The core of a single window is the window.
+        """
+        half = (self.window - self.gram_bytes + 1) // 2
+        n = self.whole
+        before = np.clip(self.place - half - self.start[:n] + 1, 0, self.count[:n])
+        left, right = np.flatnonzero(before > 0), np.flatnonzero(before < self.count[:n])
+        begin = np.concatenate([self.place[left] - half, self.place[right]])
+        end = np.concatenate([self.place[left] + self.gram_bytes, self.place[right] + self.window - half + 1])
+        names = Texts.of(self.block.raw, self.block.start, self.block.end).names(begin, end)
+        runs = np.concatenate([left, right])
+        return before, left, right, np.concatenate([names, self.gram[n:]]), np.concatenate([self.doc[runs], self.doc[n:]])
+
+    def different_cores(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The sorted different cores, which are in more than one document of the block, and how often each occurs."""
+        return different(*self.cores()[3:])
 
     def keep_known(self, parts: int, answers: list[dict] | None) -> None:
-        """Of the single windows only those that other documents have too."""
-        names = self.gram[self.whole :]
+        """Only windows whose core other documents have too; a run may lose its first or its last windows."""
+        before, left, right, names, _ = self.cores()
         different_names = np.unique(names)
         shared = B.bits(different_names, parts, answers)[0][np.searchsorted(different_names, names)]
-        some = np.concatenate([np.arange(self.whole), self.whole + np.flatnonzero(shared)])
+        first, last = np.zeros(self.whole, bool), np.zeros(self.whole, bool)
+        first[left], last[right] = shared[: len(left)], shared[len(left) : len(left) + len(right)]
+        skip, upto = np.where(first, 0, before), np.where(last, self.count[: self.whole], before)
+        self.start[: self.whole] += skip
+        self.count[: self.whole] = np.maximum(upto - skip, 0)
+        some = np.flatnonzero(np.concatenate([first | last, shared[len(left) + len(right) :]]))
         self.start, self.count, self.gram, self.doc = self.start[some], self.count[some], self.gram[some], self.doc[some]
 
     def keep_shared(self, parts: int, answers: list[dict] | None) -> None:
@@ -122,7 +147,7 @@ class Strings:
         self.start, self.doc = np.concatenate([self.start[whole], start]), np.concatenate([self.doc[whole], doc])
         self.count = np.concatenate([self.count[whole], np.ones(len(start), np.int64)])
         self.gram = np.concatenate([self.gram[whole], self.named()[len(whole) :]])
-        self.whole = len(whole)
+        self.place, self.whole = self.place[whole], len(whole)
 
     def named(self) -> np.ndarray:
         """The name of each whole string."""
@@ -239,6 +264,7 @@ def _removed(rows: Iterator[dict], window: int, gram: int, parts: int) -> Iterat
     for row in rows:
         own = Strings(B.Block.of(row), window, gram)
         own.keep_shared(parts, row["shared"])
+        own.keep_known(parts, row["known"])
         block, names = own.block, own.named()
         first, group = own.firsts(names)
         later = own.doc > own.doc[first][group] if len(first) else np.zeros(0, bool)
@@ -290,15 +316,15 @@ def dedup(
         raise ValueError("gram must have 8 bytes at least, and window - gram be 63 at most")
     table, plan = B.store(docs, id_col, text_col)
     parts = plan.parts
-    grams = B.shared_names(table, parts, hot, lambda block, _: Strings(block, window, gram).different_grams())
+    grams = B.shared_names(table, plan, hot, lambda block, _: Strings(block, window, gram).different_grams())
     known = table.join(B.listed(grams, "shared"), "block", "left")
 
-    def windows(block: B.Block, row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def cores(block: B.Block, row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         own = Strings(block, window, gram)
         own.keep_shared(parts, row["shared"])
-        return own.different_windows()
+        return own.different_cores()
 
-    known = known.join(B.listed(B.shared_names(known, parts, hot, windows), "known"), "block", "left")
+    known = known.join(B.listed(B.shared_names(known, plan, hot, cores), "known"), "block", "left")
     sent = map_arrow(
         known,
         lambda batches: _strings_to_parts(B.rows_of(batches), window, gram, parts),
