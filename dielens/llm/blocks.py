@@ -40,6 +40,7 @@ class Plan:
     block_bytes: int
     buckets: int
     parts: int
+    part_bytes: int
     name_bits: int
 
     @staticmethod
@@ -48,7 +49,7 @@ class Plan:
         buckets = max(shuffle_partitions, -(-total // (8 * block)))
         parts = max(2 * shuffle_partitions, -(-total // 1_500_000))
         parts = 1 << min(int(parts - 1).bit_length(), max((block // 256).bit_length(), 4))
-        return Plan(block, buckets, parts, min(max(int(total).bit_length() + 8, parts.bit_length()), 64))
+        return Plan(block, buckets, parts, max(total // parts, 1_000_000), min(max(int(total).bit_length() + 8, parts.bit_length()), 64))
 
 
 @dataclass

@@ -6,9 +6,9 @@ whose gram is in one document only cannot repeat.  The second pass looks at a wi
 window has beside it.  Windows left that share their gram travel as one string, once for each different string of a
 block.  The strings of a part of the gram space meet in one task, where their suffixes are
 sorted by passes of eight bytes, the most significant first; suffixes alone in their group drop out, and groups that
-are left after the last pass are exactly the repeated windows.  The windows of a hot gram, such as the border of a
-passage that very many documents share, travel one by one and are spread by their whole content; their names go first,
-and only windows that another document has too are sent with their bytes.
+are left after the last pass are exactly the repeated windows.  The strings of a hot gram, such as one in
+a passage that very many documents share, are spread by that wider gram, and where it has too many different strings
+itself, as at the border of such a passage, window by window by their whole content.
 """
 
 from __future__ import annotations
@@ -103,51 +103,70 @@ class Strings:
         """The sorted different grams, which are in more than one document of the block, and how often each occurs."""
         return different(self.gram, self.doc)
 
-    def cores(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """After :meth:`keep_shared`: how many windows of each run have at least half of their other bytes before the
-        gram; the runs with such windows, and with others; names and documents of what is common to these windows.
+    def keep_shared(self, parts: int, answers: list[dict] | None) -> None:
+        """Only runs whose gram other documents have too; ``hot`` tells which of the grams are hot."""
+        grams = self.different_grams()[0]
+        shared, hot = B.bits(grams, parts, answers)[:, np.searchsorted(grams, self.gram)]
+        some = np.flatnonzero(shared)
+        self.start, self.count, self.place, self.gram, self.doc, self.hot = (
+            x[some] for x in (self.start, self.count, self.place, self.gram, self.doc, hot)
+        )
 
-        The first ones all hold the gram and the half before it, the others the gram and the half behind it, so equal
-        windows have equal cores.  The core of a single window is the window.
+    def pieces(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """After :meth:`keep_shared`, each run in two: run, start and number of windows of a piece, its core, its name.
+
+        The windows of the first piece have at least half of their other bytes before the gram.  They all hold the gram and
+        that half, those of the second piece the gram and the half behind it; this is the core, and equal windows have
+        equal ones.
         """
         half = (self.window - self.gram_bytes + 1) // 2
-        n = self.whole
-        before = np.clip(self.place - half - self.start[:n] + 1, 0, self.count[:n])
-        left, right = np.flatnonzero(before > 0), np.flatnonzero(before < self.count[:n])
-        begin = np.concatenate([self.place[left] - half, self.place[right]])
-        end = np.concatenate([self.place[left] + self.gram_bytes, self.place[right] + self.window - half + 1])
-        names = Texts.of(self.block.raw, self.block.start, self.block.end).names(begin, end)
-        runs = np.concatenate([left, right])
-        return before, left, right, np.concatenate([names, self.gram[n:]]), np.concatenate([self.doc[runs], self.doc[n:]])
+        before = np.clip(self.place - half - self.start + 1, 0, self.count)
+        left, right = np.flatnonzero(before > 0), np.flatnonzero(before < self.count)
+        run = np.concatenate([left, right])
+        start = np.concatenate([self.start[left], self.start[right] + before[right]])
+        count = np.concatenate([before[left], self.count[right] - before[right]])
+        begin = np.concatenate([self.place[left] - half, self.place[right], start])
+        end = [self.place[left] + self.gram_bytes, self.place[right] + self.window - half + 1, start + count - 1 + self.window]
+        names = Texts.of(self.block.raw, self.block.start, self.block.end).names(begin, np.concatenate(end))
+        return run, start, count, names[: len(run)], names[len(run) :]
 
     def different_cores(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The sorted different cores, which are in more than one document of the block, and how often each occurs."""
-        return different(*self.cores()[3:])
+        """The sorted different cores, which are in more than one document of the block, and how many pieces differ."""
+        run, _, _, core, name = self.pieces()
+        order = np.lexsort((name, core))
+        core, name, doc = core[order], name[order], self.doc[run[order]]
+        if not len(core):
+            return core, np.zeros(0, bool), np.zeros(0, np.int64)
+        edge = np.ones(len(core), bool)
+        edge[1:] = core[1:] != core[:-1]
+        other = edge.copy()
+        other[1:] |= name[1:] != name[:-1]
+        first = np.flatnonzero(edge)
+        twice = np.minimum.reduceat(doc, first) < np.maximum.reduceat(doc, first)
+        return core[first], twice, np.add.reduceat(other.astype(np.int64), first)
 
     def keep_known(self, parts: int, answers: list[dict] | None) -> None:
-        """Only windows whose core other documents have too; a run may lose its first or its last windows."""
-        before, left, right, names, _ = self.cores()
-        different_names = np.unique(names)
-        shared = B.bits(different_names, parts, answers)[0][np.searchsorted(different_names, names)]
-        first, last = np.zeros(self.whole, bool), np.zeros(self.whole, bool)
-        first[left], last[right] = shared[: len(left)], shared[len(left) : len(left) + len(right)]
-        skip, upto = np.where(first, 0, before), np.where(last, self.count[: self.whole], before)
-        self.start[: self.whole] += skip
-        self.count[: self.whole] = np.maximum(upto - skip, 0)
-        some = np.flatnonzero(np.concatenate([first | last, shared[len(left) + len(right) :]]))
-        self.start, self.count, self.gram, self.doc = self.start[some], self.count[some], self.gram[some], self.doc[some]
+        """Only windows whose core other documents have too, as strings; ``gram`` says where a string goes.
 
-    def keep_shared(self, parts: int, answers: list[dict] | None) -> None:
-        """Only strings whose gram other documents have too; those of a hot gram window by window."""
-        grams = self.different_grams()[0]
-        shared, hot = B.bits(grams, parts, answers)[:, np.searchsorted(grams, self.gram)]
-        whole, single = np.flatnonzero(shared & ~hot), np.flatnonzero(shared & hot)
-        start = spread(self.start[single], self.count[single])
-        doc = np.repeat(self.doc[single], self.count[single])
-        self.start, self.doc = np.concatenate([self.start[whole], start]), np.concatenate([self.doc[whole], doc])
-        self.count = np.concatenate([self.count[whole], np.ones(len(start), np.int64)])
-        self.gram = np.concatenate([self.gram[whole], self.named()[len(whole) :]])
-        self.place, self.whole = self.place[whole], len(whole)
+        What is left of a run stays one string.  The pieces of a hot gram go by their core, and those of a hot core window
+        by window.
+        """
+        run, start, count, core, _ = self.pieces()
+        cores = np.unique(core)
+        shared, hot = B.bits(cores, parts, answers)[:, np.searchsorted(cores, core)]
+        apart = self.hot[run]
+        whole = np.flatnonzero(shared & ~apart)
+        begin, stop = np.full(len(self.start), len(self.block.raw)), np.zeros(len(self.start), np.int64)
+        np.minimum.at(begin, run[whole], start[whole])
+        np.maximum.at(stop, run[whole], start[whole] + count[whole])
+        kept = np.flatnonzero(stop > 0)
+        alone, single = np.flatnonzero(shared & apart & ~hot), np.flatnonzero(shared & apart & hot)
+        windows = spread(start[single], count[single])
+        text = Texts.of(self.block.raw, self.block.start, self.block.end)
+        self.gram = np.concatenate([self.gram[kept], core[alone], text.names(windows, windows + self.window)])
+        self.doc = np.concatenate([self.doc[kept], self.doc[run[alone]], np.repeat(self.doc[run[single]], count[single])])
+        self.start = np.concatenate([begin[kept], start[alone], windows])
+        self.count = np.concatenate([stop[kept] - begin[kept], count[alone], np.ones(len(windows), np.int64)])
 
     def named(self) -> np.ndarray:
         """The name of each whole string."""
@@ -303,19 +322,21 @@ def _removed(rows: Iterator[dict], window: int, gram: int, parts: int) -> Iterat
 
 
 def dedup(
-    docs: DataFrame, window: int = 50, gram: int = 20, hot: int = 256, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, window: int = 50, gram: int = 20, hot: int | None = None, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """(doc_id, n_bytes, spans, kept) of every whole text as UTF-8 bytes, one row per row of ``docs``.
 
     Removed is each byte inside a string of ``window`` bytes that also starts in a document with a smaller id; strings
     are judged on the input.  ``spans`` are the maximal removed runs, ``kept`` the other bytes.  Null and empty texts
     keep nothing and lose nothing; repeated rows of one id do not count against each other; a null id comes after
-    every other one.  ``window - gram`` is at most 63.  A gram that occurs more than ``hot`` times is hot.
+    every other one.  ``window - gram`` is at most 63.  A gram that occurs more than ``hot`` times is hot, and a core
+    with more than ``hot`` different strings (a block counts its own); by default a 32nd of the runs in the text of a part.
     """
     if not 8 <= gram <= window or window - gram > 63:
         raise ValueError("gram must have 8 bytes at least, and window - gram be 63 at most")
     table, plan = B.store(docs, id_col, text_col)
     parts = plan.parts
+    hot = plan.part_bytes // 512 if hot is None else hot
     grams = B.shared_names(table, plan, hot, lambda block, _: Strings(block, window, gram).different_grams())
     known = table.join(B.listed(grams, "shared"), "block", "left")
 
