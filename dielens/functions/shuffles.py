@@ -77,11 +77,20 @@ def as_of(points: DataFrame, bounds: DataFrame, at: str) -> DataFrame:
     return joined.select(at, (F.col("__own") + F.col("__carry")).cast("long").alias("n_before"))
 
 
+def in_ranges(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
+    """The rows with ``__range``, the number of their range in the order of keys and order columns, written once.
+
+    Ranges are cut at sampled quantiles of the whole order, so they are about equally large wherever the rows crowd.
+    """
+    ranged = df.repartitionByRange(*[F.col(k) for k in keys], *order)
+    return settled(ranged.withColumn("__range", F.spark_partition_id()), "ranges")
+
+
 def numbered(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[Column],
-    pieces: Column,
+    pieces: Column | None,
     name: str,
     sized_by: DataFrame | None = None,
     null_safe: bool = True,
@@ -91,12 +100,18 @@ def numbered(
     ``pieces`` must never decrease along ``order`` (usually the leading order
     column cut to a day or hour).  Rows are ranked inside (key, piece) and
     shifted by the row counts of the earlier pieces; those counts are
-    pre-aggregated before they are shuffled.  ``sized_by`` may name a frame with
-    the same keys and order columns per row that is cheaper to scan for them.
+    pre-aggregated before they are shuffled.  Where a piece may hold a large
+    share of the rows, give None: the pieces are then ranges of equal size
+    (:func:`in_ranges`).  ``sized_by`` may name a frame with the same keys and
+    order columns per row that is cheaper to scan for them.
     With ``null_safe`` off (keys and pieces are never null) the ranked rows keep
     their partitioning through the join.
     """
-    cut = df.withColumn("__piece", pieces)
+    if pieces is None:
+        if sized_by is not None:
+            raise ValueError("ranges are cut and counted from the rows themselves")
+        df, pieces = in_ranges(df, keys, order), F.col("__range")
+    cut = df.withColumn("__piece", pieces).drop("__range")
     counted = cut if sized_by is None else sized_by.withColumn("__piece", pieces)
     sizes = counted.groupBy(*keys, "__piece").agg(F.count(F.lit(1)).alias("__size"))
     earlier = (

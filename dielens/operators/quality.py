@@ -95,9 +95,12 @@ def evaluate_safe_launch(
 
 
 def spc_imr(
-    series: DataFrame, keys: Sequence[str], order: Sequence[Column], pieces: Column, rule_version: str
+    series: DataFrame, keys: Sequence[str], order: Sequence[Column], pieces: Column | None, rule_version: str
 ) -> DataFrame:
-    """Individuals and moving-range chart points with centre line, limits and an out-of-control flag."""
+    """Individuals and moving-range chart points with centre line, limits and an out-of-control flag.
+
+    ``pieces`` as in :func:`numbered`.
+    """
     placed = numbered(series.where(measured()), keys, order, pieces, "position")
 
     def ranges(window):

@@ -240,9 +240,9 @@ def correlation_matrix(
 
 
 def value_trend(
-    series: DataFrame, keys: Sequence[str], order: Sequence[Column], pieces: Column, k: int
+    series: DataFrame, keys: Sequence[str], order: Sequence[Column], pieces: Column | None, k: int
 ) -> DataFrame:
-    """Values in test order with the mean of the last ``k + 1``."""
+    """Values in test order with the mean of the last ``k + 1``; ``pieces`` as in :func:`numbered`."""
     placed = numbered(series.where(measured()), keys, order, pieces, "position")
 
     def rolling(window):

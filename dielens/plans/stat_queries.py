@@ -147,10 +147,6 @@ def ft_order():
     return [F.col("source_started_local"), F.col("event_id")]
 
 
-def ft_hour():
-    return F.date_trunc("hour", "source_started_local")
-
-
 _SEQ = "PARTITION BY lot_id ORDER BY source_started_local, event_id"
 
 
@@ -160,7 +156,7 @@ _SEQ = "PARTITION BY lot_id ORDER BY source_started_local, event_id"
  {r4(f'avg(value_numeric) OVER ({_SEQ} ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)')} AS rolling_mean FROM ft""",
 )
 def _(spark, sf):
-    trend = stats.value_trend(fx.ft(spark, sf), ["lot_id"], ft_order(), ft_hour(), 4)
+    trend = stats.value_trend(fx.ft(spark, sf), ["lot_id"], ft_order(), None, 4)
     return steady(trend.select("unit_id", "lot_id", "position", "value_numeric", "rolling_mean"), "rolling_mean")
 
 
@@ -302,7 +298,7 @@ def chart(spark, sf):
     series = fx.ft(spark, sf).select(
         "unit_id", "lot_id", "value_numeric", "measurement_status", "source_started_local", "event_id"
     )
-    return quality.spc_imr(series, ["lot_id"], ft_order(), ft_hour(), "SPC 1.0")
+    return quality.spc_imr(series, ["lot_id"], ft_order(), None, "SPC 1.0")
 
 
 @query(

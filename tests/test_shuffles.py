@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from dielens.functions.shuffles import exact_quantiles, numbered, over_blocks, top_one
+from dielens.functions.shuffles import exact_quantiles, in_ranges, numbered, over_blocks, top_one
 
 
 @pytest.fixture(scope="module")
@@ -67,3 +67,37 @@ def test_top_one_ships_one_row_per_key_and_task(skewed):
     plan = winners._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
     assert winners.count() == 4
+
+
+def test_numbered_by_ranges_where_one_hour_holds_half_of_all_rows(spark):
+    pick = random.Random(11)
+    rows = [
+        ("hot" if pick.random() < 0.8 else pick.choice(["a", None]), pick.randrange(3600) if i % 2 else pick.randrange(3600 * 200), i)
+        for i in range(20000)
+    ]
+    df = spark.createDataFrame(rows, "k string, t int, id int").repartition(5)
+    order = [F.col("t"), F.col("id")]
+    coalesce = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(coalesce)
+    spark.conf.set(coalesce, "false")
+    try:
+        sizes = sorted(r["count"] for r in in_ranges(df, ["k"], order).groupBy("__range").count().collect())
+        got = numbered(df, ["k"], order, None, "n").collect()
+    finally:
+        spark.conf.set(coalesce, before)
+    assert len(sizes) > 4
+    assert sizes[-1] <= 3 * sizes[len(sizes) // 2]
+    want = {}
+    for group in by_key(rows).values():
+        for i, row in enumerate(sorted(group, key=lambda r: (r[1], r[2])), 1):
+            want[row[2]] = i
+    assert {r["id"]: r["n"] for r in got} == want
+    assert set(got[0].asDict()) == {"k", "t", "id", "n"}
+
+
+def test_numbered_by_ranges_of_ties_and_of_nothing(spark):
+    df = spark.createDataFrame([("a", 1)] * 50 + [(None, None)] * 3, "k string, t int")
+    got = numbered(df, ["k"], [F.col("t")], None, "n").collect()
+    assert sorted(r["n"] for r in got if r["k"] == "a") == list(range(1, 51))
+    assert sorted(r["n"] for r in got if r["k"] is None) == [1, 2, 3]
+    assert numbered(df.limit(0), ["k"], [F.col("t")], None, "n").count() == 0
