@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from dielens.functions.columns import rounded
@@ -43,29 +44,57 @@ def _(spark, sf):
     return both.groupBy("test_stage", "lot_id", "parameter_code").agg(F.count(F.lit(1)).alias("n"))
 
 
+#: What the vendor files are written in, by nation.
+ENCODINGS = ("UTF-8", "GB18030", "UTF-16LE")
+
+
+def _encoded(encoding):
+    @F.pandas_udf("binary")
+    def encode(lines: pd.Series) -> pd.Series:
+        return lines.map(lambda x: x.encode(encoding))
+
+    return encode
+
+
 @query(
     "scan_vendor_text",
-    """SELECT c_custkey AS c1, c_name AS c2, c_mktsegment || '测试' AS c3 FROM customer""",
+    """SELECT c_custkey AS c1, c_name AS c2, c_mktsegment || '测试' AS c3, 'nation=' || c_nationkey AS source,
+ row_number() OVER w + count(*) FILTER (c_custkey % 5 = 0) OVER w - CASE WHEN c_custkey % 5 = 0 THEN 1 ELSE 0 END AS source_row_no
+FROM customer WINDOW w AS (PARTITION BY c_nationkey ORDER BY c_custkey ROWS UNBOUNDED PRECEDING)""",
 )
 def _(spark, sf):
-    folder = scratch_folder(spark, "vendor-text")
-    rows = fx.table(spark, sf, "customer").select("c_custkey", "c_name", F.concat("c_mktsegment", F.lit("测试")))
-    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-    rows.write.option("sep", ";").option("encoding", "GB18030").csv(folder)
-    found = files.scan_vendor_text(spark, folder, ";", "GB18030", "c1 long, c2 string, c3 string")
-    return found.select("c1", "c2", "c3")
+    """One file for each nation, in three encodings, with a blank line after every fifth customer."""
+    found = []
+    for k, encoding in enumerate(ENCODINGS):
+        folder = scratch_folder(spark, f"vendor-{encoding}")
+        line = F.concat_ws(";", "c_custkey", "c_name", F.concat("c_mktsegment", F.lit("测试")))
+        line = F.concat(line, F.when(F.col("c_custkey") % 5 == 0, "\n").otherwise(""))
+        rows = fx.table(spark, sf, "customer").where(F.col("c_nationkey") % len(ENCODINGS) == k)
+        rows = rows.select("c_custkey", F.col("c_nationkey").alias("nation"), _encoded(encoding)(line).cast("string").alias("value"))
+        rows = rows.repartition("nation").sortWithinPartitions("nation", "c_custkey").select("value", "nation")
+        rows.write.option("lineSep", "\n").option("encoding", encoding).partitionBy("nation").text(folder)
+        read = files.scan_vendor_text(spark, f"{folder}/nation=*", ";", encoding, "c1 long, c2 string, c3 string")
+        found.append(read)
+    every = found[0].unionByName(found[1]).unionByName(found[2])
+    return every.withColumn("source", F.regexp_extract("source_file", "nation=[0-9]+", 0)).drop("source_file")
 
 
 def _file_folder(spark, sf):
-    """Orders as small text files, one folder per clerk group."""
+    """Orders as text files, one for each group of keys, in order of their keys."""
     folder = scratch_folder(spark, "files")
     line = F.concat_ws(",", "o_orderkey", "o_custkey")
-    orders = fx.table(spark, sf, "orders").select(line.alias("value"), (F.col("o_orderkey") % 8).alias("part"))
-    orders.repartition(8, "part").write.partitionBy("part").text(folder)
+    orders = fx.table(spark, sf, "orders").select(line.alias("value"), "o_orderkey", (F.col("o_orderkey") % 64).alias("part"))
+    ordered = orders.repartition("part").sortWithinPartitions("part", "o_orderkey").select("value", "part")
+    ordered.write.partitionBy("part").text(folder)
     return folder
 
 
-@query("scan_file_manifest")
+#: The files of ``_file_folder``.
+_FILES = """(SELECT 'part=' || (o_orderkey % 64) AS part,
+ string_agg(o_orderkey || ',' || o_custkey || chr(10), '' ORDER BY o_orderkey) AS content FROM orders GROUP BY 1)"""
+
+
+@query("scan_file_manifest", f"SELECT part, strlen(content) AS file_size, sha256(content) AS sha256 FROM {_FILES}")
 def _(spark, sf):
     found = files.scan_file_manifest(spark, _file_folder(spark, sf) + "/part=*/part-*")
     return found.select(F.regexp_extract("path", "part=[0-9]+", 0).alias("part"), "file_size", "sha256")
@@ -179,9 +208,15 @@ def _(spark, sf):
     return exports.export_artifact_manifest(spark, path, JOB)
 
 
-@query("incremental_receipts")
+@query(
+    "incremental_receipts",
+    f"""SELECT sha256(content) AS sha256, strlen(content) AS file_size, again AS is_duplicate_receipt
+FROM {_FILES}, (VALUES (false), (true)) v(again)""",
+)
 def _(spark, sf):
-    folder, sink = _file_folder(spark, sf), scratch_folder(spark, "receipts")
-    stream = incremental_receipts(spark, folder + "/part=*/part-*", scratch_folder(spark, "stream"), sink, 3)
+    """Every file arrives twice, in batches that hold some of the copies and not others."""
+    first, second, sink = _file_folder(spark, sf), _file_folder(spark, sf), scratch_folder(spark, "receipts")
+    folder = f"{first[: first.rindex('/')]}/{{{first.rsplit('/', 1)[1]},{second.rsplit('/', 1)[1]}}}"
+    stream = incremental_receipts(spark, f"{folder}/part=*/part-*", scratch_folder(spark, "stream"), sink, 48)
     stream.awaitTermination()
     return spark.read.parquet(sink).select("sha256", "file_size", "is_duplicate_receipt")

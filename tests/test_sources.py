@@ -11,17 +11,36 @@ from dielens.sources import exports, facts, files
 from dielens.streaming.receipts import incremental_receipts
 
 
-def test_row_numbers_across_blocks(spark, tmp_path):
-    path = tmp_path / "big.csv"
-    path.write_bytes("".join(f"{i};芯片{i}\n" for i in range(1, 5001)).encode("gb18030"))
-    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "8000")
+@pytest.mark.parametrize("encoding", ["UTF-8", "GB18030", "UTF-16", "UTF-16BE", "ISO-8859-1"])
+def test_physical_lines_across_blocks(spark, tmp_path, encoding):
+    name = "é" if encoding == "ISO-8859-1" else "芯片一Ā"
+    ends = ("\n", "\r\n", "\n\n")
+    text = "".join(f"{i};{name}{i}{ends[i % 3]}" for i in range(1, 5001))
+    mark = "\ufeff" if encoding in ("UTF-8", "UTF-16BE") else ""
+    (tmp_path / "big.csv").write_bytes((mark + text).encode(encoding))
+    (tmp_path / "empty.csv").write_bytes(b"")
+    (tmp_path / "small.csv").write_bytes((mark + f"7;{name}7").encode(encoding))
+    lines = text.split("\n")
+    want = [(int(x.split(";")[0]), x.split(";")[1].rstrip("\r"), "big.csv", k) for k, x in enumerate(lines, 1) if x.strip()]
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.execution.arrow.maxRecordsPerBatch")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8001")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
     try:
-        rows = files.scan_vendor_text(spark, str(path), ";", "GB18030", "n long, name string").collect()
+        paths = [str(tmp_path / f) for f in ("big.csv", "empty.csv", "small.csv")]
+        rows = files.scan_vendor_text(spark, paths, ";", encoding, "n long, name string").collect()
     finally:
-        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
-    assert len(rows) == 5000
-    assert all(r["n"] == r["source_row_no"] and r["name"] == f"芯片{r['n']}" for r in rows)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    got = sorted((r["n"], r["name"], r["source_file"].rsplit("/", 1)[-1], r["source_row_no"]) for r in rows)
+    assert got == sorted([*want, (7, f"{name}7", "small.csv", 1)])
+    assert spark.conf.get("spark.sql.legacy.javaCharsets") == "false"
+
+
+def test_lines_that_are_no_text(spark, tmp_path):
+    (tmp_path / "odd.csv").write_bytes(b"1;a\xff\r2;b;more\r\n \nx;c\n5")
+    rows = files.scan_vendor_text(spark, str(tmp_path), ";", "UTF-8", "n long, name string").orderBy("source_row_no")
+    got = [(r["n"], r["name"], r["source_row_no"]) for r in rows.collect()]
+    assert got == [(1, "a\ufffd", 1), (2, "b", 2), (None, "c", 4), (5, None, 5)]
 
 
 def test_archives_are_replaced_by_their_members(spark, tmp_path):
@@ -65,6 +84,33 @@ def test_stream_records_each_file_once_and_marks_repeats(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "sink")).count() == 5
 
 
+def test_stream_reads_no_history_and_replays_a_lost_batch(spark, tmp_path):
+    folder, ckpt, sink = tmp_path / "in", tmp_path / "ckpt", tmp_path / "sink"
+    folder.mkdir()
+    provider = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+
+    def run(*texts):
+        for text in texts:
+            (folder / f"{len(list(folder.iterdir()))}.txt").write_text(text)
+        incremental_receipts(spark, str(folder), str(ckpt), str(sink), 4).awaitTermination()
+        rows = spark.read.parquet(str(sink)).collect()
+        return sorted((int(r["receipt_id"].rsplit("/", 1)[-1][:-4]), r["is_duplicate_receipt"]) for r in rows)
+
+    texts = [str(i % 17) for i in range(40)]
+    got = run(*texts)
+    assert [i for i, _ in got] == list(range(40))
+    assert sum(not again for _, again in got) == 17
+    # the commit of the last batch is lost: the batch runs again and leaves what it left before
+    last = max((ckpt / "commits").glob("[0-9]*"), key=lambda p: int(p.name))
+    last.unlink()
+    (ckpt / "commits" / f".{last.name}.crc").unlink(missing_ok=True)
+    assert run() == got
+    assert run("3", "new")[-2:] == [(40, True), (41, False)]
+    # what was written before is not read again: without it, repeats are still known
+    assert run("new")[-1] == (42, True)
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") == provider
+
+
 def test_export_needs_its_pins_and_has_a_manifest(spark, rows, tmp_path):
     df = rows("unit_id string", ("1",), ("2",))
     with pytest.raises(ValueError):
