@@ -145,6 +145,82 @@ def test_bands_reject_what_the_vocabulary_does_not_fit(spark):
     assert not verdict[2]["kept"]
 
 
+def _drawn(letters, seed, n=200):
+    import random
+
+    r = random.Random(seed)
+    return " ".join("".join(r.choice(letters) for _ in range(r.randint(3, 9))) for _ in range(n))
+
+
+def test_bands_under_both_vocabularies(spark):
+    import base64
+    import random
+
+    r = random.Random(7)
+    junk = [
+        "\n".join(base64.b64encode(r.randbytes(57)).decode() for _ in range(40)),
+        _drawn("bcdfghjklmnpqrstvwxz", 1),
+        _drawn("abcdefghijklmnopqrstuvwxyz", 2),
+        " ".join(str(r.randint(0, 10 ** r.randint(2, 9))) for _ in range(200)),
+        _drawn("αβγδεζηθικλμνξοπρστυφχψω", 3),
+        _drawn("абвгдежзийклмнопрстуфхцчшщъыьэюя", 4),
+        _drawn([chr(c) for c in range(0x4E00, 0x9FA6)], 5),
+    ]
+    # the first article of the declaration of human rights
+    clean = [
+        "All human beings are born free and equal in dignity and rights. They are endowed with reason and conscience and "
+        "should act towards one another in a spirit of brotherhood.",
+        "Alle Menschen sind frei und gleich an Würde und Rechten geboren. Sie sind mit Vernunft und Gewissen begabt und "
+        "sollen einander im Geist der Brüderlichkeit begegnen.",
+        "Tous les êtres humains naissent libres et égaux en dignité et en droits. Ils sont doués de raison et de conscience "
+        "et doivent agir les uns envers les autres dans un esprit de fraternité.",
+        "Todos los seres humanos nacen libres e iguales en dignidad y derechos y, dotados como están de razón y conciencia, "
+        "deben comportarse fraternalmente los unos con los otros.",
+        "Όλοι οι άνθρωποι γεννιούνται ελεύθεροι και ίσοι στην αξιοπρέπεια και τα δικαιώματα. Είναι προικισμένοι με λογική "
+        "και συνείδηση, και οφείλουν να συμπεριφέρονται μεταξύ τους με πνεύμα αδελφοσύνης.",
+        "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью и должны "
+        "поступать в отношении друг друга в духе братства.",
+        "يولد جميع الناس أحراراً متساوين في الكرامة والحقوق. وقد وهبوا عقلاً وضميراً وعليهم أن يعامل بعضهم بعضاً بروح "
+        "الإخاء. لكل إنسان حق التمتع بكافة الحقوق والحريات الواردة في هذا الإعلان",
+        "सभी मनुष्यों को गौरव और अधिकारों के मामले में जन्मजात स्वतन्त्रता और समानता प्राप्त है। उन्हें बुद्धि और अन्तरात्मा की देन प्राप्त है",
+        "모든 인간은 태어날 때부터 자유로우며 그 존엄과 권리에 있어 동등하다. 인간은 천부적으로 이성과 양심을 부여받았으며 서로 "
+        "형제애의 정신으로 행동하여야 한다.",
+    ]
+    rows = [(k, text) for k, text in enumerate(junk + clean)]
+    found = by_id(fertility.judge(fertility.measure(spark.createDataFrame(rows, "doc_id long, text string"))))
+    fits = {k: r["kept"] or r["base_failed"] for k, r in found.items()}
+    assert [k for k in range(len(junk)) if fits[k]] == []
+    assert [k for k in range(len(junk), len(rows)) if not fits[k]] == []
+    want = ["latin"] * 3 + ["none", "greek", "cyrillic", "east_asian"] + ["latin"] * 4
+    want += ["greek", "cyrillic", "semitic", "indic", "east_asian"]
+    assert [found[k]["script"] for k in range(len(rows))] == want
+
+
+def test_second_vocabulary_counts_and_scripts(hard, plain):
+    import base64
+    import re
+
+    import tiktoken
+
+    with open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb") as file:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
+    bpe = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    found = by_id(fertility.measure(hard))
+    for i, text in plain:
+        own = re.findall(r"[^\x20\x09-\x0D]+", text)
+        if all(len(w) <= fertility.STRETCH for w in own):
+            assert found[i]["n_multi_tokens"] == sum(len(bpe.encode_ordinary(" " + w)) for w in own), i
+    assert {r["script"] for r in found.values()} <= set(fertility.SCRIPTS)
+
+
+def test_scripts_by_code_point(spark):
+    texts = ["ሰላም ለዓለም", "გამარჯობა", "Ελλάδα ἀρχή", "שלום", "ಕನ್ನಡ", "ไทย", "日本語 テスト", "한국어", "123 ... 🎉", "Tiếng Việt", "𠀀𠀁"]
+    want = ["other", "other", "greek", "semitic", "indic", "other", "east_asian", "east_asian", "none", "latin", "east_asian"]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    found = by_id(fertility.measure(rows))
+    assert [found[k]["script"] for k in range(len(texts))] == want
+
+
 def test_empty_tables(spark, nothing, tmp_path):
     assert bpe_automaton.decode(bpe_automaton.encode(nothing)).count() == 0
     assert token_counts.count_tokens(nothing).count() == 0
