@@ -2,7 +2,7 @@
 
 Patterns give candidate spans of every text.  Every candidate value is hashed, and its hash is counted over the whole
 corpus by distinct repositories and owners.  A value that one owner has, in few repositories, looks live; one that
-many share is a widely copied example.  Spans of the fixed kinds are always reported; a span of the generic kind
+many share is a widely copied example.  Equal texts of an owner are copies of one repository.  Spans of the fixed kinds are always reported; a span of the generic kind
 ``random`` (a long run with letters and digits) is reported only where its value looks live.
 """
 
@@ -31,28 +31,41 @@ MARK, OTHER = "\x01", "\x02"
 def _spans(text: Column, kind: int, pattern: str, keep, value) -> Column:
     """array<struct(start, kind, end, hash)> of the matches that ``keep`` accepts; positions are code points.
 
-    The text is cut at its matches; a match starts where the joined pieces before it end.
+    The text is cut at its matches; a match starts where the pieces before it end.
     """
     marked = F.regexp_replace(text, F.lit(pattern), F.lit(f"{MARK}$0{MARK}"))
-    pieces = F.split(marked, MARK, -1)
-
-    def span(i: Column) -> Column:
-        match = F.get(pieces, 2 * i - 1)
-        start = F.length(F.array_join(F.slice(pieces, F.lit(1), 2 * i - 1), ""))
-        return F.struct(
-            start.alias("start"),
-            F.lit(kind).alias("kind"),
-            (start + F.length(match)).alias("end"),
-            F.when(keep(match), F.sha2(value(match), 256)).alias("hash"),
-        )
-
-    found = F.transform(F.sequence(F.lit(1), ((F.size(pieces) - 1) / 2).cast("int")), span)
+    begun = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
+
+    def add(done: Column, piece: Column) -> Column:
+        return F.struct((done["at"] + F.length(piece)).alias("at"), F.concat(done["starts"], F.array(done["at"])).alias("starts"))
+
+    def found(cut: Column) -> Column:
+        def span(i: Column) -> Column:
+            start, match = F.get(cut["starts"], 2 * i - 1), F.get(cut["pieces"], 2 * i - 1)
+            return F.struct(
+                start.alias("start"),
+                F.lit(kind).alias("kind"),
+                (start + F.length(match)).alias("end"),
+                F.when(keep(match), F.sha2(value(match), 256)).alias("hash"),
+            )
+
+        return F.transform(F.sequence(F.lit(1), ((F.size(cut["pieces"]) - 1) / 2).cast("int")), span)
+
+    starts = lambda pieces: F.aggregate(pieces, begun, add, lambda done: done["starts"])
+    cut = lambda pieces: F.struct(pieces.alias("pieces"), starts(pieces).alias("starts"))
+    # named by lambdas, pieces and starts are made once for a text and not again for each match
+    spans = let(F.split(marked, MARK, -1), lambda pieces: let(cut(pieces), found))
     none = F.array().cast("array<struct<start:int,kind:int,end:int,hash:string>>")
-    return F.when(F.contains(marked, F.lit(MARK)), F.filter(found, lambda s: s["hash"].isNotNull())).otherwise(none)
+    return F.when(F.rlike(text, F.lit(pattern)), F.filter(spans, lambda s: s["hash"].isNotNull())).otherwise(none)
+
+
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), 0)
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source") -> DataFrame:
-    """(row, doc_id, owner, spans) for every row: the matches of all kinds, with the hash of each value."""
+    """(row, doc_id, owner, text_key, spans) for every row: the matches of all kinds, with the hash of each value."""
     always = lambda m: F.lit(True)
     whole = lambda m: m
     assigned = lambda m: F.regexp_extract(m, ASSIGN, 2)
@@ -70,13 +83,16 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         _spans(F.col("text"), 2, HEX, always, whole),
         _spans(F.col("text"), 3, RANDOM, mixed, whole),
     )
-    return rows.select("row", "doc_id", "owner", spans.alias("spans"))
+    return rows.select("row", "doc_id", "owner", F.xxhash64("text").alias("text_key"), spans.alias("spans"))
 
 
 def ownership(found: DataFrame) -> DataFrame:
-    """(hash, n_owners, n_repositories): distinct pairs first, so that a value everybody has is counted in parts."""
-    value = found.select("owner", "doc_id", F.explode("spans.hash").alias("hash"))
-    repositories = value.groupBy("hash", "owner", "doc_id").agg(F.lit(1).alias("one"))
+    """(hash, n_owners, n_repositories): distinct texts first, so that a value everybody has is counted in parts.
+
+    A repository is a text of an owner, whatever the number of its copies there.
+    """
+    value = found.select("owner", "text_key", F.explode("spans.hash").alias("hash"))
+    repositories = value.groupBy("hash", "owner", "text_key").agg(F.lit(1).alias("one"))
     owners = repositories.groupBy("hash", "owner").agg(F.count("*").alias("n"))
     return owners.groupBy("hash").agg(
         F.count("*").alias("n_owners"), F.sum("n").alias("n_repositories")
@@ -94,8 +110,8 @@ def scan(
     """One row per row of ``docs``: (row, doc_id, spans), spans in order of start and kind.
 
     A span is struct(start, kind, end, hash, live): ``live`` where its value is in at most ``max_repositories``
-    repositories (documents) of at most ``max_owners`` owners.  A null owner is one owner of its own.  Null and empty
-    texts have no spans; repeated rows of one id are one repository; an empty table gives no rows.
+    repositories (different texts of an owner) of at most ``max_owners`` owners.  A null owner is one owner of its own.
+    Null and empty texts have no spans; repeated rows are one repository; an empty table gives no rows.
     """
     found = settled(candidates(docs, id_col, text_col, owner_col), "secret-candidates")
     owned = settled(ownership(found), "secret-owners")
@@ -137,11 +153,13 @@ def redact(docs: DataFrame, placeholder: str = "[SECRET]", **options) -> DataFra
     spans = settled(spans.select(F.col("doc_id").alias("__key"), "__spans"), "secret-spans")
     seen = F.col("__spans")
 
-    def before(s: Column, i: Column) -> Column:
-        """Where the spans before the i-th end."""
-        return F.when(i == 0, 0).otherwise(F.array_max(F.slice(seen["end"], F.lit(1), i)))
+    begun = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<a:int,b:int>>").alias("gaps"))
+
+    def add(done: Column, s: Column) -> Column:
+        gap = F.array(F.struct(done["at"].alias("a"), s["start"].alias("b")))
+        return F.struct(F.greatest(done["at"], s["end"]).alias("at"), F.concat(done["gaps"], gap).alias("gaps"))
 
-    gaps = F.transform(seen, lambda s, i: F.struct(before(s, i).alias("a"), s["start"].alias("b")))
+    gaps = F.aggregate(seen, begun, add, lambda done: done["gaps"])
     gaps = F.filter(gaps, lambda g: (g["a"] == 0) | (g["b"] > g["a"]))
     text = F.col(text_col)
     parts = F.transform(gaps, lambda g: text.substr(g["a"] + 1, g["b"] - g["a"]))
@@ -159,25 +177,26 @@ def oracle(max_owners: int = 1, max_repositories: int = 3) -> str:
     """The same in DuckDB SQL, for rows whose ids are unique."""
     quoted = lambda p: p.replace("'", "''")
     cut = lambda k, p: (
-        f"SELECT doc_id, owner, {k} AS kind, "
+        f"SELECT doc_id, owner, digest, {k} AS kind, "
         f"string_split(regexp_replace(text, '{quoted(p)}', chr(1) || '\\0' || chr(1), 'g'), chr(1)) AS pieces FROM t"
     )
     patterns = (ASSIGN, ACCESS, HEX, RANDOM)
     return f"""
-WITH t AS (SELECT doc_id, source AS owner, replace(coalesce(text, ''), chr(1), chr(2)) AS text FROM documents),
+WITH t AS (SELECT doc_id, source AS owner, replace(coalesce(text, ''), chr(1), chr(2)) AS text,
+        md5(coalesce(text, '')) AS digest FROM documents),
 p AS ({" UNION ALL ".join(cut(k, x) for k, x in enumerate(patterns))}),
-e AS (SELECT doc_id, owner, kind, generate_subscripts(pieces, 1) AS pos, unnest(pieces) AS piece FROM p
+e AS (SELECT doc_id, owner, digest, kind, generate_subscripts(pieces, 1) AS pos, unnest(pieces) AS piece FROM p
       WHERE len(pieces) > 1),
 s AS (SELECT *, coalesce(sum(length(piece)) OVER (PARTITION BY doc_id, kind ORDER BY pos
         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM e),
-m AS (SELECT doc_id, owner, kind, start, start + length(piece) AS stop, piece,
+m AS (SELECT doc_id, owner, digest, kind, start, start + length(piece) AS stop, piece,
         CASE WHEN kind = 0 THEN regexp_extract(piece, '{quoted(ASSIGN)}', 2) ELSE piece END AS value
       FROM s WHERE pos % 2 = 0),
 k AS (SELECT * FROM m WHERE CASE kind WHEN 0 THEN length(value) >= 8
         WHEN 3 THEN regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Z]') AND regexp_matches(value, '[a-z]')
         ELSE true END),
 o AS (SELECT value, count(DISTINCT coalesce(owner, chr(0))) AS n_owners,
-        count(DISTINCT (coalesce(owner, chr(0)), doc_id)) AS n_repositories FROM k GROUP BY value),
+        count(DISTINCT (coalesce(owner, chr(0)), digest)) AS n_repositories FROM k GROUP BY value),
 j AS (SELECT k.*, n_owners <= {max_owners} AND n_repositories <= {max_repositories} AS live,
         ['{"', '".join(KINDS)}'][kind + 1] || ':' || start || ':' || stop AS shown FROM k JOIN o USING (value)),
 g AS (SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access,

@@ -118,6 +118,24 @@ def test_secrets(spark):
     assert (shown[1]["n_assign"], shown[1]["n_access"], shown[1]["n_hex"]) == (2, 0, 1)
 
 
+def test_copies_of_a_text_are_one_repository(spark):
+    rows = [(k, SECRETS[4], "o") for k in range(6)] + [(10 + k, SECRETS[5] + " " * k, "p") for k in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = secret_scans.scan(docs).collect()
+    live = {r["doc_id"]: [s["start"] for s in r["spans"] if s["kind"] == 3] for r in found}
+    # the value of its own is in one text six times; the other is in five texts of two owners
+    assert all(live[k] == [5] for k in range(6))
+    assert all(live[10 + k] == [] for k in range(4))
+
+
+def test_many_matches_in_one_text(spark):
+    text = "é " + " x ".join(f"password={k:08d}" for k in range(3000))
+    docs = spark.createDataFrame([(1, text, "o")], "doc_id long, text string, source string")
+    spans = secret_scans.scan(docs).first()["spans"]
+    assert [(s["start"], s["end"]) for s in spans if s["kind"] == 0] == [(m, n) for m, _, n in base_spans(text)]
+    assert secret_scans.redact(docs).first()["text"] == "é " + " x ".join(["[SECRET]"] * 3000)
+
+
 def test_redact(spark):
     docs = spark.createDataFrame(secret_rows(), "doc_id long, text string, source string").selectExpr("*", "length(text) AS n_chars", "3 AS spans")
     out = secret_scans.redact(docs)
