@@ -193,7 +193,6 @@ def fit(
     docs: DataFrame,
     labels: DataFrame,
     per_class: int = 3000,
-    max_terms: int = 2000,
     least_chi2: float = 10.0,
     least_share: float = 0.5,
     folds: int = 5,
@@ -202,9 +201,9 @@ def fit(
     text_col: str = "text",
     label_col: str = "toxic",
 ) -> Index:
-    """The index of a bounded sample of labelled rows; ``per_class`` and ``max_terms`` bound what the driver holds.
+    """The index of a bounded sample of labelled rows; ``per_class`` bounds what the driver holds.
 
-    The terms are the ``max_terms`` of the largest chi-square that reach ``least_chi2``, or ``least_share`` of the largest
+    The terms are all those whose chi-square reaches ``least_chi2``, or ``least_share`` of the largest
     one where that is less: the statistic cannot exceed the number of examples, and a few of them must do.  Without
     labelled rows, or without any such term, every score is 0.  Rows with a null id or label are not examples.
     """
@@ -215,16 +214,15 @@ def fit(
     p = (ones + zeros) / F.lit(max(n1 + n0, 1))
     spread_ = F.greatest(p * (1 - p) * F.lit(n1 * n0 / max(n1 + n0, 1)), F.lit(1e-9))
     gap = (ones * n0 - zeros * n1) / F.lit(max(n1 + n0, 1))
-    best = (
+    scored = settled(
         _term_counts(sample)
         .where((ones + zeros >= max(1, min(5, n1, n0))) & (gap != 0))
-        .withColumn("chi2", gap * gap / spread_)
-        .orderBy(F.col("chi2").desc(), "name")
-        .limit(max_terms)
+        .select("name", (gap * gap / spread_).alias("chi2")),
+        "toxicity-terms",
     )
-    best = best.collect()
-    floor = min(least_chi2, least_share * best[0]["chi2"]) if best else least_chi2
-    names = np.sort(np.array([r["name"] for r in best if r["chi2"] >= floor], np.int64).view(U))
+    most = scored.agg(F.max("chi2")).first()[0] or 0.0
+    best = scored.where(F.col("chi2") >= min(least_chi2, least_share * most)).collect()  # bounded by the sampled texts
+    names = np.sort(np.array([r["name"] for r in best], np.int64).view(U))
     examples, base = _examples(sample, names)
     wanted = {"base": base}
     rows, df = _document_frequency(docs, wanted, names, id_col, text_col)
@@ -317,7 +315,7 @@ def score(
     """
     near = pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("label", pa.int32())])
     schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("evidence", pa.list_(near))])
-    held = on_workers(docs).sparkSession.sparkContext.broadcast(index)  # bounded by per_class and max_terms
+    held = on_workers(docs).sparkSession.sparkContext.broadcast(index)  # bounded by per_class
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = held.value
