@@ -184,13 +184,17 @@ def test_bands_under_both_vocabularies(spark):
         "الإخاء. لكل إنسان حق التمتع بكافة الحقوق والحريات الواردة في هذا الإعلان",
         "सभी मनुष्यों को गौरव और अधिकारों के मामले में जन्मजात स्वतन्त्रता और समानता प्राप्त है। उन्हें बुद्धि और अन्तरात्मा की देन प्राप्त है",
         "모든 인간은 태어날 때부터 자유로우며 그 존엄과 권리에 있어 동등하다. 인간은 천부적으로 이성과 양심을 부여받았으며 서로 "
-        "형제애의 정신으로 행동하여야 한다.",
+        "형제애의 정신으로 행동하여야 한다. 모든 사람은 인종, 피부색, 성, 언어, 종교 등 어떠한 종류의 차별도 없이 이 선언에 나와 있는 "
+        "모든 권리와 자유를 누릴 자격이 있다.",
     ]
     rows = [(k, text) for k, text in enumerate(junk + clean)]
-    found = by_id(fertility.judge(fertility.measure(spark.createDataFrame(rows, "doc_id long, text string"))))
-    fits = {k: r["kept"] or r["base_failed"] for k, r in found.items()}
-    assert [k for k in range(len(junk)) if fits[k]] == []
-    assert [k for k in range(len(junk), len(rows)) if not fits[k]] == []
+    measured = fertility.measure(spark.createDataFrame(rows, "doc_id long, text string"))
+    found = by_id(fertility.judge(measured))
+    assert [k for k in range(len(junk)) if found[k]["kept"]] == []
+    assert not any(found[k]["base_failed"] for k in range(len(rows)))
+    # the sentences are short: no text is too short for the bands here
+    found = by_id(fertility.judge(measured, min_tokens=1))
+    assert [k for k in range(len(junk), len(rows)) if not found[k]["kept"]] == []
     want = ["latin"] * 3 + ["none", "greek", "cyrillic", "east_asian"] + ["latin"] * 4
     want += ["greek", "cyrillic", "semitic", "indic", "east_asian"]
     assert [found[k]["script"] for k in range(len(rows))] == want
