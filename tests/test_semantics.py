@@ -21,6 +21,35 @@ def test_lineage_follows_a_long_chain_to_its_end(rows):
     assert trace.trace_lineage(edges, start, max_depth=4).count() == 4
 
 
+def test_lineage_joins_only_pairs_that_lead_on(rows, monkeypatch):
+    """Cycles, diamonds, parallel edges and nulls against a walk in Python; no level is made for pairs without a further edge."""
+    listed = [
+        ("a", "b", 0.5), ("a", "b", 0.9), ("a", "c", 0.8), ("b", "d", 0.5), ("c", "d", 0.7), ("d", "a", 0.9), ("d", "d", 1.0),
+        ("x", "y", 0.5), (None, "z", 0.5), ("x", None, 0.4), ("b", "c", 0.9), ("y", "leaf", -0.5), ("y", "leaf", 0.5), ("p", "q", -0.5), ("q", "r", 0.1), ("q", "r", 0.9),
+    ]
+    edges = rows("source_unit_id string, target_unit_id string, confidence double", *listed)
+    start = rows("unit_id string", ("a",), ("a",), ("x",), ("p",), (None,), ("alone",))
+    want = {}
+    for s in ("a", "x", "p"):
+        seen, frontier, depth = {s}, {s: 1.0}, 0
+        while frontier:
+            depth, new = depth + 1, {}
+            for u, v, c in listed:
+                if u in frontier and u is not None and v not in seen:
+                    new[v] = max(new.get(v, -9.0), frontier[u] * c)
+            seen |= set(new)
+            want |= {(s, v): (c, depth) for v, c in new.items()}
+            frontier = new
+    found = trace.trace_lineage(edges, start).collect()
+    assert {(r.start_unit_id, r.node_id): (r.confidence, r.depth) for r in found} == want
+    assert len(found) == len(want)
+    made = []
+    monkeypatch.setattr(trace, "settled", lambda df, purpose: made.append(purpose) or df.localCheckpoint())
+    one = trace.trace_lineage(rows("source_unit_id string, target_unit_id string, confidence double", ("x", "y", 0.5)), start)
+    assert [tuple(r) for r in one.collect()] == [("x", "y", 0.5, 1)]
+    assert "trace-1" not in made and not [p for p in made if p == "trace-3"]
+
+
 @pytest.mark.parametrize("n", [3, 260])
 def test_formats_are_detected_alike_for_any_number_of_profiles(rows, n):
     schema = "format_code string, profile_version string, status string, signature string"
