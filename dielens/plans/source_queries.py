@@ -107,13 +107,18 @@ def _(spark, sf):
 
     import pandas as pd
 
+    def packed(doc, text):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as archive:
+            archive.writestr(f"doc-{doc}.txt", text)
+        return out.getvalue()
+
     def pack(batches):
         for batch in batches:
-            for doc, text in zip(batch["doc_id"], batch["text"]):
-                out = io.BytesIO()
-                with zipfile.ZipFile(out, "w") as archive:
-                    archive.writestr(f"doc-{doc}.txt", text)
-                yield pd.DataFrame({"path": [f"{doc}.zip"], "content": [out.getvalue()]})
+            for at in range(0, len(batch), 500):
+                part = batch.iloc[at : at + 500]
+                files_ = [packed(doc, text) for doc, text in zip(part["doc_id"], part["text"])]
+                yield pd.DataFrame({"path": [f"{doc}.zip" for doc in part["doc_id"]], "content": files_})
 
     docs = fx.table(spark, sf, "documents").select("doc_id", "text")
     containers = docs.mapInPandas(pack, "path string, content binary")

@@ -8,7 +8,6 @@ import zipfile
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -25,28 +24,35 @@ def scan_file_manifest(spark: SparkSession, glob: str) -> DataFrame:
     )
 
 
-def expand_archives(manifest: DataFrame) -> DataFrame:
+def expand_archives(manifest: DataFrame, batch_bytes: int = 4 << 20) -> DataFrame:
     """Files of the manifest with ZIP containers replaced by their members.
 
     Containers are found by their leading bytes.  Each file is opened by the
-    task that read it.
+    task that read it; members leave in batches of about ``batch_bytes``.
     """
     is_zip = F.hex(F.substring("content", 1, 4)) == "504B0304"
     plain = manifest.where(~F.coalesce(is_zip, F.lit(False))).select(
         F.lit(None).cast("string").alias("container"), F.col("path").alias("member"), "content"
     )
 
-    def members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    fields = pa.schema([("container", pa.string()), ("member", pa.string()), ("content", pa.binary())])
+
+    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, size = [], 0
         for batch in batches:
-            for path, content in zip(batch["path"], batch["content"]):
-                with zipfile.ZipFile(io.BytesIO(content)) as archive:
+            for path, content in zip(batch.column("path"), batch.column("content"), strict=True):
+                with zipfile.ZipFile(io.BytesIO(content.as_py())) as archive:
                     for info in archive.infolist():
                         if not info.is_dir():
-                            yield pd.DataFrame(
-                                {"container": [path], "member": [info.filename], "content": [archive.read(info)]}
-                            )
-
-    inside = manifest.where(is_zip).select("path", "content").mapInPandas(
+                            rows.append({"container": path.as_py(), "member": info.filename, "content": archive.read(info)})
+                            size += info.file_size
+                            if size >= batch_bytes or len(rows) >= 10_000:
+                                yield pa.RecordBatch.from_pylist(rows, fields)
+                                rows, size = [], 0
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, fields)
+
+    inside = manifest.where(is_zip).select("path", "content").mapInArrow(
         members, "container string, member string, content binary"
     )
     return plain.unionByName(inside)
