@@ -38,8 +38,10 @@ def extract_test_items(raw: DataFrame, profile: dict) -> DataFrame:
 
     ``raw`` has source_file, source_row_no and cells (array of text).  The
     profile names the row numbers of name, unit, lower and upper limit and the
-    first item column (0-based).  One aggregation by (file, column) brings the
-    four header rows together.
+    first item column (0-based).  The header rows of a file are brought
+    together as they are, before their cells are taken apart, so what a task
+    sorts is bounded by the size of a shuffle partition and not by that of an
+    input split; the aggregation by (file, column) needs no other exchange.
     """
     rows = {
         "raw_item_name": profile["name_row"],
@@ -48,7 +50,7 @@ def extract_test_items(raw: DataFrame, profile: dict) -> DataFrame:
         "upper_limit_raw": profile["upper_row"],
     }
     header = raw.where(F.col("source_row_no").isin(*rows.values()))
-    cells = header.select(
+    cells = header.repartition("source_file").select(
         "source_file", "source_row_no", F.posexplode("cells").alias("source_column_index", "cell")
     ).where(F.col("source_column_index") >= profile["first_item_column"])
     items = cells.groupBy("source_file", "source_column_index").agg(

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from dielens.operators import trace
-from dielens.operators.clean import CLEANERS, clean, register_cleaner
+from dielens.operators.clean import CLEANERS, clean, extract_test_items, register_cleaner
 from dielens.sources import exports, facts, files
 from dielens.streaming.receipts import incremental_receipts
 
@@ -142,3 +142,40 @@ def test_cleaner_versions_are_fixed_once_registered(rows):
             clean(rows("a int", (1,)), "TEST", "9.9")
     finally:
         del CLEANERS["TEST", "1.0"]
+
+
+def test_archive_members_leave_in_batches(spark, rows):
+    """Batches end by size, between archives and inside them; nothing is lost at their edges."""
+    import io
+    import zipfile
+
+    def packed(n, size):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as archive:
+            archive.writestr("folder/", b"")
+            for k in range(n):
+                archive.writestr(f"m{k}", bytes([k]) * size)
+        return out.getvalue()
+
+    made = {"a.zip": packed(5, 30), "b.zip": packed(0, 0), "c.zip": packed(1, 500), "d.zip": packed(3, 0)}
+    manifest = rows("path string, content binary", *made.items(), ("plain.txt", b"text"), ("empty", None)).coalesce(1)
+    found = {(r.container, r.member): r.content for r in files.expand_archives(manifest, batch_bytes=64).collect()}
+    want = {("a.zip", f"m{k}"): bytearray([k] * 30) for k in range(5)} | {("c.zip", "m0"): bytearray(500)}
+    want |= {("d.zip", f"m{k}"): bytearray() for k in range(3)} | {(None, "plain.txt"): bytearray(b"text"), (None, "empty"): None}
+    assert found == want
+
+
+def test_header_rows_are_not_sorted_where_they_are_read(rows):
+    """Cells are aggregated only behind the exchange: an input split of any size is not sorted by one task."""
+    header = rows(
+        "source_file string, source_row_no int, cells array<string>",
+        ("f", 1, ["X", " vth ", ""]), ("f", 2, ["", "V", "A"]), ("f", 3, ["", "1", "2"]), ("f", 4, ["", "9", "8"]), ("f", 5, ["1", "2", "3"]),
+        ("f", 1, ["X", "late", ""]), (None, 1, ["X", "no file"]), ("g", 2, ["X", "V"]), ("h", 1, None),
+    )
+    profile = {"name_row": 1, "unit_row": 2, "lower_row": 3, "upper_row": 4, "first_item_column": 1}
+    items = extract_test_items(header, profile)
+    assert sorted(items.collect(), key=str) == sorted(
+        [("f", 1, "vth", "V", "1", "9", 1), (None, 1, "no file", None, None, None, 1)], key=str
+    )
+    plan = items._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.rindex("Aggregate") < plan.index("Exchange")
