@@ -31,6 +31,8 @@ from dielens.llm.words import Texts, byte_class
 
 #: Fixed value: words longer than this are encoded one by one instead of in arrays of equal length.
 LONG = 48
+#: Bounds memory only: the pieces and the words a worker keeps.
+KEPT = 100_000
 NEVER = np.iinfo(np.int32).max
 #: Stands in no label of a byte-level vocabulary.
 SEPARATOR = "\x01"
@@ -290,7 +292,7 @@ class WordBpe:
         self.compose = normalizers.NFC()  # the library's own tables, which are older than Python's
         self.known: dict[str, int] = {}
         self.rows = Ragged(np.int32)
-        self.store = WordStore(spaced_words, self.encode, np.int32)
+        self.store = WordStore(spaced_words, self.encode, np.int32, KEPT)
 
     def _pieces(self, part: str) -> list[str]:
         if not part.isascii():
@@ -311,7 +313,7 @@ class WordBpe:
                 own = self._pieces(word)
             n_pieces[k] = len(own)
             pieces += own
-        if len(self.known) > 400_000:
+        if len(self.known) > KEPT:
             self.known.clear()
             self.rows = Ragged(np.int32)
         if new := [p for p in dict.fromkeys(pieces) if p not in self.known]:

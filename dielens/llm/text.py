@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 from collections.abc import Callable, Iterable, Iterator
 
@@ -39,7 +40,26 @@ def on_workers(df: DataFrame) -> DataFrame:
 def map_arrow(
     df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str
 ) -> DataFrame:
-    return on_workers(df).mapInArrow(fn, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from fn(given_back(batches))
+        give_back()
+
+    return on_workers(df).mapInArrow(run, schema)
+
+
+def given_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; what one of them needed goes back to the system before the next is read."""
+    for b in batches:
+        yield b
+        del b
+        give_back()
+
+
+def give_back() -> None:
+    """Let the allocators return their free memory: a worker lives on between tasks and beside other workers."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
 
 
 def texts_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -138,7 +158,7 @@ class WordStore:
         return row[group]
 
 
-def slices(b: pa.RecordBatch, column: str = "text", size: int = 3_000_000) -> Iterator[pa.RecordBatch]:
+def slices(b: pa.RecordBatch, column: str = "text", size: int = 1_000_000) -> Iterator[pa.RecordBatch]:
     """Runs of rows with about so many bytes of text, one row at least: bounds what a task holds as Python objects."""
     ends = np.cumsum(pc.binary_length(b.column(column)).fill_null(0).to_numpy(zero_copy_only=False))
     begin = done = 0

@@ -27,7 +27,7 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 def powers(base: int, n: int) -> np.ndarray:
     """base**0 .. base**(n-1), cut from one array of the next power of two."""
-    return _powers(base, 1 << max(21, int(n - 1).bit_length()))[:n]
+    return _powers(base, 1 << max(20, int(n - 1).bit_length()))[:n]
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

@@ -236,3 +236,19 @@ def test_empty_tables(spark, nothing, tmp_path):
 def test_repeated_rows_stay(spark):
     df = spark.createDataFrame([(1, "same text"), (1, "same text")], "doc_id long, text string")
     assert bpe_automaton.encode(df).count() == token_counts.count_tokens(df).count() == fertility.measure(df).count() == 2
+
+
+def test_a_worker_holds_little_text_at_a_time():
+    """Arrays are made for a megabyte of text, and the powers of names for no more than that needs."""
+    import pyarrow as pa
+
+    from dielens.llm.text import given_back, slices
+    from dielens.llm.words import powers
+
+    rows = pa.RecordBatch.from_pydict({"text": ["x" * 600_000] * 4 + ["y" * 2_500_000, None, "z"]})
+    parts = list(slices(rows))
+    assert [p.num_rows for p in parts] == [1, 1, 1, 1, 1, 2]
+    assert pa.Table.from_batches(parts).equals(pa.Table.from_batches([rows]))
+    assert powers(3, 1000).base.nbytes <= 8 << 20
+    assert list(powers(3, 4)) == [1, 3, 9, 27]
+    assert list(given_back(iter([rows, rows]))) == [rows, rows]
