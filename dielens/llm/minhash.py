@@ -130,20 +130,28 @@ def _alike(n_a: Column, n_b: Column, brief_a: Column, brief_b: Column, percent:
     return (100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b)) & (equal >= least)
 
 
-def _possible(rest: DataFrame, about: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The members (key, rep, c, n, brief, shared) of open buckets that can have a link to another component.
+def _possible(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The members (key, rep, c, n, shared) of open buckets that can have a link to another component.
 
     ``shared`` counts the shingles of a class that another component has too; an intersection is no larger.  A link
     needs ``percent * (n_a + n_b) <= (100 + percent) * intersection``, and n_b is the least of the bucket at best.
     """
-    own = rest.select("rep", "c").distinct()
-    tokens = sets.join(own, F.col("doc_id") == F.col("rep")).select("rep", "c", F.explode("shingles").alias("shingle"))
+    own = _by_class(rest, "c", "n")
+    tokens = sets.join(own.select("rep", "c"), F.col("doc_id") == F.col("rep")).select("rep", "c", F.explode("shingles").alias("shingle"))
     common = tokens.groupBy("shingle").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("shingle")
     counted = tokens.join(common, "shingle").groupBy("rep").agg(F.count("*").alias("shared"))
-    known = rest.join(about, "rep").join(counted, "rep")
+    known = own.join(counted, "rep").select(F.explode("keys").alias("key"), "rep", "c", "n", "shared")
     smallest = known.groupBy("key").agg(F.min("n").alias("smallest"))
     able = known.join(smallest, "key").where((100 + percent) * F.col("shared") >= percent * (F.col("n") + F.col("smallest")))
-    return able.select("key", "rep", "c", "n", "brief", "shared")
+    return able.select("key", "rep", "c", "n", "shared")
+
+
+def _by_class(members: DataFrame, *carried: str) -> DataFrame:
+    """One row for each class with its buckets (at most one for each band of a set) in ``keys``.
+
+    What belongs to a class is joined once and not once for each of its buckets.
+    """
+    return members.groupBy("rep").agg(*[F.first(c).alias(c) for c in carried], F.collect_list("key").alias("keys"))
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -187,7 +195,8 @@ def near_duplicates(
     )
     shared = settled(shared.select("key", "hub"), "minhash-buckets")
     members = settled(exploded.join(shared, "key").select("key", "rep", "hub"), "minhash-members")
-    ids = settled(members.select(F.col("rep").alias("doc_id")).distinct(), "minhash-ids")
+    grouped = settled(_by_class(members), "minhash-grouped")
+    ids = grouped.select(F.col("rep").alias("doc_id"))
     about = reps.join(ids.withColumnRenamed("doc_id", "rep"), "rep", "left_semi").dropDuplicates(["rep"])
     about = settled(about.select("rep", F.col("n_shingles").alias("n"), "brief"), "minhash-briefs")
     sets = settled(_sets(docs, ids, width, id_col, text_col), "minhash-sets")
@@ -202,23 +211,25 @@ def near_duplicates(
 
     stars = members.where("rep != hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
     links = settled(_confirmed(checked(stars), sets, percent), "minhash-links")
+    grouped = grouped.join(about.select("rep", "n"), "rep")
     n, named = members.count(), None
     for turn in range(hub_rounds + 1):
         if named is None:
             named = compact(components(links).withColumnRenamed("node", "rep"), n, "minhash-found")
-        at = members.join(named, "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("c"))
+        at = grouped.join(named, "rep", "left").select("keys", "rep", F.coalesce("component", "rep").alias("c"), "n")
+        at = at.select(F.explode("keys").alias("key"), "rep", "c", "n")
         open_ = at.groupBy("key").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least < most")
         open_ = compact(open_.select("key", "least"), n, "minhash-open")
-        at = compact(at.join(open_, "key").select("key", "rep", "c"), n, "minhash-apart")
+        at = compact(at.join(open_, "key").select("key", "rep", "c", "n"), n, "minhash-apart")
         # classes that cannot have a link to another component leave, and with them the buckets that are of one then
-        able = compact(_possible(at, about, sets, percent), n, "minhash-able")
+        able = compact(_possible(at, sets, percent), n, "minhash-able")
         two = able.groupBy("key").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least < most")
         at = compact(able.join(two.select("key", "least"), "key"), n, "minhash-apart")
         n = at.count()
         if not n:
             break
         # buckets that are of one component stay so: only the others are looked at again
-        members = at.select("key", "rep")
+        grouped = compact(_by_class(at, "c", "n", "shared"), n, "minhash-grouped")
         if turn < hub_rounds:
             # other hubs of the first component: the last of its members in orders that change with every turn
             orders = [F.xxhash64("rep", F.lit(turn * hubs + k)) for k in range(hubs)]
@@ -228,8 +239,9 @@ def near_duplicates(
             pairs = checked(tried.distinct())
         else:
             # what is left: classes of one bucket and different components, compared by signature inside the join
+            whole = grouped.join(about.select("rep", "brief"), "rep").withColumn("key", F.explode("keys"))
             sides = [
-                at.select(*[F.col(c).alias(f"{c}_{k}") for c in ("key", "rep", "c", "n", "brief", "shared")]) for k in ("a", "b")
+                whole.select(*[F.col(c).alias(f"{c}_{k}") for c in ("key", "rep", "c", "n", "brief", "shared")]) for k in ("a", "b")
             ]
             enough = (100 + percent) * F.least("shared_a", "shared_b") >= percent * (F.col("n_a") + F.col("n_b"))
             fits = enough & _alike(*map(F.col, ("n_a", "n_b", "brief_a", "brief_b")), percent, least)
