@@ -21,17 +21,18 @@ def append_facts(
 ) -> None:
     """Append rows to a canonical table; nothing already there is touched.
 
-    Rows are ranged by partition and lot, so a file holds few lots and the scan
-    can skip its row groups.  The unit id ends the range key, which lets a
-    month or lot of any size spread over many tasks.
+    Rows are dealt by partition and lot, so a file holds few lots and the scan
+    can skip its row groups.  The rows are computed once: sizes are not sampled
+    before but known when the rows have been dealt, and AQE then joins small
+    lots in one task and splits a month or lot of any size among many.
     """
     placed = df.withColumns(
         {"stage": F.col(stage), "tested_month": F.date_format(instant, "yyyy-MM")}
     )
-    spread = [c for c in (*PARTITIONS, *cluster, "unit_id") if c in placed.columns]
+    spread = [c for c in (*PARTITIONS, *cluster) if c in placed.columns]
     order = [c for c in (*PARTITIONS, *cluster, "test_item_id") if c in placed.columns]
     (
-        placed.repartitionByRange(*spread)
+        placed.hint("rebalance", *spread)
         .sortWithinPartitions(*order)
         .write.mode("append")
         .option("maxRecordsPerFile", rows_per_file)
