@@ -29,6 +29,10 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 def cp_rows(spark: SparkSession, sf: str) -> DataFrame:
     """One row per probed die attempt, before attempts are numbered."""
+    return _dice(table(spark, sf, "lineitem"))
+
+
+def _dice(lines: DataFrame, *more: str) -> DataFrame:
     c = F.col
     slot = c("l_suppkey") % 10
     y = F.floor(c("l_partkey") / 40.0).cast("long") % 50
@@ -42,7 +46,7 @@ def cp_rows(spark: SparkSession, sf: str) -> DataFrame:
         .when(c("l_tax") > 0.07, 4)
     )
     cents = F.floor(c("l_extendedprice") * 100 + 0.5).cast("long")
-    return table(spark, sf, "lineitem").select(
+    return lines.select(
         F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", cents).alias("unit_id"),
         F.lit("CP").alias("test_stage"),
         lot.alias("lot_id"),
@@ -61,6 +65,7 @@ def cp_rows(spark: SparkSession, sf: str) -> DataFrame:
         first_fail.alias("first_fail"),
         F.when(first_fail.isNull(), "PASS").otherwise("FAIL").alias("overall_result"),
         *SOURCE_COLUMNS,
+        *more,
     )
 
 
@@ -74,11 +79,26 @@ def _with_attempts(dice: DataFrame) -> DataFrame:
 
 
 def cp(spark: SparkSession, sf: str) -> DataFrame:
-    """Probed dice with attempt number and sequence within the wafer session."""
-    rows = cp_rows(spark, sf)
-    day = F.col("tested_at_utc")
-    sequenced = numbered(rows, SESSION_KEYS, _order(), day, "unit_sequence", rows, null_safe=False)
-    return _with_attempts(sequenced)
+    """Probed dice with attempt number and sequence within the wafer session.
+
+    The lines are numbered and shuffled as they are read, under numbers that stand for lot and wafer one to one; the
+    texts of a die are made afterwards.
+    """
+    c = F.col
+    lines = table(spark, sf, "lineitem").select(
+        *SOURCE_COLUMNS,
+        "l_linestatus",
+        "l_returnflag",
+        "l_shipdate",
+        c("l_shipdate").alias("tested_at_utc"),
+        (c("l_suppkey") % 10).alias("__lot"),
+        F.when(c("l_linestatus") == "F", 0).otherwise(1).alias("__attempt"),
+    )
+    session = ["__lot", "l_linenumber", "__attempt"]
+    sequenced = numbered(lines, session, _order(), c("tested_at_utc"), "unit_sequence", lines, null_safe=False)
+    placed = sequenced.withColumns({"__x": c("l_partkey") % 40, "__y": F.floor(c("l_partkey") / 40.0).cast("long") % 50})
+    attempts = clean.assign_attempt_no(placed, [*session, "__x", "__y"], _order())
+    return _dice(attempts, "unit_sequence", "attempt_no")
 
 
 def outcomes(spark: SparkSession, sf: str) -> DataFrame:

@@ -179,3 +179,26 @@ def test_header_rows_are_not_sorted_where_they_are_read(rows):
     )
     plan = items._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     assert plan.rindex("Aggregate") < plan.index("Exchange")
+
+
+def test_facts_are_computed_once_when_appended(spark, rows, tmp_path):
+    """No pass over the rows only to sample them; a file holds one month, sorted by lot."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(x):
+        seen.add(1)
+        return x
+
+    made = spark.range(0, 300, 1, 4).select(
+        counted(F.concat(F.lit("u"), "id")).alias("unit_id"),
+        F.lit("CP").alias("test_stage"),
+        F.concat(F.lit("L"), F.col("id") % 7).alias("lot_id"),
+        F.timestamp_seconds(F.col("id") % 3 * 3_000_000).alias("tested_at_utc"),
+    )
+    facts.append_facts(made, str(tmp_path), "unit_result")
+    assert seen.value == 300
+    found = facts.scan_canonical(spark, str(tmp_path), "unit_result")
+    assert found.count() == 300 and found.select("unit_id").distinct().count() == 300
+    for part in found.withColumn("file", F.input_file_name()).groupBy("file").agg(F.collect_list("lot_id").alias("lots")).collect():
+        assert part.lots == sorted(part.lots)

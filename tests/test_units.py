@@ -165,3 +165,15 @@ def test_wafer_without_a_position_is_refused(rows):
     got = {r["wafer_id"]: r["reason"] for r in spatial.spatial_eligibility(dice).collect()}
     assert got == {"W1": None, "W2": "NO_POSITION", None: "NO_WAFER"}
     assert dice.where(F.col("x_coord").isNull()).count() == 0
+
+
+def test_dice_are_shuffled_as_they_are_read(spark, sf):
+    """The texts of a die are made after its numbers, so no exchange carries them."""
+    dice = fx.cp(spark, sf)
+    assert dice.columns == [*fx.cp_rows(spark, sf).columns, "unit_sequence", "attempt_no"]
+    plan = dice._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    windows = [k for k, line in enumerate(plan) if "Window " in line]
+    made = [k for k, line in enumerate(plan) if "AS unit_id" in line]
+    assert made and max(made) < min(windows)
+    want = fx.cp_rows(spark, sf).exceptAll(dice.drop("unit_sequence", "attempt_no"))
+    assert want.isEmpty() and dice.count() == fx.cp_rows(spark, sf).count()
