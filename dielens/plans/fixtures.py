@@ -97,7 +97,8 @@ def cp(spark: SparkSession, sf: str) -> DataFrame:
     session = ["__lot", "l_linenumber", "__attempt"]
     sequenced = numbered(lines, session, _order(), c("tested_at_utc"), "unit_sequence", lines, null_safe=False)
     placed = sequenced.withColumns({"__x": c("l_partkey") % 40, "__y": F.floor(c("l_partkey") / 40.0).cast("long") % 50})
-    attempts = clean.assign_attempt_no(placed, [*session, "__x", "__y"], _order())
+    # of equal rows the one numbered last in its session is the first attempt
+    attempts = clean.assign_attempt_no(placed, [*session, "__x", "__y"], [*_order(), F.desc("unit_sequence")])
     return _dice(attempts, "unit_sequence", "attempt_no")
 
 
