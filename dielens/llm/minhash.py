@@ -6,7 +6,8 @@ coordinates give buckets.  Documents with equal sets form a class first; in a bu
 hub, not with each other, and links are confirmed on the full sets.  Classes of a bucket that are then still in
 different components are compared with other hubs.  Of what is left after that, a class can only have a link if enough
 of its shingles occur in another component at all; the shingles are counted, which drops copies with too many changes
-of their own, and the rest is compared by signature inside the bucket, so no link is lost.  Bands of five rows keep
+of their own, and the rest is compared by signature and by hashes of whole short sets inside the bucket, so no link is
+lost.  Bands of five rows keep
 texts that only share a passage out of common buckets.
 """
 
@@ -154,6 +155,24 @@ def _by_class(members: DataFrame, *carried: str) -> DataFrame:
     return members.groupBy("rep").agg(*[F.first(c).alias(c) for c in carried], F.collect_list("key").alias("keys"))
 
 
+def _hashed(sets: DataFrame, longest: int = 512) -> DataFrame:
+    """(rep, size, hashes): the different 16-bit hashes of sets that are short enough to travel with every bucket."""
+    short = F.transform("shingles", lambda x: (x.bitwiseAND(65535) - 32768).cast("short"))
+    some = sets.where(F.size("shingles") <= longest)
+    return some.select(F.col("doc_id").alias("rep"), F.size("shingles").alias("size"), F.array_distinct(short).alias("hashes"))
+
+
+def _overlapping(percent: int) -> Column:
+    """False only for pairs that cannot be linked: common hashes, and those a set lost to equal ones, bound the intersection.
+
+    Pairs with a long set, which has no hashes, are true.
+    """
+    lost = [F.col(f"size_{k}") - F.size(f"hashes_{k}") for k in ("a", "b")]
+    most = F.size(F.array_intersect("hashes_a", "hashes_b")) + F.least(*lost)
+    known = F.col("hashes_a").isNotNull() & F.col("hashes_b").isNotNull()
+    return ~known | ((100 + percent) * most >= percent * (F.col("size_a") + F.col("size_b")))
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
     one = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("left"))
@@ -196,7 +215,8 @@ def near_duplicates(
     shared = settled(shared.select("key", "hub"), "minhash-buckets")
     members = settled(exploded.join(shared, "key").select("key", "rep", "hub"), "minhash-members")
     grouped = settled(_by_class(members), "minhash-grouped")
-    ids = grouped.select(F.col("rep").alias("doc_id"))
+    # written alone, so that the planner knows how small the ids are and moves no text to find theirs
+    ids = settled(grouped.select(F.col("rep").alias("doc_id")), "minhash-ids")
     about = reps.join(ids.withColumnRenamed("doc_id", "rep"), "rep", "left_semi").dropDuplicates(["rep"])
     about = settled(about.select("rep", F.col("n_shingles").alias("n"), "brief"), "minhash-briefs")
     sets = settled(_sets(docs, ids, width, id_col, text_col), "minhash-sets")
@@ -239,12 +259,12 @@ def near_duplicates(
             pairs = checked(tried.distinct())
         else:
             # what is left: classes of one bucket and different components, compared by signature inside the join
-            whole = grouped.join(about.select("rep", "brief"), "rep").withColumn("key", F.explode("keys"))
-            sides = [
-                whole.select(*[F.col(c).alias(f"{c}_{k}") for c in ("key", "rep", "c", "n", "brief", "shared")]) for k in ("a", "b")
-            ]
+            whole = grouped.join(about.select("rep", "brief"), "rep").join(_hashed(sets), "rep", "left")
+            whole = whole.withColumn("key", F.explode("keys"))
+            names = ("key", "rep", "c", "n", "brief", "shared", "size", "hashes")
+            sides = [whole.select(*[F.col(c).alias(f"{c}_{k}") for c in names]) for k in ("a", "b")]
             enough = (100 + percent) * F.least("shared_a", "shared_b") >= percent * (F.col("n_a") + F.col("n_b"))
-            fits = enough & _alike(*map(F.col, ("n_a", "n_b", "brief_a", "brief_b")), percent, least)
+            fits = enough & _alike(*map(F.col, ("n_a", "n_b", "brief_a", "brief_b")), percent, least) & _overlapping(percent)
             on = (F.col("key_a") == F.col("key_b")) & (F.col("c_a") < F.col("c_b")) & fits
             pairs = sides[0].join(sides[1], on).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct()
         new = settled(_confirmed(pairs, sets, percent), "minhash-links")

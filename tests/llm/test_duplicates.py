@@ -127,6 +127,34 @@ def test_minhash_finds_chains_and_hot_groups(spark):
         assert found[i]["component_id"] == component, i
 
 
+def test_minhash_reads_few_pairs_of_unlinked_near_copies(spark, monkeypatch):
+    """Copies of one template that are all a little too far from each other: pairs are told apart without their full sets."""
+    import random
+
+    rng = random.Random(11)
+    template = [f"w{rng.randrange(10**6)}" for _ in range(150)]
+    rows = []
+    for i in range(150):
+        own = list(template)
+        for place in rng.sample(range(150), 4 if i % 5 else 2):
+            own[place] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(own)))
+    read, confirmed = [], minhash._confirmed
+
+    def counted(pairs, *rest):
+        read.append(pairs.count())
+        return confirmed(pairs, *rest)
+
+    monkeypatch.setattr(minhash, "_confirmed", counted)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = by_id(minhash.near_duplicates(docs, hub_rounds=0))
+    expected = groups(rows)
+    assert {i: f["component_id"] for i, f in found.items()} == {i: c for i, (_, c) in expected.items()}
+    sets = {i: shingles(t) for i, t in rows}
+    links = sum(100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]) for a in sets for b in range(a))
+    assert read[-1] <= 1.1 * links
+
+
 def test_signature_estimates_similarity():
     import numpy as np
 
