@@ -97,13 +97,11 @@ class Windows:
             s = rounds[turn + 1] if turn >= 0 else rounds[0]
             fit = np.flatnonzero((s.high - s.low <= longest) & (s.low >= 0))
             value = (U(level) << U(61)) | (mixed(s.name[fit]) >> U(PLACE + 3) << U(PLACE)) | s.low[fit].astype(U)
-            order = np.lexsort((value, s.low[fit]))
-            at = s.low[fit][order]
-            one = np.ones(len(at), bool)
-            one[1:] = at[1:] != at[:-1]
+            at = s.low[fit]
             least = np.full(size + window, NONE)
-            least[at[one]] = value[order][one]
-            name[level][at[one]] = mixed(s.name[fit][order][one] + U(level))
+            np.minimum.at(least, at, value)
+            won = np.flatnonzero(value == least[at])[::-1]  # of equal values the first is written last
+            name[level][at[won]] = mixed(s.name[fit][won] + U(level))
             best = np.minimum(best, sliding_least(least, window - longest + 1)[:size])
         key = best[starts]
         edge = np.ones(len(key), bool)

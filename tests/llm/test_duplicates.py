@@ -89,6 +89,20 @@ def test_recompression(hard, plain, window, reach, hot):
     assert found[18]["spans"]  # a text that repeats itself
 
 
+def test_symbols_of_windows_are_found_without_sorting(monkeypatch):
+    import numpy as np
+
+    from dielens.llm import blocks
+
+    texts = [t.encode() for t in ("b a a b c " * 30, "one two three " * 9 + "a b c d e f g " * 8, "", "x")]
+    raw, end = b"\n".join(texts) + b"\n", np.cumsum([len(t) + 1 for t in texts])
+    block = blocks.Block(0, np.arange(4), np.concatenate([[0], end[:-1]]), end - 1, raw)
+    monkeypatch.setattr(np, "lexsort", None)
+    own = recompression.Windows(block, 20, ((4, 12), (3, 9), (2, 6), (-1, 1)))
+    assert own.count.sum() == sum(max(len(t.split()) - 19, 0) for t in texts)
+    assert (own.symbol != 0).all()
+
+
 def test_radix_groups_are_the_equal_windows():
     import numpy as np
 
