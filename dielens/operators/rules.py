@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dielens.functions.columns import (
@@ -26,7 +26,7 @@ from dielens.functions.columns import (
     power_of_ten,
     shifted,
 )
-from dielens.functions.shuffles import as_of, join_sized, settled, top_one
+from dielens.functions.shuffles import as_of, join_sized, settled
 
 SPEC_FIELDS = (
     "supplier_id",
@@ -406,7 +406,9 @@ def evaluate_multi_scope(meas: DataFrame, scope_limits: DataFrame, factors: Data
 def current_evaluation(evals: DataFrame) -> DataFrame:
     """Exactly one row per measurement, type and scope: the latest run."""
     keys = ["measurement_id", "evaluation_type", "evaluation_scope_key"]
-    return top_one(evals, keys, [F.desc("evaluated_at_utc"), F.desc("evaluation_run_id")])
+    # a key has as many rows as runs: a group limit below the exchange would sort all rows and drop next to none
+    latest_first = Window.partitionBy(*keys).orderBy(F.desc("evaluated_at_utc"), F.desc("evaluation_run_id"))
+    return evals.withColumn("__later", F.lag(F.lit(True)).over(latest_first)).where("__later IS NULL").drop("__later")
 
 
 def resolve_bin(

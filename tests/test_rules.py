@@ -112,3 +112,16 @@ def test_equal_filters_have_equal_keys(spark):
     assert keys.select("cache_key").distinct().count() == 1
     assert keys.first()["filter_json"] == '{"lot":["L1","L2"]}'
     assert keys.where(F.length("filter_hash") == 64).count() == 2
+
+
+def test_current_evaluation_sorts_no_rows_before_they_are_shuffled(rows):
+    schema = "measurement_id string, evaluation_type string, evaluation_scope_key string, evaluated_at_utc long, evaluation_run_id long, result string"
+    evals = rows(
+        schema, ("m", "SPEC", "D", 1, 9, "old"), ("m", "SPEC", "D", 2, 1, "x"), ("m", "SPEC", "D", 2, 3, "new"), ("m", "SPEC", "D", None, 5, "y"),
+        ("m", "SPEC", "E", 1, 1, "one"), (None, "SPEC", "D", 1, 1, "p"), (None, "SPEC", "D", 2, 1, "q"), ("k", "SPEC", "D", 1, 1, "k"), ("k", "SPEC", "D", 1, 1, "k"),
+    )
+    current = rules.current_evaluation(evals)
+    assert current.columns == evals.columns
+    found = sorted((str(r["measurement_id"]), r["evaluation_scope_key"], r["result"]) for r in current.collect())
+    assert found == [("None", "D", "q"), ("k", "D", "k"), ("m", "D", "new"), ("m", "E", "one")]
+    assert "WindowGroupLimit" not in current._jdf.queryExecution().toString()
