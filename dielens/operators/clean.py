@@ -89,8 +89,10 @@ def unpivot_measurements(wide: DataFrame, id_cols: Sequence[str], item_cols: dic
 
 def parse_measurement_value(long: DataFrame) -> DataFrame:
     """Raw text to number, text and status; blank is MISSING, unreadable is INVALID."""
-    text = F.trim("raw_value")
-    number = F.when(text.rlike(f"^{_NUMBER}$"), text.try_cast("double"))
+    # text, number and status are columns of their own first, so that a value is matched and cast once
+    number = F.when(F.col("__text").rlike(f"^{_NUMBER}$"), F.col("__text").try_cast("double"))
+    read = long.withColumn("__text", F.trim("raw_value")).withColumn("__number", number)
+    text, number = F.col("__text"), F.col("__number")
     finite = number.isNotNull() & ~F.isnan(number) & (F.abs(number) != float("inf"))
     word = F.upper(text)
     status = (
@@ -101,13 +103,15 @@ def parse_measurement_value(long: DataFrame) -> DataFrame:
         .when(finite, "MEASURED")
         .otherwise("INVALID")
     )
-    return long.withColumns(
+    judged = read.withColumn("__status", status)
+    status = F.col("__status")
+    return judged.withColumns(
         {
             "value_numeric": F.when(status == "MEASURED", number),
             "value_text": F.when(~status.isin("MEASURED", "MISSING"), text),
             "measurement_status": status,
         }
-    )
+    ).drop("__text", "__number", "__status")
 
 
 def mark_not_tested(long: DataFrame) -> DataFrame:

@@ -254,10 +254,13 @@ def publish_gate(issues: DataFrame, reconciliation: DataFrame, scopes: DataFrame
         *[F.count_if(c).alias(n) for c, n in zip((blocker, error, rule), names, strict=True)]
     )
     counted = settled(counted.where(" + ".join(names) + " > 0"), "gate")
+    # few rows, each of which may take a pass over all facts to find
+    reconciliation = settled(reconciliation, "gate-runs")
     runs = reconciliation.select(F.lit("RUN").alias("scope_type"), F.col("run_id").cast("string").alias("scope_key"), "run_id")
     if scopes is not None:
         typed = scopes if "scope_type" in scopes.columns else scopes.withColumn("scope_type", F.lit("RUN"))
         runs = runs.unionByName(typed.select("scope_type", F.col("scope_key").cast("string").alias("scope_key"), "run_id")).distinct()
+        runs = settled(runs, "gate-scopes")
     lost = counted.join(runs, keys, "left_anti").agg(F.coalesce(F.sum(F.expr(" + ".join(names))), F.lit(0))).scalar()
     down = counted.join(runs, keys).groupBy("run_id").agg(*[F.sum(n).alias(n) for n in names])
     joined = reconciliation.join(down, "run_id", "left").fillna(0, names)

@@ -177,3 +177,25 @@ def test_dice_are_shuffled_as_they_are_read(spark, sf):
     assert made and max(made) < min(windows)
     want = fx.cp_rows(spark, sf).exceptAll(dice.drop("unit_sequence", "attempt_no"))
     assert want.isEmpty() and dice.count() == fx.cp_rows(spark, sf).count()
+
+
+def test_publish_gate_finds_the_runs_once(spark, rows):
+    """What a run's state is made from may be all facts; it is read once for scopes and result together."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(value):
+        seen.add(1)
+        return value
+
+    state = rows("run_id string, ok boolean", ("r", True), ("bad", False)).repartition(1)
+    state = state.select("run_id", F.udf(counted, "boolean")("ok").alias("reconciled"))
+    gate = dq.publish_gate(rows(ISSUE, ("r", "INFO", False, True, "OPEN")), state)
+    assert {r["run_id"]: r["can_publish"] for r in gate.collect()}["bad"] is False
+    assert seen.value == 2
+
+
+def test_issues_are_counted_where_they_are_found(spark, sf):
+    """All issues are read from the tables by whoever counts them, and not written with all their texts first."""
+    from dielens.plans import dq_queries
+
+    assert any("lineitem" in f for f in dq_queries.all_issues(spark, sf).inputFiles())
