@@ -188,7 +188,7 @@ def test_publish_gate_finds_the_runs_once(spark, rows):
         return value
 
     state = rows("run_id string, ok boolean", ("r", True), ("bad", False)).repartition(1)
-    state = state.select("run_id", F.udf(counted, "boolean")("ok").alias("reconciled"))
+    state = state.select(F.udf(counted, "string")("run_id").alias("run_id"), F.col("ok").alias("reconciled"))
     gate = dq.publish_gate(rows(ISSUE, ("r", "INFO", False, True, "OPEN")), state)
     assert {r["run_id"]: r["can_publish"] for r in gate.collect()}["bad"] is False
     assert seen.value == 2
