@@ -39,10 +39,11 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         links = compact(_star(both, small=False, rows=2 * n), n, "components")
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         links = compact(_star(both, small=True, rows=2 * n), n, "components")
-        n, nodes = links.agg(F.count("*"), F.countDistinct("u")).first()
-        heads = links.select(F.col("v").alias("u"))
         # only stars are left: every node hangs on one other, which hangs on none
-        if n == nodes and links.join(heads, "u", "left_semi").isEmpty():
+        ends = links.select("u", F.lit(1).alias("hangs")).unionByName(links.select(F.col("v").alias("u"), F.lit(0).alias("hangs")))
+        nodes = ends.groupBy("u").agg(F.sum("hangs").alias("hangs"), F.count("*").alias("ends")).where("hangs > 0")
+        n, stars = nodes.agg(F.coalesce(F.sum("hangs"), F.lit(0)), F.coalesce(F.max("ends"), F.lit(1)) == 1).first()
+        if stars:
             return links.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
                 links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
             )

@@ -4,7 +4,7 @@ A document is the set of its word shingles.  One permutation shuffles the number
 circularly by k, gives the k-th coordinate of the signature, so two permutations make all of them.  Bands of
 coordinates give buckets.  Documents with equal sets form a class first; in a bucket the classes are compared with one
 hub, not with each other, and links are confirmed on the full sets.  Classes of a bucket that are then still in
-different components are compared with other hubs.  Of what is left after that, a class can only have a link if enough
+different components are compared with other hubs while these pay.  Of what is left after that, a class can only have a link if enough
 of its shingles occur in another component at all; the shingles are counted, which drops copies with too many changes
 of their own, and the rest is compared by signature and by hashes of whole short sets inside the bucket, so no link is
 lost.  Bands of five rows keep
@@ -147,6 +147,17 @@ def _possible(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return able.select("key", "rep", "c", "n", "shared")
 
 
+def _apart(members: DataFrame) -> DataFrame:
+    """(key, least, size) of the buckets whose members are of different components."""
+    ends = [F.min("c").alias("least"), F.max("c").alias("most"), F.count("*").alias("size")]
+    return members.groupBy("key").agg(*ends).where("least < most").select("key", "least", "size")
+
+
+def _left(members: DataFrame) -> tuple[int, float]:
+    """The number of members of open buckets, and of the pairs inside these."""
+    return members.agg(F.count("*"), F.coalesce(F.sum((F.col("size") - 1) / 2), F.lit(0.0))).first()
+
+
 def _by_class(members: DataFrame, *carried: str) -> DataFrame:
     """One row for each class with its buckets (at most one for each band of a set) in ``keys``.
 
@@ -191,6 +202,7 @@ def near_duplicates(
     rows: int = 5,
     hub_rounds: int = 2,
     hubs: int = 4,
+    direct: int = 100_000,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
@@ -199,7 +211,9 @@ def near_duplicates(
     Linked are sets with ``100 * intersection >= percent * union``; the component is the smallest id reachable.  A pair
     at exactly 75 % shares no band of the default 48 x 5 with a chance of about 2e-6.  Null and empty texts have an empty set
     and are linked with nothing; a text of fewer than ``width`` words is one shingle.  Repeated rows of an id give
-    repeated rows; an id with different texts is one node.  A null id takes part in nothing and is kept.
+    repeated rows; an id with different texts is one node.  A null id takes part in nothing and is kept.  Where the open
+    buckets hold no more than ``direct`` pairs of classes, or other hubs have linked less than a tenth of the members, all
+    that is left is compared at once; the links are the same.
     """
     sign = settled(signatures(docs, width, bands, rows, id_col, text_col), "minhash")
     some = sign.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
@@ -236,21 +250,31 @@ def near_duplicates(
     for turn in range(hub_rounds + 1):
         if named is None:
             named = compact(components(links).withColumnRenamed("node", "rep"), n, "minhash-found")
-        at = grouped.join(named, "rep", "left").select("keys", "rep", F.coalesce("component", "rep").alias("c"), "n")
-        at = at.select(F.explode("keys").alias("key"), "rep", "c", "n")
-        open_ = at.groupBy("key").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least < most")
-        open_ = compact(open_.select("key", "least"), n, "minhash-open")
-        at = compact(at.join(open_, "key").select("key", "rep", "c", "n"), n, "minhash-apart")
-        # classes that cannot have a link to another component leave, and with them the buckets that are of one then
-        able = compact(_possible(at, sets, percent), n, "minhash-able")
-        two = able.groupBy("key").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least < most")
-        at = compact(able.join(two.select("key", "least"), "key"), n, "minhash-apart")
-        n = at.count()
+        # common shingles counted in an earlier turn still bound an intersection, as components only grow
+        carried = ["n", "shared"] if turn else ["n"]
+        at = grouped.join(named, "rep", "left").select("keys", "rep", F.coalesce("component", "rep").alias("c"), *carried)
+        at = at.select(F.explode("keys").alias("key"), "rep", "c", *carried)
+        open_, before = compact(_apart(at), n, "minhash-open"), n
+        at = compact(at.join(open_, "key"), n, "minhash-apart")
+        n, pairs = _left(at)
         if not n:
             break
+        # more hubs are tried where comparing all costs more, and where those of the turn before have linked something
+        in_vain = turn > 0 and 10 * n > 9 * before
+        last = turn == hub_rounds or pairs <= direct or in_vain
+        if not turn:
+            at = at.withColumn("shared", F.col("n"))
+        if pairs > direct and not in_vain:
+            # classes that cannot have a link to another component leave, and with them the buckets that are of one then
+            able = compact(_possible(at, sets, percent), n, "minhash-able")
+            at = compact(able.join(_apart(able), "key"), n, "minhash-apart")
+            n, pairs = _left(at)
+            if not n:
+                break
+            last = last or pairs <= direct
         # buckets that are of one component stay so: only the others are looked at again
         grouped = compact(_by_class(at, "c", "n", "shared"), n, "minhash-grouped")
-        if turn < hub_rounds:
+        if not last:
             # other hubs of the first component: the last of its members in orders that change with every turn
             orders = [F.xxhash64("rep", F.lit(turn * hubs + k)) for k in range(hubs)]
             some_hubs = F.array_distinct(F.array(*[F.max_by("rep", order) for order in orders]))
@@ -270,6 +294,8 @@ def near_duplicates(
         new = settled(_confirmed(pairs, sets, percent), "minhash-links")
         if not new.isEmpty():
             links, named = links.unionByName(new), None
+        if last:
+            break
     if named is None:
         named = compact(components(links).withColumnRenamed("node", "rep"), n, "minhash-found")
     member = classes.join(named, "rep", "left").select(

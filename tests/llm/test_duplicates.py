@@ -210,3 +210,46 @@ def test_repeated_rows(spark):
     assert sorted((r["doc_id"], r["kept"]) for r in minhash.near_duplicates(df).collect()) == [(1, True), (1, True), (2, False)]
     assert minhash.keep_one(df).count() == 1
     assert recompression.dedup(df).count() == 3
+
+
+def edited_copies(n, places, other=3):
+    """Copies of one text with words of their own; every fifth has fewer."""
+    import random
+
+    rng = random.Random(17)
+    template = [f"w{rng.randrange(10**6)}" for _ in range(150)]
+    rows = []
+    for i in range(n):
+        own = list(template)
+        for place in rng.sample(range(150), places if i % 5 else other):
+            own[place] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(own)))
+    return rows
+
+
+@pytest.mark.parametrize(("direct", "turns"), [(100_000, 2), (0, 3)])
+def test_minhash_stops_trying_hubs_that_do_not_pay(spark, monkeypatch, direct, turns):
+    """Near copies that no hub links: the driver plans no more rounds for them than it needs."""
+    rows, confirmed, calls = edited_copies(60, 7, 7), minhash._confirmed, []
+    monkeypatch.setattr(minhash, "_confirmed", lambda *args: calls.append(1) or confirmed(*args))
+    found = by_id(minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), direct=direct))
+    assert {i: f["component_id"] for i, f in found.items()} == {i: c for i, (_, c) in groups(rows).items()}
+    assert len(calls) <= turns
+
+
+@pytest.mark.parametrize(("places", "other"), [(4, 2), (5, 3)])
+def test_minhash_with_hubs_finds_the_same(spark, places, other):
+    rows = edited_copies(120, places, other)
+    found = by_id(minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), direct=0))
+    assert {i: f["component_id"] for i, f in found.items()} == {i: c for i, (_, c) in groups(rows).items()}
+
+
+def test_components_looks_once_whether_only_stars_are_left(spark, monkeypatch):
+    links = spark.createDataFrame([(1, k) for k in range(2, 9)] + [(20, 21)], "a long, b long")
+    frame, looks = type(links), []
+    first = frame.first
+    monkeypatch.setattr(frame, "first", lambda self: looks.append("first") or first(self))
+    monkeypatch.setattr(frame, "isEmpty", lambda self: pytest.fail("a second look"))
+    found = {r["node"]: r["component"] for r in components.components(links).collect()}
+    assert found == {k: 1 for k in range(1, 9)} | {20: 20, 21: 20}
+    assert len(looks) == 1
