@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dielens.functions.shuffles import settled
@@ -158,6 +158,17 @@ def _left(members: DataFrame) -> tuple[int, float]:
     return members.agg(F.count("*"), F.coalesce(F.sum((F.col("size") - 1) / 2), F.lit(0.0))).first()
 
 
+def _members(exploded: DataFrame) -> DataFrame:
+    """(key, rep, hub) of the buckets that hold different classes; the hub is the smallest.
+
+    Rows are moved once, as most buckets have one class only.  A class is in a bucket of each band, so one bucket holds
+    no more than a share of one band of all rows.
+    """
+    bucket = Window.partitionBy("key")
+    ends = exploded.select("key", "rep", F.min("rep").over(bucket).alias("hub"), F.max("rep").over(bucket).alias("last"))
+    return ends.where("hub < last").select("key", "rep", "hub")
+
+
 def _by_class(members: DataFrame, *carried: str) -> DataFrame:
     """One row for each class with its buckets (at most one for each band of a set) in ``keys``.
 
@@ -222,12 +233,7 @@ def near_duplicates(
         classes.select("set_key", F.col("rep").alias("doc_id")), ["set_key", "doc_id"], "left_semi"
     ).select(F.col("doc_id").alias("rep"), "n_shingles", "brief", "bands")
     # an id with different texts may stand for several sets; one row for each is enough here
-    exploded = reps.select("rep", F.explode("bands").alias("key"))
-    shared = (
-        exploded.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).where("hub < last")
-    )
-    shared = settled(shared.select("key", "hub"), "minhash-buckets")
-    members = settled(exploded.join(shared, "key").select("key", "rep", "hub"), "minhash-members")
+    members = settled(_members(reps.select("rep", F.explode("bands").alias("key"))), "minhash-members")
     grouped = settled(_by_class(members), "minhash-grouped")
     # written alone, so that the planner knows how small the ids are and moves no text to find theirs
     ids = settled(grouped.select(F.col("rep").alias("doc_id")), "minhash-ids")
@@ -266,12 +272,17 @@ def near_duplicates(
             at = at.withColumn("shared", F.col("n"))
         if pairs > direct and not in_vain:
             # classes that cannot have a link to another component leave, and with them the buckets that are of one then
+            all_open = n
             able = compact(_possible(at, sets, percent), n, "minhash-able")
             at = compact(able.join(_apart(able), "key"), n, "minhash-apart")
             n, pairs = _left(at)
             if not n:
                 break
             last = last or pairs <= direct
+            if 2 * n < all_open:
+                # sets are looked up several times from here on: those that no pair can name any more stay behind
+                ids = compact(at.select(F.col("rep").alias("doc_id")).distinct(), n, "minhash-ids")
+                sets = settled(sets.join(ids, "doc_id", "left_semi"), "minhash-sets")
         # buckets that are of one component stay so: only the others are looked at again
         grouped = compact(_by_class(at, "c", "n", "shared"), n, "minhash-grouped")
         if not last:
@@ -309,9 +320,19 @@ def near_duplicates(
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with one row of every group: the smallest id, and of its rows one; all columns stay."""
-    id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
+    """``docs`` with one row of every group: the smallest id, and of its rows one; all columns stay.
+
+    Texts are not moved to find the one row of an id that has no other.  They are where the ids that go are too many to
+    be sent to every task.
+    """
+    id_col = options.get("id_col", "doc_id")
     gone = settled(near_duplicates(docs, **options).where("NOT kept").select("doc_id").distinct(), "minhash-gone")
     on_workers(docs)
-    left = docs.join(gone.withColumnRenamed("doc_id", "__gone"), F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
-    return left.where(F.col(id_col).isNull()).unionByName(left.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]))
+    several = docs.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__several")).agg(F.count("*").alias("__n"))
+    several = settled(several.where("__n > 1").select("__several"), "minhash-several")
+
+    def left(how: str) -> DataFrame:
+        own = docs.join(several, F.col(id_col) == F.col("__several"), how)
+        return own.join(gone.withColumnRenamed("doc_id", "__gone"), F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
+
+    return left("left_anti").unionByName(left("left_semi").dropDuplicates([id_col]))

@@ -244,6 +244,50 @@ def test_minhash_with_hubs_finds_the_same(spark, places, other):
     assert {i: f["component_id"] for i, f in found.items()} == {i: c for i, (_, c) in groups(rows).items()}
 
 
+def test_keep_one_moves_only_rows_of_repeated_ids(spark, monkeypatch):
+    texts = [f"{k} " + " ".join(f"w{k}x{j}" for j in range(30)) for k in range(20)]
+    rows = [(k, t) for k, t in enumerate(texts)] + [(3, texts[3]), (3, "quite another text"), (40, texts[5]), (None, "a"), (None, "a")]
+    docs = spark.createDataFrame(rows, "id long, text string")
+    frame, moved = type(docs), []
+    first = frame.dropDuplicates
+
+    def counted(self, subset=None):
+        if subset == ["id"]:
+            moved.append(self.count())
+        return first(self, subset)
+
+    monkeypatch.setattr(frame, "dropDuplicates", counted)
+    left = sorted(r["id"] for r in minhash.keep_one(docs, id_col="id").collect() if r["id"] is not None)
+    assert left == list(range(20))
+    assert moved == [3]
+    assert minhash.keep_one(docs, id_col="id").where("id IS NULL").count() == 2
+
+
+def test_members_of_buckets_are_moved_once(spark):
+    rows = [(7, 1), (7, 4), (7, 2), (8, 5), (9, 6), (9, 6), (10, 3), (10, 1)]
+    found = minhash._members(spark.createDataFrame(rows, "key long, rep long"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
+    assert plan.count("Exchange hashpartitioning") == 1
+    assert sorted(map(tuple, found.collect())) == [(7, 1, 1), (7, 2, 1), (7, 4, 1), (10, 1, 1), (10, 3, 1)]
+
+
+def test_minhash_leaves_sets_behind_that_no_pair_names(spark, monkeypatch):
+    """Most texts have too many words of their own to be linked: their sets are not looked up in later rounds."""
+    far = [(1000 + i, text) for i, text in edited_copies(90, 10, 10)]
+    rows, confirmed, held = edited_copies(30, 3, 2) + far, minhash._confirmed, []
+
+    def counted(pairs, sets, percent):
+        held.append(sets.count())
+        return confirmed(pairs, sets, percent)
+
+    monkeypatch.setattr(minhash, "_confirmed", counted)
+    found = by_id(minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), direct=0))
+    assert {i: f["component_id"] for i, f in found.items()} == {i: c for i, (_, c) in groups(rows).items()}
+    assert len(held) > 1
+    assert 2 * held[-1] < held[0]
+
+
 def test_components_looks_once_whether_only_stars_are_left(spark, monkeypatch):
     links = spark.createDataFrame([(1, k) for k in range(2, 9)] + [(20, 21)], "a long, b long")
     frame, looks = type(links), []

@@ -151,6 +151,26 @@ def test_redact(spark):
     assert secret_scans.redact(docs.limit(0)).count() == 0
 
 
+def test_redact_moves_only_texts_with_a_match(spark, monkeypatch):
+    plain = [(100 + k, f"nothing to hide in text {k}", "o") for k in range(30)] + [(200, None, "o"), (None, "", None)]
+    rows = [(1, "password=abcdefgh", "o"), (2, "token = short", "o"), (3, "AKIA" + "A" * 12, "o"), (4, "0" * 32, "o"), (4, "0" * 32, "o")]
+    docs = spark.createDataFrame(plain + rows, "doc_id long, text string, source string")
+    frame, moved = type(docs), []
+    first = frame.join
+
+    def counted(self, other, on=None, how=None):
+        if on == "__key":
+            moved.append(self.count())
+        return first(self, other, on, how)
+
+    monkeypatch.setattr(frame, "join", counted)
+    out = secret_scans.redact(docs).collect()
+    text = {1: "[SECRET]", 2: "token = short", 3: "[SECRET]", 4: "[SECRET]"}
+    order = lambda rows: sorted(map(tuple, rows), key=str)
+    assert order(out) == order(plain + [(i, text[i], o) for i, _, o in rows])
+    assert moved == [len(rows)]
+
+
 @pytest.fixture(scope="module")
 def labelled(spark):
     import random
