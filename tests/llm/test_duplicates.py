@@ -274,8 +274,8 @@ def test_members_of_buckets_are_moved_once(spark):
 
 def test_minhash_leaves_sets_behind_that_no_pair_names(spark, monkeypatch):
     """Most texts have too many words of their own to be linked: their sets are not looked up in later rounds."""
-    far = [(1000 + i, text) for i, text in edited_copies(90, 10, 10)]
-    rows, confirmed, held = edited_copies(30, 3, 2) + far, minhash._confirmed, []
+    far = [(1000 + i, text) for i, text in edited_copies(60, 8, 8)]
+    rows, confirmed, held = edited_copies(24, 3, 3) + far, minhash._confirmed, []
 
     def counted(pairs, sets, percent):
         held.append(sets.count())
