@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,6 +27,7 @@ from dielens.functions.columns import (
     power_of_ten,
     shifted,
 )
+from dielens.functions.packed import by_part, latest, packable, part_of, stem
 from dielens.functions.shuffles import as_of, join_sized, settled
 
 SPEC_FIELDS = (
@@ -404,11 +406,23 @@ def evaluate_multi_scope(meas: DataFrame, scope_limits: DataFrame, factors: Data
 
 
 def current_evaluation(evals: DataFrame) -> DataFrame:
-    """Exactly one row per measurement, type and scope: the latest run."""
-    keys = ["measurement_id", "evaluation_type", "evaluation_scope_key"]
-    # a key has as many rows as runs: a group limit below the exchange would sort all rows and drop next to none
-    latest_first = Window.partitionBy(*keys).orderBy(F.desc("evaluated_at_utc"), F.desc("evaluation_run_id"))
-    return evals.withColumn("__later", F.lag(F.lit(True)).over(latest_first)).where("__later IS NULL").drop("__later")
+    """Exactly one row per measurement, type and scope: the latest run.
+
+    All columns travel to where the runs of a measurement meet, as packed blocks: select those that are wanted before.
+    """
+    keys, when = ["measurement_id", "evaluation_type", "evaluation_scope_key"], ["evaluated_at_utc", "evaluation_run_id"]
+    if not packable(evals, [*keys, *when]):
+        # a key has as many rows as runs: a group limit below the exchange would sort all rows and drop next to none
+        latest_first = Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in when])
+        return evals.withColumn("__later", F.lag(F.lit(True)).over(latest_first)).where("__later IS NULL").drop("__later")
+
+    def current(tables):
+        held = None
+        for table in tables:
+            held = latest(table if held is None else pa.concat_tables([held, table]), keys, when)
+        yield held
+
+    return by_part([(evals, part_of(evals, stem(keys[0])))], current, evals.schema)
 
 
 def resolve_bin(

@@ -113,9 +113,8 @@ _STRICT = "CASE WHEN limit_source = 'PROGRAM' THEN 'NO_MATCH' ELSE evaluation_re
  CASE WHEN supplier_id % 2 = 0 THEN {_STRICT} ELSE evaluation_result END AS evaluation_result FROM evals""",
 )
 def _(spark, sf):
-    return rules.current_evaluation(two_runs(spark, sf)).select(
-        "measurement_id", "evaluation_type", "evaluation_scope_key", "evaluation_run_id", "evaluation_result"
-    )
+    wanted = ["measurement_id", "evaluation_type", "evaluation_scope_key", "evaluation_run_id", "evaluation_result"]
+    return rules.current_evaluation(two_runs(spark, sf).select(*wanted, "evaluated_at_utc")).select(*wanted)
 
 
 @query(
