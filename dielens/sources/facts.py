@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dielens.functions.packed import packable, packed, unpacked
+
 PARTITIONS = ("stage", "tested_month")
 
 
@@ -24,18 +26,24 @@ def append_facts(
     Rows are dealt by partition and lot, so a file holds few lots and the scan
     can skip its row groups.  The rows are computed once: sizes are not sampled
     before but known when the rows have been dealt, and AQE then joins small
-    lots in one task and splits a month or lot of any size among many.
+    lots in one task and splits a month or lot of any size among many.  They
+    are dealt as packed columns and written with zstandard, since both the
+    exchange and the table hold every column of every fact.
     """
     placed = df.withColumns(
         {"stage": F.col(stage), "tested_month": F.date_format(instant, "yyyy-MM")}
     )
     spread = [c for c in (*PARTITIONS, *cluster) if c in placed.columns]
     order = [c for c in (*PARTITIONS, *cluster, "test_item_id") if c in placed.columns]
+    if packable(placed, spread):
+        dealt = unpacked(packed(placed, spread, placed.columns).hint("rebalance", *spread), placed.schema)
+    else:
+        dealt = placed.hint("rebalance", *spread)
     (
-        placed.hint("rebalance", *spread)
-        .sortWithinPartitions(*order)
+        dealt.sortWithinPartitions(*order)
         .write.mode("append")
         .option("maxRecordsPerFile", rows_per_file)
+        .option("compression", "zstd")
         .partitionBy(*PARTITIONS)
         .parquet(f"{root.rstrip('/')}/{table}")
     )

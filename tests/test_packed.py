@@ -3,11 +3,13 @@
 import random
 from decimal import Decimal
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from dielens.functions import packed
 from dielens.operators import rules
+from dielens.sources import facts
 
 EVALS = "measurement_id string, evaluation_type string, evaluation_scope_key string, evaluated_at_utc long, evaluation_run_id int, result string"
 
@@ -87,3 +89,28 @@ def test_runs_meet_in_few_bytes(spark):
     assert len(current.collect()) == 80_000
     # 16 bytes of hash for each unit are the least that can be sent: 4 for each of its rows
     assert shuffled(current) < 80_000 * 8
+
+
+@pytest.mark.parametrize("lot", ["string", "double"])
+def test_facts_are_moved_and_kept_in_few_bytes(spark, tmp_path, lot):
+    """The four values of a unit share its texts in the exchange and in the table; rows that cannot be packed are written as well."""
+    unit = F.concat_ws("-", F.xxhash64("id"), F.xxhash64("id", F.lit(1)))
+    steps = spark.range(0, 20_000, 1, 4).select("id", unit.alias("unit_id"), F.explode(F.array(*[F.lit(i) for i in range(1, 5)])).alias("test_item_id"))
+    made = steps.select(
+        F.concat_ws("/", "unit_id", "test_item_id").alias("measurement_id"),
+        "unit_id",
+        "test_item_id",
+        F.lit("CP").alias("test_stage"),
+        F.when(F.col("id") % 50 > 0, F.col("id") % 3).cast(lot).alias("lot_id"),
+        F.timestamp_seconds(F.col("id") % 3 * 3_000_000).cast("timestamp_ntz").alias("tested_at_utc"),
+    )
+    facts.append_facts(made, str(tmp_path), "measurement")
+    found = facts.scan_canonical(spark, str(tmp_path), "measurement")
+    assert sorted(found.columns) == sorted(made.columns)
+    same = found.select(*made.columns)
+    assert same.exceptAll(made).count() == 0 and made.exceptAll(same).count() == 0
+    files = list(tmp_path.glob("measurement/stage=*/tested_month=*/*.parquet"))
+    assert {pq.ParquetFile(f).metadata.row_group(0).column(0).compression for f in files} == {"ZSTD"}
+    if lot == "string":
+        blocks = packed.packed(made, ["test_stage", "lot_id"], made.columns)
+        assert blocks.agg(F.sum(F.length("__rows"))).first()[0] < 80_000 * 14
