@@ -136,6 +136,56 @@ def by_part(
     return dealt.select("__part", "__side", "__rows").mapInArrow(run, schema)
 
 
+def packed_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """The left join of two large sides on one key, which meet as packed columns.
+
+    A worker holds the left rows of one part; the right ones pass by.
+    """
+    joined = left.join(right, key, "left")
+    alike = set(left.columns) & set(right.columns) == {key} and left.schema[key].dataType == right.schema[key].dataType
+    if not (alike and packable(left, [key]) and packable(right, [key])):
+        return joined
+    schema = joined.schema
+    kinds = {f.name: _ARROW[f.dataType] for f in schema}
+    own = left.columns
+
+    def meet(lefts: Iterator[pa.Table], rights: Iterator[pa.Table]) -> Iterator[pa.Table]:
+        held = list(lefts)
+        if not held:
+            return
+        rows = pa.concat_tables(held).combine_chunks()
+        found = whole(rows, key).dictionary_encode()
+        code = found.indices.fill_null(-1).to_numpy()
+        by_code = np.argsort(code, kind="stable")
+        by_code = by_code[np.searchsorted(code[by_code], 0) :]  # a null key meets nothing
+        counts = np.bincount(code[by_code], minlength=len(found.dictionary))
+        starts = np.cumsum(counts) - counts
+        met = np.zeros(len(counts), bool)
+        for table in rights:
+            other = pc.index_in(whole(table, key), value_set=found.dictionary, skip_nulls=True).fill_null(-1).to_numpy()
+            at = np.flatnonzero(other >= 0)
+            met[other[at]] = True
+            many = counts[other[at]]
+            # so many right rows at a time as make AT_ONCE rows
+            turns = (np.cumsum(many) - many) // AT_ONCE
+            for turn in np.unique(turns):
+                here = at[turns == turn]
+                c = counts[other[here]]
+                step = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
+                from_left = by_code[np.repeat(starts[other[here]], c) + step]
+                yield _beside(rows.take(pa.array(from_left)), table.take(pa.array(np.repeat(here, c))), own, kinds)
+        alone = np.flatnonzero((code < 0) | ~met[np.maximum(code, 0)] if len(met) else np.ones(len(code), bool))
+        if len(alone):
+            yield _beside(rows.take(pa.array(alone)), None, own, kinds)
+
+    return by_part([(left, part_of(left, F.col(key))), (right, part_of(right, F.col(key)))], meet, schema)
+
+
+def _beside(left: pa.Table, right: pa.Table | None, own: list[str], kinds: dict[str, pa.DataType]) -> pa.Table:
+    made = {c: left.column(c) if c in own else right.column(c) if right is not None else pa.nulls(left.num_rows, kind) for c, kind in kinds.items()}
+    return pa.table(made)
+
+
 def codes(columns: Sequence[pa.Array]) -> tuple[np.ndarray, int]:
     """A number for each row, the same where all columns are (null equals null), and how many numbers there are."""
     number, count = np.zeros(len(columns[0]), np.int64), 1
@@ -149,6 +199,32 @@ def codes(columns: Sequence[pa.Array]) -> tuple[np.ndarray, int]:
     return number, count
 
 
+def row_numbers(table: pa.Table, key: np.ndarray, order: Sequence[str]) -> np.ndarray:
+    """The place of each row among those of its key, from 1; ``-name`` descends, and a null is the least."""
+    by = [_rank(whole(table, o.lstrip("-")), o.startswith("-")) for o in order]
+    sorted_ = np.lexsort([*reversed(by), key])
+    own = key[sorted_]
+    first = np.r_[True, own[1:] != own[:-1]]
+    at = np.arange(len(own))
+    place = np.empty(len(own), np.int64)
+    place[sorted_] = at - np.maximum.accumulate(np.where(first, at, 0)) + 1
+    return place
+
+
+def _rank(column: pa.Array, descending: bool) -> np.ndarray:
+    kind = column.type
+    if not column.null_count and (pa.types.is_integer(kind) or pa.types.is_timestamp(kind)):
+        rank = column.view(pa.int64()).to_numpy() if pa.types.is_timestamp(kind) else column.to_numpy().astype(np.int64)
+    else:
+        if pa.types.is_floating(kind):
+            column = pc.add(column, pa.scalar(0, kind))  # one zero
+        found = column.dictionary_encode()
+        place = np.empty(len(found.dictionary), np.int64)
+        place[pc.sort_indices(found.dictionary).to_numpy()] = np.arange(1, len(place) + 1)
+        rank = np.r_[0, place][pc.add(found.indices, 1).fill_null(0).to_numpy()]
+    return ~rank if descending else rank
+
+
 def latest(table: pa.Table, keys: Sequence[str], order: Sequence[str]) -> pa.Table:
     """One row for each key: one whose order columns are the largest, a null being the least."""
     key, count = codes([whole(table, c) for c in keys])
@@ -184,24 +260,62 @@ def _pack(held: list[pa.RecordBatch], deal: list[str], carried: list[str], types
     starts = np.flatnonzero(np.diff(number, prepend=number[:1], append=number[-1:]))
     ends = np.r_[starts, len(order)]
     starts = np.r_[0, starts]
-    cuts = [_cutter(whole(table, c).take(pa.array(order)).cast(types[c])) for c in carried]
+    cuts = [_cutter(whole(table, c).take(pa.array(order)).cast(types[c]), starts) for c in carried]
     rows = []
     codec = pa.Codec("zstd", compression_level=3)
     for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
-        flags, parts = bytearray(), []
-        for cut in cuts:
-            flag, made = cut(a, b)
-            flags.append(flag)
-            parts += made
-        raw = b"".join([struct.pack("<q", b - a), bytes(flags), *parts])
+        raw = b"".join([struct.pack("<q", b - a), *[x for cut in cuts for x in cut(a, b)]])
         rows.append(struct.pack("<q", len(raw)) + codec.compress(raw, asbytes=True))
     firsts = pa.array(order[starts])
     given = [whole(table, c).take(firsts).cast(types[c]) for c in deal]
     return pa.RecordBatch.from_arrays([*given, pa.array(rows, pa.binary())], names=[*deal, "__rows"])
 
 
-def _cutter(column: pa.Array) -> Callable[[int, int], tuple[int, list[bytes]]]:
-    """What gives the bytes of a stretch of a column."""
+def _cutter(column: pa.Array, starts: np.ndarray) -> Callable[[int, int], list[bytes]]:
+    """What gives the bytes of a stretch of a column from one of the starts.
+
+    Values that follow each other are written once where that is shorter, and so are texts that differ in their last two bytes.
+    """
+    runs = _runs(column, starts)
+    if runs is not None:
+        return runs
+    if pa.types.is_string(column.type):
+        chars = column.view(pa.binary())
+        stems = _runs(pc.binary_slice(chars, 0, -2), starts)
+        if stems is not None:
+            ends = _plain(pc.binary_slice(chars, -2))
+            return lambda a, b: [b"\4", *stems(a, b), *ends(a, b)]
+    if pa.types.is_floating(column.type) and not column.null_count:
+        found = column.view(pa.int64() if column.type == pa.float64() else pa.int32()).dictionary_encode()
+        # few different numbers are listed with every block
+        if len(found.dictionary) <= min(255, len(column) // len(starts) // 8):
+            listed = b"".join(_plain(found.dictionary)(0, len(found.dictionary)))
+            index = found.indices.to_numpy().astype(np.uint8)
+            return lambda a, b: [b"\3", struct.pack("<q", len(found.dictionary)), listed, index[a:b].tobytes()]
+    return _plain(column)
+
+
+def _runs(column: pa.Array, starts: np.ndarray) -> Callable[[int, int], list[bytes]] | None:
+    if pa.types.is_floating(column.type):
+        return None  # 0.0 equals -0.0
+    n = len(column)
+    new = np.ones(n, bool)
+    new[1:] = pc.not_equal(column.slice(1), column.slice(0, n - 1)).fill_null(True).to_numpy(zero_copy_only=False)
+    new[starts] = True
+    firsts = np.flatnonzero(new)
+    if len(firsts) * 3 > n * 2:
+        return None
+    lengths = np.diff(np.r_[firsts, n]).astype("<i4").view(np.uint8).reshape(-1, 4)
+    values = _plain(column.take(pa.array(firsts)))
+
+    def cut(a: int, b: int) -> list[bytes]:
+        c, d = np.searchsorted(firsts, (a, b)).tolist()
+        return [b"\2", struct.pack("<q", d - c), lengths[c:d].T.tobytes(), *values(c, d)]
+
+    return cut
+
+
+def _plain(column: pa.Array) -> Callable[[int, int], list[bytes]]:
     n, at = len(column), column.offset
     valid = column.is_valid().cast(pa.uint8()).to_numpy() if column.null_count else None
     kind = column.type
@@ -223,10 +337,10 @@ def _cutter(column: pa.Array) -> Callable[[int, int], tuple[int, list[bytes]]]:
         def body(a: int, b: int) -> list[bytes]:
             return [places[a:b].T.tobytes()]
 
-    def cut(a: int, b: int) -> tuple[int, list[bytes]]:
+    def cut(a: int, b: int) -> list[bytes]:
         if valid is None or valid[a:b].all():
-            return 0, body(a, b)
-        return 1, [valid[a:b].tobytes(), *body(a, b)]
+            return [b"\0", *body(a, b)]
+        return [b"\1", valid[a:b].tobytes(), *body(a, b)]
 
     return cut
 
@@ -247,27 +361,42 @@ def _gathered(blocks: Iterable[pa.Buffer], types: dict[str, pa.DataType], most:
 
 def _unpack(block: pa.Buffer, types: dict[str, pa.DataType]) -> pa.RecordBatch:
     (size,) = struct.unpack_from("<q", block)
-    raw = np.frombuffer(pa.Codec("zstd").decompress(block.slice(8), size), np.uint8)
-    n = int(raw[:8].view("<i8")[0])
-    flags, p = raw[8 : 8 + len(types)], 8 + len(types)
-    made = []
-    for flag, kind in zip(flags, types.values(), strict=True):
+    raw, p = np.frombuffer(pa.Codec("zstd").decompress(block.slice(8), size), np.uint8), 0
+
+    def take(n: int) -> np.ndarray:
+        nonlocal p
+        p += n
+        return raw[p - n : p]
+
+    def numbers(n: int) -> np.ndarray:
+        return np.ascontiguousarray(take(4 * n).reshape(4, n).T).view("<i4").ravel()
+
+    def column(n: int, kind: pa.DataType) -> pa.Array:
+        how = take(1)[0]
+        if how == 4:
+            both = pc.binary_join_element_wise(column(n, pa.binary()), column(n, pa.binary()), b"")
+            return both.view(kind)
+        if how == 3:
+            listed = column(int(take(8).view("<i8")[0]), kind)
+            return listed.take(pa.array(take(n)))
+        if how == 2:
+            m = int(take(8).view("<i8")[0])
+            lengths = numbers(m)
+            return column(m, kind).take(pa.array(np.repeat(np.arange(m), lengths)))
         valid, nulls = None, 0
-        if flag:
-            there = raw[p : p + n]
+        if how == 1:
+            there = take(n)
             valid, nulls = pa.py_buffer(np.packbits(there, bitorder="little")), n - int(there.sum())
-            p += n
         if pa.types.is_string(kind) or pa.types.is_binary(kind):
             offsets = np.zeros(n + 1, np.int32)
-            np.cumsum(np.ascontiguousarray(raw[p : p + 4 * n].reshape(4, n).T).view("<i4").ravel(), out=offsets[1:])
-            p += 4 * n
-            end = p + int(offsets[-1])
-            buffers, p = [valid, pa.py_buffer(offsets), pa.py_buffer(raw[p:end])], end
+            np.cumsum(numbers(n), out=offsets[1:])
+            buffers = [valid, pa.py_buffer(offsets), pa.py_buffer(take(int(offsets[-1])))]
         elif pa.types.is_boolean(kind):
-            buffers, p = [valid, pa.py_buffer(np.packbits(raw[p : p + n], bitorder="little"))], p + n
+            buffers = [valid, pa.py_buffer(np.packbits(take(n), bitorder="little"))]
         else:
             width = kind.bit_width // 8
-            places = np.ascontiguousarray(raw[p : p + n * width].reshape(width, n).T)
-            buffers, p = [valid, pa.py_buffer(places)], p + n * width
-        made.append(pa.Array.from_buffers(kind, n, buffers, null_count=nulls))
-    return pa.RecordBatch.from_arrays(made, names=list(types))
+            buffers = [valid, pa.py_buffer(np.ascontiguousarray(take(n * width).reshape(width, n).T))]
+        return pa.Array.from_buffers(kind, n, buffers, null_count=nulls)
+
+    n = int(take(8).view("<i8")[0])
+    return pa.RecordBatch.from_arrays([column(n, kind) for kind in types.values()], names=list(types))

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from dielens.functions.columns import in_window
-from dielens.functions.shuffles import join_sized
+from dielens.functions.packed import by_part, codes, packable, part_of, row_numbers, whole
+from dielens.functions.shuffles import join_sized, ordering
 from dielens.operators.rules import slotted
 
 CLEANERS: dict[tuple[str, str], Callable[[DataFrame], DataFrame]] = {}
@@ -231,13 +233,24 @@ def logical_unit_key(units: DataFrame, stage: str) -> DataFrame:
     )
 
 
-def assign_attempt_no(units: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
+def assign_attempt_no(units: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
     """Attempt index (from 0) per logical unit inside a run, in source order.
 
-    ``keys`` name one unit of one session, which is tested a few times at most.
+    ``keys`` name one unit of one session, which is tested a few times at most.  With an order given by names
+    (``-name`` descends) the units travel as packed columns.
     """
-    window = Window.partitionBy(*keys).orderBy(*order)
-    return units.withColumn("attempt_no", (F.row_number().over(window) - 1).cast("long"))
+    by, named = ordering(order)
+    window = Window.partitionBy(*keys).orderBy(*by)
+    plain = units.withColumn("attempt_no", (F.row_number().over(window) - 1).cast("long"))
+    if not (named and packable(units, keys) and all(o.lstrip("-") in units.columns for o in order)):
+        return plain
+
+    def number(tables):
+        table = pa.concat_tables(list(tables))
+        key, _ = codes([whole(table, c) for c in keys])
+        yield table.append_column("attempt_no", pa.array(row_numbers(table, key, order) - 1))
+
+    return by_part([(units, part_of(units, *[F.col(c) for c in keys]))], number, plain.schema)
 
 
 def resolve_timezone(runs: DataFrame, local: str = "source_started_local") -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from dielens.functions.columns import measured, ntz, share
+from dielens.functions.packed import packed_join
 from dielens.functions.shuffles import exact_quantiles, join_sized
 from dielens.session import scratch_folder
 
@@ -211,7 +212,7 @@ def unit_detail(units: DataFrame, evals: DataFrame, logical_unit: str | None = N
         "source_column_index",
     )
     attempts = units.select("logical_unit_key", "unit_id", "run_id", "attempt_no", "unit_sequence", "soft_bin")
-    return attempts.join(values, "unit_id", "left")
+    return packed_join(attempts, values, "unit_id")
 
 
 def drill_to_source(evals: DataFrame, runs: DataFrame, receipts: DataFrame) -> DataFrame:

@@ -69,8 +69,11 @@ def _dice(lines: DataFrame, *more: str) -> DataFrame:
     )
 
 
+_ORDER = ["tested_at_utc", "l_orderkey", "l_partkey", "l_suppkey", "l_extendedprice"]
+
+
 def _order():
-    return [F.col(x) for x in ("tested_at_utc", "l_orderkey", "l_partkey", "l_suppkey", "l_extendedprice")]
+    return [F.col(x) for x in _ORDER]
 
 
 def _with_attempts(dice: DataFrame) -> DataFrame:
@@ -78,11 +81,12 @@ def _with_attempts(dice: DataFrame) -> DataFrame:
     return clean.assign_attempt_no(dice, ATTEMPT_KEYS, _order())
 
 
-def cp(spark: SparkSession, sf: str) -> DataFrame:
+def cp(spark: SparkSession, sf: str, as_blocks: bool = False) -> DataFrame:
     """Probed dice with attempt number and sequence within the wafer session.
 
     The lines are numbered and shuffled as they are read, under numbers that stand for lot and wafer one to one; the
-    texts of a die are made afterwards.
+    texts of a die are made afterwards.  ``as_blocks`` shuffles them as packed columns, which takes less disk and pays
+    where both numbers are wanted.
     """
     c = F.col
     lines = table(spark, sf, "lineitem").select(
@@ -95,10 +99,11 @@ def cp(spark: SparkSession, sf: str) -> DataFrame:
         F.when(c("l_linestatus") == "F", 0).otherwise(1).alias("__attempt"),
     )
     session = ["__lot", "l_linenumber", "__attempt"]
-    sequenced = numbered(lines, session, _order(), c("tested_at_utc"), "unit_sequence", lines, null_safe=False)
+    order, last = (_ORDER, "-unit_sequence") if as_blocks else (_order(), F.desc("unit_sequence"))
+    sequenced = numbered(lines, session, order, c("tested_at_utc"), "unit_sequence", lines, null_safe=False)
     placed = sequenced.withColumns({"__x": c("l_partkey") % 40, "__y": F.floor(c("l_partkey") / 40.0).cast("long") % 50})
     # of equal rows the one numbered last in its session is the first attempt
-    attempts = clean.assign_attempt_no(placed, [*session, "__x", "__y"], [*_order(), F.desc("unit_sequence")])
+    attempts = clean.assign_attempt_no(placed, [*session, "__x", "__y"], [*order, last])
     return _dice(attempts, "unit_sequence", "attempt_no")
 
 

@@ -136,7 +136,7 @@ def _(spark, sf):
  e.measurement_status, e.evaluation_result, e.source_column_index FROM cp c LEFT JOIN evals e ON e.unit_id = c.unit_id""",
 )
 def _(spark, sf):
-    return surface.unit_detail(fx.cp(spark, sf), fx.evals(spark, sf))
+    return surface.unit_detail(fx.cp(spark, sf, as_blocks=True), fx.evals(spark, sf))
 
 
 @query(
